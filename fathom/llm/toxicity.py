@@ -6,8 +6,8 @@ With the class prior p the risk of a scorer z under the logistic loss l is::
     p E_P[l(z)] + max(0, E_U[l(-z)] - p E_P[l(-z)])
 
 The second term estimates the risk on negatives; where it falls below zero the step goes against
-it, so that a flexible model cannot drive it down. The scorer is linear over the presence of words,
-fitted with numpy on the driver; an L1 penalty leaves it a few words. Scoring is one pass over the
+it, so that a flexible model cannot drive it down. The scorer is linear over the presence of words
+and their stems, fitted with numpy on the driver; an L1 penalty leaves it a few words. Scoring is one pass over the
 whole texts with no shuffle.
 
 The classifier is fitted on a bounded sample: at most ``POSITIVES`` and ``UNLABELLED`` documents,
@@ -31,7 +31,12 @@ from pyspark.sql import functions as F
 from fathom.llm import scratch
 
 #: Bounds of the training sample, in documents, and of its vocabulary, in words.
-POSITIVES, UNLABELLED, WORDS = 4_000, 12_000, 20_000
+POSITIVES, UNLABELLED, WORDS = 4_000, 12_000, 5_000
+#: Words are features if this share of the positives, and five documents at least, have them, and if their
+#: share among positives is so many standard errors above that among unlabelled texts, or below.
+SHARE, ERRORS = 0.02, 6.0
+#: Lengths of stems; toxic words may be inflected.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -42,7 +47,9 @@ def held_out(doc_id):
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The words in lower case, and the stems of longer ones: their first letters, with a star."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
 
 
 @dataclass
@@ -56,7 +63,7 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.1, l1: float = 2e-4) -> tuple[np.ndarray, float]:
+def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, steps: int = 500, rate: float = 0.2, l1: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights of ``size`` features and an intercept; each example is the indexes of its features."""
 
     def flat(rows):
@@ -105,9 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     # the sample is at most POSITIVES + UNLABELLED ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")).join(F.broadcast(sample), "doc_id").select("p", "body")
     rows = scratch.materialize(rows.mapInPandas(cut, "p int, words array<string>"), "sample")
-    least = max(3, min(n_toxic, POSITIVES) // 200)
-    count = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("n"))
-    vocabulary = [r.word for r in count.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    rows = rows.dropDuplicates(["p", "words"])  # copies of a text would make all its words look toxic
+    n_p, n_u = rows.agg(F.sum("p"), F.sum(1 - F.col("p"))).first()
+    least = max(min(5, n_p), int(SHARE * n_p))
+    count = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("n"), F.sum(1 - F.col("p")).alias("u"))
+    rate = (F.col("u") + 1) / (n_u + 1)
+    errors = F.abs(F.col("n") / n_p - rate) / F.sqrt(rate * (1 - rate) / n_p + 1e-12)
+    chosen = count.where((F.col("n") >= least) & (errors >= ERRORS)).orderBy(F.desc(errors), "word").limit(WORDS)
+    vocabulary = [r.word for r in chosen.collect()]
     at = {w: k for k, w in enumerate(vocabulary)}
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
