@@ -111,11 +111,12 @@ def scan(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text",
 
 def spans_text(rules: tuple[Rule, ...] = RULES):
     """``kind:start:end`` of all columns of ``scan``, by start, then by the order of the rules."""
-    parts = [
-        F.transform(F.col(r.kind), lambda x, r=r, n=n: F.struct(x.s.alias("s"), F.lit(n).alias("n"), F.lit(r.kind).alias("k"), x.e.alias("e")))
-        for n, r in enumerate(rules)
-    ]
-    return F.array_join(F.transform(F.array_sort(F.concat(*parts)), lambda x: F.concat_ws(":", x.k, x.s.cast("string"), x.e.cast("string"))), ",")
+
+    def ranked(n: int, kind: str):
+        return F.transform(kind, lambda x: F.struct(x.s.alias("s"), F.lit(n).alias("n"), F.lit(kind).alias("k"), x.e.alias("e")))
+
+    spans = F.array_sort(F.concat(*[ranked(n, r.kind) for n, r in enumerate(rules)]))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.k, x.s.cast("string"), x.e.cast("string"))), ",")
 
 
 def secret_report(docs: DataFrame, ledger: str) -> DataFrame:
