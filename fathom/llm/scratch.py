@@ -22,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI, without a slash at its end."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        found = _own.setdefault("dir", "") or _own.update(dir="file://" + tempfile.mkdtemp(prefix="fathom-")) or _own["dir"]
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="fathom-")
+        found = _own["dir"]
     return found.rstrip("/")
 
 
