@@ -176,7 +176,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"node": x["doc_id"].to_numpy(), "registers": registers, "shingles": [s.tobytes() for s in own]})
 
     rows = _rows(docs).where("not no_id").select("doc_id", "body")
-    known = scratch.materialize(scratch.keyed_join(rows, nodes, "doc_id", "left_semi").mapInPandas(sets, "node long, registers binary, shingles binary"), "sets")
+    known = scratch.keyed_join(rows, nodes, "doc_id", "left_semi").mapInPandas(sets, "node long, registers binary, shingles binary")
+    with scratch.small_batches(docs.sparkSession, 1000):
+        known = scratch.materialize(known, "sets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -189,7 +191,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     side = lambda c: known.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "sa", "rb", "sb")
-    return scratch.materialize(both.mapInPandas(check, "a long, b long"), "links")
+    with scratch.small_batches(docs.sparkSession, 256):
+        return scratch.materialize(both.mapInPandas(check, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,7 +201,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``n_links`` counts verified links of the row's class; links within a component that are not
     needed to find it are not tried.
     """
-    all_rows = scratch.materialize(sketches(docs), "sketches")
+    with scratch.small_batches(docs.sparkSession, 2000):
+        all_rows = scratch.materialize(sketches(docs), "sketches")
     linked = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.materialize(linked.groupBy("class_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     bands = classes.select("node", F.explode("bands").alias("key"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,18 @@ def _remove_all() -> None:
             return
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within this, rows go to Python in batches of at most ``rows``; for rows that carry whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of a key table that may be broadcast: at 8 to 24 bytes a key, less than 50 MB.
 BROADCAST_KEYS = 2_000_000
 
