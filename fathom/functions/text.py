@@ -148,7 +148,7 @@ def specificity(c) -> Column:
 
     def weight(w: Column) -> Column:
         n = F.length(w)
-        own = F.lit(2.0) * F.log(n + F.lit(1.0)) * (F.size(F.array_distinct(F.split(w, "(?!^)"))) / n)
+        own = F.lit(2.0) * F.log(n + F.lit(1.0)) * (F.size(F.array_remove(F.array_distinct(F.split(w, "")), "")) / n)
         return F.when(F.array_contains(stops, w), F.lit(0.5)).otherwise(own)
 
     total = lambda x: F.aggregate(F.transform(x, weight), F.lit(0.0), lambda a, v: a + v)

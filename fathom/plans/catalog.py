@@ -2,5 +2,527 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.functions import text as T
+from fathom.operators import chunking, dense, evaluate, fusion, lexical, prompting, resolve, router, semantic
+from fathom.sources.tables import document_pages, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- parts of the SQL ---------------------------------------------------------------------------
+
+_WORDS = r"list_filter(string_split(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+def _cut(source: str, keys: str, size: int, overlap: int, index: str) -> str:
+    step = size - overlap
+    return f"""SELECT {keys}, i AS {index}, array_to_string(w[i * {step} + 1:i * {step} + {size}], ' ') AS content
+  FROM (SELECT *, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE 1 + greatest(ceil((len(w) - {size}) / {step}.0), 0)::BIGINT END)) AS i FROM {source})"""
+
+
+_PARENTS = f"""
+w1 AS (SELECT doc_id::VARCHAR AS doc_id, source AS filename, 1 AS page, {_WORDS.format('text')} AS w FROM documents),
+p1 AS ({_cut('w1', 'doc_id, filename, page', 1000, 150, 'p_idx')}),
+parents AS (SELECT doc_id || '_p_' || p_idx || '_' || substr(md5(doc_id || '|' || page || '|' || p_idx), 1, 8) AS parent_id, doc_id, filename, content,
+  page AS page_start, page AS page_end FROM p1)"""
+_CHILDREN = f"""{_PARENTS},
+w2 AS (SELECT *, {_WORDS.format('content')} AS w FROM parents),
+c1 AS ({_cut('w2', 'parent_id, doc_id, filename, page_start', 200, 30, 'c_idx')}),
+children AS (SELECT parent_id || '_c_' || c_idx AS chunk_id, parent_id, doc_id, filename, content, page_start AS page_number FROM c1)"""
+_CONTEXT = f"""{_CHILDREN},
+contextual AS (SELECT c.*, coalesce('Document: ' || c.filename || ' (Page ' || c.page_number || E')\\nSection: ' || substring(p.content, 1, 200) || E'...\\n\\n' || c.content, c.content)
+  AS contextualized_content FROM children c LEFT JOIN parents p USING (parent_id))"""
+
+
+def _tokens(c: str) -> str:
+    return rf"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+(?:[''.][\p{{L}}\p{{N}}_]+)*')"
+
+
+def _bm25(name: str, docs: str, key: str, field: str, queries: str = "q0") -> str:
+    """CTEs that end in ``name``: qid, key, score over one field of ``docs``."""
+    return f"""{name}_w AS (SELECT {key}, {_tokens(field)} AS w FROM {docs}),
+{name}_n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}_w WHERE len(w) > 0),
+{name}_t AS (SELECT {key}, len(w) AS dl, unnest(w) AS term FROM {name}_w),
+{name}_f AS (SELECT {key}, term, count(*) AS tf, any_value(dl) AS dl FROM {name}_t GROUP BY 1, 2),
+{name}_d AS (SELECT term, count(*) AS df FROM {name}_f GROUP BY 1),
+{name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM {queries}) GROUP BY 1, 2),
+{name} AS (SELECT qid, {key}, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS score
+  FROM {name}_f JOIN {name}_q USING (term) JOIN {name}_d USING (term), {name}_n GROUP BY 1, 2)"""
+
+
+_Q = "q0 AS (SELECT item_id AS qid, text AS query FROM benchmark)"
+_SPARSE = f"""{_Q},
+docs AS (SELECT doc_id, text FROM documents),
+{_bm25('b', 'docs', 'doc_id', 'text')},
+s AS (SELECT qid, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 40)"""
+_DENSE = """qv AS (SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+dn AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+dr AS (SELECT qid, doc_id, round(list_dot_product(qv.v, dn.v), 6) AS score FROM qv, dn),
+d AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM dr QUALIFY rank <= 40)"""
+
+
+def _rrf(name: str, a: str, b: str, k: int, wa: float = 1.0, wb: float = 1.0) -> str:
+    return f"""{name}_j AS (SELECT qid, doc_id, coalesce({wa}::DOUBLE / (60::DOUBLE + x.rank), 0) + coalesce({wb}::DOUBLE / (60::DOUBLE + y.rank), 0) AS rrf_score, x.rank AS dr, y.rank AS sr
+  FROM (SELECT qid, doc_id, rank FROM {a}) x FULL JOIN (SELECT qid, doc_id, rank FROM {b}) y USING (qid, doc_id)),
+{name} AS (SELECT qid, doc_id, rrf_score, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, dr NULLS LAST, sr) AS rank FROM {name}_j QUALIFY rank <= {k})"""
+
+
+# --- inputs -------------------------------------------------------------------------------------
+
+
+def _pages(spark, d):
+    return document_pages(table(spark, d, "documents"))
+
+
+def _chunks(spark, d):
+    parents = chunking.parents(_pages(spark, d))
+    return parents, chunking.children(parents)
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _sparse(spark, d, k=40):
+    return lexical.search(table(spark, d, "documents"), _queries(spark, d), k)
+
+
+def _dense(spark, d, k=40):
+    vectors = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").join(vectors, F.expr("vec_id = item_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("vector"))
+    corpus = vectors.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return dense.nearest(corpus, asked, k, key="doc_id")
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# --- chunking -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PARENTS} SELECT * FROM parents")
+def parent_chunks(spark, d):
+    return chunking.parents(_pages(spark, d))
+
+
+@query(f"WITH {_CHILDREN} SELECT * FROM children")
+def child_chunks(spark, d):
+    return _chunks(spark, d)[1]
+
+
+@query(f"WITH {_CHILDREN} SELECT doc_id, count(DISTINCT parent_id) AS n_parents, count(*) AS n_children FROM children GROUP BY 1")
+def chunk_stats_per_doc(spark, d):
+    return _chunks(spark, d)[1].groupBy("doc_id").agg(F.countDistinct("parent_id").alias("n_parents"), F.count("*").alias("n_children"))
+
+
+@query(f"WITH {_CONTEXT} SELECT chunk_id, contextualized_content FROM contextual")
+def contextualize_children(spark, d):
+    parents, children = _chunks(spark, d)
+    return chunking.contextualise(children, parents).select("chunk_id", "contextualized_content")
+
+
+_SEGMENTS = r"""seg AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS seg_idx, unnest(s) AS text FROM (SELECT doc_id,
+  list_filter(list_transform(flatten(list_transform(string_split(coalesce(text, ''), E'\n\n'), lambda p: regexp_split_to_array(p, '[.!?]+'))),
+  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s FROM documents))"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT doc_id, seg_idx, text FROM seg")
+def sentence_segments(spark, d):
+    return _long(table(spark, d, "documents").select("doc_id", F.posexplode(T.segments("text")).alias("seg_idx", "text")), "seg_idx")
+
+
+@query(f"""WITH {_SEGMENTS}, w AS (SELECT *, {_WORDS.format('text')} AS w FROM seg),
+long AS ({_cut('(SELECT * FROM w WHERE len(w) * 1.3 > 50)', 'doc_id, seg_idx', 39, 0, 'piece')})
+SELECT doc_id, seg_idx, 0::BIGINT AS piece, text FROM w WHERE len(w) * 1.3 <= 50 UNION ALL SELECT doc_id, seg_idx, piece, content AS text FROM long""")
+def split_by_size(spark, d):
+    return _long(chunking.split_by_size(sentence_segments(spark, d)), "piece")
+
+
+@query("""SELECT doc_id, CASE WHEN a IS NULL THEN 'Page: Unknown' WHEN b IS NOT NULL AND a <> b THEN 'Pages: ' || a || '-' || b || ' (chunk spans multiple pages)' ELSE 'Page: ' || a END AS page_info,
+CASE WHEN coalesce(a, 0) <> 0 AND coalesce(b, 0) <> 0 THEN CASE WHEN a = b THEN 'p. ' || a ELSE 'pp. ' || a || '-' || b END ELSE 'page unknown' END AS citation
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 7 END AS a, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 + doc_id % 2 END AS b FROM documents)""")
+def page_labels(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 7 END").alias("a"), F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 + doc_id % 2 END").alias("b"))
+    return rows.select("doc_id", T.page_info("a", "b").alias("page_info"), T.page_citation("a", "b").alias("citation"))
+
+
+@query(f"""WITH {_CHILDREN}, c AS (SELECT chunk_id, content, content || E'\\nPage: ' || page_number AS contextualized_content FROM children)
+SELECT chunk_id, contextualized_content, content || E'\\n\\n' || contextualized_content AS text_to_embed, content || E'\\n\\nContext: ' || contextualized_content AS rerank_text FROM c""")
+def legacy_context_text(spark, d):
+    rows = _chunks(spark, d)[1].select("chunk_id", "content", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
+    out = chunking.legacy_context(rows)
+    return out.select("chunk_id", "contextualized_content", "text_to_embed", chunking.rerank_text("content").alias("rerank_text"))
+
+
+_SEGMENTATION = """
+e AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+m AS (SELECT a.doc_id, a.i, b.i AS j, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.i < b.i),
+mu AS (SELECT doc_id, round(avg(s), 9) AS mu FROM m GROUP BY 1),
+near AS (SELECT doc_id, i, j, 2 * (round(s, 9) - mu) AS g FROM m JOIN mu USING (doc_id) WHERE j - i < 8),
+span AS (SELECT doc_id, i AS st, i + k AS en FROM e JOIN n USING (doc_id), range(0, 8) r(k) WHERE i + k < n),
+rew AS (SELECT s.doc_id, st, en, coalesce(sum(g), 0) AS r FROM span s LEFT JOIN near ON near.doc_id = s.doc_id AND near.i >= st AND near.j <= en GROUP BY 1, 2, 3),
+opt AS (SELECT doc_id, en, list({st: st, r: r} ORDER BY st DESC) AS o FROM rew GROUP BY 1, 2),
+run AS (SELECT doc_id, 0::BIGINT AS en, [0::DOUBLE] AS dp, []::BIGINT[] AS sg FROM n
+ UNION ALL SELECT doc_id, run.en + 1, list_append(dp, best.v), list_append(sg, best.st) FROM (
+  SELECT run.doc_id, run.en, run.dp, run.sg, list_reduce(list_prepend({v: 0::DOUBLE, st: 0::BIGINT}, list_transform(o, lambda x: {v: round(x.r + run.dp[x.st + 1], 6), st: x.st})),
+   lambda a, b: CASE WHEN b.v > a.v THEN b ELSE a END) AS best FROM run JOIN opt ON opt.doc_id = run.doc_id AND opt.en = run.en) run),
+fin AS (SELECT doc_id, sg, n FROM run JOIN n USING (doc_id) WHERE en = n),
+back AS (SELECT doc_id, n - 1 AS last, sg[n] AS first, sg FROM fin UNION ALL SELECT doc_id, first - 1, sg[first], sg FROM back WHERE first > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster, first, last FROM back"""
+
+
+@query("WITH RECURSIVE " + _SEGMENTATION)
+def cluster_segmentation(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "embeddings").withColumn("seg_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    found = semantic.clusters(rows.select(F.col("label").alias("doc_id"), "seg_idx", "embedding"))
+    return found.groupBy("doc_id", "cluster").agg(F.min("seg_idx").alias("first"), F.max("seg_idx").alias("last"))
+
+
+# --- lexical search -----------------------------------------------------------------------------
+
+
+@query(f"WITH w AS (SELECT {_tokens('text')} AS w FROM documents) SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY 1")
+def term_stats(spark, d):
+    return lexical.term_stats(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH w AS (SELECT len({_tokens('text')}) AS dl FROM documents) SELECT count(*) AS n, avg(dl) AS avgdl FROM w WHERE dl > 0")
+def field_stats(spark, d):
+    return lexical.field_stats(table(spark, d, "documents"), "text")
+
+
+@query(f"SELECT doc_id, len({_tokens('text')})::BIGINT AS dl FROM documents")
+def doc_lengths(spark, d):
+    return lexical.doc_lengths(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_SPARSE} SELECT qid, doc_id, score, rank FROM s")
+def bm25_batch(spark, d):
+    return _long(_sparse(spark, d), "rank")
+
+
+@query(f"""WITH {_CONTEXT}, {_Q}, {_bm25('x', 'contextual', 'chunk_id', 'contextualized_content')}, {_bm25('y', 'contextual', 'chunk_id', 'content')},
+u AS (SELECT qid, chunk_id, round(max(score), 9) AS score FROM (SELECT qid, chunk_id, 2 * score AS score FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2)
+SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM u QUALIFY rank <= 20""")
+def bm25_multifield_topk(spark, d):
+    parents, children = _chunks(spark, d)
+    docs = chunking.contextualise(children, parents)
+    return _long(lexical.search(docs, _queries(spark, d), 20, "chunk_id", {"contextualized_content": 2.0, "content": 1.0}), "rank")
+
+
+# --- dense search -------------------------------------------------------------------------------
+
+_ALL_DENSE = """r AS (SELECT a.vec_id AS qid, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id DESC) AS rank FROM r QUALIFY rank <= 10)"""
+
+
+def _self_dense(spark, d, knn=False):
+    vectors = table(spark, d, "embeddings")
+    return _long(dense.nearest(vectors, vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), 10, knn=knn), "rank")
+
+
+@query(f"WITH {_ALL_DENSE} SELECT qid, vec_id, score, rank FROM t")
+def dense_batch_topk(spark, d):
+    return _self_dense(spark, d)
+
+
+@query(f"WITH {_ALL_DENSE} SELECT qid, vec_id, round((score + 1) / 2, 7) AS score, rank FROM t")
+def dense_knn_score(spark, d):
+    return _self_dense(spark, d, True)
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_transform({_tokens('text')}, lambda w: concat('0x', substr(md5(w), 1, 8))::BIGINT) AS h FROM documents),
+x AS (SELECT doc_id, unnest(h) AS h FROM h), y AS (SELECT doc_id, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS v FROM x GROUP BY 1, 2)
+SELECT doc_id, round(sqrt(sum(v * v))::DOUBLE, 6) AS norm, round(coalesce(max(v), 0) / greatest(sqrt(sum(v * v)), 1e-9), 6) AS largest FROM y GROUP BY 1""")
+def hash_embedding(spark, d):
+    """The embedding's length before it is set to one, and its largest component, from the grouped form."""
+    h = table(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("w"))
+    h = h.select("doc_id", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint").alias("h"))
+    y = h.groupBy("doc_id", (F.floor(F.col("h") / 2) % 64).alias("d")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1).otherwise(-1)).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
+    return y.groupBy("doc_id").agg(F.round(norm, 6).alias("norm"), F.round(F.max("v") / F.greatest(norm, F.lit(1e-9)), 6).alias("largest"))
+
+
+# --- fusion -------------------------------------------------------------------------------------
+
+
+def _rounded(df):
+    return _long(df.withColumn("rrf_score", F.round("rrf_score", 12)), "rank")
+
+
+@query(f"WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20)} SELECT qid, doc_id, round(rrf_score, 12) AS rrf_score, rank FROM f")
+def rrf_fusion(spark, d):
+    return _rounded(fusion.rrf(_dense(spark, d), _sparse(spark, d), "doc_id", 20))
+
+
+@query(f"WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20, 0.7, 0.3)} SELECT qid, doc_id, round(rrf_score, 12) AS rrf_score, rank FROM f")
+def rrf_weighted(spark, d):
+    return _rounded(fusion.rrf(_dense(spark, d), _sparse(spark, d), "doc_id", 20, w_dense=0.7, w_sparse=0.3))
+
+
+@query(f"""WITH {_SPARSE}, {_DENSE}, l AS (SELECT vec_id AS doc_id, qid, label FROM embeddings e JOIN (SELECT item_id AS qid FROM benchmark) ON e.label = qid % 10 AND vec_id IN (SELECT doc_id FROM documents)),
+third AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank FROM l QUALIFY rank <= 40),
+{_rrf('f1', 'd', 's', 1000000)}, {_rrf('f2', 'f1', 'third', 20)} SELECT qid, doc_id, round(rrf_score, 12) AS rrf_score, rank FROM f2""")
+def rrf_multi_query_fold(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"))
+    asked = _queries(spark, d).select("qid", (F.col("qid") % 10).cast("int").alias("label"))
+    rows = table(spark, d, "embeddings").join(docs, "vec_id", "left_semi").join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "label").select("qid", F.col("vec_id").alias("doc_id"))
+    third = lexical.top(rows.withColumn("score", F.lit(0.0)), 40, "doc_id")
+    return _rounded(fusion.fold([_dense(spark, d), _sparse(spark, d), third], "doc_id", 20))
+
+
+_WEIGHTED = f"""WITH {_SPARSE}, {_DENSE}, j AS (SELECT qid, doc_id, x.rank AS dr, y.rank AS sr, round(coalesce(0.7::DOUBLE / x.rank, 0) + coalesce(0.3::DOUBLE / y.rank, 0), 12) AS w
+  FROM (SELECT qid, doc_id, rank FROM d) x FULL JOIN (SELECT qid, doc_id, rank FROM s) y USING (qid, doc_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY w DESC, doc_id DESC) AS rank FROM j QUALIFY rank <= 20)"""
+
+
+@query(_WEIGHTED + " SELECT qid, doc_id, rank, round(1::DOUBLE / rank, 12) AS score, dr IS NOT NULL AS from_semantic, sr IS NOT NULL AS from_bm25 FROM h")
+def weighted_reciprocal_hybrid(spark, d):
+    out = fusion.weighted_reciprocal(_dense(spark, d), _sparse(spark, d), ["doc_id"], 20)
+    return _long(out.withColumn("score", F.round("score", 12)), "rank").select("qid", "doc_id", "rank", "score", "from_semantic", "from_bm25")
+
+
+@query(_WEIGHTED + """ SELECT round(sum(CASE WHEN dr IS NULL THEN 0 WHEN sr IS NULL THEN 1 ELSE 0.5 END)::DOUBLE * 100 / count(*), 9) AS semantic_percent,
+round(sum(CASE WHEN sr IS NULL THEN 0 WHEN dr IS NULL THEN 1 ELSE 0.5 END)::DOUBLE * 100 / count(*), 9) AS bm25_percent, count(*) AS n_results FROM h""")
+def hybrid_provenance(spark, d):
+    out = fusion.provenance(fusion.weighted_reciprocal(_dense(spark, d), _sparse(spark, d), ["doc_id"], 20))
+    return out.select(F.round("semantic_percent", 9).alias("semantic_percent"), F.round("bm25_percent", 9).alias("bm25_percent"), "n_results")
+
+
+# --- parents and reranking ----------------------------------------------------------------------
+
+_RESOLVED = f"""WITH {_CHILDREN}, {_Q}, {_bm25('b', 'children', 'chunk_id', 'content')},
+hits AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM b QUALIFY rank <= 20),
+fp AS (SELECT qid, parent_id, min(rank) AS fr FROM hits JOIN children USING (chunk_id) GROUP BY 1, 2),
+res AS (SELECT qid, parent_id, p.doc_id, p.filename, p.content, p.page_start, p.page_end, row_number() OVER (PARTITION BY qid ORDER BY fr, parent_id) AS parent_rank FROM fp JOIN parents p USING (parent_id))"""
+
+
+def _resolved(spark, d):
+    parents, children = _chunks(spark, d)
+    return resolve.resolve_parents(lexical.search(children, _queries(spark, d), 20, "chunk_id", {"content": 1.0}), children, parents)
+
+
+@query(_RESOLVED + " SELECT qid, parent_id, parent_rank FROM res")
+def parent_resolution(spark, d):
+    return _long(_resolved(spark, d), "parent_rank").select("qid", "parent_id", "parent_rank")
+
+
+@query(_RESOLVED + " SELECT qid, parent_id, parent_rank AS rank, round(1::DOUBLE - 0.05::DOUBLE * (parent_rank - 1), 9) AS score FROM res WHERE parent_rank <= 5")
+def rerank_fallback(spark, d):
+    return _long(resolve.rerank_fallback(_resolved(spark, d), 5), "rank").select("qid", "parent_id", "rank", "score")
+
+
+@query(_RESOLVED + " SELECT qid, parent_id, parent_rank AS rank, 1::DOUBLE AS score FROM res WHERE parent_rank <= 5")
+def no_rerank(spark, d):
+    return _long(resolve.no_rerank(_resolved(spark, d), 5), "rank").select("qid", "parent_id", "rank", "score")
+
+
+_BLOCK = "'[Source ' || parent_rank || '] (Document: ' || filename || ', Page ' || page_start || E')\\n' || content"
+
+
+@query(_RESOLVED + f" SELECT qid, string_agg({_BLOCK}, E'\\n\\n---\\n\\n' ORDER BY parent_rank) AS context FROM res WHERE parent_rank <= 5 GROUP BY 1")
+def context_block_prompt(spark, d):
+    return prompting.context_blocks(resolve.no_rerank(_resolved(spark, d), 5))
+
+
+@query(_RESOLVED + " SELECT qid, parent_rank::INTEGER AS index, filename, page_start, page_end, 1::DOUBLE AS score, substring(content, 1, 200) AS content_preview FROM res WHERE parent_rank <= 5")
+def source_previews(spark, d):
+    return prompting.source_rows(resolve.no_rerank(_resolved(spark, d), 5))
+
+
+# --- routing ------------------------------------------------------------------------------------
+
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(rf"""WITH q AS (SELECT qid, query FROM (SELECT item_id AS qid, text AS query FROM benchmark) WHERE regexp_full_match(query, '[\x00-\x7F]*')),
+t AS (SELECT qid, regexp_extract_all(lower(query), '\b[a-zA-Z0-9_-]+\b') AS w FROM q)
+SELECT qid, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: CASE WHEN list_contains([{_STOPS}], x) THEN 0.5::DOUBLE
+  ELSE 2::DOUBLE * ln(length(x) + 1) * (len(list_distinct(string_split(x, ''))) / length(x)::DOUBLE) END)) / len(w) END, 9) AS specificity FROM t""")
+def query_specificity(spark, d):
+    """Queries of ASCII letters only: elsewhere the two engines see word boundaries differently."""
+    rows = _queries(spark, d).where(F.col("query").rlike(r"\A\p{ASCII}*\z"))
+    return rows.select("qid", F.round(T.specificity("query"), 9).alias("specificity"))
+
+
+_PROBE = f"""WITH {_ALL_DENSE}, p AS (SELECT qid, list((score + 1) / 2 ORDER BY score DESC) AS s FROM t WHERE rank <= 5 GROUP BY 1),
+e AS (SELECT qid, s, list_transform(s, lambda x: exp((x - s[1]) / 0.15::DOUBLE)) AS e FROM p),
+m AS (SELECT qid, CASE WHEN len(s) > 1 THEN s[1] - s[2] ELSE coalesce(s[1], 0) END AS margin,
+  CASE WHEN len(s) > 1 THEN -list_sum(list_transform(e, lambda x: x / list_sum(e) * ln(x / list_sum(e) + 1e-12))) ELSE 0 END AS entropy FROM e)"""
+
+
+def _probe(spark, d):
+    hits = dense.nearest(table(spark, d, "embeddings"), table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), 5)
+    scores = router.probe_scores(hits.withColumn("score", (F.col("score") + 1) / 2))
+    return scores.select("qid", T.probe_margin(F.col("scores")).alias("margin"), T.probe_entropy(F.col("scores")).alias("entropy"))
+
+
+@query(_PROBE + " SELECT qid, round(margin, 6) AS margin, round(entropy, 4) AS entropy FROM m")
+def probe_entropy(spark, d):
+    return _probe(spark, d).select("qid", F.round("margin", 6).alias("margin"), F.round("entropy", 4).alias("entropy"))
+
+
+@query(_PROBE + """ SELECT qid, CASE WHEN round(margin, 6) >= 0.08 AND round(entropy, 4) <= 1.3 THEN 'direct' WHEN round(entropy, 4) > 1.3 AND round(margin, 6) < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM m""")
+def route_decision(spark, d):
+    """The tier of each vector by its probe alone (no words, so a specificity of 0)."""
+    rows = _probe(spark, d)
+    return rows.select("qid", router.tier(F.lit(0.0), F.round("margin", 6), F.round("entropy", 6)).alias("tier"))
+
+
+@query(f"WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20)} SELECT qid, doc_id, rank FROM f")
+def direct_hybrid(spark, d):
+    return _long(fusion.rrf(_dense(spark, d), _sparse(spark, d), "doc_id", 20), "rank").select("qid", "doc_id", "rank")
+
+
+@query(f"""WITH {_SPARSE}, qv AS (SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id + 1),
+{_DENSE.partition(',' + chr(10))[2]}, {_rrf('f', 'd', 's', 20)} SELECT qid, doc_id, rank FROM f""")
+def hyde_hybrid(spark, d):
+    """The vector is that of another passage, the words are the query's own."""
+    vectors = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").join(vectors, F.expr("vec_id = item_id + 1")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("vector"))
+    corpus = vectors.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return _long(fusion.rrf(dense.nearest(corpus, asked, 40, key="doc_id"), _sparse(spark, d), "doc_id", 20), "rank").select("qid", "doc_id", "rank")
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_SPARSE}, gold AS (SELECT item_id AS qid, trim(d.text, E' \\t\\n\\r') AS c FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+hit AS (SELECT DISTINCT qid, trim(d.text, E' \\t\\n\\r') AS c, 1 AS hit FROM s JOIN documents d USING (doc_id) WHERE rank <= 20),
+e AS (SELECT qid, count(hit) / count(*)::DOUBLE AS share, count(hit) AS found FROM gold LEFT JOIN hit USING (qid, c) GROUP BY 1)
+SELECT round(sum(coalesce(share, 0)) / count(*) * 100, 9) AS pass_at_k, count(*) AS n_queries, coalesce(sum(found), 0)::BIGINT AS n_found FROM q0 LEFT JOIN e USING (qid)""")
+def pass_at_k(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    asked = _queries(spark, d)
+    small = F.broadcast(asked) if asked.count() <= 100_000 else asked
+    gold = docs.join(small, F.contains("content", "query")).select("qid", "content")
+    hits = _sparse(spark, d, 20).join(docs, "doc_id").select("qid", "content")
+    return evaluate.pass_at_k(asked, gold, hits).withColumn("pass_at_k", F.round("pass_at_k", 9))
+
+
+@query(f"""WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20)}, lab AS (SELECT vec_id AS doc_id, label FROM embeddings),
+gold AS (SELECT qid, l.doc_id FROM (SELECT qid, label FROM q0 JOIN embeddings ON vec_id = qid) q JOIN lab l USING (label)),
+e AS (SELECT qid, count(f.doc_id) / count(*)::DOUBLE AS share, count(f.doc_id) AS found FROM gold LEFT JOIN f USING (qid, doc_id) GROUP BY 1)
+SELECT round(sum(coalesce(share, 0)) / count(*) * 100, 9) AS pass_at_k, count(*) AS n_queries, coalesce(sum(found), 0)::BIGINT AS n_found FROM q0 LEFT JOIN e USING (qid)""")
+def pass_at_k_hybrid(spark, d):
+    """Gold are the vectors of the same label; contents are their ids."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    asked = _queries(spark, d)
+    of_label = asked.join(vectors, F.col("qid") == F.col("doc_id")).select("qid", "label")
+    gold = of_label.join(vectors, "label").select("qid", F.col("doc_id").cast("string").alias("content"))
+    hits = fusion.rrf(_dense(spark, d), _sparse(spark, d), "doc_id", 20).select("qid", F.col("doc_id").cast("string").alias("content"))
+    return evaluate.pass_at_k(asked, gold, hits).withColumn("pass_at_k", F.round("pass_at_k", 9))
+
+
+# --- prompts and citations ----------------------------------------------------------------------
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Human' ELSE 'Assistant' END || ': ' || coalesce(text, '') || E'\\n', '' ORDER BY turn) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY 1""")
+def recent_history_prompt(spark, d):
+    return prompting.recent_history(table(spark, d, "conversations"))
+
+
+_LINK = "'<a href=\"#source-' || n || '\" style=\"" + T.LINK_STYLE + "\">[' || n || ']</a>'"
+_GROUP = T.CITATION_GROUP.replace("'", "''")
+
+
+@query(rf"""WITH a AS (SELECT doc_id, coalesce(text, '') || ' [Source ' || doc_id % 9 || ', Source ' || doc_id % 4 || ', p. 15] and (Source ' || doc_id % 5 || ', 15) or [Source 2; Source 3, p. 2] [Source 7)' ||
+CASE WHEN doc_id % 2 = 0 THEN E'\n\n**Sources:**\n[1] x, p. 2\n[2] y' ELSE E'\n\nSources: x' END AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n\n\*\*Sources:\*\*.*$', '', 's'), '\n\nSources:.*$', '', 's') AS t FROM a),
+g AS (SELECT doc_id, t, list_distinct(regexp_extract_all(t, '{_GROUP}')) AS g FROM b)
+SELECT doc_id, list_reduce(list_prepend(t, g), lambda acc, m: replace(acc, m, array_to_string(list_transform(regexp_extract_all(m, 'Source\s+(\d+)', 1), lambda n: {_LINK}), ' '))) AS answer FROM g""")
+def citation_links(spark, d):
+    n = lambda m: (F.col("doc_id") % m).cast("string")
+    tail = F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n**Sources:**\n[1] x, p. 2\n[2] y")).otherwise(F.lit("\n\nSources: x"))
+    parts = [F.coalesce("text", F.lit("")), F.lit(" [Source "), n(9), F.lit(", Source "), n(4), F.lit(", p. 15] and (Source "), n(5), F.lit(", 15) or [Source 2; Source 3, p. 2] [Source 7)"), tail]
+    return table(spark, d, "documents").select("doc_id", F.concat(*parts).alias("t")).select("doc_id", T.cite("t").alias("answer"))
+
+
+def _label_sql(name: str) -> str:
+    mark = f"{name}: "
+    return f"replace(list_filter(string_split(t, E'\\n'), lambda x: starts_with(x, '{mark}'))[-1], '{mark}', '')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, 'Chapter: ' || source || E'\\nSection: s' || doc_id % 7 || E'\\nHeading: ' || lang || E'\\nChapter: Chapter: ' || source || doc_id % 3 || E'\\n' || coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, {_label_sql('Chapter')} AS chapter, {_label_sql('Section')} AS section, {_label_sql('Heading')} AS heading, {_label_sql('Sub-Heading')} AS sub_heading FROM a)
+SELECT *, '[Source ' || doc_id || '] (' || chapter || CASE WHEN coalesce(heading, '') <> '' AND heading <> chapter THEN ' → ' || heading ELSE '' END ||
+CASE WHEN coalesce(sub_heading, '') <> '' THEN ' → ' || sub_heading ELSE '' END || ', Page 1)' AS label FROM h""")
+def header_parse(spark, d):
+    t = F.concat(F.lit("Chapter: "), "source", F.lit("\nSection: s"), (F.col("doc_id") % 7).cast("string"), F.lit("\nHeading: "), "lang", F.lit("\nChapter: Chapter: "), "source", (F.col("doc_id") % 3).cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    names = {"chapter": "Chapter", "section": "Section", "heading": "Heading", "sub_heading": "Sub-Heading"}
+    rows = rows.select("doc_id", *[T.header("t", v).alias(k) for k, v in names.items()])
+    return rows.withColumn("label", T.source_label("doc_id", "chapter", "section", "heading", "sub_heading", F.lit("Page 1")))
+
+
+# --- tables -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS preview FROM documents")
+def metadata_previews(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source", T.preview("text", dots=True).alias("preview"))
+
+
+@query("""WITH new AS (SELECT doc_id, upper(coalesce(text, '')) AS text FROM documents WHERE lang = 'fr')
+SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new""")
+def doc_upsert(spark, d):
+    """Texts of one language are ingested again, changed: old rows of these documents go."""
+    from fathom.sources.collection import upsert
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return upsert(docs.drop("lang"), docs.where("lang = 'fr'").select("doc_id", F.upper(F.coalesce("text", F.lit(""))).alias("text")))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')")
+def doc_delete(spark, d):
+    from fathom.sources.collection import delete
+
+    docs = table(spark, d, "documents")
+    return delete(docs.select("doc_id", "text"), docs.where("source = 'src1'").select("doc_id"))
+
+
+@query(f"""WITH {_CONTEXT}, {_Q}, {_bm25('x', 'contextual', 'chunk_id', 'contextualized_content')}, {_bm25('y', 'contextual', 'chunk_id', 'content')},
+u AS (SELECT qid, chunk_id, round(max(score), 9) AS score FROM (SELECT qid, chunk_id, 2 * score AS score FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2),
+s AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM u QUALIFY rank <= 40),
+em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+qv AS (SELECT qid, v FROM q0 JOIN em ON vec_id = qid), cv AS (SELECT chunk_id, v FROM children JOIN em ON vec_id = doc_id::BIGINT),
+r AS (SELECT qid, chunk_id, round(list_dot_product(qv.v, cv.v), 6) AS score FROM qv, cv),
+d AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS rank FROM r QUALIFY rank <= 40),
+j AS (SELECT qid, chunk_id, coalesce(1 / (60::DOUBLE + x.rank), 0) + coalesce(1 / (60::DOUBLE + y.rank), 0) AS f, x.rank AS dr, y.rank AS sr
+  FROM (SELECT qid, chunk_id, rank FROM d) x FULL JOIN (SELECT qid, chunk_id, rank FROM s) y USING (qid, chunk_id)),
+f AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY f DESC, dr NULLS LAST, sr) AS rank FROM j QUALIFY rank <= 20),
+fp AS (SELECT qid, parent_id, min(rank) AS fr FROM f JOIN children USING (chunk_id) GROUP BY 1, 2),
+res AS (SELECT qid, parent_id, row_number() OVER (PARTITION BY qid ORDER BY fr, parent_id) AS rank FROM fp)
+SELECT qid, parent_id, p.doc_id, p.filename, p.content, rank, round(1::DOUBLE - 0.05::DOUBLE * (rank - 1), 9) AS score FROM res JOIN parents p USING (parent_id) WHERE rank <= 5""")
+def end_to_end_search(spark, d):
+    """Hybrid search over child chunks, resolved to parents, five for each query."""
+    parents, children = _chunks(spark, d)
+    asked = _queries(spark, d)
+    sparse = lexical.search(chunking.contextualise(children, parents), asked, 40, "chunk_id", {"contextualized_content": 2.0, "content": 1.0})
+    vectors = table(spark, d, "embeddings")
+    of_chunk = children.select("chunk_id", F.col("doc_id").cast("bigint").alias("vec_id")).join(vectors, "vec_id").select("chunk_id", "embedding")
+    of_query = asked.join(vectors, F.col("vec_id") == F.col("qid")).select("qid", F.col("embedding").alias("vector"))
+    hits = fusion.rrf(dense.nearest(of_chunk, of_query, 40, key="chunk_id"), sparse, "chunk_id", 20)
+    found = resolve.rerank_fallback(resolve.resolve_parents(hits, children, parents), 5)
+    return _long(found, "rank").select("qid", "parent_id", "doc_id", "filename", "content", "rank", "score")
