@@ -377,16 +377,16 @@ def _probe(spark, d):
     return scores.select("qid", T.probe_margin(F.col("scores")).alias("margin"), T.probe_entropy(F.col("scores")).alias("entropy"))
 
 
-@query(_PROBE + " SELECT qid, round(margin, 6) AS margin, round(entropy, 4) AS entropy FROM m")
+@query(_PROBE + " SELECT qid, round(margin, 7) AS margin, round(entropy, 4) AS entropy FROM m")
 def probe_entropy(spark, d):
-    return _probe(spark, d).select("qid", F.round("margin", 6).alias("margin"), F.round("entropy", 4).alias("entropy"))
+    return _probe(spark, d).select("qid", F.round("margin", 7).alias("margin"), F.round("entropy", 4).alias("entropy"))
 
 
-@query(_PROBE + """ SELECT qid, CASE WHEN round(margin, 6) >= 0.08 AND round(entropy, 4) <= 1.3 THEN 'direct' WHEN round(entropy, 4) > 1.3 AND round(margin, 6) < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM m""")
+@query(_PROBE + """ SELECT qid, CASE WHEN round(margin, 7) >= 0.08 AND round(entropy, 4) <= 1.3 THEN 'direct' WHEN round(entropy, 4) > 1.3 AND round(margin, 7) < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM m""")
 def route_decision(spark, d):
     """The tier of each vector by its probe alone (no words, so a specificity of 0)."""
     rows = _probe(spark, d)
-    return rows.select("qid", router.tier(F.lit(0.0), F.round("margin", 6), F.round("entropy", 6)).alias("tier"))
+    return rows.select("qid", router.tier(F.lit(0.0), F.round("margin", 7), F.round("entropy", 6)).alias("tier"))
 
 
 @query(f"WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20)} SELECT qid, doc_id, rank FROM f")
