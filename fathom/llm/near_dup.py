@@ -14,8 +14,9 @@ is 0.75 or more.
    similarity, corrected for registers that agree by chance, is clearly too low are dropped (five
    and a half standard errors below), the others are verified on their full sets.
 5. Components of the links are found. Then, where a group still has members of different components,
-   pairs across components are tried too; pairs within a component cannot change the result. So no
-   group emits all its pairs, and no link between components is lost.
+   pairs across components are tried too, but for those whose sizes rule out the similarity; pairs
+   within a component cannot change the result. So no link between components is lost. In a large
+   group of texts that resemble each other, yet too little for a link, these are nearly all pairs.
 
 Null texts count as empty: linked with nothing, kept. Rows without doc_id are linked with nothing:
 component_id is null and kept is true. Rows that repeat a doc_id are one node: it is reached through
@@ -162,9 +163,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of ids whose texts are similar; ``pairs`` is a written table."""
-    nodes = scratch.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, registers, shingles`` of the rows whose ids are in ``nodes`` (a written table), written."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -173,26 +173,63 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 x = whole.iloc[at : at + 1000]
                 own = [shingler(t) for t in x["body"]]
                 registers = [compress(minima(s)).tobytes() for s in own]
-                yield pd.DataFrame({"node": x["doc_id"].to_numpy(), "registers": registers, "shingles": [s.tobytes() for s in own]})
+                yield pd.DataFrame({"node": x["doc_id"].to_numpy(), "size": [len(s) for s in own], "registers": registers, "shingles": [s.tobytes() for s in own]})
 
     rows = _rows(docs).where("not no_id").select("doc_id", "body")
-    known = scratch.keyed_join(rows, nodes, "doc_id", "left_semi").mapInPandas(sets, "node long, registers binary, shingles binary")
+    known = scratch.keyed_join(rows, nodes, "doc_id", "left_semi").mapInPandas(sets, "node long, size long, registers binary, shingles binary")
     with scratch.small_batches(docs.sparkSession, 1000):
-        known = scratch.materialize(known, "sets")
+        return scratch.materialize(known, "sets")
+
+
+def verified(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose sets are similar, written; ``known`` is of ``sets_of``, ``pairs`` a written table.
+
+    The registers are compared first, so that sets travel only for pairs that may be similar.
+    """
+
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            near = [estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), n, m) >= LEAST_ESTIMATE for ra, rb, n, m in zip(x["ra"], x["rb"], x["na"], x["nb"], strict=True)]
+            yield x.loc[near, ["a", "b"]]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            keep = []
-            for ra, sa, rb, sb in zip(x["ra"], x["sa"], x["rb"], x["sb"], strict=True):
-                s, t = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                near = len(s) and len(t) and estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), len(s), len(t)) >= LEAST_ESTIMATE
-                keep.append(bool(near) and similar(s, t))
-            yield x.loc[keep, ["a", "b"]]
+            yield x.loc[[similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(x["sa"], x["sb"], strict=True)], ["a", "b"]]
+
+    def joined(rows: DataFrame, **columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            side = known.select(F.col("node").alias(end), *[F.col(c).alias(short + end) for short, c in columns.items()])
+            rows = rows.join(side, end)
+        return rows
+
+    spark = pairs.sparkSession
+    with scratch.small_batches(spark, 2000):
+        sized = joined(pairs, n="size", r="registers").where("na > 0 and nb > 0").where(_sizes("na", "nb"))
+        near = scratch.materialize(sized.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(guess, "a long, b long").distinct(), "near")
+    with scratch.small_batches(spark, 256):
+        links = scratch.materialize(joined(near, s="shingles").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long").distinct(), "links")
+    scratch.drop(near)
+    return links
+
+
+def _sizes(n: str, m: str) -> str:
+    """Sets of these sizes can be similar."""
+    return f"least({n}, {m}) * 100 >= {PERCENT} * greatest({n}, {m})"
+
+
+def joined_by(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``found`` and further links together, written."""
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))
+    return scratch.materialize(connected_components(edges), "components")
+
 
-    side = lambda c: known.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "sa", "rb", "sb")
-    with scratch.small_batches(docs.sparkSession, 256):
-        return scratch.materialize(both.mapInPandas(check, "a long, b long"), "links")
+def still_mixed(member: DataFrame, found: DataFrame) -> DataFrame:
+    """``key, node, size, label`` of the groups that have members of different components, written."""
+    out = scratch.materialize(member.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("label")), "members")
+    mixed = scratch.materialize(out.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "mixed")
+    kept = scratch.materialize(out.join(mixed, "key"), "members")
+    scratch.drop(out)
+    return kept
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,26 +241,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with scratch.small_batches(docs.sparkSession, 2000):
         all_rows = scratch.materialize(sketches(docs), "sketches")
     linked = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.materialize(linked.groupBy("class_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("node", F.explode("bands").alias("key"))
+    classes = linked.groupBy("class_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.materialize(classes, "classes")
+    bands = classes.select("node", "size", F.explode("bands").alias("key"))
     groups = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     groups = scratch.materialize(groups.select("key", "hub"), "groups")
-    star = bands.join(groups, "key").where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = scratch.materialize(star, "pairs")
-    links = verified(docs, star)
+    member = scratch.materialize(bands.join(groups, "key"), "members")
+    tried = scratch.materialize(member.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    known = sets_of(docs, scratch.materialize(member.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
+    links = verified(known, tried)
     found = scratch.materialize(connected_components(links), "components")
-    # groups whose members are not all of one component
-    member = bands.join(groups.select("key"), "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    member = scratch.materialize(member, "members")
-    mixed = scratch.materialize(member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "mixed")
-    member = scratch.materialize(member.join(mixed, "key"), "members")
+    member = still_mixed(member.drop("hub"), found)
     x, y = member.alias("x"), member.alias("y")
-    cross = x.join(y, F.expr("x.key = y.key and x.label < y.label"))
-    cross = cross.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-    cross = scratch.materialize(cross.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not cross.isEmpty():
-        links = links.union(verified(docs, cross))
-        found = scratch.materialize(connected_components(links), "components")
+    rest = x.join(y, F.expr("x.key = y.key and x.label < y.label and " + _sizes("x.size", "y.size")))
+    rest = rest.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+    rest = scratch.materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        new = verified(known, rest)
+        links = links.union(new)
+        found = joined_by(found, new)
     count = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.select("class_key", "node").join(found, "node", "left").join(count, "node", "left")
     of_class = scratch.materialize(of_class.select("class_key", F.coalesce("component", "node").alias("component"), "n_links"), "classes")
