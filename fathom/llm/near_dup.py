@@ -15,8 +15,11 @@ is 0.75 or more.
    and a half standard errors below), the others are verified on their full sets.
 5. Components of the links are found. Then, where a group still has members of different components,
    pairs across components are tried too, but for those whose sizes rule out the similarity; pairs
-   within a component cannot change the result. So no link between components is lost. In a large
-   group of texts that resemble each other, yet too little for a link, these are nearly all pairs.
+   within a component cannot change the result. So no link between components is lost.
+6. Groups of more than ``LARGE`` members would make too many such pairs, so the shingles of their members
+   are counted among these members. A pair that shares a shingle which at most ``RARE`` of them have is
+   tried through that shingle. Any other pair shares at most the lesser number of its two texts' commoner
+   shingles; where that is too few for the similarity, the pair is ruled out without being made.
 
 Null texts count as empty: linked with nothing, kept. Rows without doc_id are linked with nothing:
 component_id is null and kept is true. Rows that repeat a doc_id are one node: it is reached through
@@ -39,6 +42,8 @@ from fathom.llm.components import connected_components
 WIDTH, BANDS, ROWS, MANTISSA = 5, 64, 6, 10
 REGISTERS = BANDS * ROWS
 PERCENT = 75
+#: Up to so many members of a group, or holders of a shingle, are paired; so pairs stay in proportion to members.
+LARGE, RARE = 64, 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 #: Words whose hashes a worker keeps.
@@ -232,6 +237,39 @@ def still_mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     return kept
 
 
+def counted(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the members of large groups: ``node, common`` and the pairs ``a, b`` that share a rare shingle, both written.
+
+    ``common`` is the number of a node's shingles that more than ``RARE`` of these members have.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x.assign(shingle=[np.frombuffer(s, np.int64) for s in x["shingles"]]).drop(columns="shingles")
+
+    large = member.groupBy("key").count().where(F.col("count") > LARGE).select("key")
+    nodes = scratch.materialize(member.join(large, "key").select("node", "label").distinct(), "crowd")
+    with scratch.small_batches(member.sparkSession, 256):
+        rows = known.join(nodes, "node").select("node", "label", "size", "shingles").mapInPandas(spread, "node long, label long, size long, shingle array<long>")
+        rows = scratch.materialize(rows.withColumn("shingle", F.explode("shingle")), "shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("one")).where(F.col("n") <= RARE)
+    held = scratch.materialize(held, "held")
+    shared = scratch.materialize(rows.join(held.where("n > 1").select("shingle"), "shingle"), "shared")
+    rare = held.where("n = 1").select(F.col("one").alias("node")).union(shared.select("node")).groupBy("node").agg(F.count("*").alias("rare"))
+    sizes = rows.select("node", "size").distinct()
+    common = scratch.materialize(sizes.join(rare, "node", "left").select("node", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "common")
+    x, y = shared.alias("x"), shared.alias("y")
+    pairs = x.join(y, F.expr("x.shingle = y.shingle and x.label < y.label and " + _sizes("x.size", "y.size")))
+    pairs = scratch.materialize(_ordered(pairs), "pairs")
+    for table in (rows, held, shared):
+        scratch.drop(table)
+    return common, pairs
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable), kept, n_links.
 
@@ -252,10 +290,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(known, tried)
     found = scratch.materialize(connected_components(links), "components")
     member = still_mixed(member.drop("hub"), found)
+    common, by_rare = counted(member, known)
+    member = member.join(common, "node", "left").withColumn("common", F.coalesce("common", "size"))
+    member = scratch.materialize(member.where(f"common * 100 >= {PERCENT} * size"), "members")
     x, y = member.alias("x"), member.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.label < y.label and " + _sizes("x.size", "y.size")))
-    rest = rest.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-    rest = scratch.materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    enough = f"least(x.common, y.common) * {100 + PERCENT} >= {PERCENT} * (x.size + y.size)"
+    rest = _ordered(x.join(y, F.expr(f"x.key = y.key and x.label < y.label and {_sizes('x.size', 'y.size')} and {enough}")))
+    rest = scratch.materialize(rest.union(by_rare).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         new = verified(known, rest)
         links = links.union(new)

@@ -388,6 +388,22 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large,rare", [(2, 2), (2, 16), (5, 4)])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, large, rare):
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "RARE", rare)
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    rows = [(0, " ".join(base))]
+    for n in range(1, 90):
+        t = list(base)
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(3)}"  # changes that several texts share
+        rows.append((n, " ".join(t[: rng.randrange(90, 121)])))
+    got = near_dup.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = near_dup.mix(rng.integers(1, 2**62, 900, dtype=np.uint64))
