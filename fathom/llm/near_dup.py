@@ -17,9 +17,10 @@ is 0.75 or more.
    pairs across components are tried too, but for those whose sizes rule out the similarity; pairs
    within a component cannot change the result. So no link between components is lost.
 6. Groups of more than ``LARGE`` members would make too many such pairs, so the shingles of their members
-   are counted among these members. A pair that shares a shingle which at most ``RARE`` of them have is
-   tried through that shingle. Any other pair shares at most the lesser number of its two texts' commoner
-   shingles; where that is too few for the similarity, the pair is ruled out without being made.
+   are counted among these members. A pair of them that shares a shingle which at most ``RARE`` of them have
+   is tried through that shingle. Any other pair of them shares at most the lesser number of its two texts'
+   commoner shingles; where that is too few for the similarity, the pair is ruled out without being made.
+   Smaller groups keep all members, and a pair with an end outside the large groups is never ruled out so.
 
 Null texts count as empty: linked with nothing, kept. Rows without doc_id are linked with nothing:
 component_id is null and kept is true. Rows that repeat a doc_id are one node: it is reached through
@@ -237,17 +238,17 @@ def still_mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     return kept
 
 
-def counted(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the members of large groups: ``node, common`` and the pairs ``a, b`` that share a rare shingle, both written.
+def counted(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``key`` of large groups, and for their members: ``node, common`` and the pairs ``a, b`` that share a rare shingle, all written.
 
-    ``common`` is the number of a node's shingles that more than ``RARE`` of these members have.
+    ``common`` is the number of a node's shingles (of all its texts, where it has several) that more than ``RARE`` of these members have.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield x.assign(shingle=[np.frombuffer(s, np.int64) for s in x["shingles"]]).drop(columns="shingles")
 
-    large = member.groupBy("key").count().where(F.col("count") > LARGE).select("key")
+    large = scratch.materialize(member.groupBy("key").count().where(F.col("count") > LARGE).select("key"), "large")
     nodes = scratch.materialize(member.join(large, "key").select("node", "label").distinct(), "crowd")
     with scratch.small_batches(member.sparkSession, 256):
         rows = known.join(nodes, "node").select("node", "label", "size", "shingles").mapInPandas(spread, "node long, label long, size long, shingle array<long>")
@@ -256,14 +257,14 @@ def counted(member: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = scratch.materialize(held, "held")
     shared = scratch.materialize(rows.join(held.where("n > 1").select("shingle"), "shingle"), "shared")
     rare = held.where("n = 1").select(F.col("one").alias("node")).union(shared.select("node")).groupBy("node").agg(F.count("*").alias("rare"))
-    sizes = rows.select("node", "size").distinct()
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"))
     common = scratch.materialize(sizes.join(rare, "node", "left").select("node", (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "common")
     x, y = shared.alias("x"), shared.alias("y")
     pairs = x.join(y, F.expr("x.shingle = y.shingle and x.label < y.label and " + _sizes("x.size", "y.size")))
     pairs = scratch.materialize(_ordered(pairs), "pairs")
     for table in (rows, held, shared):
         scratch.drop(table)
-    return common, pairs
+    return large, common, pairs
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -290,11 +291,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(known, tried)
     found = scratch.materialize(connected_components(links), "components")
     member = still_mixed(member.drop("hub"), found)
-    common, by_rare = counted(member, known)
-    member = member.join(common, "node", "left").withColumn("common", F.coalesce("common", "size"))
-    member = scratch.materialize(member.where(f"common * 100 >= {PERCENT} * size"), "members")
+    large, common, by_rare = counted(member, known)
+    # common is null outside the large groups; a member with few common shingles leaves the large groups only
+    member = member.join(common, "node", "left").join(large.withColumn("large", F.lit(True)), "key", "left")
+    member = scratch.materialize(member.where(f"large is null or common * 100 >= {PERCENT} * size").drop("large"), "members")
     x, y = member.alias("x"), member.alias("y")
-    enough = f"least(x.common, y.common) * {100 + PERCENT} >= {PERCENT} * (x.size + y.size)"
+    enough = f"(x.common is null or y.common is null or least(x.common, y.common) * {100 + PERCENT} >= {PERCENT} * (x.size + y.size))"
     rest = _ordered(x.join(y, F.expr(f"x.key = y.key and x.label < y.label and {_sizes('x.size', 'y.size')} and {enough}")))
     rest = scratch.materialize(rest.union(by_rare).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():

@@ -404,6 +404,20 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch, large, rare):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("seed,large", [(8, 23), (20, 30)])
+def test_near_duplicates_in_and_outside_large_groups(spark, monkeypatch, seed, large):
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "RARE", large)
+    rng, rows = random.Random(seed), []
+    for i in range(53):  # related texts, of which some are in a group over LARGE; links are among the last three
+        t = [f"b{k}" for k in range(160)]
+        for p in rng.sample(range(160), 4 if i < 50 else 2):
+            t[p] = f"f{i}x{p}"
+        rows.append((i, " ".join(t)))
+    got = near_dup.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = near_dup.mix(rng.integers(1, 2**62, 900, dtype=np.uint64))
