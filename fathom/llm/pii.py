@@ -1,7 +1,11 @@
 """Surrogates for personal data.
 
 Detected entities are e-mail addresses, telephone numbers, payment card numbers that pass the Luhn
-test, IPv4 addresses, social security numbers, and names after a form of address. An entity is
+test, IPv4 addresses, social security numbers, and names after a form of address, with all further
+mentions of their parts in the same text (whole words with a capital; initials before a name). The
+parts of a name are entities of their own, so that any form of a name gets the same surrogates.
+Telephone numbers are those with ``+`` and 8 to 15 digits, those of 3-3-4 digits, and those that
+start with 0 and have 9 to 14 digits in groups; country code and leading 0 stay. An entity is
 brought to one spelling, its characters are read as digits of a number in mixed radix (vowels,
 consonants, digits and other letters each stay in their class), and this number is moved by a keyed
 permutation of its range. So a surrogate has the format, the script, the case and the length of
@@ -33,18 +37,51 @@ from pyspark.sql import functions as F
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Forms of address, male and female.
 _ADDRESS = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)"
+_GAP = r"[ \u00a0./\u2011\u2013-]"
+_PHONES = (
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    rf"\+[1-9](?:{_GAP}?\(?\d\)?){{7,14}}(?!\d)",
+    # after a leading 0: no date, no social security number
+    r"(?<![.,/-])(?!\d\d[/-]\d\d[/-](?:19|20)\d\d(?!\d))(?!\d{3}-\d{2}-\d{4}(?![\d-]))(?=(?:[ ()/-]{0,3}\d){9})\(?0\d{1,4}\)?[ /-]{1,3}\d(?:[ /-]?\d){3,9}(?![ /-]?\d)",
+    r"(?<![.,/-])0\d(?:\.\d\d){4}(?!\.?\d)",
+)
 _DETECT = re.compile(
     r"(?P<email>[\w.%+-]*[\w%+-]@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
+    rf"|(?P<phone>(?<![\w+])(?:{'|'.join(_PHONES)}))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d))"
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
-    rf"|(?P<person>\b{_ADDRESS}\b\.?[ ]+(?:[^\W\d_a-z][^\W\d_]+(?:[ '-](?=[^\W\d_a-z]))?)+)",
+    rf"|(?P<person>\b{_ADDRESS}\b\.?[ ]+(?:[^\W\d_a-z]\.[ ]?)*(?:[^\W\d_a-z](?:[^\W\d_]+|(?='))(?:[ '-](?=[^\W\d_a-z]))?)+)",
 )
 KINDS = ("email", "phone", "ssn", "card", "ip", "person")
 _TITLE = re.compile(rf"{_ADDRESS}\b\.?[ ]+")
 #: A text without any of these has no entity.
-_HINT = re.compile(rf"@|\d{{3}}[ .-]?\d|\d\.\d|\b{_ADDRESS}\b")
+_HINT = re.compile(rf"@|\+\d|\d{{3}}[ .-]?\d|\d\.\d|0\d{{1,4}}\)?[ /-]|\b{_ADDRESS}\b")
+_LETTERS = re.compile(r"[^\W\d_]+")
+# Country codes of one and of two digits; all others have three.
+_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+_NANP = re.compile(_PHONES[0])
+
+
+def folded(text: str) -> str:
+    """Lower case, letter by letter."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def parts(name: str) -> list[tuple[int, int]]:
+    """Start and end of the parts of a name; what a single letter and an apostrophe put before one (O') stays."""
+    return [m.span() for m in _LETTERS.finditer(name) if m.end() - m.start() > 1 or name[m.end() : m.end() + 1] != "'"]
+
+
+def national(found: str) -> str:
+    """The digits of a telephone number without country code and leading 0."""
+    digits = re.sub(r"\D", "", found)
+    if _NANP.fullmatch(found):
+        return digits[-10:]
+    if found[0] == "+" or digits.startswith("00"):
+        digits = digits.removeprefix("00") if found[0] != "+" else digits
+        digits = digits[_CODE.match(digits).end() :]
+    return digits.removeprefix("0")
 
 
 def luhn(digits: str) -> int:
@@ -150,15 +187,27 @@ class Surrogates:
 
     @staticmethod
     def one_spelling(kind: str, found: str) -> str:
-        """What makes two mentions the same entity."""
-        if kind == "email":
-            return "".join(c.lower() if len(c.lower()) == 1 else c for c in found)
+        """What makes two mentions the same entity; of a person it is for one part of the name."""
+        if kind in ("email", "person"):
+            return folded(found)
         if kind == "phone":
-            return re.sub(r"\D", "", found)[-10:]
-        if kind == "person":
-            return found[_TITLE.match(found).end() :]
+            return national(found)
         return re.sub(r"\D", "", found) if kind in ("card", "ssn") else found
 
+    @classmethod
+    def spellings(cls, kind: str, found: str) -> list[str]:
+        """The entities of a mention: for a person one for each part of the name."""
+        if kind != "person":
+            return [cls.one_spelling(kind, found)]
+        name = found[cls._start(found) :]
+        return [cls.one_spelling(kind, name[s:e]) for s, e in parts(name)]
+
+    @staticmethod
+    def _start(found: str) -> int:
+        """Where the name begins, after a form of address."""
+        title = _TITLE.match(found)
+        return title.end() if title else 0
+
     def hashed(self, kind: str, entity: str) -> str:
         return hashlib.blake2b(f"{kind} {entity}".encode(), key=self.key[:64], digest_size=16).hexdigest()
 
@@ -183,7 +232,8 @@ class Surrogates:
             return self._letters(x, at, tweak)
         if kind == "phone":
             # 555 marks numbers that belong to nobody, and stays
-            return self._letters(x, [i for i in range(10) if x[3:6] != "555" or not 3 <= i < 6], tweak)
+            marked = len(x) == 10 and x[3:6] == "555"
+            return self._letters(x, [i for i in range(len(x)) if not marked or not 3 <= i < 6], tweak)
         if kind == "card":
             body = self._letters(x[:-1], list(range(1, len(x) - 1)), tweak)
             return body + str(luhn(body))
@@ -194,18 +244,21 @@ class Surrogates:
             value = self.move(value, 1 << 32, tweak)
             return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
         if kind == "person":
-            ends = {i for i in range(len(x)) if i + 1 == len(x) or not x[i + 1].isalpha()}
-            return self._letters(x, [i for i in range(len(x)) if i not in ends], tweak)
+            return self._letters(x, list(range(max(1, len(x) - 1))), tweak)
         return self._letters(x, list(range(len(x))), tweak)
 
     def replacement(self, kind: str, found: str) -> str:
         """The surrogate in the spelling of the mention."""
+        if kind == "person":
+            start, out, at = self._start(found), [], 0
+            for s, e in parts(found[start:]):
+                out += [found[at : start + s], self._cased(kind, found[start + s : start + e])]
+                at = start + e
+            return "".join([*out, found[at:]])
+        if kind == "email":
+            return self._cased(kind, found)
         entity = self.one_spelling(kind, found)
         other = self.of_entity(kind, entity)
-        if kind == "email":
-            return "".join(o.upper() if c != e and len(o.upper()) == 1 else o for c, e, o in zip(found, entity, other, strict=True))
-        if kind == "person":
-            return found[: len(found) - len(entity)] + other
         if kind == "ip":
             return other
         digits = iter(other)
@@ -219,6 +272,10 @@ class Surrogates:
             out.append(c)
         return "".join(out)
 
+    def _cased(self, kind: str, found: str) -> str:
+        entity = self.one_spelling(kind, found)
+        return "".join(o.upper() if c != e and len(o.upper()) == 1 else o for c, e, o in zip(found, entity, self.of_entity(kind, entity), strict=True))
+
     def entities(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end), from left to right."""
         if not _HINT.search(text):
@@ -231,6 +288,32 @@ class Surrogates:
                 if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
                     continue
             out.append((kind, m.start(), m.end()))
+        names = {x for kind, s, e in out if kind == "person" for x in self.spellings(kind, text[s:e])}
+        return sorted([*out, *self._again(text, names, out)], key=lambda x: x[1]) if names else out
+
+    def _again(self, text: str, names: set[str], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Mentions of ``names`` outside of ``found``; neighbours are one mention."""
+        out: list[tuple[str, int, int]] = []
+        taken, initials, last = iter([*found, ("", len(text), len(text))]), [], 0
+        _, a, b = next(taken)
+        for m in _LETTERS.finditer(text):
+            s, e = m.span()
+            while b <= s:
+                _, a, b = next(taken)
+            if e > a or text[s].islower() or folded(m[0]) not in names:
+                continue
+            if e - s == 1:  # an initial counts only before a name
+                if text[e : e + 1] == ".":
+                    initials = [*initials, (s, e)] if initials and text[initials[-1][1] : s].strip(". ") == "" else [(s, e)]
+                continue
+            if initials and text[initials[-1][1] : s] in (".", ". "):
+                s = initials[0][0]
+            initials = []
+            if out and s >= last and (text[last:s] in ("-", "'") or text[last:s].strip(" ") == ""):
+                out[-1] = ("person", out[-1][1], e)
+            else:
+                out.append(("person", s, e))
+            last = e
         return out
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -251,8 +334,8 @@ def collisions(docs: DataFrame, key: bytes, again: dict[tuple[str, str], int], t
             rows = set()
             for t in x["body"]:
                 for kind, s, e in own.entities(t):
-                    entity = own.one_spelling(kind, t[s:e])
-                    rows.add((kind, own.hashed(kind, entity), own.hashed(kind, own.of_entity(kind, entity))))
+                    for entity in own.spellings(kind, t[s:e]):
+                        rows.add((kind, own.hashed(kind, entity), own.hashed(kind, own.of_entity(kind, entity))))
             yield pd.DataFrame(sorted(rows), columns=["kind", "entity", "surrogate"])
 
     body = F.coalesce(F.col(text), F.lit(""))

@@ -314,6 +314,29 @@ def test_surrogates():
     assert [k for k, _, _ in s.entities("Mr. Иван Петров")] == ["person"] and re.fullmatch("Mr. [А-Я][а-я]{2}н [А-Я][а-я]{4}в", s.rewrite("Mr. Иван Петров")[0])
 
 
+def test_surrogates_of_one_person_agree():
+    s = pii.Surrogates(b"key")
+    text, found = s.rewrite("Anna Keller met Dr Anna Keller, Dr KELLER and Frau A. Keller's aunt. Later Keller, A. Keller and Anna-Keller left the keller. Mr O'Neil, O'Neil")
+    assert [k for k, _, _ in found] == ["person"] * 9
+    m = re.fullmatch(r"(\w{3}a) (\w{5}r) met Dr (\w+) (\w+), Dr (\w+) and Frau (\w)\. (\w+)'s aunt\. Later (\w+), (\w)\. (\w+) and (\w+)-(\w+) left the keller\. Mr O'(\w{3}l), O'(\w+)", text)
+    assert m and m[1] == m[3] == m[11] != "Anna" and m[2] == m[4] == m[7] == m[8] == m[10] == m[12] != "Keller" and m[5] == m[2].upper()
+    assert m[6] == m[9] != "A" and m[13] == m[14] != "Neil"
+    assert s.rewrite("Keller alone") == ("Keller alone", [])
+
+
+def test_telephone_groupings():
+    s = pii.Surrogates(b"key")
+    for t in ("+49 30 1234567", "+33 1 23 45 67 89", "+34 912 345 678", "+491701234567", "+49 (0)30 1234567", "0049 30 1234567", "030 1234567", "(030) 1234567", "030/1234567", "01 23 45 67 89", "01.23.45.67.89", "+1 (017) 555-7713"):
+        new, found = s.rewrite(f"call {t}, now")
+        assert [x[0] for x in found] == ["phone"] and found[0][1:] == (5, 5 + len(t)), t
+        assert t not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {t}, now")
+    same = [re.sub(r"\D", "", s.rewrite(t)[0])[-9:] for t in ("+49 30 1234567", "+49 (0)30 1234567", "0049 30 1234567", "030 1234567", "+49301234567")]
+    assert len(set(same)) == 1 and same[0] != "301234567"
+    for t in ("01-02-2024 10 11 12", "01.02.2024", "2024-05-06 12:30", "0.123456789", "1 + 2", "0123456789", "a +12345"):
+        assert s.rewrite(t) == (t, []), t
+    assert [x[0] for x in s.entities("012-34-5678")] == ["ssn"]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(2, 400), st.binary(min_size=1, max_size=8))
 def test_permutation_moves_everything(n, key):
