@@ -247,6 +247,27 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(df.where("page_id in (1, 7)"), edges=more).collect()}[7] == "block"
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://x.com/a/b/c.html?q=1#f", "http://x.com", "http://x.com/a/b/", "http://x.com/?k"]
+    targets = ["index.html", "../en/1", "?p=2", "./", ".", "..", "../..", "../../../en/2", "d/./e/../f?x=../y", "/en/../de/1", "//y.com/1", "http://z.com/2", "#top", "i.html#a/..", "go?u=http://q.com/1"]
+    rows = [(p, t) for p in pages for t in targets]
+    got = spark.createDataFrame(rows, "url string, target string").select("url", "target", url_filter._absolute(F.col("target"), F.col("url")).alias("found")).collect()
+    for r in got:
+        want = urljoin(r.url, r.target)
+        same = spark.range(1).select(url_filter.plain_form(F.lit(r.found)), url_filter.plain_form(F.lit(want))).first() if r.found != want else (1, 1)
+        assert same[0] == same[1], (r, want)
+    assert spark.range(1).select(url_filter._absolute(F.lit("mailto:a@b.com"), F.lit(pages[0])), url_filter._absolute(F.lit("index.html"), F.lit("no scheme"))).first()[:] == (None, None)
+    meta = "<meta http-equiv='refresh' content='0; url={}'>"
+    pages = [(1, "http://x.com/de/start", meta.format("../en/1")), (2, "http://x.com/en", meta.format("en/index.html")), (3, "http://a.example.com/up/in", '<link rel="canonical" href="../en/79">'), (4, "http://x.com/list", meta.format("?p=2")), (5, "http://q.com/from", meta.format("http://x.com/list?p=2")), (6, "http://q.com/r", '<link rel="canonical" href="en/1">')]
+    judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert judged == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
+    rules = (url_filter.UrlRule("q.com", "/en/", False), url_filter.UrlRule("q.com", "/from", False))
+    judged = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert judged == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(300, k) for k in range(301, 340)] + [(None, 1), (7, 7)]
