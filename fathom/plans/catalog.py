@@ -365,6 +365,15 @@ def query_specificity(spark, d):
     return rows.select("qid", F.round(T.specificity("query"), 9).alias("specificity"))
 
 
+# letters, marks and digits beyond ASCII become Z, which lower-cased text does not hold: part of a word for \b, but of no term
+@query(rf"""WITH t AS (SELECT item_id AS qid, regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\p{{No}}]', 'Z', 'g'), '\b[a-z0-9_-]+\b') AS w FROM benchmark)
+SELECT qid, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: CASE WHEN list_contains([{_STOPS}], x) THEN 0.5::DOUBLE
+  ELSE 2::DOUBLE * ln(length(x) + 1) * (len(list_distinct(string_split(x, ''))) / length(x)::DOUBLE) END)) / len(w) END, 9) AS specificity FROM t""")
+def query_specificity_all(spark, d):
+    """All queries, in any script."""
+    return _queries(spark, d).select("qid", F.round(T.specificity("query"), 9).alias("specificity"))
+
+
 _PROBE = f"""WITH {_ALL_DENSE}, p AS (SELECT qid, list((score + 1) / 2 ORDER BY score DESC) AS s FROM t WHERE rank <= 5 GROUP BY 1),
 e AS (SELECT qid, s, list_transform(s, lambda x: exp((x - s[1]) / 0.15::DOUBLE)) AS e FROM p),
 m AS (SELECT qid, CASE WHEN len(s) > 1 THEN s[1] - s[2] ELSE coalesce(s[1], 0) END AS margin,

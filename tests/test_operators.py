@@ -129,6 +129,20 @@ def test_hashed_embedding(spark):
     assert math.isclose(sum(x * x for x in r[0].v), 1) and r[1].v == [0.0] * 16
 
 
+def test_specificity_of_all_queries(spark):
+    import duckdb
+
+    from fathom.plans import catalog
+
+    data = "/root/testdata/sf0.01"
+    got = {r.qid: r.specificity for r in catalog.QUERIES["query_specificity_all"](spark, data).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{data}/benchmark.parquet'")
+    want = dict(con.execute(catalog.ORACLES["query_specificity_all"]).fetchall())
+    assert len(got) == con.execute("SELECT count(*) FROM benchmark").fetchone()[0] and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-8 for k in got)
+
+
 def test_tiers(spark):
     rows = spark.createDataFrame([(3.5, 0.0, 2.0), (0.0, 0.08, 1.3), (0.0, 0.0, 1.4), (0.0, 0.1, 1.5), (0.0, 0.0, 0.0)], "s double, m double, h double")
     assert [r.t for r in rows.select(router.tier(F.col("s"), F.col("m"), F.col("h")).alias("t")).collect()] == ["direct", "direct", "hyde", "multi_query", "multi_query"]
