@@ -21,9 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; rows without doc_id stay."""
-    dropped = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return scratch.keyed_join(docs, scratch.materialize(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of the smallest id of each group; rows without doc_id stay. Rows that share an id are judged each by its own text."""
+    judged = scratch.materialize(near_dup.near_duplicates(docs, keyed=True).where("doc_id is not null").select("doc_id", "class_key", "kept").distinct(), "judged")
+    dropped = judged.where("not kept").select("doc_id", "class_key")
+    ids = scratch.materialize(dropped.select("doc_id").distinct(), "dropped")
+    rest = scratch.keyed_join(docs, ids, "doc_id", "left_anti").select(*docs.columns)
+    mixed = scratch.materialize(scratch.keyed_join(judged.where("kept"), ids, "doc_id", "left_semi").select("doc_id").distinct(), "mixed")
+    if mixed.isEmpty():
+        return rest
+    return rest.unionByName(near_dup.without_classes(scratch.keyed_join(docs, mixed, "doc_id", "left_semi").select(*docs.columns), dropped))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

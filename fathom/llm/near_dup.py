@@ -29,6 +29,7 @@ any of its texts; each of its rows gets the component of its text's class. Other
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -143,7 +144,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_key (of the set), bands."""
-    import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         "doc_id": x["doc_id"].to_numpy(),
                         "no_id": x["no_id"].to_numpy(),
                         "n_shingles": [len(s) for s in sets],
-                        "class_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                        "class_key": [class_key(s) for s in sets],
                         "bands": [band_keys(compress(minima(s))) if len(s) else np.zeros(0, np.int64) for s in sets],
                     }
                 )
@@ -271,8 +271,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable), kept, n_links.
+def class_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def without_classes(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and class are not in ``dropped`` (``doc_id, class_key``, a written table)."""
+
+    @F.pandas_udf("binary")
+    def key(bodies: pd.Series) -> pd.Series:
+        shingler = Shingler()
+        return pd.Series([class_key(shingler(t)) for t in bodies])
+
+    return docs.withColumn("__class", key(F.coalesce("text", F.lit("")))).join(dropped.select(F.col("doc_id"), F.col("class_key").alias("__class")), ["doc_id", "__class"], "left_anti").select(*docs.columns)
+
+
+def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable), kept, n_links; ``keyed`` adds class_key.
 
     ``n_links`` counts verified links of the row's class; links within a component that are not
     needed to find it are not tried.
@@ -309,4 +324,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = all_rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"))
     out = out.join(of_class, "class_key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *["class_key"] * keyed)

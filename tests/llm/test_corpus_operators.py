@@ -462,6 +462,15 @@ def test_near_duplicates_in_and_outside_large_groups(spark, monkeypatch, seed, l
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
 
 
+def test_dropping_spares_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [(3, "b " * 9), (5, "the only a"), (5, "b " * 9), (5, None), (6, "b " * 9), (None, "b " * 9)])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("3", "b " * 9), ("5", "None"), ("5", "the only a"), ("None", "b " * 9)]
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     a = near_dup.mix(rng.integers(1, 2**62, 900, dtype=np.uint64))
