@@ -9,7 +9,8 @@ rises and the block is packed anew. No shuffle is needed, a task holds one block
 slack is less than about one window in two hundred.
 
 Null texts count as empty (one end id). Rows are packed as they are: repeated rows are packed each
-time, null ids stay null. Sequence ids are unique, but not dense: the task's number and a
+time, null ids stay null. Texts are of any length; an empty table gives an empty one. Other columns are
+ignored, whatever their names. Sequence ids are unique, but not dense: the task's number and a
 counter of its sequences.
 """
 
@@ -21,13 +22,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.tokens import Encoder
+from fathom.llm import scratch
+from fathom.llm.tokens import encoder
 
-CAPACITY, PIECE, AT_ONCE = 2048, 256, 2048
+CAPACITY, PIECE, AT_ONCE = 2048, 512, 2048
 
 
 Part = list[tuple[int, int, object]]  # (sum, tie break, members as nested pairs) of windows that are not empty, rising
@@ -107,13 +109,13 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int,
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, at_once: int = AT_ONCE, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, at_once: int = AT_ONCE, with_ids: bool = False, special_as_text: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece, with the ids themselves (little-endian unsigned 32-bit) if ``with_ids``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(vocabulary, "byte"), struct.pack("<I", end_id)
+        encode, end = encoder(vocabulary, "byte", special_as_text).one, struct.pack("<I", end_id)
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         done: list[tuple] = []
@@ -123,23 +125,25 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
             for w in windows([p[2] for p in held], capacity):
                 offset = 0
                 for i in w:
-                    done.append((*held[i][:5], sequence, offset, held[i][5]))
-                    offset += held[i][2]
+                    p = held[i]
+                    done.append((*p[:5], sequence, offset, p[5]))
+                    offset += p[2]
                 sequence += 1
             held = []
 
-        def out() -> pd.DataFrame:
-            x = pd.DataFrame(done, columns=[*COLUMNS, "ids"]).astype({"doc_id": "Int64"})
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * (len(COLUMNS) + 1)
             done.clear()
-            return x if with_ids else x[COLUMNS]
+            arrays = [pa.array(c, pa.int64()) for c in columns[:-1]]
+            return pa.record_batch([*arrays, pa.array(columns[-1], pa.binary())] if with_ids else arrays, [*COLUMNS, "ids"] if with_ids else COLUMNS)
 
         for x in batches:
-            for k, null, ids in zip(x["key"], x["no_key"], encoder.encode(x["body"].tolist()), strict=True):
-                ids += end
+            for k, t in zip(x.column(0).to_pylist(), x.column(1), strict=True):
+                ids = encode(t.as_py()) + end
                 n = len(ids) // 4
                 for start, length in cut(n, capacity, piece):
                     raw = ids[4 * start : 4 * (start + length)]
-                    row = (None if null else int(k), start, length, zlib.crc32(raw), n)
+                    row = (k, start, length, zlib.crc32(raw), n)
                     if length == capacity:
                         done.append((*row, sequence, 0, raw if with_ids else None))
                         sequence += 1
@@ -152,6 +156,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
         close()
         yield out()
 
-    rows = docs.select(F.coalesce(F.col(key), F.lit(0)).cast("long").alias("key"), F.col(key).isNull().alias("no_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    scratch.limit_batches(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     schema = ", ".join(f"{c} long" for c in COLUMNS) + (", ids binary" if with_ids else "")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -1,13 +1,14 @@
 """Tables that cut lineage, in the folder that every executor and the driver share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one
-machine) a temporary folder is made. Tables are plain Parquet, so that a lost executor costs
+The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a session with a local
+master (tests on one machine) gets a temporary folder, and any other is refused. Tables are plain Parquet, so that a lost executor costs
 nothing but the task it was running.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI, without a slash at its end."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
         if "dir" not in _own:
             _own["dir"] = "file://" + tempfile.mkdtemp(prefix="fathom-")
         found = _own["dir"]
@@ -69,6 +72,45 @@ def _remove_all() -> None:
             return
 
 
+#: Rows that go to Python at once where they carry whole texts.
+TEXTS = 1000
+
+
+def limit_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """From now on rows go to Python in batches of at most ``rows``.
+
+    For operators whose plans run later than they are made; a worker holds one batch, and texts are
+    of any length. The setting of the session is lowered, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with lines put before it where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def least_by_hash(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` rows of the smallest hash of ``key``, or all if there are fewer; ``rows`` is a written table.
+
+    The rows are counted, and only those under a hash below which somewhat more than ``k`` are expected
+    go on to be sorted, so that no task hands on more than its share. If these are too few after all
+    (keys that repeat very often), all go on.
+    """
+    hashed, n = F.xxhash64(key), rows.count()
+    part = (k + 8 * k**0.5 + 64) / max(1, n)
+    if part < 1:
+        below = rows.where(hashed < F.lit(int(part * 2**64) - 2**63))
+        rows = below if below.count() >= k else rows
+    return rows.orderBy(hashed, key).limit(k)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Within this, rows go to Python in batches of at most ``rows``; for rows that carry whole texts or sets."""

@@ -10,7 +10,8 @@ The document index holds the document's key, whether it is null, and its number
 can be read alone; a reader holds one block at a time.
 
 Null texts count as empty (they keep only the end id). Documents are ordered by id, nulls first;
-rows that share an id are ordered by a hash of their text.
+rows that share an id are ordered by a hash of their text. Texts are of any length; an empty table gives
+no file and an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import scratch
-from fathom.llm.tokens import Encoder
+from fathom.llm.tokens import encoder
 
 MAGIC = b"FPLN0001"
 #: Ids of a block; all blocks but a file's last have as many.
@@ -154,26 +155,27 @@ class Reader:
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint"
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 2, mode: str = "byte", key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 2, mode: str = "byte", special_as_text: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the ids of all documents under ``folder`` in order of ``key``; returns the written manifest.
 
     Each attempt of a task writes a file of its own and names it in the manifest, so a retried task
     leaves nothing half written that is read.
     """
     spark = docs.sparkSession
+    scratch.limit_batches(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, end = Encoder(vocabulary, kind), struct.pack("<I", end_id)
+        encode, end = encoder(vocabulary, kind, special_as_text).encode, struct.pack("<I", end_id)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         path, shard, writer = f"{root}/{uuid.uuid4().hex}.planes", TaskContext.get().partitionId(), None
         with store.open_output_stream(path) as sink:
             writer = Writer(sink, mode)
             for x in batches:
-                for k, null, ids in zip(x["key"], x["no_key"], encoder.encode(x["body"].tolist()), strict=True):
+                for k, null, ids in zip(x["key"], x["no_key"], encode(x["body"].tolist()), strict=True):
                     writer.add(None if null else int(k), ids + end)
             n = writer.close()
         yield pd.DataFrame({"shard": [shard], "path": [path], "n_docs": [len(writer.keys)], "n_tokens": [n]})

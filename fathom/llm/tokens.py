@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before they merge bytes, and no token spans such a split. Texts
 are cut only where a split is certain, each distinct chunk is encoded once, and chunks are kept
-in a bounded table. The ids equal those of encoding the whole text.
+in a table bounded in bytes, which a worker keeps for its later tasks. Texts that hold the string of
+a special token go to the library whole. The ids equal those of encoding the whole text.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
-#: Chunks and words kept by a worker (about 100 MB), the longest kept, and chunks given to the library at once.
-KEPT, LONGEST, AT_ONCE = 300_000, 64, 20_000
+#: Bytes of chunks that a worker keeps, what one takes besides its characters and ids, and the longest kept.
+KEPT, EACH, LONGEST = 48 << 20, 150, 64
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A word and signs after it; both vocabularies split between the two, and nowhere else.
-_PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([.,!?;:*$%&#|]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#|]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,76 +29,110 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
+class _Uncertain(Exception):
+    """A space before white space: where the text splits depends on what follows."""
+
+
+class _Chunks(dict):
+    """What follows a space, up to the next one, to its ids. Those that are missing are encoded and kept.
+
+    When half the bound is reached, this half becomes the older one, from which chunks that are met again return.
+    """
+
+    def __init__(self, encode, plain_only: bool):
+        super().__init__()
+        self.encode, self.plain_only, self.older, self.held = encode, plain_only, {}, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            if not chunk or chunk[0].isspace():
+                if self.plain_only:
+                    raise _Uncertain
+                if not chunk:
+                    return b""
+            ids = self.encode(chunk)
+            if len(chunk) > LONGEST:
+                return ids
+        self.held += EACH + len(chunk) + len(ids)
+        if self.held > KEPT // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """``kind`` is "byte" (a space belongs to the word after it) or "word" (white space is dropped, case is folded)."""
+    """``kind`` is "byte" (a space belongs to the word after it) or "word" (white space is dropped, case is folded).
 
-    def __init__(self, path: str, kind: str):
+    The strings of special tokens in a text are these tokens, as the library has it by default; with
+    ``special_as_text`` they are ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if kind not in ("byte", "word"):
             raise ValueError(f"unknown kind of vocabulary: {kind}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.kind, self.letters = self.tokenizer.model, kind, _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if self.kind == "word":
-            return [x for x in text.split(" ") if x]
-        first, *rest = _BEFORE_WORD.split(text)
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added), re.IGNORECASE) if added and not special_as_text else None
+        self.tokenize, self.letters, self.space = self.tokenizer.model.tokenize, _byte_letters(), " " if kind == "byte" else ""
+        self.lead = self.letters[32] if self.space else ""
+        self.known, self.signs = _Chunks(self._chunk, bool(self.space)), {}
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk with the space before it, if the vocabulary keeps spaces."""
+        m = _PLAIN.fullmatch(chunk)
+        if m is not None:
+            return self._word(m[1], self.lead) + self._sign(m[2]) if m[2] else self._word(m[1], self.lead)
+        if "\n" in chunk and len(chunk) <= LONGEST:  # plain lines
+            lines = [_PLAIN.fullmatch(x) for x in chunk.split("\n")]
+            if all(lines):
+                out = [self._word(m[1], "" if n else self.lead) + self._sign(m[2]) for n, m in enumerate(lines)]
+                return (self._sign("\n") if self.space else b"").join(out)
+        return self._library(self.space + chunk)
+
+    def _word(self, word: str, lead: str) -> bytes:
         """Letters, with the space before them: one unit of the vocabulary's merges."""
-        found = self.words.get(word)
-        if found is None:
-            unit = word.lower() if self.kind == "word" else word
-            unit = unit.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
-        return found
-
-    def _plain(self, chunk: str) -> bytes | None:
-        """The ids of words with signs, on lines of their own; None for anything else."""
-        out = []
-        for n, line in enumerate(chunk.split("\n")):
-            m = _PLAIN.fullmatch(line)
-            if m is None or n and line[0] == " ":
-                return None
-            parts = [m[2]] if m[2] else []
-            if n and self.kind == "byte":
-                out.append(self._sign("\n"))
-            out += [self._word(m[1]), *map(self._sign, parts)]
-        return b"".join(out)
+        if not self.space:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(lead + word)]).tobytes()
 
     def _sign(self, signs: str) -> bytes:
-        found = self.words.get(signs)
+        found = self.signs.get(signs)
         if found is None:
-            found = self.words[signs] = self._library([signs])[0]
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            found = self.signs[signs] = self._library(signs)
         return found
 
+    def one(self, text: str) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
+        if not text or self.special is not None and self.special.search(text):
+            return self._library(text)
+        known = self.known
+        try:
+            if not self.space:
+                return b"".join(map(known.__getitem__, text.split(" ")))
+            first, *rest = text.split(" ")
+            return b"".join([self._library(first), *map(known.__getitem__, rest)])
+        except _Uncertain:
+            first, *rest = _BEFORE_WORD.split(text)
+            return b"".join([self._library(first), *map(known.__getitem__, rest)])
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        for start in range(0, len(texts), 256):
-            cut = [self.chunks(x) for x in texts[start : start + 256]]
-            known = self.known
-            for kept in (known, self.words):
-                if len(kept) > KEPT:
-                    kept.clear()
-            rest, long = [], {}
-            for c in {c for chunks in cut for c in chunks if c not in known}:
-                ids = self._plain(c) if len(c) <= LONGEST else None
-                if ids is None:
-                    rest.append(c)
-                else:
-                    known[c] = ids
-            for at in range(0, len(rest), AT_ONCE):
-                part = rest[at : at + AT_ONCE]
-                for c, ids in zip(part, self._library(part), strict=True):
-                    (known if len(c) <= LONGEST else long)[c] = ids
-            for chunks in cut:
-                yield b"".join([known[c] if c in known else long[c] for c in chunks])
+        return map(self.one, texts)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str, special_as_text: bool = False) -> Encoder:
+    """One for each worker process, with what it has kept from earlier tasks."""
+    return Encoder(path, kind, special_as_text)
