@@ -4,20 +4,28 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 read again as the next stage's documents. The first three drop documents (toxic ones, all but one
 of each group of near duplicates, those that hold benchmark passages), the fourth replaces
 personal data, the last packs what is left.
+
+Null texts count as empty: they are never toxic by a word, a copy or contaminated, and pack as one end
+id. Rows without doc_id are judged by their text for toxicity, and kept by the two stages that drop by
+id. Rows that repeat an id are judged each by its own text for toxicity and copies, and go together
+where one of them is contaminated. Empty tables give empty ones. Columns besides doc_id, text and
+n_chars are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import decontamination, near_dup, packing, pii, scratch, toxicity
-from fathom.llm.queries import PII_KEY, vocabulary
+from fathom.llm.queries import pii_key, vocabulary
 from fathom.llm.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("toxic_predicted = 0").select(*docs.columns)
+    score, predicted = scratch.unused(docs, "toxic_score"), scratch.unused(docs, "toxic_predicted")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), names=(score, predicted))
+    return scored.where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    return pii.pseudonymise(docs, pii_key(spark), name=scratch.unused(docs, "pii")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

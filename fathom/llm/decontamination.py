@@ -12,7 +12,8 @@ and none is lost. Candidates are verified by exact containment of the shingles t
 
 Null texts count as empty. Empty items contaminate nothing. Rows that share a doc_id are judged
 one by one, and the id gets the highest containment; rows without doc_id take part, with a null id
-in the result. The same holds for items. Other columns are ignored.
+in the result. The same holds for items. Empty tables of either kind give an empty result. Texts are of
+any length. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

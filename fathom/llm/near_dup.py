@@ -24,7 +24,8 @@ is 0.75 or more.
 
 Null texts count as empty: linked with nothing, kept. Rows without doc_id are linked with nothing:
 component_id is null and kept is true. Rows that repeat a doc_id are one node: it is reached through
-any of its texts; each of its rows gets the component of its text's class. Other columns are ignored.
+any of its texts; each of its rows gets the component of its text's class. An empty table gives an
+empty one; texts of any length are read whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -283,7 +284,8 @@ def without_classes(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         shingler = Shingler()
         return pd.Series([class_key(shingler(t)) for t in bodies])
 
-    return docs.withColumn("__class", key(F.coalesce("text", F.lit("")))).join(dropped.select(F.col("doc_id"), F.col("class_key").alias("__class")), ["doc_id", "__class"], "left_anti").select(*docs.columns)
+    own = scratch.unused(docs, "class_key")
+    return docs.withColumn(own, key(F.coalesce("text", F.lit("")))).join(dropped.select(F.col("doc_id"), F.col("class_key").alias(own)), ["doc_id", own], "left_anti").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     ``n_links`` counts verified links of the row's class; links within a component that are not
     needed to find it are not tried.
     """
-    with scratch.small_batches(docs.sparkSession, 2000):
+    with scratch.small_batches(docs.sparkSession, 1000):
         all_rows = scratch.materialize(sketches(docs), "sketches")
     linked = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = linked.groupBy("class_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
@@ -325,3 +327,20 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     out = out.join(of_class, "class_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *["class_key"] * keyed)
+
+
+# The components in DuckDB, over all pairs that share a shingle; copies of a set are one node.
+COMPONENTS_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{''.join(map(chr, _UPPER))}', '{''.join(map(chr, _UPPER.values()))}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, sha256(array_to_string(s, chr(10))) AS k, s FROM s),
+c AS (SELECT k, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY k),
+x AS (SELECT node, n, unnest(s) AS sh FROM c),
+pair AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.sh = b.sh AND a.node < b.node AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT node AS a, node AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY 1)
+SELECT doc_id, k.n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM k LEFT JOIN c ON c.k = k.k AND k.n > 0 LEFT JOIN comp USING (node)
+"""

@@ -18,8 +18,10 @@ No table of entities is needed to replace them, so replacing is one pass with no
 check the distinct entities are collected as a distributed table of keyed hashes, and any two
 that met in one surrogate would be given another key, round after round, until none do.
 
-Null texts stay null. Texts without entities are not changed. ``n_chars`` is set anew for changed
-texts where the table has it. Result columns whose names are taken replace those columns.
+Null texts stay null, empty ones empty, an empty table gives an empty one. Texts of any length are
+rewritten whole, one at a time; texts without entities are not changed, repeated rows are changed
+alike. ``n_chars`` is set anew for changed texts where the table has it. Other columns are kept as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import scratch
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Forms of address, male and female.
 _ADDRESS = r"(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)"
@@ -340,14 +344,17 @@ def collisions(docs: DataFrame, key: bytes, again: dict[tuple[str, str], int], t
 
     body = F.coalesce(F.col(text), F.lit(""))
     met = docs.select(body.alias("body")).mapInPandas(run, "kind string, entity string, surrogate string").distinct()
+    met = scratch.materialize(met, "entities")  # read twice, found once
     clash = met.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").select("kind", "surrogate", "first")
     # by construction none; the bound is a guard
     rows = met.join(clash, ["kind", "surrogate"]).where("entity <> first").select("kind", "entity").limit(100_000).collect()
+    scratch.drop(met)
     return [(r.kind, r.entity) for r in rows]
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 8) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and the column ``pii``: kind, start and end of each entity as it was."""
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 8, name: str = "pii") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and the column ``name``: kind, start and end of each entity as it was."""
+    scratch.limit_batches(docs.sparkSession)
     again: dict[tuple[str, str], int] = {}
     for n in range(1, rounds + 1):
         met = collisions(docs, key, again, text)
@@ -363,13 +370,14 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", rounds: int =
         rows = [(None, []) if t is None else own.rewrite(t) for t in bodies]
         return pd.DataFrame({"text": [r[0] for r in rows], "pii": [[{"kind": k, "start": s, "end": e} for k, s, e in r[1]] for r in rows]})
 
-    names = [c for c in docs.columns if c not in (text, "pii")]
-    out = docs.select(*names, F.col(text).alias("__was"), rewritten(F.col(text)).alias("__new"))
-    keep = {c: F.col(c) for c in names} | {text: F.col("__new.text")}
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name} of its own: give another name")
+    new = scratch.unused(docs, "new")
+    out = docs.withColumn(new, rewritten(F.col(text)))
+    keep = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.col(f"{new}.text")}
     if "n_chars" in keep:
-        keep["n_chars"] = F.when(F.size("__new.pii") > 0, F.length("__new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    order = [c for c in docs.columns if c != "pii"]
-    return out.select(*[keep[c].alias(c) for c in order], F.col("__new.pii").alias("pii"))
+        keep["n_chars"] = F.when(F.size(f"{new}.pii") > 0, F.length(f"{new}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[keep[c].alias(c) for c in docs.columns], F.col(f"{new}.pii").alias(name))
 
 
 def surrogate_report(docs: DataFrame, key: bytes) -> DataFrame:

@@ -5,7 +5,8 @@ sequential covering learns a decision list: it grows a conjunction of thresholds
 quality with the best gain, prunes it on rows it has not grown on, keeps it if it is precise
 there, removes what it covers, and goes on. The list becomes one ordered conditional expression.
 
-Null texts count as empty: no words, and so a failed base rule. The list is learned from at most
+Null and empty texts have no words, and so fail the base rule; texts of any length are read whole; an
+empty table gives an empty one. The list is learned from at most
 ``SAMPLE`` labelled rows, those with the smallest hash of their id; without labels of both kinds it is
 empty. Rows without doc_id are judged, not learned from. Repeated rows are judged alike; a document
 with several labels counts as low quality if one says so. Other columns are ignored.
@@ -188,7 +189,8 @@ def base_failed() -> Column:
 def fit(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """``labels``: doc_id, quality (0 is low). Rows that fail the base rule are left to it."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.where(~base_failed()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = scratch.materialize(stats.where(~base_failed()).join(known, "doc_id"), "labelled")
+    rows = scratch.least_by_hash(rows, "doc_id", SAMPLE)
     rows = rows.select((F.col("quality") == 0).alias("bad"), *[c.alias(k) for k, c in features().items()]).collect()
     bad = np.array([r.bad for r in rows], bool)
     if not bad.any() or bad.all():

@@ -1,13 +1,15 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of a text is addressed by its SHA-256. The ledger is a Parquet table with one row
-for each pair of blob and rule version that has been scanned, found spans or none. A scan takes
-one text of each blob, asks the ledger which rule versions it lacks, runs only these, appends what
-it found, and joins the ledger's findings back to every path that has the blob.
-
-Null texts count as empty. Repeated rows share a blob and get the same findings. Offsets are code
-points of the whole text, end exclusive. Columns besides the key and the text are ignored, so
-their names cannot clash.
+for each pair of blob and rule version that has been scanned, found spans or none, in folders by the
+beginning of the blob's address. A scan asks the ledger by addresses alone which blobs lack which rule
+versions, takes one text of each of these blobs, runs only the rules it lacks, appends what it found,
+and joins the ledger's findings back to every path that has the blob.
+
+Null texts count as empty. Repeated rows share a blob and get the same findings. Texts are of any
+length. An empty table gives an empty one, and adds nothing to the ledger. Offsets are code points of
+the whole text, end exclusive. Columns besides the key and the text are ignored, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import scratch
@@ -49,6 +51,10 @@ class Rule:
 
 RULES = (Rule("assign", ASSIGN, 6, 2, True), Rule("access", ACCESS, 20), Rule("hex", HEX, 24))
 LEDGER = "blob string, rule string, spans array<struct<s:bigint,e:bigint>>"
+#: Characters of the address that name a folder of the ledger; 256 folders.
+SHARD = 2
+#: Addresses of unseen blobs that may be broadcast (80 bytes each), so that the texts stay where they are.
+BROADCAST_BLOBS = 500_000
 
 
 def find(rule: Rule, text: str, compiled: re.Pattern | None = None) -> list[tuple[int, int]]:
@@ -78,27 +84,48 @@ def addressed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("body"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    return spark.read.schema(LEDGER + ", shard string").parquet(ledger)
+
+
+def _shard(blob: str = "blob"):
+    return F.concat(F.lit("s"), F.substring(blob, 1, SHARD))
+
+
+def unseen(paths: DataFrame, ledger: str, every) -> DataFrame:
+    """blob, missing, body: one text of each blob for which the ledger lacks some rule version."""
+    spark = paths.sparkSession
+    if not _exists(spark, ledger):  # all are new: a blob's texts meet in one place
+        return paths.groupBy("blob").agg(F.first("body").alias("body")).withColumn("missing", every)
+    # addresses only: the ledger is read in the folders that these are in
+    held = scratch.materialize(paths.select("blob", _shard().alias("shard")).distinct(), "blobs")
+    shards = [r.shard for r in held.select("shard").distinct().collect()]
+    seen = read_ledger(spark, ledger).where(F.col("shard").isin(shards)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    missing = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    lacking = scratch.materialize(held.join(seen, "blob", "left").select("blob", missing.alias("missing")).where("size(missing) > 0"), "unseen")
+    few = lacking.count() <= BROADCAST_BLOBS
+    texts = paths.select("blob", "body").join(F.broadcast(lacking) if few else lacking, "blob")
+    return texts.groupBy("blob").agg(F.first("body").alias("body"), F.first("missing").alias("missing"))
+
+
 def scan(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what ``ledger`` (a path) lacks, append it there, and return ``(path, blob, <kind>...)``.
 
     Each kind is a column of spans, sorted as found. The ledger may not exist yet.
     """
     spark = docs.sparkSession
+    scratch.limit_batches(spark)
     paths = addressed(docs, key, text)
-    every = F.array(*[F.lit(r.key) for r in rules])
-    blobs = paths.groupBy("blob").agg(F.first("body").alias("body"))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn(
-            "missing", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-        )
-        blobs = blobs.where(F.size("missing") > 0)
-    else:
-        blobs = blobs.withColumn("missing", every)
-    scan_blobs(blobs, rules).write.mode("append").parquet(ledger)
+    blobs = unseen(paths, ledger, F.array(*[F.lit(r.key) for r in rules]))
+    new = scratch.materialize(scan_blobs(blobs, rules), "scanned")
+    new.withColumn("shard", _shard()).repartition("shard").write.mode("append").partitionBy("shard").parquet(ledger)
     # one row a blob, written, so that a blob with very many paths can be split in the join
-    rows = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule").isin([r.key for r in rules]))
+    rows = read_ledger(spark, ledger).where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
     found = rows.groupBy("blob").agg(
         *[F.first(F.when(F.col("rule") == r.key, F.col("spans")), ignorenulls=True).alias(r.kind) for r in rules]
     )
@@ -126,3 +153,23 @@ def secret_report(docs: DataFrame, ledger: str) -> DataFrame:
     return x.select(
         F.col("path").alias("doc_id"), *[count(r.kind) for r in RULES], F.sha2("spans", 256).alias("base_sha256"), "spans", F.col("blob").alias("blob_sha256")
     )
+
+
+# The same in DuckDB: matches are set off by two characters that no text may hold, and their places are summed up.
+def _spans_sql(n: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    if rule.either_case:  # ASCII letters only, so spelled out
+        head, _, tail = pattern.partition(")")
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head) + ")" + tail
+    parts = rf"string_split(regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344))"
+    return rf"""SELECT doc_id, blob, {n} AS n, '{rule.kind}' AS kind, s, s + length(found) AS e FROM (SELECT *, list_sum(list_transform(parts[1:i], lambda x: length(replace(x, chr(57345), ''))))::BIGINT AS s, string_split(parts[i + 1], chr(57345))[1] AS found
+  FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, row, blob, {parts} AS parts FROM d))) WHERE length(regexp_extract(found, '{pattern}', {rule.group})) >= {rule.least}"""
+
+
+def report_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    found = " UNION ALL ".join(_spans_sql(n, r).replace("SELECT doc_id, blob, ", "SELECT row, ", 1) for n, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS blob FROM documents),
+f AS ({found}),
+g AS (SELECT row, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) AS spans FROM f GROUP BY 1)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in rules)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, blob AS blob_sha256 FROM d LEFT JOIN g USING (row)"""

@@ -11,10 +11,12 @@ and their stems, fitted with numpy on the driver; an L1 penalty leaves it a few
 whole texts with no shuffle.
 
 The classifier is fitted on a bounded sample: at most ``POSITIVES`` and ``UNLABELLED`` documents,
-those with the smallest hash of their id. Words come from that sample. Null texts count as empty;
+those with the smallest hash of their id, and on at most ``WORDS`` words of that sample, those that
+tell most. Whole texts of any length are read and scored, one at a time. Null texts count as empty;
 an empty text gets the score of the intercept. Without any positive in the training folds all
-scores are 0. Rows without doc_id are never trained on, and are scored like others (not held out).
-Repeated labels of a document count once, as toxic if one of them is.
+scores are 0; an empty table gives an empty one. Rows without doc_id are never trained on, and are
+scored like others (not held out). Repeated rows are scored alike. Repeated labels of a document
+count once, as toxic if one of them is. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from fathom.llm import scratch
 
 #: Bounds of the training sample, in documents, and of its vocabulary, in words.
 POSITIVES, UNLABELLED, WORDS = 4_000, 12_000, 5_000
-#: Words are features if this share of the positives, and five documents at least, have them, and if their
+#: Words are features if so many of the positives have them (or all, where there are fewer), and if their
 #: share among positives is so many standard errors above that among unlabelled texts, or below.
-SHARE, ERRORS = 0.02, 6.0
+LEAST, ERRORS = 10, 6.0
 #: Lengths of stems; toxic words may be inflected.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -93,6 +95,7 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, p
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
     """``prior``: the share of toxic texts; if None, their share among labelled training rows."""
+    scratch.limit_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = scratch.materialize(ids.join(known, "doc_id", "left").select("doc_id", "toxic"), "folds")
@@ -100,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     if not n_toxic:
         return Model({}, float("-inf"))
     prior = float(np.clip(prior if prior is not None else n_toxic / n, 0.005, 0.5))
-    some = lambda x, k: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
+    some = lambda x, k: scratch.least_by_hash(x, "doc_id", k)
     sample = some(ids.where("toxic = 1"), POSITIVES).select("doc_id", F.lit(1).alias("p")).union(some(ids, UNLABELLED).select("doc_id", F.lit(0).alias("p")))
     sample = scratch.materialize(sample, "sample")
 
@@ -114,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     rows = scratch.materialize(rows.mapInPandas(cut, "p int, words array<string>"), "sample")
     rows = rows.dropDuplicates(["p", "words"])  # copies of a text would make all its words look toxic
     n_p, n_u = rows.agg(F.sum("p"), F.sum(1 - F.col("p"))).first()
-    least = max(min(5, n_p), int(SHARE * n_p))
+    least = min(LEAST, n_p)
     count = rows.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("n"), F.sum(1 - F.col("p")).alias("u"))
     rate = (F.col("u") + 1) / (n_u + 1)
     errors = F.abs(F.col("n") / n_p - rate) / F.sqrt(rate * (1 - rate) / n_p + 1e-12)
@@ -132,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     return Model({vocabulary[k]: float(w[k]) for k in np.flatnonzero(w)}, b)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``toxic_score`` and ``toxic_predicted`` (these names are replaced if there)."""
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("toxic_score", "toxic_predicted")) -> DataFrame:
+    """``docs`` with the score and the prediction in columns of these ``names`` (see ``scratch.unused``)."""
+    scratch.limit_batches(docs.sparkSession)
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
@@ -141,8 +145,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = Model(weights, bias)
         return pd.Series([own.score(t) for t in bodies], dtype="float64")
 
-    out = docs.withColumn("toxic_score", scored(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumn("toxic_predicted", (F.col("toxic_score") >= THRESHOLD).cast("int"))
+    out = docs.withColumn(names[0], scored(F.coalesce(F.col(text), F.lit(""))))
+    return out.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ bounded by one record.
 Null payloads count as empty. Of records with equal payloads of at least ``LEAST`` bytes those
 with the smallest page_id are responses, others revisit them (also rows that repeat that id are
 responses); rows without page_id revisit the smallest id there is, and are responses where all ids
-of the payload are null. A null or empty url is written as an empty target.
+of the payload are null. A null or empty url is written as an empty target. Payloads are of any length;
+a task holds one batch of rows, the reader one record. An empty table gives an empty one. Columns
+besides page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,6 +146,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     written, then joined to the pages; a payload that very many pages share is split in that join.
     """
     spark = pages.sparkSession
+    scratch.limit_batches(spark, 500)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest")
@@ -211,3 +214,12 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = scratch.new_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder).drop("url")
+
+
+# The digest of the round trip in DuckDB.
+ROUND_TRIP_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= {LEAST} GROUP BY 1)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d LEFT JOIN f USING (digest)
+"""

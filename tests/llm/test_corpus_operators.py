@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -53,13 +54,15 @@ def test_secrets_and_ledger(spark):
     for r in got:
         assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() and len(r.spans.split(",")) == max(1, r.n_assign + r.n_access + r.n_hex)
     # the second scan meets known blobs only, but for one; a new version of a rule scans all again
-    n = spark.read.parquet(path).count()
+    size = lambda: secret_scan.read_ledger(spark, path).count()
+    n = size()
     assert n == 3 * len({t or "" for _, t in rows})
-    secret_scan.scan(docs_of(spark, [*rows, (10, "new token=abcdefgh")]), path).collect()
-    assert spark.read.parquet(path).count() == n + 3
+    again = secret_scan.scan(docs_of(spark, [*rows, (10, "new token=abcdefgh")]), path).collect()
+    assert size() == n + 3 and len(again) == len(rows) + 1 and [len(r.assign) for r in again if r.path == 10] == [1]
     newer = (*secret_scan.RULES[:2], secret_scan.Rule("hex", secret_scan.HEX, 24, version=2))
     secret_scan.scan(df, path, rules=newer).collect()
-    assert spark.read.parquet(path).count() == n + 3 + n // 3
+    assert size() == n + 3 + n // 3
+    assert {r.spans for r in secret_scan.secret_report(df, path).collect()} == {r.spans for r in got}
 
 
 def test_secrets_of_an_empty_table(spark):
@@ -73,17 +76,43 @@ def test_secrets_of_an_empty_table(spark):
 @given(st.text(alphabet=" \n\t\x1c\x85\xa0'sStTlLé̈ΣσAa12.#<|>endoftx你", max_size=60))
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_chunked_encoding_is_exact(name, kind, text):
-    e = encoder(name, kind)
-    assert next(e.encode([text])) == np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert next(tokens.encoder(vocabulary(name), kind).encode([text])) == ids_of(name, text)
+    assert tokens.encoder(vocabulary(name), kind, True).one(text) == ids_of(name, text, True)
 
 
-_encoders = {}
+@lru_cache
+def library(name, special_as_text=False):
+    """The tokenizer as it comes."""
+    from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(vocabulary(name))
+    if special_as_text:
+        t.encode_special_tokens = True
+    return t
 
-def encoder(name, kind):
-    if name not in _encoders:
-        _encoders[name] = tokens.Encoder(vocabulary(name), kind)
-    return _encoders[name]
+
+def ids_of(name, text, special_as_text=False):
+    return np.asarray(library(name, special_as_text).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+SPECIAL = ["<|endoftext|>", "x\n <|endoftext|> y", "A<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "a  b   c\n \nd e \n", " <|endoftext|>\n", "<|end <| endoftext|>"]
+
+
+@pytest.mark.parametrize("name,kind,end", [("word_bpe_49k.json", "word", 49407), ("byte_bpe_50k.json", "byte", 50256)])
+def test_special_tokens_are_those_of_the_library(name, kind, end):
+    e = tokens.Encoder(vocabulary(name), kind)
+    assert np.frombuffer(e.one(SPECIAL[0]), "<u4").tolist() == [end]
+    for t in SPECIAL:
+        assert e.one(t) == ids_of(name, t) and tokens.encoder(vocabulary(name), kind, True).one(t) == ids_of(name, t, True)
+
+
+def test_the_encoder_keeps_a_bounded_table(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 4000)
+    e, rng = tokens.Encoder(vocabulary("byte_bpe_50k.json"), "byte"), random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcé1\n,") for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(30)]
+    for t in texts:
+        assert e.one(t) == ids_of("byte_bpe_50k.json", t)
+        assert e.known.held <= 2000 and len(e.known) + len(e.known.older) < 30
 
 
 @settings(max_examples=25, deadline=None)
@@ -102,10 +131,9 @@ def test_planes_round_trip(rows, mode):
 
 def test_token_planes(spark):
     rng = random.Random(1)
-    rows = [*ODD, *[(i, prose(rng, rng.randrange(90))) for i in range(10, 60)]]
+    rows = [*ODD, *[(i, prose(rng, rng.randrange(90))) for i in range(10, 60)], *enumerate(SPECIAL, 70)]
     got = token_planes.token_planes(docs_of(spark, rows), vocabulary("word_bpe_49k.json")).collect()
-    e = encoder("word_bpe_49k.json", "word").tokenizer
-    ids = {i: [*e.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows if i is not None}
+    ids = {i: [*np.frombuffer(ids_of("word_bpe_49k.json", t or ""), "<u4"), 2] for i, t in rows if i is not None}
     at = sum(r.n_tokens for r in got if r.doc_id is None)
     assert sum(r.doc_id is None for r in got) == 2
     for r in sorted((r for r in got if r.doc_id is not None), key=lambda r: (r.doc_id, r.start)):
@@ -129,9 +157,8 @@ def test_differencing_merges_opposing_imbalances():
 
 def test_packing(spark):
     rng = random.Random(2)
-    rows = [*ODD, *[(i, prose(rng, rng.randrange(1500))) for i in range(10, 90)]]
+    rows = [*ODD, *[(i, prose(rng, rng.randrange(1500))) for i in range(10, 90)], *enumerate(SPECIAL, 100)]
     got = packing.pack(docs_of(spark, rows).coalesce(1), vocabulary("byte_bpe_50k.json"), with_ids=True).collect()
-    e = encoder("byte_bpe_50k.json", "byte").tokenizer
     by, seq = {}, {}
     for r in got:
         by.setdefault((r.doc_id, r.ids_crc32 if r.doc_id in (None, 5) else 0), []).append(r)
@@ -140,7 +167,7 @@ def test_packing(spark):
     for i, t in rows:
         if i not in (None, 5):
             parts = sorted(by[i, 0], key=lambda r: r.start)
-            ids = [*e.encode(t or "", add_special_tokens=False).ids, 1]
+            ids = [*np.frombuffer(ids_of("byte_bpe_50k.json", t or ""), "<u4"), 1]
             assert b"".join(r.ids for r in parts) == np.asarray(ids, "<u4").tobytes() and {r.doc_tokens for r in parts} == {len(ids)}
     for rs in seq.values():
         at = 0
