@@ -90,7 +90,8 @@ class Encoder:
         """The ids of a chunk with the space before it, if the vocabulary keeps spaces."""
         m = _PLAIN.fullmatch(chunk)
         if m is not None:
-            return self._word(m[1], self.lead) + self._sign(m[2]) if m[2] else self._word(m[1], self.lead)
+            word, signs = m.groups()
+            return (self.known.get(word) or self._word(word, self.lead)) + self._sign(signs) if signs else self._word(word, self.lead)
         if "\n" in chunk and len(chunk) <= LONGEST:  # plain lines
             lines = [_PLAIN.fullmatch(x) for x in chunk.split("\n")]
             if all(lines):
