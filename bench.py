@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["parent_chunks", "child_chunks", "term_stats", "bm25_batch", "dense_batch_topk", "rrf_fusion", "cluster_segmentation", "citation_links", "end_to_end_search"]
+HEADLINE = ["parent_chunks", "child_chunks", "term_stats", "bm25_batch", "dense_batch_topk", "rrf_fusion", "cluster_segmentation", "citation_links", "retrieve_rerank", "hash_embedding", "end_to_end_search"]
 
 
 def main() -> None:

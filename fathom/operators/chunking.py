@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.sources.workspace import spread
 
 
 def parents(pages: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     """``pages``: doc_id, filename, page, text. Windows never span pages."""
-    cut = pages.select("doc_id", "filename", "page", F.posexplode(T.windows(T.words("text"), size, overlap)).alias("p_idx", "content"))
+    cut = spread(pages.select("doc_id", "filename", "page", "text")).select("doc_id", "filename", "page", F.posexplode(T.windows(T.words("text"), size, overlap)).alias("p_idx", "content"))
     suffix = F.substring(F.md5(F.concat_ws("|", "doc_id", "page", "p_idx")), 1, 8)
     return cut.select(
         F.concat_ws("_", "doc_id", F.lit("p"), "p_idx", suffix).alias("parent_id"), "doc_id", "filename", "content", F.col("page").alias("page_start"), F.col("page").alias("page_end")
@@ -44,5 +45,13 @@ def legacy_context(chunks: DataFrame) -> DataFrame:
     return out.withColumn("text_to_embed", F.concat("content", F.lit("\n\n"), "contextualized_content"))
 
 
+def summarised_context(chunks: DataFrame, summary) -> DataFrame:
+    """As ``legacy_context``, where a model's ``summary`` (a column) of the chunk is there."""
+    out = chunks.withColumn("page_info", T.page_info("page_start", "page_end"))
+    made = F.concat_ws("\n", F.concat(F.lit("Content Summary: "), summary), F.concat(F.lit("Page(s): "), F.col("page_info")))
+    out = out.withColumn("contextualized_content", made)
+    return out.withColumn("text_to_embed", F.concat("content", F.lit("\n\n"), "contextualized_content"))
+
+
 def rerank_text(original: str = "original_content", context: str = "contextualized_content"):
     return F.concat(F.col(original), F.lit("\n\nContext: "), F.col(context))

@@ -2,56 +2,75 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
-from fathom.operators.lexical import top
 
-#: Numbers in the query matrix that is sent to all tasks (8 bytes each); larger query tables are taken in blocks.
+#: Numbers in the query matrix that is broadcast (8 bytes each); larger query tables are taken in blocks, a scan each.
 BLOCK = 4_000_000
+#: Numbers of a product of a piece of a batch and the query matrix.
+PRODUCT = 4_000_000
+
+
+def _best_each(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each column with their keys, falling; equal scores by falling key."""
+    if len(scores) > 4 * k:
+        # whatever ties with the k-th score stays, at the price of columns of unequal length
+        least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        most = int((scores >= least).sum(axis=0).max())
+        if most < len(scores):
+            at = np.argpartition(scores, len(scores) - most, axis=0)[len(scores) - most :]
+            scores, keys = np.take_along_axis(scores, at, 0), np.take_along_axis(keys, at, 0)
+    order = np.lexsort((keys, scores), axis=0)[::-1][:k]
+    return np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", knn: bool = False) -> DataFrame:
     """qid, key, score, rank; ``queries``: qid, vector. With ``knn`` the score is (1 + cosine) / 2.
 
-    Each batch of the corpus is multiplied with the query matrix and gives its best k for each query, so
-    that what is shuffled grows with the number of batches, not with that of pairs. Equal scores
-    (to 6 digits) rank by falling key.
+    Each batch of the corpus is multiplied with the query matrix; a task keeps the best k of each query
+    and hands on these alone, so that what is shuffled grows with the number of tasks, not with that of
+    pairs. Equal scores (to 6 digits) rank by falling key. Null vectors are near to nothing.
     """
-    rows = queries.select("qid", "vector").orderBy("qid")
-    dim = len((queries.select("vector").first() or [[0.0]])[0])
-    per = max(1, BLOCK // max(1, dim))
-    held, parts = rows.toLocalIterator(), []
     spark = corpus.sparkSession
+    asked = queries.select("qid", "vector").where("vector is not null")
+    first = asked.first()
     kind = corpus.schema[key].dataType.simpleString()
     qkind = queries.schema["qid"].dataType.simpleString()
+    if first is None:
+        return spark.createDataFrame([], f"qid {qkind}, {key} {kind}, score double, rank int")
+    per = max(1, BLOCK // max(1, len(first.vector)))
+    held, parts = asked.orderBy("qid").toLocalIterator(), []
+    rows = corpus.select(key, F.col(vector).alias("v")).where("v is not null")
     while block := [r for _, r in zip(range(per), held, strict=False)]:
-        ids, matrix = [r.qid for r in block], np.array([r.vector for r in block], float).T
+        sent = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.vector for r in block], float).T))
 
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, matrix = sent.value
+            step = max(k, PRODUCT // matrix.shape[1], 1)
+            scores, keys = np.zeros((0, len(ids))), None
             for x in batches:
-                keys = x[key].to_numpy()
-                near = np.round(np.stack(x["v"].to_numpy()).astype(float) @ matrix, 6)
-                out = []
-                for q, column in enumerate(near.T):
-                    best = np.lexsort((keys, column))[::-1][:k]
-                    out.append(pd.DataFrame({"qid": ids[q], key: keys[best], "score": column[best]}))
-                yield pd.concat(out)
-
-        part = corpus.select(key, F.col(vector).alias("v")).where("v is not null").mapInPandas(run, f"qid {qkind}, {key} {kind}, score double")
-        parts.append(part)
-    if not parts:
-        return spark.createDataFrame([], f"qid {qkind}, {key} {kind}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    from pyspark.sql import Window
-
+                own, vectors = x[key].to_numpy(), np.stack(x["v"].to_numpy()).astype(float)
+                own = own.astype(str) if own.dtype == object else own
+                for at in range(0, len(own), step):
+                    near = np.round(vectors[at : at + step] @ matrix, 6)
+                    names = np.broadcast_to(own[at : at + step, None], near.shape)
+                    if keys is not None:
+                        near, names = np.concatenate([scores, near]), np.concatenate([keys, names])
+                    scores, keys = _best_each(near, names, k)
+            if keys is not None:
+                n = len(scores)
+                yield pd.DataFrame({"qid": np.repeat(np.array(ids), n), key: keys.T.ravel(), "score": scores.T.ravel()})
+
+        parts.append(rows.mapInPandas(run, f"qid {qkind}, {key} {kind}, score double"))
+    out = reduce(DataFrame.union, parts)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc(key))
     out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.withColumn("score", F.round((F.col("score") + 1) / 2, 7)) if knn else out
@@ -59,27 +78,42 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
 def hashed_embedding(c, dim: int = 64) -> Column:
     """Signed feature hashing of the terms, of unit length; the zero vector without terms."""
-    number = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")
-    coded = F.transform(T.tokens(c), lambda w: number(w))
 
-    def vector(h: Column) -> Column:
-        ones = lambda d: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when((x / 2).cast("bigint") % dim == d, F.when(x % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0)))
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: ones(d))
+    @F.pandas_udf("array<double>")
+    def vectors(rows: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
 
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return T.let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+        def place(word: str) -> int:
+            """Twice the dimension, and one more for a negative sign."""
+            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+            known[word] = found = h // 2 % dim * 2 + h % 2
+            return found
 
-    return T.let(T.let(coded, vector), unit)
+        def one(words) -> np.ndarray:
+            n = np.bincount([known[w] if w in known else place(w) for w in words], minlength=2 * dim) if len(words) else np.zeros(2 * dim)
+            v = (n[::2] - n[1::2]).astype(float)
+            norm = np.sqrt(v @ v)
+            return v / norm if norm > 0 else v
 
+        return rows.map(one)
 
-def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate neighbours by bucketed random projections; recall depends on the parameters."""
+    return vectors(T.tokens(c))
+
+
+def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, candidates: int | None = None, bucket: float = 1.0, tables: int = 12) -> DataFrame:
+    """Approximate neighbours by bucketed random projections: qid, vec_id, score, rank, as ``nearest`` with ``knn``.
+
+    Of the vectors that meet a query in a bucket the nearest ``candidates`` (by default the larger of 100
+    and 2 k) are looked at. Recall depends on the parameters; unit vectors are expected.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    have = corpus.select(F.col("vec_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    want = queries.select("qid", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    have = corpus.select(F.col("vec_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v")).where("v is not null")
+    want = queries.select("qid", array_to_vector(F.col("vector").cast("array<double>")).alias("v")).where("v is not null")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(have)
-    pairs = model.approxSimilarityJoin(have, want, 2.0, "distance").select(F.col("datasetB.qid").alias("qid"), F.col("datasetA.vec_id").alias("vec_id"), (F.lit(1.0) - F.col("distance") ** 2 / 2).alias("score"))
-    return top(pairs, k, "vec_id")
+    # no two unit vectors are farther apart than 2; beyond the square root of 2 they have nothing in common
+    pairs = model.approxSimilarityJoin(have, want, 2**0.5, "distance").select(F.col("datasetB.qid").alias("qid"), F.col("datasetA.vec_id").alias("vec_id"), F.round(F.lit(1.0) - F.col("distance") ** 2 / 4, 7).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("vec_id"))
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (candidates or max(100, 2 * k)))
+    return best.where(F.col("rank") <= k)

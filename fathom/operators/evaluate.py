@@ -17,6 +17,33 @@ def golden(items: DataFrame) -> DataFrame:
     return pairs.join(first, ["qid", "uuid", "index"]).select("qid", "n", F.col("m.content").alias("content"))
 
 
+#: Words of a query by which its documents are looked up; the first and the last word may stand inside longer ones.
+INNER = 5
+#: Short queries that may be held against every document.
+FEW = 1_000
+
+
+def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``docs`` (content and other columns) with the ``qid`` of each query whose text (``query``) they contain.
+
+    A document that contains a text has its inner words in a row, so documents and queries meet by a hash
+    of ``INNER`` of them. Texts with too few words, at most ``FEW``, are held against all documents.
+    """
+    w = T.words("query")
+    cut = queries.select("qid", "query", F.slice(w, 2, INNER).alias("inner"), F.size(w).alias("n"))
+    long, short = cut.where(F.col("n") >= INNER + 2), cut.where(F.col("n") < INNER + 2)
+    keyed = long.select("qid", "query", F.xxhash64(F.array_join("inner", " ")).alias("h"))
+    own = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(x) - INNER + 1), lambda i: F.xxhash64(F.array_join(F.slice(x, i, INNER), " "))))
+    rows = docs.withColumn("h", T.let(T.words("content"), lambda x: F.when(F.size(x) >= INNER, own(x)).otherwise(F.array().cast("array<bigint>"))))
+    met = rows.withColumn("h", F.explode("h")).join(keyed, "h").where(F.contains("content", "query")).drop("h", "query")
+    n = short.count()
+    if n == 0:
+        return met
+    if n > FEW:
+        raise ValueError(f"{n} queries of fewer than {INNER + 2} words")
+    return met.unionByName(docs.join(F.broadcast(short.select("qid", "query")), F.contains("content", "query")).drop("query"))
+
+
 def pass_at_k(queries: DataFrame, gold: DataFrame, retrieved: DataFrame) -> DataFrame:
     """``queries``: qid; ``gold``: qid, content; ``retrieved``: qid, content.
 

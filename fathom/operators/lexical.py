@@ -1,48 +1,51 @@
 """BM25 over one or several fields, for tables of queries.
 
-Corpus statistics are aggregates of the same postings; only postings of the queries' terms leave
-the map side, and the query terms are broadcast only up to a checked number.
+An index holds the postings of each field (key, term, tf, dl), the document frequencies of the terms
+and the number and mean length of the documents. It is made in one pass over the texts. A collection
+keeps it sorted by a hash of the term, so that a search reads only the parts its terms are in. Without
+a kept index a search makes the part of it that its own queries need, also in one pass.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions import stemming
 from fathom.functions import text as T
+from fathom.sources import workspace
 
 K1, B = 1.2, 0.75
+#: Rows of (query, term), or of terms, that may be broadcast (about 50 bytes each).
 BROADCAST_TERMS = 1_000_000
+#: Parts that a kept index is sorted into, and the one of the rows that stand for documents.
+SHARDS, DOCUMENTS = 1024, -1
+#: Up to so many parts a search names those that it needs.
+NAMED = 256
 
 # The stop words of the usual English analyzer.
 ENGLISH_STOPS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
 def english_tokens(c) -> Column:
-    """Terms without possessives, stop words and plural or verbal endings (a light stemmer, not Porter's)."""
+    """Terms without possessives and stop words, stemmed after Porter."""
     bare = F.transform(T.tokens(c), lambda x: F.regexp_replace(x, r"['’]s$", ""))
-    kept = F.filter(bare, lambda x: ~x.isin(ENGLISH_STOPS) & (x != ""))
-    ended = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?<=..)ies$", "i"), r"(?<=...)(?:ing|edly|ed|ingly)$", ""), r"(?<=[^s]..)s$|(?<=ss)es$", "")
-    return F.transform(kept, ended)
+    return stemming.porter(F.filter(bare, lambda x: ~x.isin(ENGLISH_STOPS) & (x != "")))
 
 
 def doc_lengths(docs: DataFrame, key: str, field: str, analyze=T.tokens) -> DataFrame:
-    return docs.select(F.col(key).alias(key), F.size(analyze(field)).cast("long").alias("dl"))
+    return workspace.spread(docs.select(key, field)).select(F.col(key).alias(key), F.size(analyze(field)).cast("long").alias("dl"))
 
 
 def field_stats(docs: DataFrame, field: str, analyze=T.tokens) -> DataFrame:
     dl = F.size(analyze(field))
-    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def postings(docs: DataFrame, key: str, field: str, analyze=T.tokens) -> DataFrame:
-    """key, term, tf, dl."""
-    rows = docs.select(F.col(key).alias(key), analyze(field).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    return workspace.spread(docs.select(field)).select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(docs: DataFrame, key: str, field: str, analyze=T.tokens) -> DataFrame:
-    rows = docs.select(F.explode(F.array_distinct(analyze(field))).alias("term"))
+    rows = workspace.spread(docs.select(field)).select(F.explode(F.array_distinct(analyze(field))).alias("term"))
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -52,19 +55,73 @@ def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query", anal
     return rows.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(docs: DataFrame, terms: DataFrame, key: str, field: str, analyze=T.tokens) -> DataFrame:
-    """qid, key, score for documents that have at least one term."""
+@dataclass
+class Index:
+    """``rows``: field, term, key, tf, dl, and for each document a row without a term; ``postings`` are those with one.
+
+    ``terms``: field, term, df; ``stats``: field, n, avgdl (one row a field).
+    """
+
+    rows: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    key: str
+
+
+def shard(term: str = "term") -> Column:
+    return F.when(F.col(term).isNull(), F.lit(DOCUMENTS)).otherwise(F.pmod(F.xxhash64(term), F.lit(SHARDS))).cast("int")
+
+
+def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, wanted: DataFrame | None = None) -> Index:
+    """The index of ``fields``, of all terms or of ``wanted`` (term) alone, written.
+
+    Each text is cut once. A row without a term stands for a document and brings its length.
+    """
+    rows = workspace.spread(docs.select(F.col(key).alias(key), *dict.fromkeys(fields)))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), analyze(f).alias("w")) for f in fields])
+    rows = rows.select(key, F.inline(each)).select(key, "field", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    if wanted is not None:
+        wanted = wanted.select("term").distinct()
+        # the row of the document passes as well
+        wanted = wanted.union(wanted.sparkSession.range(1).select(F.lit(None).cast("string")))
+        small = wanted.count() <= BROADCAST_TERMS
+        rows = rows.join((F.broadcast(wanted) if small else wanted).withColumnRenamed("term", "t"), F.expr("term <=> t"), "left_semi")
+    found = rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    return of_postings(workspace.written(found, "postings"), key)
+
+
+def of_postings(found: DataFrame, key: str) -> Index:
+    """The index over written rows of ``key, field, term, tf, dl``, with a row without a term for each document."""
+    postings, lengths = found.where("term is not null"), found.where("term is null and dl > 0")
+    if "shard" in found.columns:
+        lengths = lengths.where(F.col("shard") == DOCUMENTS)
+    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(found, postings, terms, stats, key)
+
+
+def scores(index_: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
+    """qid, key, score for documents that have at least one term: the best of the fields' boosted scores."""
+    key = index_.key
+    terms = workspace.written(terms, "terms")
+    small = terms.count() <= BROADCAST_TERMS
     wanted = terms.select("term").distinct()
-    bounded = wanted.count() <= BROADCAST_TERMS
-    wanted, terms = (F.broadcast(wanted), F.broadcast(terms)) if bounded else (wanted, terms)
-    rows = docs.select(F.col(key).alias(key), analyze(field).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    found = rows.join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = field_stats(docs, field, analyze)
-    known = found.join(F.broadcast(df) if bounded else df, "term").crossJoin(F.broadcast(stats))  # one row
+    near = lambda x: F.broadcast(x) if small else x
+    found = index_.postings
+    if "shard" in found.columns:  # row groups without these parts are skipped
+        parts = [r.shard for r in wanted.select(shard().alias("shard")).distinct().limit(NAMED + 1).collect()]
+        found = found.where(F.col("shard").isin(parts)) if len(parts) <= NAMED else found
+    found = found.join(near(wanted), "term", "left_semi")
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    boost = F.create_map(*[F.lit(v) for f, b in boosts.items() for v in (f, float(b))])
+    known = found.where(F.col("field").isin(list(boosts))).join(near(df), ["field", "term"]).join(F.broadcast(index_.stats), "field")  # a row a field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     tf = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    return known.select(key, "term", (idf * tf).alias("part")).join(terms, "term").groupBy("qid", key).agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+    known = known.select(key, "field", "term", (idf * tf).alias("part")).join(near(terms), "term")
+    each = known.groupBy("qid", key, "field").agg((F.sum(F.col("qtf") * F.col("part"))).alias("score"))
+    each = each.withColumn("score", F.col("score") * boost[F.col("field")])
+    return each.groupBy("qid", key).agg(F.max("score").alias("score")) if len(boosts) > 1 else each.drop("field")
 
 
 def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "score") -> DataFrame:
@@ -73,13 +130,13 @@ def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "scor
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search_index(index_: Index, queries: DataFrame, k: int, fields: dict[str, float], analyze=T.tokens) -> DataFrame:
+    """qid, key, score, rank. Scores are rounded to 9 digits."""
+    found = scores(index_, query_terms(queries, analyze=analyze), fields)
+    return top(found.withColumn("score", F.round("score", 9)), k, index_.key)
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", fields: dict[str, float] | None = None, analyze=T.tokens) -> DataFrame:
-    """qid, key, score, rank. Several fields: the best of their boosted scores. Scores are rounded to 9 digits."""
-    terms = query_terms(queries, analyze=analyze)
-    parts = [scores(docs, terms, key, f, analyze).withColumn("score", F.col("score") * F.lit(float(boost))) for f, boost in (fields or {"text": 1.0}).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    if len(parts) > 1:
-        out = out.groupBy("qid", key).agg(F.max("score").alias("score"))
-    return top(out.withColumn("score", F.round("score", 9)), k, key)
+    """``search_index`` over the part of the index that these queries need."""
+    fields = fields or {"text": 1.0}
+    return search_index(index(docs, key, list(fields), analyze, query_terms(queries, analyze=analyze)), queries, k, fields, analyze)

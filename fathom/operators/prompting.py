@@ -40,6 +40,49 @@ def legacy_context(hits: DataFrame) -> DataFrame:
     return rows.agg(ordered_join("rank", "label", "\n\n").alias("context"), F.concat(F.lit("\n\n**Sources:**\n"), ordered_join("rank", "cited", "\n")).alias("citations"))
 
 
+# The prompts of the older answers and of the chat, before, between and after what is put in.
+LEGACY_PROMPT = (
+    "Based on the following context from documents, answer the question accurately and helpfully.\n\nContext:\n",
+    "\n\nQuestion: ",
+    "\n\nInstructions:\n1. Answer based primarily on the provided context\n2. Include relevant citations using [1], [2], etc. format\n"
+    "3. If the context doesn't contain enough information, say so clearly\n4. Be precise and helpful\n\nAnswer:",
+)
+CHAT_PROMPT = (
+    "You are an AI assistant helping users understand documents. Based on the provided context and conversation history, answer the user's question accurately and helpfully.\n\n"
+    "Context from documents:\n",
+    "\n\nPrevious conversation:\n",
+    "\n\nCurrent question: ",
+    "\n\nInstructions:\n1. Answer based solely on the provided context\n2. If the context doesn't contain enough information, say so clearly.\n"
+    "3. Include relevant citations from the document like section, header, page number etc, when referencing specific sources.\n"
+    "4. Be conversational and helpful while staying accurate\n5. If referring to previous parts of the conversation, make that clear\n"
+    "6. Mention sources using (Source X) format, where X is the source number from the context.\n\nAnswer:",
+)
+CHAT_SOURCES = 25
+
+
+def legacy_prompt(context, query) -> Column:
+    start, question, end = map(F.lit, LEGACY_PROMPT)
+    return F.concat(start, T.col(context), question, T.col(query), end)
+
+
+def legacy_answer(reply, citations) -> Column:
+    """The reply with its sources under it; a reply that failed is the text of its error (null here)."""
+    return F.coalesce(F.concat(T.col(reply), F.coalesce(T.col(citations), F.lit(""))), F.lit("Error generating response: no reply"))
+
+
+def chat_context(hits: DataFrame, most: int = CHAT_SOURCES) -> DataFrame:
+    """``hits``: qid, rank, content, contextualized_content, page_start, page_end. Returns qid, context: blocks labelled by what heads the chunk."""
+    head = {v: T.header("contextualized_content", v) for v in ("Chapter", "Section", "Heading", "Sub-Heading")}
+    label = T.source_label("rank", head["Chapter"], head["Section"], head["Heading"], head["Sub-Heading"], T.page_citation("page_start", "page_end"))
+    block = F.concat(label, F.lit(": "), F.coalesce("content", F.lit("")))
+    return hits.where(F.col("rank") <= most).withColumn("block", block).groupBy("qid").agg(ordered_join("rank", "block", "\n\n").alias("context"))
+
+
+def chat_prompt(context, history, query) -> Column:
+    start, before, question, end = map(F.lit, CHAT_PROMPT)
+    return F.concat(start, F.coalesce(T.col(context), F.lit("")), before, F.coalesce(T.col(history), F.lit("")), question, T.col(query), end)
+
+
 def recent_history(messages: DataFrame, last: int = 6) -> DataFrame:
     """``messages``: conv_id, turn, role, text. The last messages of each conversation, oldest first."""
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))

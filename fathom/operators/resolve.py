@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 
 
 def resolve_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
-    """``hits``: qid, chunk_id, rank. Parents in the order of their first child; unknown ones are dropped."""
+    """``hits``: qid, chunk_id, rank. Parents in the order of their first child; unknown ones are dropped (see ``missing``).
+
+    A parent without pages is on page 1, one without metadata has none.
+    """
     first = hits.join(children.select("chunk_id", "parent_id"), "chunk_id").groupBy("qid", "parent_id").agg(F.min("rank").alias("first_rank"))
+    parents = parents.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("page_start", "page_end")})
+    if "metadata" in parents.columns:
+        parents = parents.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     out = first.join(parents, "parent_id")
     order = Window.partitionBy("qid").orderBy("first_rank", "parent_id")
     return out.withColumn("parent_rank", F.row_number().over(order)).drop("first_rank")
 
 
+def missing(hits: DataFrame, children: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """How many hits of each query name a chunk that is not there: qid, n_missing."""
+    return hits.join(children.select(key).distinct(), key, "left_anti").groupBy("qid").agg(F.count("*").alias("n_missing"))
+
+
+def rerank_chunks(ranked: DataFrame, k: int, score, key: str) -> DataFrame:
+    """``ranked``: qid, key, rank and the chunk's columns. Best k by ``score``, fewer where there are fewer; equal scores keep their order."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("first_rank"))
+    out = ranked.withColumnRenamed("rank", "first_rank").withColumn("score", score)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_rank")
+
+
 def rerank(ranked: DataFrame, k: int, score) -> DataFrame:
     """Best k by ``score`` (a column); equal scores keep their order."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("parent_rank"))

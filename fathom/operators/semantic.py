@@ -55,9 +55,16 @@ def clusters(segments: DataFrame, longest: int = 8) -> DataFrame:
 
 def assemble(segments: DataFrame, members: DataFrame) -> DataFrame:
     """Chunks: texts of a cluster in order, its pages and its estimate of tokens."""
+    from fathom.functions.text import token_estimate
+
     rows = segments.join(members, ["doc_id", "seg_idx"]).groupBy("doc_id", "cluster")
     parts = F.array_sort(F.collect_list(F.struct("seg_idx", "text")))
     out = rows.agg(F.array_join(F.transform(parts, lambda p: p.text), " ").alias("content"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    from fathom.functions.text import token_estimate
-
     return out.select(F.concat(F.lit("chunk_"), "cluster").alias("chunk_id"), "doc_id", F.col("cluster").alias("original_index"), "content", "page_start", "page_end", token_estimate("content").alias("token_count"))
+
+
+def dataset(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """One entry a document: doc_id, original_uuid, pdf_path (of ``paths``: doc_id, pdf_path) and its chunks in order."""
+    fields = ["original_index", "chunk_id", "content", "page_start", "page_end", "token_count"]
+    rows = F.array_sort(F.collect_list(F.struct(*fields)))
+    return chunks.groupBy("doc_id").agg(rows.alias("chunks")).join(paths, "doc_id", "left").select("doc_id", F.col("doc_id").alias("original_uuid"), "pdf_path", "chunks")

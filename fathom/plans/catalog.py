@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, evaluate, fusion, lexical, prompting, resolve, router, semantic
-from fathom.sources.tables import document_pages, table
+from fathom.plans.providers import CoverageReranker, ExtractiveGenerator
+from fathom.sources.tables import document_pages, page_segments, table
+from fathom.sources.workspace import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +97,12 @@ def _chunks(spark, d):
     return parents, chunking.children(parents)
 
 
+def _written_chunks(spark, d):
+    """For plans that read the chunks more than once."""
+    parents = written(chunking.parents(_pages(spark, d)), "parents")
+    return parents, written(chunking.children(parents), "children")
+
+
 def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -145,7 +153,7 @@ _SEGMENTS = r"""seg AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS seg_idx,
 
 @query(f"WITH {_SEGMENTS} SELECT doc_id, seg_idx, text FROM seg")
 def sentence_segments(spark, d):
-    return _long(table(spark, d, "documents").select("doc_id", F.posexplode(T.segments("text")).alias("seg_idx", "text")), "seg_idx")
+    return _long(page_segments(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")).drop("page"), "seg_idx")
 
 
 @query(f"""WITH {_SEGMENTS}, w AS (SELECT *, {_WORDS.format('text')} AS w FROM seg),
@@ -225,7 +233,7 @@ def bm25_batch(spark, d):
 u AS (SELECT qid, chunk_id, round(max(score), 9) AS score FROM (SELECT qid, chunk_id, 2 * score AS score FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2)
 SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM u QUALIFY rank <= 20""")
 def bm25_multifield_topk(spark, d):
-    parents, children = _chunks(spark, d)
+    parents, children = _written_chunks(spark, d)
     docs = chunking.contextualise(children, parents)
     return _long(lexical.search(docs, _queries(spark, d), 20, "chunk_id", {"contextualized_content": 2.0, "content": 1.0}), "rank")
 
@@ -252,15 +260,15 @@ def dense_knn_score(spark, d):
 
 
 @query(f"""WITH h AS (SELECT doc_id, list_transform({_tokens('text')}, lambda w: concat('0x', substr(md5(w), 1, 8))::BIGINT) AS h FROM documents),
-x AS (SELECT doc_id, unnest(h) AS h FROM h), y AS (SELECT doc_id, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS v FROM x GROUP BY 1, 2)
-SELECT doc_id, round(sqrt(sum(v * v))::DOUBLE, 6) AS norm, round(coalesce(max(v), 0) / greatest(sqrt(sum(v * v)), 1e-9), 6) AS largest FROM y GROUP BY 1""")
+x AS (SELECT doc_id, unnest(h) AS h FROM h), y AS (SELECT doc_id, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM x GROUP BY 1, 2),
+z AS (SELECT doc_id, nullif(sqrt(sum(v * v)), 0) AS norm, sum(v) AS s, CASE WHEN count(*) < 64 THEN greatest(max(v), 0) ELSE max(v) END AS m, sum(CASE WHEN v = 0 THEN 0 ELSE d + 1 END) AS places FROM y GROUP BY 1)
+SELECT doc_id, round(coalesce(s / norm, 0), 6) AS total, round(coalesce(m / norm, 0), 6) AS largest, coalesce(places, 0)::BIGINT AS places FROM documents LEFT JOIN z USING (doc_id)""")
 def hash_embedding(spark, d):
-    """The embedding's length before it is set to one, and its largest component, from the grouped form."""
-    h = table(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("w"))
-    h = h.select("doc_id", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint").alias("h"))
-    y = h.groupBy("doc_id", (F.floor(F.col("h") / 2) % 64).alias("d")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1).otherwise(-1)).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
-    return y.groupBy("doc_id").agg(F.round(norm, 6).alias("norm"), F.round(F.max("v") / F.greatest(norm, F.lit(1e-9)), 6).alias("largest"))
+    """Digests of the vectors that the engine's embedder gives: sum, largest component, sum of the places that are not zero."""
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", dense.hashed_embedding("text").alias("v"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    places = F.aggregate(F.transform("v", lambda x, i: F.when(x != 0, i + 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select("doc_id", F.round(add(F.col("v")), 6).alias("total"), F.round(F.array_max("v"), 6).alias("largest"), places.alias("places"))
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -318,7 +326,7 @@ res AS (SELECT qid, parent_id, p.doc_id, p.filename, p.content, p.page_start, p.
 
 
 def _resolved(spark, d):
-    parents, children = _chunks(spark, d)
+    parents, children = _written_chunks(spark, d)
     return resolve.resolve_parents(lexical.search(children, _queries(spark, d), 20, "chunk_id", {"content": 1.0}), children, parents)
 
 
@@ -355,21 +363,14 @@ def source_previews(spark, d):
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-@query(rf"""WITH q AS (SELECT qid, query FROM (SELECT item_id AS qid, text AS query FROM benchmark) WHERE regexp_full_match(query, '[\x00-\x7F]*')),
-t AS (SELECT qid, regexp_extract_all(lower(query), '\b[a-zA-Z0-9_-]+\b') AS w FROM q)
-SELECT qid, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: CASE WHEN list_contains([{_STOPS}], x) THEN 0.5::DOUBLE
-  ELSE 2::DOUBLE * ln(length(x) + 1) * (len(list_distinct(string_split(x, ''))) / length(x)::DOUBLE) END)) / len(w) END, 9) AS specificity FROM t""")
-def query_specificity(spark, d):
-    """Queries of ASCII letters only: elsewhere the two engines see word boundaries differently."""
-    rows = _queries(spark, d).where(F.col("query").rlike(r"\A\p{ASCII}*\z"))
-    return rows.select("qid", F.round(T.specificity("query"), 9).alias("specificity"))
+# letters, marks and digits beyond ASCII become Z, which lower-cased text does not hold: part of a word for \b, but of no term
+_SPECIFICITY = rf"""sw AS (SELECT item_id AS qid, regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\p{{No}}]', 'Z', 'g'), '\b[a-z0-9_-]+\b') AS w FROM benchmark),
+sp AS (SELECT qid, CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: CASE WHEN list_contains([{_STOPS}], x) THEN 0.5::DOUBLE
+  ELSE 2::DOUBLE * ln(length(x) + 1) * (len(list_distinct(string_split(x, ''))) / length(x)::DOUBLE) END)) / len(w) END AS specificity FROM sw)"""
 
 
-# letters, marks and digits beyond ASCII become Z, which lower-cased text does not hold: part of a word for \b, but of no term
-@query(rf"""WITH t AS (SELECT item_id AS qid, regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\p{{No}}]', 'Z', 'g'), '\b[a-z0-9_-]+\b') AS w FROM benchmark)
-SELECT qid, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: CASE WHEN list_contains([{_STOPS}], x) THEN 0.5::DOUBLE
-  ELSE 2::DOUBLE * ln(length(x) + 1) * (len(list_distinct(string_split(x, ''))) / length(x)::DOUBLE) END)) / len(w) END, 9) AS specificity FROM t""")
-def query_specificity_all(spark, d):
+@query(f"WITH {_SPECIFICITY} SELECT qid, round(specificity, 9) AS specificity FROM sp")
+def query_specificity(spark, d):
     """All queries, in any script."""
     return _queries(spark, d).select("qid", F.round(T.specificity("query"), 9).alias("specificity"))
 
@@ -391,16 +392,24 @@ def probe_entropy(spark, d):
     return _probe(spark, d).select("qid", F.round("margin", 7).alias("margin"), F.round("entropy", 4).alias("entropy"))
 
 
-@query(_PROBE + """ SELECT qid, CASE WHEN round(margin, 7) >= 0.08 AND round(entropy, 4) <= 1.3 THEN 'direct' WHEN round(entropy, 4) > 1.3 AND round(margin, 7) < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM m""")
+@query(_PROBE.replace("FROM e)", "FROM e)", 1) + f""", {_SPECIFICITY}, o AS (SELECT sp.qid, specificity AS s, coalesce(margin, 0) AS m, coalesce(entropy, 0) AS h FROM sp LEFT JOIN m USING (qid)),
+w AS (SELECT *, CASE WHEN s >= 3.5 OR m >= 0.08 AND h <= 1.3 THEN 'direct' WHEN h > 1.3 AND m < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM o)
+SELECT qid, tier, round(s, 9) AS specificity, round(m, 7) AS margin, round(h, 4) AS entropy, CASE tier WHEN 'direct' THEN 'High query specificity' WHEN 'hyde' THEN 'High retrieval ambiguity' ELSE 'Moderate query complexity' END AS reason FROM w""")
 def route_decision(spark, d):
-    """The tier of each vector by its probe alone (no words, so a specificity of 0)."""
-    rows = _probe(spark, d)
-    return rows.select("qid", router.tier(F.lit(0.0), F.round("margin", 7), F.round("entropy", 6)).alias("tier"))
+    """The router's decisions: the words of each benchmark text, and a probe of the vectors near its own."""
+    vectors = table(spark, d, "embeddings")
+    asked = _queries(spark, d)
+    probes = asked.join(vectors, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("vector"))
+    out = router.route(asked, dense.nearest(vectors, probes, 5, knn=True))
+    reason = F.regexp_extract("reason", "^(High query specificity|High retrieval ambiguity|Moderate query complexity)", 1)
+    return out.select("qid", "tier", F.round("specificity_score", 9).alias("specificity"), F.round("score_margin", 7).alias("margin"), F.round("entropy", 4).alias("entropy"), reason.alias("reason"))
 
 
-@query(f"WITH {_SPARSE}, {_DENSE}, {_rrf('f', 'd', 's', 20)} SELECT qid, doc_id, rank FROM f")
-def direct_hybrid(spark, d):
-    return _long(fusion.rrf(_dense(spark, d), _sparse(spark, d), "doc_id", 20), "rank").select("qid", "doc_id", "rank")
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), E'\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_transform(l, lambda x: regexp_replace(x, '^\d+[.)]\s*', ''))[1:3], ' | ') AS sub_queries FROM l""")
+def sub_query_lines(spark, d):
+    """What the router makes of a model's reply; each document's text stands for one."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(router.sub_queries(F.coalesce("text", F.lit(""))), " | ").alias("sub_queries"))
 
 
 @query(f"""WITH {_SPARSE}, qv AS (SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id + 1),
@@ -423,8 +432,7 @@ SELECT round(sum(coalesce(share, 0)) / count(*) * 100, 9) AS pass_at_k, count(*)
 def pass_at_k(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     asked = _queries(spark, d)
-    small = F.broadcast(asked) if asked.count() <= 100_000 else asked
-    gold = docs.join(small, F.contains("content", "query")).select("qid", "content")
+    gold = evaluate.containing(docs, asked).select("qid", "content")
     hits = _sparse(spark, d, 20).join(docs, "doc_id").select("qid", "content")
     return evaluate.pass_at_k(asked, gold, hits).withColumn("pass_at_k", F.round("pass_at_k", 9))
 
@@ -526,7 +534,7 @@ res AS (SELECT qid, parent_id, row_number() OVER (PARTITION BY qid ORDER BY fr,
 SELECT qid, parent_id, p.doc_id, p.filename, p.content, rank, round(1::DOUBLE - 0.05::DOUBLE * (rank - 1), 9) AS score FROM res JOIN parents p USING (parent_id) WHERE rank <= 5""")
 def end_to_end_search(spark, d):
     """Hybrid search over child chunks, resolved to parents, five for each query."""
-    parents, children = _chunks(spark, d)
+    parents, children = _written_chunks(spark, d)
     asked = _queries(spark, d)
     sparse = lexical.search(chunking.contextualise(children, parents), asked, 40, "chunk_id", {"contextualized_content": 2.0, "content": 1.0})
     vectors = table(spark, d, "embeddings")
@@ -535,3 +543,226 @@ def end_to_end_search(spark, d):
     hits = fusion.rrf(dense.nearest(of_chunk, of_query, 40, key="chunk_id"), sparse, "chunk_id", 20)
     found = resolve.rerank_fallback(resolve.resolve_parents(hits, children, parents), 5)
     return _long(found, "rank").select("qid", "parent_id", "doc_id", "filename", "content", "rank", "score")
+
+
+# --- reranking of chunks, evaluation, prompts ---------------------------------------------------
+
+_COVERAGE = "CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qw), cw[1:greatest(512 - len(qw), 0)])) / len(list_distinct(qw))::DOUBLE END"
+#: Documents as chunks of one page each, with the context that needs no model.
+_AS_CHUNKS = r"ch AS (SELECT doc_id, coalesce(text, '') AS content, coalesce(text, '') || E'\nPage: 1' AS contextualized_content FROM documents)"
+
+
+def _reranked_sql(hits: str, k: int) -> str:
+    pair = r"content || E'\n\nContext: ' || contextualized_content"
+    return f"""{_AS_CHUNKS}, rw AS (SELECT h.qid, h.doc_id, h.rank AS fr, {_tokens('query')} AS qw, {_tokens(f'({pair})')} AS cw FROM {hits} h JOIN ch USING (doc_id) JOIN q0 ON q0.qid = h.qid),
+rr AS (SELECT qid, doc_id, round({_COVERAGE}, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_COVERAGE} DESC, fr) AS rank FROM rw QUALIFY rank <= {k})"""
+
+
+def _as_chunks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    return chunking.legacy_context(docs)
+
+
+def _reranked(spark, d, hits, k):
+    rows = hits.select("qid", "doc_id", "rank").join(_as_chunks(spark, d), "doc_id").join(_queries(spark, d), "qid")
+    return _long(resolve.rerank_chunks(rows, k, CoverageReranker().score(F.col("query"), chunking.rerank_text("content")), "doc_id"), "rank")
+
+
+def _digest(df):
+    return df.select("qid", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+def _wide(k: int) -> str:
+    return _DENSE.replace("rank <= 40", f"rank <= {k}")
+
+
+@query(f"WITH {_Q}, {_wide(200)}, {_reranked_sql('d', 20)} SELECT qid, doc_id, score, rank FROM rr")
+def retrieve_rerank(spark, d):
+    """Ten times as many dense hits as asked for, reranked."""
+    return _digest(_reranked(spark, d, _dense(spark, d, 200), 20))
+
+
+@query(f"WITH {_Q}, {_wide(15)}, {_reranked_sql('d', 5)} SELECT qid, doc_id, score, rank FROM rr")
+def agent_rerank(spark, d):
+    """The agent's form: three times as many dense hits."""
+    return _digest(_reranked(spark, d, _dense(spark, d, 15), 5))
+
+
+@query(_WEIGHTED + f", {_reranked_sql('h', 10)} SELECT qid, doc_id, score, rank FROM rr")
+def chat_rerank(spark, d):
+    """The chat's form: twice as many hits of the weighted fusion."""
+    return _digest(_reranked(spark, d, fusion.weighted_reciprocal(_dense(spark, d), _sparse(spark, d), ["doc_id"], 20), 10))
+
+
+@query(_RESOLVED + f""", rw AS (SELECT r.*, {_tokens('query')} AS qw, {_tokens('content')} AS cw FROM res r JOIN q0 USING (qid))
+SELECT qid, parent_id, round({_COVERAGE}, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_COVERAGE} DESC, parent_rank) AS rank FROM rw QUALIFY rank <= 5""")
+def rerank_parents(spark, d):
+    found = _resolved(spark, d).join(_queries(spark, d), "qid")
+    out = resolve.rerank(found, 5, CoverageReranker().score(F.col("query"), F.col("content")))
+    return _long(out, "rank").select("qid", "parent_id", F.round("score", 9).alias("score"), "rank")
+
+
+_LABEL_GOLD = """lab AS (SELECT vec_id AS doc_id, label FROM embeddings),
+gold AS (SELECT qid, l.doc_id FROM (SELECT qid, label FROM q0 JOIN embeddings ON vec_id = qid) q JOIN lab l USING (label)),
+e AS (SELECT qid, count(f.doc_id) / count(*)::DOUBLE AS share, count(f.doc_id) AS found FROM gold LEFT JOIN f USING (qid, doc_id) GROUP BY 1)
+SELECT round(sum(coalesce(share, 0)) / count(*) * 100, 9) AS pass_at_k, count(*) AS n_queries, coalesce(sum(found), 0)::BIGINT AS n_found FROM q0 LEFT JOIN e USING (qid)"""
+
+
+def _label_gold(spark, d, hits):
+    """Gold are the vectors of the same label; contents are their ids."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    asked = _queries(spark, d)
+    gold = asked.join(vectors, F.col("qid") == F.col("doc_id")).select("qid", "label").join(vectors, "label").select("qid", F.col("doc_id").cast("string").alias("content"))
+    return evaluate.pass_at_k(asked, gold, hits.select("qid", F.col("doc_id").cast("string").alias("content"))).withColumn("pass_at_k", F.round("pass_at_k", 9))
+
+
+@query(f"WITH {_Q}, {_wide(20)}, f AS (SELECT qid, doc_id FROM d), {_LABEL_GOLD}")
+def pass_at_k_dense(spark, d):
+    return _label_gold(spark, d, _dense(spark, d, 20))
+
+
+@query(f"WITH {_Q}, {_wide(200)}, {_reranked_sql('d', 20)}, f AS (SELECT qid, doc_id FROM rr), {_LABEL_GOLD}")
+def pass_at_k_reranked(spark, d):
+    return _label_gold(spark, d, _reranked(spark, d, _dense(spark, d, 200), 20))
+
+
+@query(None)
+def bm25_english(spark, d):
+    """The older search by words: both fields alike, English analysis with Porter's stems (beyond SQL)."""
+    docs = _as_chunks(spark, d)
+    return _long(lexical.search(docs, _queries(spark, d), 20, "doc_id", {"content": 1.0, "contextualized_content": 1.0}, lexical.english_tokens), "rank")
+
+
+def _lit(x: str) -> str:
+    return "E'" + x.replace("'", "''").replace("\n", "\\n") + "'"
+
+
+_ANSWER_CONTEXT = f"c AS (SELECT qid, string_agg({_BLOCK}, E'\\n\\n---\\n\\n' ORDER BY parent_rank) AS context FROM res WHERE parent_rank <= 5 GROUP BY 1)"
+
+
+@query(_RESOLVED + f", {_ANSWER_CONTEXT} SELECT qid, {_lit(prompting.RULES + 'Context:' + chr(10))} || context || {_lit(chr(10) * 2 + 'Question: ')} || query || {_lit(chr(10) * 2 + 'Answer:')} AS prompt FROM c JOIN q0 USING (qid)")
+def answer_prompts(spark, d):
+    context = prompting.context_blocks(resolve.no_rerank(_resolved(spark, d), 5))
+    return context.join(_queries(spark, d), "qid").select("qid", prompting.answer_prompt("context", "query").alias("prompt"))
+
+
+_LEGACY = [_lit(x) for x in prompting.LEGACY_PROMPT]
+
+
+@query(f"""WITH {_SPARSE}, h AS (SELECT qid, rank, doc_id, coalesce(text, '') AS content, doc_id % 3 AS a, doc_id % 3 + doc_id % 2 AS b FROM s JOIN documents USING (doc_id) WHERE rank <= 5),
+c AS (SELECT qid, string_agg('[Source ' || rank || ']: ' || content, E'\\n\\n' ORDER BY rank) AS context, E'\\n\\n**Sources:**\\n' || string_agg('[' || rank || '] ' || doc_id || ', ' ||
+  CASE WHEN a = 0 OR b = 0 THEN 'page unknown' WHEN a = b THEN 'p. ' || a ELSE 'pp. ' || a || '-' || b END, E'\\n' ORDER BY rank) AS citations FROM h GROUP BY 1)
+SELECT qid, {_LEGACY[0]} || context || {_LEGACY[1]} || query || {_LEGACY[2]} AS prompt, 'reply' || citations AS answer FROM c JOIN q0 USING (qid)""")
+def legacy_prompts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), (F.col("doc_id") % 3).alias("page_start"), (F.col("doc_id") % 3 + F.col("doc_id") % 2).alias("page_end"))
+    out = prompting.legacy_context(_sparse(spark, d, 5).join(docs, "doc_id")).join(_queries(spark, d), "qid")
+    return out.select("qid", prompting.legacy_prompt("context", "query").alias("prompt"), prompting.legacy_answer(F.lit("reply"), "citations").alias("answer"))
+
+
+_CHAT = [_lit(x) for x in prompting.CHAT_PROMPT]
+
+
+@query(f"""WITH {_SPARSE}, h AS (SELECT qid, rank, coalesce(text, '') AS content, doc_id, CASE WHEN doc_id % 4 < 2 THEN source END AS chapter, 's' || doc_id % 7 AS section, CASE WHEN doc_id % 4 = 0 THEN lang END AS heading FROM s JOIN documents USING (doc_id) WHERE rank <= 25),
+c AS (SELECT qid, string_agg('[Source ' || rank || '] (' || CASE WHEN chapter IS NOT NULL THEN chapter || CASE WHEN heading IS NOT NULL THEN ' → ' || heading ELSE '' END || ', ' WHEN doc_id % 4 = 2 THEN section || ', ' ELSE '' END || 'p. 1): ' || content, E'\\n\\n' ORDER BY rank) AS context FROM h GROUP BY 1),
+t AS (SELECT conv_id AS qid, string_agg(CASE WHEN role = 'user' THEN 'Human' ELSE 'Assistant' END || ': ' || coalesce(text, '') || E'\\n', '' ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY 1)
+SELECT qid, {_CHAT[0]} || coalesce(context, '') || {_CHAT[1]} || coalesce(history, '') || {_CHAT[2]} || query || {_CHAT[3]} AS prompt FROM q0 LEFT JOIN c USING (qid) LEFT JOIN t USING (qid)""")
+def chat_prompts(spark, d):
+    line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c, F.lit("\n"))).otherwise(F.lit(""))
+    m = F.col("doc_id") % 4
+    head = F.concat(line("Chapter", F.when(m < 2, F.col("source"))), line("Section", F.when(m != 3, F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string")))), line("Heading", F.when(m == 0, F.col("lang"))))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), head.alias("contextualized_content"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    context = prompting.chat_context(_sparse(spark, d).join(docs, "doc_id"))
+    history = prompting.recent_history(table(spark, d, "conversations")).withColumnRenamed("conv_id", "qid")
+    return _queries(spark, d).join(context, "qid", "left").join(history, "qid", "left").select("qid", prompting.chat_prompt("context", "history", "query").alias("prompt"))
+
+
+@query(_RESOLVED + " SELECT qid, parent_rank::INTEGER AS rank, doc_id, 1::DOUBLE AS score, page_start, page_end, content FROM res WHERE parent_rank <= 5")
+def result_projection(spark, d):
+    return prompting.result_rows(resolve.no_rerank(_resolved(spark, d), 5))
+
+
+@query("WITH RECURSIVE " + _SEGMENTATION.replace("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster, first, last FROM back", r""", cl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster, first, last FROM back),
+tx AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, 'piece ' || vec_id AS text, (vec_id % 9)::INTEGER AS page FROM embeddings)
+SELECT cl.doc_id, 'chunk_' || cluster AS chunk_id, cluster AS original_index, string_agg(text, ' ' ORDER BY i) AS content, min(page) AS page_start, max(page) AS page_end, round(2 * count(*) * 1.3::DOUBLE, 6) AS token_count
+FROM cl JOIN tx ON tx.doc_id = cl.doc_id AND i BETWEEN first AND last GROUP BY 1, 2, 3"""))
+def cluster_assembly(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), place.cast("long").alias("seg_idx"), F.concat(F.lit("piece "), "vec_id").alias("text"), (F.col("vec_id") % 9).cast("int").alias("page"), "embedding")
+    out = semantic.assemble(rows.drop("embedding"), semantic.clusters(rows))
+    return out.withColumn("token_count", F.round("token_count", 6))
+
+
+@query(r"""WITH s AS (SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], '') AS s FROM documents)
+SELECT doc_id, 'Content Summary: ' || s || E'\nPage(s): Page: 1' AS contextualized_content FROM s""")
+def summarised_context(spark, d):
+    """Contexts from a model's summary; the stand-in takes the first sentence."""
+    return chunking.summarised_context(_as_chunks(spark, d).drop("page_info", "contextualized_content", "text_to_embed"), ExtractiveGenerator().chunk_summary(F.col("content"))).select("doc_id", "contextualized_content")
+
+
+@query(r"SELECT page_id, string_split(url, '/')[-1] AS base_name, regexp_replace(string_split(url, '/')[-1], '^(.+)\.[^.]*$', '\1') AS stem FROM pages")
+def path_names(spark, d):
+    return table(spark, d, "pages").select("page_id", T.base_name("url").alias("base_name"), T.stem_of_path("url").alias("stem"))
+
+
+@query("""SELECT doc_id, '[Source ' || doc_id || '] (' || CASE doc_id % 3 WHEN 0 THEN source || ', ' WHEN 1 THEN lang || ', ' ELSE '' END ||
+CASE WHEN a = 0 OR b = 0 THEN 'Page unknown' WHEN a = b THEN 'Page ' || a ELSE 'Pages ' || a || '-' || b END || ')' AS label FROM (SELECT *, doc_id % 5 AS a, doc_id % 5 + doc_id % 2 AS b FROM documents)""")
+def source_labels(spark, d):
+    """Labels by chapter, by section and by page alone, with the wording of the chat."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("chapter"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("section"), (F.col("doc_id") % 5).alias("a"), (F.col("doc_id") % 5 + F.col("doc_id") % 2).alias("b"))
+    none = F.lit(None).cast("string")
+    return rows.select("doc_id", T.source_label("doc_id", "chapter", "section", none, none, T.page_citation("a", "b", "Page", "Pages", "Page unknown")).alias("label"))
+
+
+# --- the engine as a whole ----------------------------------------------------------------------
+
+
+def _rrf_chunks(name: str, a: str, b: str, k: int) -> str:
+    """As ``_rrf``, over chunks; ``a`` and ``b`` are selections of qid, chunk_id, rank."""
+    return f"""{name}_j AS (SELECT qid, chunk_id, coalesce(1 / (60::DOUBLE + x.rank), 0) + coalesce(1 / (60::DOUBLE + y.rank), 0) AS v, x.rank AS dr, y.rank AS sr FROM ({a}) x FULL JOIN ({b}) y USING (qid, chunk_id)),
+{name} AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY v DESC, dr NULLS LAST, sr) AS rank FROM {name}_j QUALIFY rank <= {k})"""
+
+
+def _list(n: int, name: str = "few") -> str:
+    return f"SELECT qid // 10 AS qid, chunk_id, rank FROM {name} WHERE qid % 10 = {n}"
+
+
+# queries and their three sub-queries are numbered 10 qid + n
+_ENGINE = rf"""WITH {_CONTEXT}, {_SPECIFICITY}, {_Q}, w0 AS (SELECT qid, {_WORDS.format('query')} AS w FROM q0),
+sub AS (SELECT qid * 10 + 1 AS qid, array_to_string(w[1:(len(w) + 1) // 2], ' ') AS query FROM w0 UNION ALL SELECT qid * 10 + 2, array_to_string(w[len(w) // 2 + 1:], ' ') FROM w0
+  UNION ALL SELECT qid * 10 + 3, regexp_replace(array_to_string(list_sort(w), ' '), '^\d+[.)]\s*', '') FROM w0),
+v0 AS (SELECT qid * 10 AS qid, query FROM q0 UNION ALL SELECT * FROM sub WHERE query <> ''),
+hx AS (SELECT key, unnest(list_transform({_tokens('t')}, lambda w: concat('0x', substr(md5(w), 1, 8))::BIGINT)) AS h FROM (SELECT chunk_id AS key, contextualized_content AS t FROM contextual UNION ALL SELECT 'q' || qid, query FROM v0)),
+hy AS (SELECT key, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM hx GROUP BY 1, 2),
+hn AS (SELECT key, sqrt(sum(v * v)) AS norm FROM hy GROUP BY 1),
+ev AS (SELECT k.key, list(coalesce(hy.v / nullif(norm, 0), 0) ORDER BY r.d) AS v FROM hn k CROSS JOIN range(64) r(d) LEFT JOIN hy ON hy.key = k.key AND hy.d = r.d GROUP BY 1),
+dn AS (SELECT v0.qid, c.key AS chunk_id, round(list_dot_product(q.v, c.v), 6) AS score FROM v0 JOIN ev q ON q.key = 'q' || v0.qid, ev c WHERE NOT starts_with(c.key, 'q')),
+d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id DESC) AS rank FROM dn QUALIFY rank <= 40),
+{_bm25('x', 'contextual', 'chunk_id', 'contextualized_content', 'v0')}, {_bm25('y', 'contextual', 'chunk_id', 'content', 'v0')},
+u AS (SELECT qid, chunk_id, round(max(score), 9) AS score FROM (SELECT qid, chunk_id, 2 * score AS score FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2),
+s AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM u QUALIFY rank <= 40),
+{_PROBE.split(', p AS', 1)[1].join(['p AS', '']).replace('FROM t WHERE rank <= 5', 'FROM (SELECT qid // 10 AS qid, score, rank FROM d WHERE qid % 10 = 0) WHERE rank <= 5')},
+o AS (SELECT qid, CASE WHEN specificity >= 3.5 OR coalesce(margin, 0) >= 0.08 AND coalesce(entropy, 0) <= 1.3 THEN 'direct' WHEN entropy > 1.3 AND margin < 0.08 THEN 'hyde' ELSE 'multi_query' END AS tier FROM sp LEFT JOIN m USING (qid)),
+{_rrf_chunks('wide', 'SELECT qid // 10 AS qid, chunk_id, rank FROM d WHERE qid % 10 = 0', 'SELECT qid // 10 AS qid, chunk_id, rank FROM s WHERE qid % 10 = 0', 20)},
+{_rrf_chunks('few', 'SELECT qid, chunk_id, rank FROM d WHERE rank <= 20', 'SELECT qid, chunk_id, rank FROM s WHERE rank <= 20', 10)},
+{_rrf_chunks('g1', _list(0), _list(1), 1 << 30)}, {_rrf_chunks('g2', 'SELECT * FROM g1', _list(2), 1 << 30)}, {_rrf_chunks('g3', 'SELECT * FROM g2', _list(3), 20)},
+cand AS (SELECT qid, tier, chunk_id, rank FROM wide JOIN o USING (qid) WHERE tier <> 'multi_query' UNION ALL SELECT qid, tier, chunk_id, rank FROM g3 JOIN o USING (qid) WHERE tier = 'multi_query'),
+fp AS (SELECT qid, tier, parent_id, min(rank) AS fr FROM cand JOIN children USING (chunk_id) GROUP BY 1, 2, 3),
+res AS (SELECT qid, tier, parent_id, content, row_number() OVER (PARTITION BY qid ORDER BY fr, parent_id) AS parent_rank FROM fp JOIN parents USING (parent_id)),
+rw AS (SELECT res.*, {_tokens('query')} AS qw, {_tokens('content')} AS cw FROM res JOIN q0 USING (qid))
+SELECT qid, tier, parent_id, round({_COVERAGE}, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_COVERAGE} DESC, parent_rank) AS rank FROM rw QUALIFY rank <= 5"""
+
+
+@query(_ENGINE)
+def engine_search(spark, d):
+    """A collection of all documents, and the engine's answers to all benchmark texts: probe, route, tiers, fusion, parents, reranking."""
+    import uuid
+
+    from fathom.plans.engine import Engine
+    from fathom.sources.workspace import folder
+
+    engine = Engine(spark, f"{folder(spark)}/engine-{uuid.uuid4().hex}", "documents")
+    engine.ingest_pages(_pages(spark, d))
+    found = engine.search(_queries(spark, d), 5)
+    return _long(found, "rank").select("qid", "tier", "parent_id", F.round("score", 9).alias("score"), "rank")

@@ -2,12 +2,13 @@
 
 Whole tables of queries are answered at once. Routing is a table too: the queries of each tier take
 their own plan and the results are united. The only thing that comes to the driver before the
-result is which tiers occur.
+result is which tiers occur. A query is embedded once, and routed once.
 """
 
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, fusion, lexical, prompting, resolve, router
 from fathom.plans.providers import CoverageReranker, Embedder, ExtractiveGenerator, Generator, HashEmbedder, Reranker
-from fathom.sources import tables
+from fathom.sources import tables, workspace
 from fathom.sources.collection import Collection
 
+ANALYZERS = {"standard": T.tokens, "english": lexical.english_tokens}
+FIELDS = {"contextualized_content": 2.0, "content": 1.0}
+
 
 @dataclass(frozen=True)
 class EngineConfig:
@@ -33,7 +37,14 @@ class EngineConfig:
     bm25_weight: float = 0.3
     recall: int = 150
     rerank_multiplier: int = 10
+    agent_multiplier: int = 3
+    chat_multiplier: int = 2
+    #: Without sparse search hybrid search is the dense one alone.
+    sparse: bool = True
+    analyzer: str = "standard"
     fallback_direct: bool = False
+    #: Vectors of single queries that are kept.
+    cached_queries: int = 1000
 
 
 class Engine:
@@ -41,68 +52,132 @@ class Engine:
         self.spark, self.config = spark, config or EngineConfig()
         self.collection = Collection(spark, root, collection)
         self.embedder, self.reranker, self.generator = embedder or HashEmbedder(), reranker or CoverageReranker(), generator or ExtractiveGenerator()
+        self._vectors: OrderedDict[str, list[float]] = OrderedDict()
 
     # --- ingest ---
 
     def ingest_pages(self, pages: DataFrame, metadata: dict[str, str] | None = None) -> dict:
-        """``pages``: doc_id, filename, page, text. Documents that are there already are replaced."""
+        """``pages``: doc_id, filename, page, text. Documents that are there already are replaced, also by nothing."""
         c = self.config
-        kept = pages.where(T.normalise("text") != "").select(F.col("doc_id").cast("string").alias("doc_id"), "filename", F.col("page").cast("int").alias("page"), "text")
-        parents = chunking.parents(kept, c.parent_size, c.parent_overlap)
+        given = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "filename", F.col("page").cast("int").alias("page"), "text").where("doc_id is not null")
+        given = workspace.written(given, "pages")
+        kept = given.where(T.normalise("text") != "")
+        parents = workspace.written(chunking.parents(kept, c.parent_size, c.parent_overlap), "parents")
         children = chunking.contextualise(chunking.children(parents, c.child_size, c.child_overlap), parents)
         children = children.withColumn("contextualized_content", F.coalesce(F.nullif("contextualized_content", F.lit("")), "content"))
-        children = children.withColumn("embedding", self.embedder.embed(F.col("contextualized_content")))
+        children = workspace.written(children.withColumn("embedding", self.embedder.embed(F.col("contextualized_content"))), "children")
         registry = children.groupBy("doc_id").agg(F.first("filename").alias("filename"), F.count("*").alias("chunks"))
         meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         registry = registry.select("doc_id", "filename", F.col("filename").alias("pdf_path"), "chunks", F.current_timestamp().alias("inserted_at"), meta.alias("custom_metadata"))
         parents = parents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
-        self.collection.put(parents, children, registry)
-        ids = kept.select("doc_id").distinct()
-        n_p = self.collection.read("parents").join(ids, "doc_id", "left_semi").count()
-        n_c = self.collection.read("children").join(ids, "doc_id", "left_semi").count()
+        self.collection.replace(given, parents=parents, children=children, postings=self._postings(children), registry=registry)
+        n_p, n_c = parents.count(), children.count()
         if not n_p:
             return {"status": "empty", "parents": 0, "children": 0}
-        return {"status": "success", "parent_chunks_indexed": n_p, "child_chunks_indexed": n_c}
+        who = kept.select("doc_id", "filename").distinct().orderBy("doc_id", "filename").limit(2).collect()
+        one = {"doc_id": who[0].doc_id, "filename": who[0].filename} if len({r.doc_id for r in who}) == 1 else {"documents": registry.count()}
+        return {"status": "success", **one, "parent_chunks_indexed": n_p, "child_chunks_indexed": n_c}
+
+    def _postings(self, children: DataFrame) -> DataFrame:
+        made = lexical.index(children, "chunk_id", list(FIELDS), ANALYZERS[self.config.analyzer])
+        return made.rows.join(children.select("chunk_id", "doc_id"), "chunk_id").withColumn("shard", lexical.shard())
 
     def ingest_pdf(self, path: str, doc_id: str | None = None, metadata: dict[str, str] | None = None) -> dict:
-        pages = tables.pdf_pages(self.spark, path, doc_id)
+        pages = workspace.written(tables.pdf_pages(self.spark, path, doc_id), "pdf")
         bad = [r.error for r in pages.where("error is not null").select("error").limit(1).collect()]
-        return {"status": "error", "error": bad[0]} if bad else self.ingest_pages(pages, metadata)
+        return {"status": "error", "message": bad[0]} if bad else self.ingest_pages(pages, metadata)
+
+    def ingest_pdfs(self, paths: list[str], metadata: list[dict[str, str]] | None = None) -> list[dict]:
+        """One result a file, in order; a file that fails does not keep the others out. With ``metadata`` one for each file."""
+        if metadata and len(metadata) != len(paths):
+            raise ValueError("metadata must have one entry for each path")
+        out = []
+        for n, path in enumerate(paths):
+            try:
+                out.append(self.ingest_pdf(path, metadata=metadata[n] if metadata else None))
+            except Exception as e:  # one bad file must not end the job  # noqa: BLE001
+                out.append({"status": "error", "message": str(e)})
+        return out
 
     # --- search ---
 
     def _queries(self, queries: str | list[str] | DataFrame) -> DataFrame:
+        """qid, query, vector."""
         if isinstance(queries, DataFrame):
-            return queries.select("qid", "query")
+            return self._embedded(queries.select("qid", "query"), "query")
         texts = [queries] if isinstance(queries, str) else list(queries)
-        return self.spark.createDataFrame([(n, q) for n, q in enumerate(texts)], "qid long, query string")
+        new = [q for q in dict.fromkeys(texts) if q not in self._vectors]
+        fresh = {}
+        if new:
+            rows = self._embedded(self.spark.createDataFrame([(n, q) for n, q in enumerate(new)], "qid long, query string"), "query").collect()
+            fresh = {r.query: list(r.vector) for r in rows}
+        rows = [(n, q, fresh[q] if q in fresh else self._vectors[q]) for n, q in enumerate(texts)]
+        for q in texts:
+            self._vectors[q] = fresh.get(q) or self._vectors.get(q)
+            self._vectors.move_to_end(q)
+        while len(self._vectors) > self.config.cached_queries:
+            self._vectors.popitem(last=False)
+        return self.spark.createDataFrame(rows, "qid long, query string, vector array<double>")
+
+    def _embedded(self, asked: DataFrame, text: str) -> DataFrame:
+        return workspace.written(asked.withColumn("vector", self.embedder.embed(F.col(text))), "queries")
 
     def search_dense(self, asked: DataFrame, k: int, text: str = "query") -> DataFrame:
-        vectors = asked.select("qid", self.embedder.embed(F.col(text)).alias("vector"))
-        return dense.nearest(self.collection.read("children"), vectors, k, key="chunk_id", knn=True)
+        """``asked``: qid and vector, or qid and ``text``."""
+        vectors = asked if "vector" in asked.columns else self._embedded(asked, text)
+        return dense.nearest(self.collection.read("children"), vectors.select("qid", "vector"), k, key="chunk_id", knn=True)
 
-    def search_sparse(self, asked: DataFrame, k: int) -> DataFrame:
-        return lexical.search(self.collection.read("children"), asked, k, "chunk_id", {"contextualized_content": 2.0, "content": 1.0})
+    def index(self) -> lexical.Index:
+        """The kept index of all chunks."""
+        return lexical.of_postings(self.collection.read("postings"), "chunk_id")
 
-    def search_hybrid(self, asked: DataFrame, k: int, text: str = "query") -> DataFrame:
-        return fusion.rrf(self.search_dense(asked, 2 * k, text), self.search_sparse(asked, 2 * k), "chunk_id", k, self.config.k_rrf)
+    def search_sparse(self, asked: DataFrame, k: int, fields: dict[str, float] | None = None) -> DataFrame:
+        return lexical.search_index(self.index(), asked, k, fields or FIELDS, ANALYZERS[self.config.analyzer])
+
+    def search_hybrid(self, asked: DataFrame, k: int) -> DataFrame:
+        """``asked``: qid, query, vector."""
+        near = self.search_dense(asked, 2 * k)
+        found = self.search_sparse(asked, 2 * k) if self.config.sparse else near.limit(0)
+        return fusion.rrf(near, found, "chunk_id", k, self.config.k_rrf)
 
     def search_weighted(self, queries, k: int) -> DataFrame:
         """The older fusion: weighted reciprocal ranks of 150 hits a side."""
         asked, c = self._queries(queries), self.config
-        return fusion.weighted_reciprocal(self.search_dense(asked, c.recall), self.search_sparse(asked, c.recall), ["chunk_id"], k, c.semantic_weight, c.bm25_weight)
+        near = self.search_dense(asked, c.recall)
+        found = self.search_sparse(asked, c.recall, {"contextualized_content": 1.0, "content": 1.0}) if c.sparse else near.limit(0)
+        return fusion.weighted_reciprocal(near, found, ["chunk_id"], k, c.semantic_weight, c.bm25_weight)
+
+    def _reranked(self, asked: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+        """Chunks of the hits, the best k by the reranker: qid, query, rank, score and the chunk's columns."""
+        chunks = self.collection.read("children").drop("embedding")
+        rows = hits.select("qid", "chunk_id", "rank").join(chunks, "chunk_id").join(asked.select("qid", "query"), "qid")
+        return resolve.rerank_chunks(rows, k, self.reranker.score(F.col("query"), chunking.rerank_text("content")), "chunk_id")
+
+    def retrieve_rerank(self, queries, k: int = 20, multiplier: int | None = None) -> DataFrame:
+        """Dense hits, ``multiplier`` (10) times as many as asked for, then the best k by the reranker."""
+        asked = self._queries(queries)
+        return self._reranked(asked, self.search_dense(asked, k * (multiplier or self.config.rerank_multiplier)), k)
+
+    def retrieve_chat(self, queries, k: int = 10, rerank: bool = True) -> DataFrame:
+        """The chat's search: weighted fusion of 2 k hits, reranked or cut to k."""
+        asked = self._queries(queries)
+        hits = self.search_weighted(queries, k * self.config.chat_multiplier)
+        if rerank:
+            return self._reranked(asked, hits, k)
+        return hits.where(F.col("rank") <= k).join(self.collection.read("children").drop("embedding"), "chunk_id").join(asked.select("qid", "query"), "qid")
 
     def route(self, queries) -> DataFrame:
-        """All fields of the decision; a model is asked for the tiers other than direct."""
+        """All fields of the decision and the query's vector; a model is asked for the tiers other than direct."""
         asked = self._queries(queries)
         decided = router.route(asked, self.search_dense(asked, self.config.probe), self.config.thresholds)
         none = F.array().cast("array<string>")
         subs = F.when(F.col("tier") == "multi_query", router.sub_queries(self.generator.sub_queries(F.col("query")))).otherwise(none)
-        return decided.withColumn("expanded_queries", subs).withColumn("hypothetical_doc", F.when(F.col("tier") == "hyde", self.generator.passage(F.col("query"))))
+        decided = decided.withColumn("expanded_queries", subs).withColumn("hypothetical_doc", F.when(F.col("tier") == "hyde", T.strip(self.generator.passage(F.col("query")))))
+        return decided.join(asked.select("qid", "vector"), "qid")
 
     def candidates(self, decided: DataFrame, k: int) -> DataFrame:
         """Child hits of each query by its tier: qid, chunk_id, rrf_score, rank. A tier without its text gives none."""
-        decided = decided.persist()
+        decided = workspace.written(decided, "routed")
         have = {r.tier for r in decided.select("tier").distinct().collect()}
         parts = []
         no_text = (F.col("tier") == "hyde") & (F.coalesce("hypothetical_doc", F.lit("")) == "") | (F.col("tier") == "multi_query") & (F.size("expanded_queries") == 0)
@@ -111,12 +186,15 @@ class Engine:
         if "direct" in have or self.config.fallback_direct:
             parts.append(self.search_hybrid(decided.where(direct), 4 * k))
         if "hyde" in have:
-            parts.append(self.search_hybrid(decided.where("tier = 'hyde'").where(F.coalesce("hypothetical_doc", F.lit("")) != ""), 4 * k, "hypothetical_doc"))
+            # the vector is that of the passage, the words are the query's own
+            passages = decided.where("tier = 'hyde'").where(F.coalesce("hypothetical_doc", F.lit("")) != "")
+            parts.append(self.search_hybrid(self._embedded(passages.select("qid", "query", "hypothetical_doc"), "hypothetical_doc"), 4 * k))
         if "multi_query" in have:
             several = decided.where("tier = 'multi_query'").where(F.size("expanded_queries") > 0)
             lists = [self.search_hybrid(several, 2 * k)]
             for n in range(3):
-                lists.append(self.search_hybrid(several.select("qid", F.get("expanded_queries", F.lit(n)).alias("query")).where("query is not null"), 2 * k))
+                one = several.select("qid", F.get("expanded_queries", F.lit(n)).alias("query")).where("query is not null")
+                lists.append(self.search_hybrid(self._embedded(one, "query"), 2 * k))
             parts.append(fusion.fold(lists, "chunk_id", 4 * k, self.config.k_rrf))
         if not parts:
             return self.spark.createDataFrame([], "qid long, chunk_id string, rrf_score double, rank int")
@@ -125,25 +203,29 @@ class Engine:
             out = out.union(p)
         return out
 
-    def search(self, queries, k: int = 5, rerank: bool = True) -> DataFrame:
-        """Parents of each query: qid, query, tier, reason, rank, score and the parent's columns."""
-        decided = self.route(queries)
+    def search_routed(self, decided: DataFrame, k: int = 5, rerank: bool = True) -> DataFrame:
         hits = self.candidates(decided, k)
         found = resolve.resolve_parents(hits, self.collection.read("children"), self.collection.read("parents")).join(decided.select("qid", "query", "tier", "reason"), "qid")
         if not rerank:
             return resolve.no_rerank(found, k)
         return resolve.rerank(found, k, self.reranker.score(F.col("query"), F.col("content")))
 
-    def answer(self, queries, k: int = 5, rerank: bool = True) -> DataFrame:
-        """qid, query, answer, sources, context_used (null where nothing was found)."""
-        asked = self._queries(queries)
-        hits = self.search(asked, k, rerank).persist()
+    def search(self, queries, k: int = 5, rerank: bool = True) -> DataFrame:
+        """Parents of each query: qid, query, tier, reason, rank, score and the parent's columns."""
+        return self.search_routed(workspace.written(self.route(queries), "decided"), k, rerank)
+
+    def answer_routed(self, decided: DataFrame, k: int = 5, rerank: bool = True) -> DataFrame:
+        hits = workspace.written(self.search_routed(decided, k, rerank), "hits")
         context = prompting.context_blocks(hits)
         rows = F.array_sort(F.collect_list(F.struct("index", "filename", "page_start", "page_end", "score", "content_preview")))
         sources = prompting.source_rows(hits).groupBy("qid").agg(rows.alias("sources"))
-        out = asked.join(context, "qid", "left").join(sources, "qid", "left")
+        out = decided.select("qid", "query", "tier", "reason").join(context, "qid", "left").join(sources, "qid", "left")
         reply = self.generator.answer(prompting.answer_prompt("context", "query"), F.col("context"))
-        return out.select("qid", "query", F.when(F.col("context").isNull(), F.lit(prompting.NO_SOURCES)).otherwise(T.strip(reply)).alias("answer"), "sources", F.col("context").alias("context_used"))
+        return out.select("qid", "query", F.when(F.col("context").isNull(), F.lit(prompting.NO_SOURCES)).otherwise(T.strip(reply)).alias("answer"), "sources", F.col("context").alias("context_used"), "tier", "reason")
+
+    def answer(self, queries, k: int = 5, rerank: bool = True) -> DataFrame:
+        """qid, query, answer, sources, context_used (null where nothing was found), tier, reason."""
+        return self.answer_routed(workspace.written(self.route(queries), "decided"), k, rerank)
 
     # --- documents ---
 
@@ -153,46 +235,65 @@ class Engine:
 
     def delete_document(self, doc_id: str) -> dict:
         done = self.collection.remove(doc_id)
-        return {"status": "success", "doc_id": doc_id} if done else {"status": "error", "error": f"Document {doc_id} not found"}
+        return {"status": "success", "doc_id": doc_id, "message": f"Document '{doc_id}' deleted successfully"} if done else {"status": "error", "error": f"Document '{doc_id}' not found"}
 
     def clear(self) -> dict:
         self.collection.recreate()
-        return {"status": "success"}
+        return {"status": "success", "message": f"Collection '{self.collection.path.rsplit('/', 1)[-1]}' cleared successfully"}
 
-    # --- tools ---
 
-    def _tool(self, f) -> str:
+class Tools:
+    """The tools that a client calls by name; each returns JSON, also of an error. One engine is kept for each collection."""
+
+    def __init__(self, spark: SparkSession, root: str, **options):
+        self.spark, self.root, self.options = spark, root, options
+        self._engines: dict[str, Engine] = {}
+
+    def engine(self, collection: str = "default") -> Engine:
+        if collection not in self._engines:
+            self._engines[collection] = Engine(self.spark, self.root, collection, **self.options)
+        return self._engines[collection]
+
+    def _reply(self, f) -> str:
         try:
             return json.dumps(f(), ensure_ascii=False, default=str)
         except Exception as e:  # tools report errors as JSON  # noqa: BLE001
-            return json.dumps({"error": str(e)})
+            return json.dumps({"status": "error", "message": str(e)}, ensure_ascii=False)
+
+    def rag_ingest_pdf(self, pdf_path: str, collection_name: str = "default", doc_id: str | None = None) -> str:
+        def run():
+            jvm = self.spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(pdf_path)
+            if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+                return {"status": "error", "message": f"File not found: {pdf_path}"}
+            return self.engine(collection_name).ingest_pdf(pdf_path, doc_id)
 
-    def rag_ingest_pdf(self, pdf_path: str, doc_id: str | None = None) -> str:
-        return self._tool(lambda: self.ingest_pdf(pdf_path, doc_id))
+        return self._reply(run)
 
-    def rag_ask(self, question: str, top_k: int = 5, use_reranking: bool = True) -> str:
+    def rag_ask(self, question: str, collection_name: str = "default", top_k: int = 5, use_reranking: bool = True) -> str:
         def run():
-            decision, reply = self.route(question).first(), self.answer(question, top_k, use_reranking).first()
-            return {"answer": reply.answer, "router_tier": decision.tier, "router_reason": decision.reason, "sources": [s.asDict() for s in reply.sources or []]}
+            r = self.engine(collection_name).answer(question, top_k, use_reranking).first()
+            return {"answer": r.answer, "router_tier": r.tier, "router_reason": r.reason, "sources": [s.asDict() for s in r.sources or []]}
 
-        return self._tool(run)
+        return self._reply(run)
 
-    def rag_search(self, query: str, top_k: int = 5, use_reranking: bool = True) -> str:
+    def rag_search(self, query: str, collection_name: str = "default", top_k: int = 5, use_reranking: bool = True) -> str:
         def run():
-            decision = self.route(query).first()
-            rows = self.search(query, top_k, use_reranking).orderBy("rank").collect()
-            shown = [{"parent_id": r.parent_id, "doc_id": r.doc_id, "filename": r.filename, "score": r.score, "pages": f"{r.page_start}-{r.page_end}", "content": r.content} for r in rows]
-            return {"query": query, "tier": decision.tier, "reason": decision.reason, "results_count": len(shown), "results": shown}
+            engine = self.engine(collection_name)
+            decided = workspace.written(engine.route(query), "decided")
+            rows, decision = engine.search_routed(decided, top_k, use_reranking).orderBy("rank").collect(), decided.first()
+            shown = [{c: r[c] for c in ("parent_id", "doc_id", "filename", "score", "page_start", "page_end", "content")} for r in rows]
+            return {"query": query, "router_tier": decision.tier, "router_reason": decision.reason, "results_count": len(shown), "results": shown}
 
-        return self._tool(run)
+        return self._reply(run)
 
-    def rag_route_query(self, query: str) -> str:
-        return self._tool(lambda: self.route(query).drop("qid").first().asDict())
+    def rag_route_query(self, query: str, collection_name: str = "default") -> str:
+        return self._reply(lambda: self.engine(collection_name).route(query).drop("qid", "vector").first().asDict())
 
 
-_engines: dict[tuple[str, str], Engine] = {}
+_tools: dict[tuple[str, str], Tools] = {}
 
 
-def engine_of(spark: SparkSession, root: str, collection: str = "default") -> Engine:
-    """One engine for each collection."""
-    return _engines.setdefault((root, collection), Engine(spark, root, collection))
+def tools_of(spark: SparkSession, root: str) -> Tools:
+    """The tools of a folder of collections in this application."""
+    return _tools.setdefault((spark.sparkContext.applicationId, root), Tools(spark, root))

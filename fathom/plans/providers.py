@@ -1,19 +1,24 @@
 """Seams for models, with offline stand-ins that give the same result every time.
 
-A provider with a real model keeps the same methods; it may use ``mapInPandas`` or a pandas UDF, in
-which a worker loads its model once.
+A provider with a real model keeps the same methods. ``WorkerModel`` makes one of a function that loads
+a model: it is loaded by the worker that first needs it, once, and then answers batch by batch.
 """
 
 from __future__ import annotations
 
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators.dense import hashed_embedding
 
+#: Words of query and text together that a reranker is given; models cut at as many tokens.
+RERANK_WORDS = 512
+
 
 class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
@@ -32,6 +37,25 @@ class Generator(Protocol):
 
     def chunk_summary(self, content: Column) -> Column: ...
 
+    def document_summary(self, text: Column) -> Column: ...
+
+
+class WorkerModel:
+    """A column function from ``load`` (returns the model) and ``apply`` (model and columns to results of type ``kind``)."""
+
+    def __init__(self, load: Callable[[], Any], apply: Callable[..., Any], kind: str):
+        @F.pandas_udf(kind)
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            model = None
+            for columns in batches:
+                model = load() if model is None else model
+                yield pd.Series(apply(model, *columns))
+
+        self._run = run
+
+    def __call__(self, *columns: Column) -> Column:
+        return self._run(*columns)
+
 
 class HashEmbedder:
     def __init__(self, dim: int = 64):
@@ -42,11 +66,18 @@ class HashEmbedder:
 
 
 class CoverageReranker:
-    """The share of the query's distinct terms that the content has."""
+    """The share of the query's distinct terms that the content has, among the first words that fit."""
+
+    def __init__(self, words: int = RERANK_WORDS):
+        self.words = words
 
     def score(self, query: Column, content: Column) -> Column:
-        q = F.array_distinct(T.tokens(query))
-        return F.coalesce(F.size(F.array_intersect(q, T.tokens(content))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
+        def covered(q: Column) -> Column:
+            own = F.slice(T.tokens(content), F.lit(1), F.greatest(F.lit(self.words) - F.size(q), F.lit(0)))
+            distinct = F.array_distinct(q)
+            return F.coalesce(F.size(F.array_intersect(distinct, own)) / F.nullif(F.size(distinct), F.lit(0)), F.lit(0.0))
+
+        return T.let(T.tokens(query), covered)
 
 
 class ExtractiveGenerator:
@@ -67,3 +98,9 @@ class ExtractiveGenerator:
 
     def chunk_summary(self, content: Column) -> Column:
         return F.coalesce(F.try_element_at(T.sentences(content), F.lit(1)), F.lit(""))
+
+    def document_summary(self, text: Column) -> Column:
+        """The first sentence of the text and its last one."""
+        s = T.sentences(text)
+        ends = F.array_distinct(F.filter(F.array(F.try_element_at(s, F.lit(1)), F.try_element_at(s, F.lit(-1))), lambda x: x.isNotNull()))
+        return F.array_join(ends, ". ")

@@ -1,7 +1,10 @@
-"""Collections: Parquet tables of parents, children, and the registry of documents, under one folder.
+"""Collections: Parquet tables of parents, children, postings and the registry of documents, under one folder.
 
-A write of documents goes to a new version of each table, and a small pointer file makes it current;
-readers never see half a write, and what a version replaced is removed after the pointer moved.
+Each table is cut into buckets by a hash of the document's id. A write of documents rewrites the
+buckets that these documents fall in, in a folder of its own, and then a new pointer, numbered one up,
+says where each bucket is now. Readers take the newest pointer, so they see all of a write or nothing of
+it; a writer that was overtaken fails. What the last two pointers name is kept, older folders are
+removed, so that frames already read stay readable through the next write.
 """
 
 from __future__ import annotations
@@ -14,19 +17,27 @@ from pyspark.sql import functions as F
 
 PARENTS = "parent_id string, doc_id string, filename string, content string, page_start int, page_end int, metadata map<string,string>"
 CHILDREN = "chunk_id string, parent_id string, doc_id string, filename string, content string, page_number int, contextualized_content string, embedding array<double>"
+#: A row without a term stands for a chunk. Files are sorted by ``shard``, a number by the term, so that searches skip most of them.
+POSTINGS = "chunk_id string, doc_id string, field string, term string, tf bigint, dl bigint, shard int"
 REGISTRY = "doc_id string, filename string, pdf_path string, chunks bigint, inserted_at timestamp, custom_metadata map<string,string>"
-TABLES = {"parents": PARENTS, "children": CHILDREN, "registry": REGISTRY}
+TABLES = {"parents": PARENTS, "children": CHILDREN, "postings": POSTINGS, "registry": REGISTRY}
+BUCKETS, KEPT = 16, 2
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key it does not have."""
-    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id", ids: DataFrame | None = None) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` whose key neither it nor ``ids`` has."""
+    gone = (new if ids is None else ids).select(key).distinct()
+    return old.join(gone, key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def delete(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
+class Overtaken(RuntimeError):
+    """Another writer moved the collection on; read again and repeat."""
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str = "default"):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name.lower()}"
@@ -34,44 +45,106 @@ class Collection:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[str, str]:
-        where = f"{self.path}/current"
-        if not self._fs.exists(self._path(where)):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(where).collect()))
-
-    def read(self, table: str) -> DataFrame:
-        """An empty table before anything was written."""
-        version = self._versions().get(table)
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], TABLES[table])
-
-    def write(self, **tables: DataFrame) -> None:
-        now = self._versions()
-        then = dict(now)
-        for name, rows in tables.items():
-            then[name] = f"{name}-{uuid.uuid4().hex}"
-            cast = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[name]).schema]
-            rows.select(*cast).write.parquet(f"{self.path}/{then[name]}")
+    # --- pointers ---
+
+    def _names(self, path: str) -> list[str]:
+        where = self._path(path)
+        return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def _newest(self) -> tuple[int, dict[str, dict[str, str]]]:
+        """The number of the newest pointer that can be read, and table to bucket to folder; (0, {}) without one."""
+        numbers = sorted((int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("pointer-")), reverse=True)
+        for n in numbers:
+            try:
+                return n, self._read_pointer(n)
+            except ValueError:  # cut short by a writer that died
+                continue
+        return 0, {}
+
+    def _read_pointer(self, n: int) -> dict[str, dict[str, str]]:
+        source = self._fs.open(self._path(self._pointer(n)))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+
+    def _pointer(self, n: int) -> str:
+        return f"{self.path}/pointer-{n:012d}"
+
+    def _point(self, n: int, buckets: dict[str, dict[str, str]]) -> None:
+        if self._fs.exists(self._path(self._pointer(n))):
+            raise Overtaken(self.path)
         fresh = self._path(f"{self.path}/next-{uuid.uuid4().hex}")
-        with_text = self._fs.create(fresh, True)
-        with_text.write(bytearray(json.dumps(then).encode()))
-        with_text.close()
-        current = self._path(f"{self.path}/current")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
-        for name in tables:
-            if name in now:
-                self._fs.delete(self._path(f"{self.path}/{now[name]}"), True)
-
-    def put(self, parents: DataFrame, children: DataFrame, registry: DataFrame) -> None:
-        """Replace these documents by what is given."""
-        self.write(parents=upsert(self.read("parents"), parents), children=upsert(self.read("children"), children), registry=upsert(self.read("registry"), registry))
+        out = self._fs.create(fresh, False)
+        out.write(bytearray(json.dumps(buckets).encode()))
+        out.close()
+        # a name that is taken is never overwritten by a rename
+        if not self._fs.rename(fresh, self._path(self._pointer(n))):
+            self._fs.delete(fresh, False)
+            raise Overtaken(self.path)
+
+    def _clean(self, n: int) -> None:
+        for k in range(max(1, n - KEPT - 8), n - KEPT + 1):
+            self._fs.delete(self._path(self._pointer(k)), False)
+        held = set()
+        for k in range(n - KEPT + 1, n + 1):
+            where = self._pointer(k)
+            if self._fs.exists(self._path(where)):
+                named = self._read_pointer(k)
+                held |= {folder.split("/")[0] for buckets in named.values() for folder in buckets.values()}
+        for name in self._names(self.path):
+            if name.startswith("part-") and name not in held:
+                self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    # --- tables ---
+
+    def read(self, table: str, only: list[str] | None = None) -> DataFrame:
+        """An empty table before anything was written; ``only`` these buckets."""
+        buckets = self._newest()[1].get(table, {})
+        folders = [f"{self.path}/{folder}" for bucket, folder in sorted(buckets.items()) if only is None or bucket in only]
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*folders)
+
+    def registry(self) -> DataFrame:
+        """The registry, or an empty one where it cannot be read."""
+        try:
+            rows = self.read("registry")
+            rows.isEmpty()
+            return rows
+        except Exception:  # unreadable for whatever reason  # noqa: BLE001
+            return self.spark.createDataFrame([], REGISTRY)
+
+    @staticmethod
+    def _bucket():
+        return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("string")
+
+    def replace(self, ids: DataFrame, **rows: DataFrame) -> None:
+        """Rows of the documents ``ids`` (doc_id) go from all tables, and ``rows`` of these documents come in."""
+        ids = ids.select("doc_id").distinct().persist()
+        touched = [r.b for r in ids.select(self._bucket().alias("b")).distinct().collect()]
+        n, now = self._newest()
+        then = {t: dict(now.get(t, {})) for t in TABLES}
+        for name, schema in TABLES.items():
+            kinds = self.spark.createDataFrame([], schema).schema
+            new = rows[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]) if name in rows else self.spark.createDataFrame([], schema)
+            kept = upsert(self.read(name, touched), new, ids=ids).withColumn("bucket", self._bucket())
+            folder = f"part-{uuid.uuid4().hex}"
+            order = ["bucket", "shard", "term"] if name == "postings" else ["bucket"]
+            # large buckets get several tasks and files, small ones share a task
+            kept = kept.hint("rebalance", *[F.col(c) for c in order[:2]]).sortWithinPartitions(*order)
+            kept.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            for b in touched:
+                then[name].pop(b, None)
+            then[name] |= {x.removeprefix("bucket="): f"{folder}/{x}" for x in self._names(f"{self.path}/{folder}") if x.startswith("bucket=")}
+        ids.unpersist()
+        self._point(n + 1, then)
+        self._clean(n + 1)
 
     def remove(self, doc_id: str) -> bool:
         if not self.read("registry").where(F.col("doc_id") == doc_id).take(1):
             return False
-        self.write(**{t: self.read(t).where(F.col("doc_id") != doc_id) for t in TABLES})
+        self.replace(self.spark.createDataFrame([(doc_id,)], "doc_id string"))
         return True
 
     def recreate(self) -> None:

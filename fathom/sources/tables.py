@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
+from fathom.sources.workspace import spread
 
 PAGES = "doc_id string, filename string, page int, total_pages int, text string, error string"
 EVALUATION = "query string, golden_chunk_uuids array<array<string>>, golden_documents array<struct<uuid:string,chunks:array<struct<index:bigint,content:string>>>>"
@@ -50,17 +51,27 @@ def pdf_pages(spark: SparkSession, path: str | list[str], doc_id: str | None = N
 
 def page_segments(pages: DataFrame, longer_than: int = 10) -> DataFrame:
     """doc_id, seg_idx, page, text: sentences in the order of pages."""
-    rows = pages.select("doc_id", "page", F.posexplode(T.segments("text", longer_than)).alias("at", "text"))
-    from pyspark.sql import Window
-
+    rows = spread(pages.select("doc_id", "page", "text")).select("doc_id", "page", F.posexplode(T.segments("text", longer_than)).alias("at", "text"))
     return rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at")) - 1).drop("at")
 
 
 def evaluation_items(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line, numbered by a hash of the query."""
-    return spark.read.schema(EVALUATION).json(path).withColumn("qid", F.xxhash64("query"))
+    """One JSON object a line; each line has a number of its own, rising in the order of the files."""
+    return spark.read.schema(EVALUATION).json(path).withColumn("qid", F.monotonically_increasing_id())
+
+
+def inspect(rows: DataFrame, text: str = "content", first: int = 5, order: list[str] | None = None, dump: str | None = None) -> tuple[int, DataFrame]:
+    """The number of rows, and the first of them with previews (a report, so it is limited), by ``order`` or all other columns.
+
+    With ``dump`` all rows are written to that folder as JSON.
+    """
+    if dump is not None:
+        export_json(rows, dump)
+    others = [c for c in rows.columns if c != text]
+    by = order or [c for c in others if rows.schema[c].dataType.typeName() not in ("map", "array", "struct")]
+    return rows.count(), rows.orderBy(*by).select(*others, T.preview(text, dots=True).alias(text)).limit(first)
 
 
-def inspect(rows: DataFrame, text: str = "content", first: int = 5) -> tuple[int, DataFrame]:
-    """The number of rows, and the first of them with previews (a report, so it is limited)."""
-    return rows.count(), rows.select(*[c for c in rows.columns if c != text], T.preview(text, dots=True).alias(text)).limit(first)
+def export_json(rows: DataFrame, folder: str) -> None:
+    """One JSON object a row under ``folder``, which is replaced."""
+    rows.write.mode("overwrite").json(folder)

@@ -1,44 +1,153 @@
-"""A collection from ingest to answers, and all queries on the smallest data."""
+"""A collection from ingest to answers, the older surfaces, and queries on the smallest data."""
 
 import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from fathom.plans import catalog
-from fathom.plans.engine import Engine
+from fathom.operators import lexical, router
+from fathom.plans import agent, catalog, contextual, evaluation, providers
+from fathom.plans.engine import Engine, EngineConfig, Tools, tools_of
+from fathom.sources import tables
+from fathom.sources.collection import Collection, Overtaken
 from fathom.streaming.ingest import ingest_stream
 
 SF = "/root/testdata/sf0.001"
 PAGES = "doc_id string, filename string, page int, text string"
+ROWS = [("d1", "one.pdf", 1, "alpha beta gamma. " * 400), ("d1", "one.pdf", 2, "delta epsilon zeta"), ("d2", "two.pdf", 1, "revenue of the database grew"), ("d3", "x.pdf", 1, "  \n")]
 
 
 @pytest.fixture(scope="module")
-def engine(spark, tmp_path_factory):
-    e = Engine(spark, "file://" + str(tmp_path_factory.mktemp("collections")), "Test")
-    rows = [("d1", "one.pdf", 1, "alpha beta gamma. " * 400), ("d1", "one.pdf", 2, "delta epsilon zeta"), ("d2", "two.pdf", 1, "revenue of the database grew"), ("d3", "x.pdf", 1, "  \n")]
-    assert e.ingest_pages(spark.createDataFrame(rows, PAGES), {"k": "v"}) == {"status": "success", "parent_chunks_indexed": 4, "child_chunks_indexed": 10}
-    return e
+def root(tmp_path_factory):
+    return "file://" + str(tmp_path_factory.mktemp("collections"))
 
 
-def test_search_and_answer(engine):
+@pytest.fixture(scope="module")
+def tools(spark, root):
+    t = Tools(spark, root)
+    assert t.engine("Test").ingest_pages(spark.createDataFrame(ROWS, PAGES), {"k": "v"}) == {"status": "success", "documents": 2, "parent_chunks_indexed": 4, "child_chunks_indexed": 10}
+    return t
+
+
+def test_tools(tools, spark, root):
+    engine = tools.engine("Test")
     top = engine.search("database revenue", 2).orderBy("rank").first()
     assert (top.doc_id, top.tier) == ("d2", "direct")
-    got = json.loads(engine.rag_ask("database revenue"))
+    got = json.loads(tools.rag_ask("database revenue", "Test"))
     assert got["answer"] and got["sources"][0]["index"] == 1 and got["router_tier"] == "direct"
-    assert json.loads(engine.rag_search("delta epsilon", 1))["results"][0]["doc_id"] == "d1"
-    assert set(json.loads(engine.rag_route_query("of the"))) >= {"tier", "specificity_score", "score_margin", "entropy", "reason", "expanded_queries", "hypothetical_doc"}
-    assert "error" in json.loads(engine.rag_ingest_pdf("/nowhere/x.pdf"))
-
-
-def test_ingest_again_replaces_and_delete_removes(engine, spark):
-    again = spark.createDataFrame([("d2", "two.pdf", 1, "something else")], PAGES)
-    engine.ingest_pages(again)
+    found = json.loads(tools.rag_search("delta epsilon", "Test", 1))
+    assert found["results_count"] == 1 and set(found["results"][0]) == {"parent_id", "doc_id", "filename", "score", "page_start", "page_end", "content"}
+    assert found["results"][0]["doc_id"] == "d1" and found["results"][0]["page_start"] == 2
+    assert set(json.loads(tools.rag_route_query("of the", "Test"))) == {"query", "tier", "specificity_score", "score_margin", "entropy", "reason", "expanded_queries", "hypothetical_doc"}
+    bad = json.loads(tools.rag_ingest_pdf("/nowhere/x.pdf", "Test"))
+    assert bad == {"status": "error", "message": "File not found: /nowhere/x.pdf"}
+    assert tools.engine("Test") is engine and tools_of(spark, root) is tools_of(spark, root)
+    assert json.loads(tools.rag_ask("anything", "Nothing"))["answer"].startswith("No relevant documents")
+
+
+def test_queries_are_embedded_once(tools, monkeypatch):
+    engine = tools.engine("Test")
+    asked = []
+    plain = engine._embedded
+    monkeypatch.setattr(engine, "_embedded", lambda df, text: asked.append(text) or plain(df, text))
+    engine._queries("never asked before")
+    engine.route(["never asked before", "never asked before"]).collect()
+    assert asked == ["query"]
+    monkeypatch.setattr(engine, "config", EngineConfig(cached_queries=1))
+    engine._queries(["one", "two"])
+    assert list(engine._vectors) == ["two"]
+
+
+@pytest.mark.parametrize("tier", ["direct", "hyde", "multi_query"])
+def test_tiers(tools, spark, tier, monkeypatch):
+    engine = tools.engine("Test")
+    settled = {"direct": router.Thresholds(specificity=0.0), "hyde": router.Thresholds(9, 9, -1.0), "multi_query": router.Thresholds(9, 9, 9)}[tier]
+    monkeypatch.setattr(engine, "config", EngineConfig(thresholds=settled))
+    decided = engine.route("grown database revenue")
+    d = decided.first()
+    assert d.tier == tier and (d.hypothetical_doc is not None) == (tier == "hyde") and len(d.expanded_queries) == (3 if tier == "multi_query" else 0)
+    assert d.reason.startswith({"direct": "High query", "hyde": "High retrieval", "multi_query": "Moderate"}[tier])
+    assert engine.search_routed(decided, 1).first().doc_id == "d2"
+    if tier != "direct":  # a tier without its text finds nothing, unless direct search stands in
+        empty = decided.withColumn("hypothetical_doc", F.lit("")).withColumn("expanded_queries", F.array().cast("array<string>"))
+        assert engine.search_routed(empty, 1).count() == 0
+        monkeypatch.setattr(engine, "config", EngineConfig(thresholds=settled, fallback_direct=True))
+        assert engine.search_routed(empty, 1).first().doc_id == "d2"
+
+
+def test_kept_index_equals_search_of_the_chunks(tools, spark):
+    engine = tools.engine("Test")
+    asked = spark.createDataFrame([(0, "delta the database"), (1, "alpha gamma alpha"), (2, "nothing here")], "qid long, query string")
+    children = engine.collection.read("children")
+    got = engine.search_sparse(asked, 5).orderBy("qid", "rank").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in lexical.search(children, asked, 5, "chunk_id", {"contextualized_content": 2.0, "content": 1.0}).orderBy("qid", "rank").collect()] and got
+    plan = engine.index().postings.where("shard in (1)")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(shard" in plan.replace("EqualTo(shard", "In(shard")
+
+
+def test_retrieval_forms(tools, spark, monkeypatch):
+    engine = tools.engine("Test")
+    for hits in (engine.retrieve_rerank("database revenue", 2), engine.retrieve_chat("database revenue", 2), engine.retrieve_chat("database revenue", 2, rerank=False)):
+        assert hits.orderBy("rank").first().doc_id == "d2" and hits.count() == 2
+    monkeypatch.setattr(engine, "config", EngineConfig(sparse=False))
+    near = engine.search_dense(engine._queries("database revenue"), 3).orderBy("rank").collect()
+    assert [r.chunk_id for r in engine.search_hybrid(engine._queries("database revenue"), 3).orderBy("rank").collect()] == [r.chunk_id for r in near]
+    assert engine.search_weighted("database revenue", 3).where("from_bm25").count() == 0
+
+
+def test_agent(spark, root):
+    a = agent.create_rag_agent(spark, root, "Agent")
+    with pytest.raises(ValueError):
+        a.search("x")
+    a.insert_pages(spark.createDataFrame(ROWS[2:3], PAGES))
+    got = agent.search_documents(a, "database revenue", 2)
+    assert got["status"] == "success" and got["total_results"] == 1 and "**Sources:**\n[1] d2, p. 1" in got["answer"]
+    assert set(got["results"][0]) == {"rank", "doc_id", "score", "page_start", "page_end", "content"}
+    assert a.search("database", 2, rerank=False, include_context=False)["results"][0]["content"] is None
+    assert a.search_hierarchical("database", 1).first().doc_id == "d2" and a.answer_hierarchical("database", 1).first().sources
+    assert agent.get_document_list(a)["total_documents"] == 1 and a.get_document_info("d2")["document"]["chunks"] == 1
+    assert a.get_document_info("d9")["status"] == "error" and a.delete_document("d9")["status"] == "error"
+    with pytest.raises(ValueError):
+        a.insert_pdfs(["x.pdf"], [{}, {}])
+    assert [r["status"] for r in a.insert_pdfs(["/nowhere/a.pdf", "/nowhere/b.pdf"])] == ["error", "error"]
+    assert agent.insert_document(a, "file:///root/repo/README.md")["status"] == "error"  # not a PDF, or no reader for one
+    assert a.delete_document("d2")["status"] == "success" and a.clear_collection()["status"] == "success"
+    assert a.get_document_info()["total_documents"] == 0
+
+
+def test_ingest_again_replaces_and_delete_removes(spark, root):
+    engine = Engine(spark, root, "again")
+    engine.ingest_pages(spark.createDataFrame(ROWS, PAGES))
+    before = engine.collection.read("children")
+    engine.ingest_pages(spark.createDataFrame([("d2", "two.pdf", 1, "something else")], PAGES))
+    assert before.count() == 10  # what was read before stays readable through the next write
     assert engine.collection.read("children").where("doc_id = 'd2'").count() == 1
     assert engine.document_info().count() == 2
-    assert engine.delete_document("d2")["status"] == "success"
-    assert engine.delete_document("d2")["status"] == "error"
-    assert engine.collection.read("parents").where("doc_id = 'd2'").count() == 0
+    # a document that comes again with blank pages alone goes
+    assert engine.ingest_pages(spark.createDataFrame([("d2", "two.pdf", 1, " ")], PAGES)) == {"status": "empty", "parents": 0, "children": 0}
+    assert engine.collection.read("children").where("doc_id = 'd2'").count() == 0 and engine.collection.read("postings").where("doc_id = 'd2'").count() == 0
+    assert engine.delete_document("d1")["status"] == "success"
+    assert engine.delete_document("d1")["status"] == "error"
+    assert engine.collection.read("parents").count() == 0
+
+
+def test_pointers(spark, root):
+    c = Collection(spark, root, "pointers")
+    rows = spark.createDataFrame([(f"d{n}", "f", "f", 1, None, None) for n in range(40)], "doc_id string, filename string, pdf_path string, chunks bigint, inserted_at timestamp, custom_metadata map<string,string>")
+    c.replace(rows, registry=rows)
+    n, buckets = c._newest()
+    assert n == 1 and c.read("registry").count() == 40
+    with pytest.raises(Overtaken):
+        c._point(1, buckets)
+    assert c.remove("d3")
+    # only the bucket of the document was written again
+    assert sum(v != buckets["registry"].get(k) for k, v in c._newest()[1]["registry"].items()) <= 1 and c.read("registry").count() == 39
+    out = c._fs.create(c._path(c._pointer(3)), False)  # a writer that died while it wrote
+    out.write(bytearray(b'{"regis'))
+    out.close()
+    assert c._newest()[0] == 2 and c.registry().count() == 39
+    assert Collection(spark, root, "nothing").registry().count() == 0
 
 
 def test_empty_collection(spark, tmp_path):
@@ -54,8 +163,66 @@ def test_stream(spark, tmp_path):
     assert e.collection.read("children").count() == 1
 
 
+def test_pdf_pages(spark, tmp_path):
+    """With a stand-in for the reader, which the workers find on their path."""
+    (tmp_path / "pypdf.py").write_text("class PdfReader:\n    def __init__(self, f):\n        raw = f.read().decode()\n        if raw == 'bad':\n            raise ValueError('broken')\n        self.pages = [type('P', (), {'extract_text': lambda s, t=t: t})() for t in raw.split('|')]\n")
+    (tmp_path / "a.pdf").write_text("the first page| |the third page")
+    (tmp_path / "b.pdf").write_text("bad")
+    spark.sparkContext.addPyFile(str(tmp_path / "pypdf.py"))
+    pages = tables.pdf_pages(spark, [f"file://{tmp_path}/a.pdf", f"file://{tmp_path}/b.pdf"])
+    got = sorted(map(tuple, pages.collect()))
+    assert got == [("a", "a.pdf", 1, 3, "the first page", None), ("a", "a.pdf", 3, 3, "the third page", None), ("b", "b.pdf", 0, 0, "", "ValueError: broken")]
+    entries, failed = contextual.multi_document_dataset(pages)
+    assert [(r.doc_id, r.original_uuid, r.pdf_path) for r in entries.collect()] == [("a", "a", "a.pdf")] and [r.filename for r in failed.collect()] == ["b.pdf"]
+    t = Tools(spark, f"file://{tmp_path}")
+    assert json.loads(t.rag_ingest_pdf(f"file://{tmp_path}/a.pdf", "pdf", "own")) == {"status": "success", "doc_id": "own", "filename": "a.pdf", "parent_chunks_indexed": 2, "child_chunks_indexed": 2}
+    assert [r["status"] for r in t.engine("pdf").ingest_pdfs([f"file://{tmp_path}/b.pdf", f"file://{tmp_path}/a.pdf"], [{}, {"a": "b"}])] == ["error", "success"]
+    assert {r.doc_id: r.custom_metadata for r in t.engine("pdf").document_info().collect()} == {"own": None, "a": {"a": "b"}}
+
+
+def test_contextual_store_and_evaluations(spark, tmp_path):
+    pages = spark.createDataFrame([(f"d{n}", f"f{n}", 1 + n % 2, f"The {w} of the harbour was old and grey. Nobody counted {w} twice there.") for n, w in enumerate(["lantern", "anchor", "barrel", "rudder"])], PAGES)
+    dataset, failed = contextual.multi_document_dataset(pages)
+    assert failed.count() == 0
+    tables.export_json(dataset, f"file://{tmp_path}/dataset")
+    chunks = spark.read.schema(dataset.schema).json(f"file://{tmp_path}/dataset")
+    assert sorted(chunks.select("doc_id", F.size("chunks").alias("n")).collect()) == sorted(dataset.select("doc_id", F.size("chunks").alias("n")).collect())
+    store = contextual.create_rag_system(dataset, generator=providers.ExtractiveGenerator(), analyze=lexical.english_tokens)
+    row = store.chunks.where("doc_id = 'd0' and original_index = 0").first()
+    assert row.contextualized_content.startswith("Content Summary: The lantern") and row.contextualized_content.endswith("\nPage(s): Page: 1")
+    lines = []
+    for n, w in enumerate(["lantern", "anchor", "barrel", "rudder"]):
+        content = store.chunks.where(f"doc_id = 'd{n}'").orderBy("original_index").first().content
+        gold = [["u", "0"], ["u", "7"]] if n < 3 else []
+        lines.append(json.dumps({"query": f"counted {w}", "golden_chunk_uuids": gold, "golden_documents": [{"uuid": "u", "chunks": [{"index": 0, "content": f" {content}\n"}]}]}))
+    (tmp_path / "e.jsonl").write_text("\n".join([*lines, lines[0]]))
+    items = tables.evaluation_items(spark, f"file://{tmp_path}/e.jsonl")
+    assert items.select("qid").distinct().count() == 5
+    for out in (evaluation.evaluate_dense(items, store, 20), evaluation.evaluate_hybrid(items, store, 20), evaluation.evaluate_reranked(items, store, 20)):
+        r = out.first()
+        assert (r.n_queries, r.n_found) == (5, 4) and abs(r.pass_at_k - 80) < 1e-9
+    assert abs(r.pass_at_k - 80) < 1e-9 and evaluation.evaluate_hybrid(items, store, 2).first().n_results == 8
+    one = items.where("query = 'counted anchor'")
+    assert store.with_chunks(store.retrieve_rerank(one, 1).select("qid", "key", "rank")).first().doc_id == "d1"
+
+
+def test_worker_model(spark):
+    model = providers.WorkerModel(lambda: {"add": 2}, lambda m, x: x + m["add"], "long")
+    assert [r[0] for r in spark.range(3).select(model(F.col("id"))).collect()] == [2, 3, 4]
+    summary = providers.ExtractiveGenerator().document_summary(F.lit("One. Two. Three."))
+    assert spark.range(1).select(summary).first()[0] == "One. Three"
+
+
+def test_inspection(spark, tmp_path):
+    rows = spark.createDataFrame([(n, "x" * (199 + n)) for n in range(9, -1, -1)], "id long, content string")
+    n, shown = tables.inspect(rows, dump=f"file://{tmp_path}/all")
+    got = shown.collect()
+    assert n == 10 and [r.id for r in got] == [0, 1, 2, 3, 4] and [len(r.content) for r in got] == [199, 200, 203, 203, 203]
+    assert spark.read.json(f"file://{tmp_path}/all").count() == 10
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["child_chunks", "bm25_batch", "rrf_fusion", "cluster_segmentation", "end_to_end_search", "pass_at_k", "citation_links"])
+@pytest.mark.parametrize("name", ["child_chunks", "bm25_batch", "rrf_fusion", "cluster_segmentation", "cluster_assembly", "end_to_end_search", "pass_at_k", "citation_links", "retrieve_rerank", "chat_rerank", "route_decision", "hash_embedding", "legacy_prompts", "chat_prompts"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -180,3 +180,68 @@ def test_upsert_and_delete(spark):
     new = spark.createDataFrame([(2, "n"), (3, "m")], "doc_id long, text string")
     assert sorted(map(tuple, collection.upsert(old, new).collect())) == [(1, "a"), (2, "n"), (3, "m")]
     assert [r.doc_id for r in collection.delete(old, new).collect()] == [1]
+
+
+def test_nearest_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties
+    rows = spark.createDataFrame([(f"k{n:03d}", x.tolist()) for n, x in enumerate(v)] + [("none", None)], "key string, embedding array<double>")
+    asked = spark.createDataFrame([(q, x.tolist()) for q, x in enumerate(v[:7])] + [(99, None)], "qid long, vector array<double>")
+    want = {}
+    for q in range(7):
+        order = sorted(range(300), key=lambda n: (-(v[n] @ v[q]), [-ord(c) for c in f"k{n:03d}"]))[:6]
+        want[q] = [f"k{n:03d}" for n in order]
+    for block, product in ((4_000_000, 4_000_000), (8, 70)):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        monkeypatch.setattr(dense, "PRODUCT", product)
+        got = dense.nearest(rows, asked, 6, key="key").orderBy("qid", "rank").collect()
+        assert {q: [r.key for r in got if r.qid == q] for q in range(7)} == want and len(got) == 42
+    assert dense.nearest(rows, asked.where("qid = 99"), 6, key="key").count() == 0
+
+
+def test_lsh_recall(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    v = centres[rng.integers(0, 20, 600)] + 0.3 * rng.normal(size=(600, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id < 40").selectExpr("vec_id as qid", "embedding as vector")
+    exact = {(r.qid, r.vec_id): r.score for r in dense.nearest(rows, asked, 10, knn=True).collect()}
+    found = dense.lsh_candidates(rows, asked, 10).collect()
+    assert sum((r.qid, r.vec_id) in exact for r in found) / len(exact) >= 0.9
+    assert all(abs(exact[r.qid, r.vec_id] - r.score) < 1e-5 for r in found if (r.qid, r.vec_id) in exact)
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "x aone two three four five six sevenb y"), (2, "one two  three four five six seven"), (3, "one two three four five six seven"), (4, "a b c"), (5, None)], "doc_id long, content string")
+    asked = spark.createDataFrame([(0, "one two three four five six seven"), (1, "b c"), (2, "one two three four five six seven eight")], "qid long, query string")
+    got = sorted((r.qid, r.doc_id) for r in evaluate.containing(docs, asked).collect())
+    assert got == [(0, 1), (0, 3), (1, 4)]
+
+
+def test_stems():
+    from fathom.functions.stemming import stem
+
+    # the algorithm's published examples
+    pairs = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat sized:size hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat rational:ration vietnamization:vietnam triplicate:triplic electrical:electr adoption:adopt probate:probat rate:rate cease:ceas controll:control roll:roll generalizations:gener oscillators:oscil"
+    for x in pairs.split():
+        word, want = x.split(":")
+        assert stem(word) == want
+    assert stem("für") == "für" and stem("is") == "is"
+
+
+def test_english_terms(spark):
+    got = spark.range(1).select(lexical.english_tokens(F.lit("The ponies' owner's horses were running to the river"))).first()[0]
+    assert got == ["poni", "owner", "hors", "were", "run", "river"]
+
+
+def test_missing_chunks_are_counted(spark):
+    hits = spark.createDataFrame([(0, "a", 1), (0, "b", 2), (1, "b", 1)], "qid long, chunk_id string, rank int")
+    have = spark.createDataFrame([("a",)], "chunk_id string")
+    assert sorted(map(tuple, resolve.missing(hits, have).collect())) == [(0, 1), (1, 1)]
+
+
+def test_rerank_with_fewer_candidates(spark):
+    rows = spark.createDataFrame([(0, "a", 1, 0.5), (0, "b", 2, 0.5), (0, "c", 3, 0.9)], "qid long, chunk_id string, rank int, s double")
+    got = resolve.rerank_chunks(rows, 9, F.col("s"), "chunk_id").orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["c", "a", "b"]
