@@ -6,9 +6,10 @@ contaminated by an item if it has at least 75 % of the item's shingles, wherever
 
 Items are partitioned by the size of their sets, in powers of two. A partition of sizes up to U
 keeps of each item a bottom-k MinHash sketch with k = U/4 + 1: the k shingles of the smallest hash.
-An item of n <= U shingles of which a document lacks at most n/4 cannot have all its k sketched
-ones missing, so one hash of the sketch in a document, long or short, makes the pair a candidate,
-and none is lost. Candidates are verified by exact containment of the shingles themselves.
+An item of n <= U shingles of which a document lacks at most n/4 cannot lack more than n/4 of the k
+sketched ones, so a document, long or short, that has k - n/4 hashes of the sketch makes a candidate
+pair, and none is lost: one hash for the largest items of a partition, the more the smaller an item
+is. Candidates are verified by exact containment of the shingles themselves.
 
 Null texts count as empty. Empty items contaminate nothing. Rows that share a doc_id are judged
 one by one, and the id gets the highest containment; rows without doc_id take part, with a null id
@@ -55,12 +56,13 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def sketch(items: DataFrame) -> DataFrame:
-    """``items``: item_id, item_shingles. Returns item_id, hash: each item's bottom-k sketch."""
+    """``items``: item_id, item_shingles. Returns item_id, hash, need: each item's bottom-k sketch, and how many of its hashes a document must have."""
     n = F.size("item_shingles")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("int")
     k = F.least(n, F.floor(upper * (100 - PERCENT) / 100).cast("int") + 1)
     hashes = F.array_sort(F.transform("item_shingles", lambda x: F.xxhash64(x)))
-    return items.where(n > 0).select("item_id", F.explode(F.slice(hashes, 1, k)).alias("hash"))
+    need = k - F.floor(n * (100 - PERCENT) / 100).cast("int")
+    return items.where(n > 0).select("item_id", need.alias("need"), F.explode(F.slice(hashes, 1, k)).alias("hash"))
 
 
 def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -70,7 +72,9 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     if sketched.count() <= BROADCAST_HASHES:
         sketched = F.broadcast(sketched)
     probes = docs.select(F.col("doc_id").alias("doc_id"), F.explode(shingle_hashes(F.col("text"))).alias("hash"))
-    found = scratch.materialize(probes.join(sketched, "hash").select("doc_id", "item_id").distinct(), "candidates")
+    # rows that share an id, or have none, count together, which can only add candidates
+    hits = probes.join(sketched, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
+    found = scratch.materialize(hits.where("hits >= need").select("doc_id", "item_id"), "candidates")
     ids = scratch.materialize(found.select("doc_id").distinct(), "candidates")
     # null ids match each other, as rows without an id take part
     held = ids.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("d_null"))

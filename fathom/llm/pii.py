@@ -9,8 +9,10 @@ start with 0 and have 9 to 14 digits in groups; country code and leading 0 stay.
 brought to one spelling, its characters are read as digits of a number in mixed radix (vowels,
 consonants, digits and other letters each stay in their class), and this number is moved by a keyed
 permutation of its range. So a surrogate has the format, the script, the case and the length of
-what it replaces, names keep their form of address and last letter (by which gender shows), cards
-still pass the Luhn test. Equal entities get equal surrogates in all documents, different ones of a
+what it replaces, names keep their form of address, cards still pass the Luhn test. A part of a name
+that is in one of the lists of names becomes another name of this list, by a keyed permutation of its
+places: a woman's name a woman's, a man's a man's, a surname a surname, in the same script. Other parts
+of names become other letters and keep the last one, by which gender shows. Equal entities get equal surrogates in all documents, different ones of a
 kind get different ones, and none stays what it was, as the permutation has no fixed point (only a
 range of one value cannot move).
 
@@ -57,6 +59,17 @@ _DETECT = re.compile(
     rf"|(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d))"
     rf"|(?P<person>\b{_ADDRESS}\b\.?[ ]+(?:[^\W\d_a-z]\.[ ]?)*(?:[^\W\d_a-z](?:[^\W\d_]+|(?='))(?:[ '-](?=[^\W\d_a-z]))?)+)",
 )
+# Names by script, by women, men and families, in lower case. No name is in two lists; families with forms of their own for women have two lists in one order.
+NAMES = {
+    "latin women": "anna maria laura julia sophie emma clara elena lucia carmen isabel marta claire camille chloe manon emily sarah hannah katharina monika petra sabine teresa".split(),
+    "latin men": "john james peter paul thomas michael david robert hans karl klaus stefan jürgen wolfgang pierre jean louis antoine carlos juan pedro miguel diego javier".split(),
+    "latin families": "smith jones brown taylor walker müller schmidt weber fischer wagner becker hoffmann keller garcia lopez martinez sanchez fernandez dupont durand bernard moreau lefevre rousseau".split(),
+    "cyrillic women": "анна мария елена ольга наталья татьяна ирина светлана екатерина людмила галина вера".split(),
+    "cyrillic men": "иван сергей дмитрий андрей алексей михаил николай павел виктор юрий олег борис".split(),
+    "cyrillic families, men": "иванов петров сидоров смирнов кузнецов попов соколов лебедев козлов новиков морозов волков".split(),
+    "cyrillic families, women": "иванова петрова сидорова смирнова кузнецова попова соколова лебедева козлова новикова морозова волкова".split(),
+}
+_LISTED = {name: (kind, place) for kind, names in NAMES.items() for place, name in enumerate(names)}
 KINDS = ("email", "phone", "ssn", "card", "ip", "person")
 _TITLE = re.compile(rf"{_ADDRESS}\b\.?[ ]+")
 #: A text without any of these has no entity.
@@ -247,6 +260,9 @@ class Surrogates:
                 value = value * 256 + int(part)
             value = self.move(value, 1 << 32, tweak)
             return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+        if kind == "person" and x in _LISTED:
+            of, place = _LISTED[x]
+            return NAMES[of][self.move(place, len(NAMES[of]), f"{tweak} {of.partition(',')[0]}")]
         if kind == "person":
             return self._letters(x, list(range(max(1, len(x) - 1))), tweak)
         return self._letters(x, list(range(len(x))), tweak)
@@ -278,6 +294,9 @@ class Surrogates:
 
     def _cased(self, kind: str, found: str) -> str:
         entity = self.one_spelling(kind, found)
+        if kind == "person" and entity in _LISTED:  # of another length
+            other = self.of_entity(kind, entity)
+            return other.upper() if found.isupper() else other.capitalize() if found[0].isupper() else other
         return "".join(o.upper() if c != e and len(o.upper()) == 1 else o for c, e, o in zip(found, entity, self.of_entity(kind, entity), strict=True))
 
     def entities(self, text: str) -> list[tuple[str, int, int]]:

@@ -8,28 +8,20 @@ nothing but the task it was running.
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from fathom.sources import workspace
+
 _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI, without a slash at its end."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
-        if "dir" not in _own:
-            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="fathom-")
-        found = _own["dir"]
-    return found.rstrip("/")
+    return workspace.folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
