@@ -74,11 +74,12 @@ def shard(term: str = "term") -> Column:
 
 
 def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, wanted: DataFrame | None = None) -> Index:
-    """The index of ``fields``, of all terms or of ``wanted`` (term) alone, written.
+    """The index of ``fields``, of all terms or of ``wanted`` (term) alone, cached.
 
-    Each text is cut once. A row without a term stands for a document and brings its length.
+    Each text is cut once. A row without a term stands for a document and brings its length. Rows of a
+    document lie together, so that its terms are counted, and its scores summed up, where they are.
     """
-    rows = workspace.spread(docs.select(F.col(key).alias(key), *dict.fromkeys(fields)))
+    rows = workspace.spread(docs.select(F.col(key).alias(key), *dict.fromkeys(fields)), key)
     each = F.array(*[F.struct(F.lit(f).alias("field"), analyze(f).alias("w")) for f in fields])
     rows = rows.select(key, F.inline(each)).select(key, "field", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
     if wanted is not None:
@@ -88,11 +89,11 @@ def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, wanted
         small = wanted.count() <= BROADCAST_TERMS
         rows = rows.join((F.broadcast(wanted) if small else wanted).withColumnRenamed("term", "t"), F.expr("term <=> t"), "left_semi")
     found = rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
-    return of_postings(workspace.written(found, "postings"), key)
+    return of_postings(workspace.cached(found), key)
 
 
 def of_postings(found: DataFrame, key: str) -> Index:
-    """The index over written rows of ``key, field, term, tf, dl``, with a row without a term for each document."""
+    """The index over rows of ``key, field, term, tf, dl``, with a row without a term for each document."""
     postings, lengths = found.where("term is not null"), found.where("term is null and dl > 0")
     if "shard" in found.columns:
         lengths = lengths.where(F.col("shard") == DOCUMENTS)

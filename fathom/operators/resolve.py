@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.sources.workspace import dealt
+
 
 def resolve_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
     """``hits``: qid, chunk_id, rank. Parents in the order of their first child; unknown ones are dropped (see ``missing``).
@@ -28,14 +30,14 @@ def missing(hits: DataFrame, children: DataFrame, key: str = "chunk_id") -> Data
 def rerank_chunks(ranked: DataFrame, k: int, score, key: str) -> DataFrame:
     """``ranked``: qid, key, rank and the chunk's columns. Best k by ``score``, fewer where there are fewer; equal scores keep their order."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("first_rank"))
-    out = ranked.withColumnRenamed("rank", "first_rank").withColumn("score", score)
+    out = dealt(ranked.withColumnRenamed("rank", "first_rank")).withColumn("score", score)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_rank")
 
 
 def rerank(ranked: DataFrame, k: int, score) -> DataFrame:
     """Best k by ``score`` (a column); equal scores keep their order."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("parent_rank"))
-    return ranked.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return dealt(ranked).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rerank_fallback(ranked: DataFrame, k: int) -> DataFrame:

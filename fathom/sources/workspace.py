@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -37,15 +38,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small tables dealt out to all cores: a file of one row group would be read, and worked on, by one task.
+#: Frames that are cached at a time; the oldest goes first, and would be computed again if it were still in use.
+CACHED = 4
+_cached: list[DataFrame] = []
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors, in memory or on disk, with its partitioning; for frames that one plan reads more than once."""
+    while len(_cached) >= CACHED:
+        old = _cached.pop(0)
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    _cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Few rows, such as hits of queries, dealt out to all cores before heavy work on each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Small tables dealt out to all cores (``by`` columns): a file of one row group would be read, and worked on, by one task.
 
     Beyond ``SPREAD`` bytes the scan has tasks enough, and moving the rows would cost more than it gives.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD:
+    # of the tables that are read: the estimate for a join is the product of its sides
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size())) > SPREAD:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
 @atexit.register
