@@ -115,14 +115,14 @@ def scores(index_: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFra
         found = found.where(F.col("shard").isin(parts)) if len(parts) <= NAMED else found
     found = found.join(near(wanted), "term", "left_semi")
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    boost = F.create_map(*[F.lit(v) for f, b in boosts.items() for v in (f, float(b))])
     known = found.where(F.col("field").isin(list(boosts))).join(near(df), ["field", "term"]).join(F.broadcast(index_.stats), "field")  # a row a field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     tf = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
     known = known.select(key, "field", "term", (idf * tf).alias("part")).join(near(terms), "term")
-    each = known.groupBy("qid", key, "field").agg((F.sum(F.col("qtf") * F.col("part"))).alias("score"))
-    each = each.withColumn("score", F.col("score") * boost[F.col("field")])
-    return each.groupBy("qid", key).agg(F.max("score").alias("score")) if len(boosts) > 1 else each.drop("field")
+    # all fields in one aggregation; greatest() passes over fields without a term
+    own = [F.sum(F.when(F.col("field") == f, F.col("qtf") * F.col("part"))).alias(f"s{n}") for n, f in enumerate(boosts)]
+    boosted = [F.col(f"s{n}") * F.lit(float(b)) for n, b in enumerate(boosts.values())]
+    return known.groupBy("qid", key).agg(*own).select("qid", key, (F.greatest(*boosted) if len(boosted) > 1 else boosted[0]).alias("score"))
 
 
 def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "score") -> DataFrame:
@@ -134,7 +134,7 @@ def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "scor
 def search_index(index_: Index, queries: DataFrame, k: int, fields: dict[str, float], analyze=T.tokens) -> DataFrame:
     """qid, key, score, rank. Scores are rounded to 9 digits."""
     found = scores(index_, query_terms(queries, analyze=analyze), fields)
-    return top(found.withColumn("score", F.round("score", 9)), k, index_.key)
+    return top(found.withColumn("score", F.rint(F.col("score") * 1e9) / 1e9), k, index_.key)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", fields: dict[str, float] | None = None, analyze=T.tokens) -> DataFrame:

@@ -14,7 +14,7 @@ def resolve_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) ->
     A parent without pages is on page 1, one without metadata has none.
     """
     first = hits.join(children.select("chunk_id", "parent_id"), "chunk_id").groupBy("qid", "parent_id").agg(F.min("rank").alias("first_rank"))
-    parents = parents.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("page_start", "page_end")})
+    parents = parents.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("page_start", "page_end") if c in parents.columns})
     if "metadata" in parents.columns:
         parents = parents.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     out = first.join(parents, "parent_id")

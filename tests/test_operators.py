@@ -135,10 +135,10 @@ def test_specificity_of_all_queries(spark):
     from fathom.plans import catalog
 
     data = "/root/testdata/sf0.01"
-    got = {r.qid: r.specificity for r in catalog.QUERIES["query_specificity_all"](spark, data).collect()}
+    got = {r.qid: r.specificity for r in catalog.QUERIES["query_specificity"](spark, data).collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{data}/benchmark.parquet'")
-    want = dict(con.execute(catalog.ORACLES["query_specificity_all"]).fetchall())
+    want = dict(con.execute(catalog.ORACLES["query_specificity"]).fetchall())
     assert len(got) == con.execute("SELECT count(*) FROM benchmark").fetchone()[0] and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-8 for k in got)
 
