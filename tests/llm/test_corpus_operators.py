@@ -528,7 +528,7 @@ def test_near_duplicates_across_a_large_group_at_the_defaults(spark):
         rows += [(1000 + n, " ".join(away(x, 34, f"v{n}w"))) for n in range(80)]
         return rows
 
-    for seed in (1, 2):
+    for seed in (1,):
         rows = family(seed)
         got = near_dup.near_duplicates(docs_of(spark, rows)).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
@@ -601,7 +601,7 @@ def test_secrets_equal_sql_on_odd_texts(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.execute(f"select {', '.join(got.columns)} from ({secret_scan.report_sql()})").fetchall()))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_urls_equal_sql_on_random_links(spark, seed):
     rng = random.Random(seed)
@@ -609,7 +609,7 @@ def test_urls_equal_sql_on_random_links(spark, seed):
     url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}"
     target = lambda: rng.choice([url(), "../en/1", "?p=2", "b.html", "/es/", "//q.org/es/", "mailto:a@b", "./x/.."])
     tag = lambda: rng.choice(['<link rel="canonical" href="{}">', "<LINK href={} REL=canonical>", "<link rel='alternate' href='{}'>", '<meta http-equiv="refresh" content="0.5; url={}">', "<meta content='3;URL={}' http-equiv=Refresh>", '<!-- <link rel="canonical" href="{}"> -->', '<a href="{}">refresh</a>']).format(target())
-    rows = [(n, url().replace("&amp;", "&"), rng.choice([None, "", tag(), tag() + "x" + tag()])) for n in range(25)]
+    rows = [(n, url().replace("&amp;", "&"), rng.choice([None, "", tag(), tag() + "x" + tag()])) for n in range(80)]
     con = duckdb.connect()
     con.execute("create table pages (page_id bigint, url varchar, html varchar)")
     con.executemany("insert into pages values (?, ?, ?)", rows)
