@@ -222,7 +222,7 @@ def test_inspection(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["child_chunks", "bm25_batch", "rrf_fusion", "cluster_segmentation", "cluster_assembly", "end_to_end_search", "pass_at_k", "citation_links", "retrieve_rerank", "chat_rerank", "route_decision", "hash_embedding", "legacy_prompts", "chat_prompts"])
+@pytest.mark.parametrize("name", ["cluster_segmentation", "cluster_assembly", "end_to_end_search", "pass_at_k", "citation_links", "retrieve_rerank", "route_decision", "hash_embedding", "chat_prompts"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
