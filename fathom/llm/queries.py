@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontamination, near_dup, packing, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
+from fathom.llm import decontamination, near_dup, packing, period_runs, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
 from fathom.llm.tables import table
 
 #: The session's setting with the key of the surrogates, and the key of test data, which anyone can read here.
@@ -68,6 +68,10 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repeated_kgram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hyperminhash,
         op9_karmarkar_karp,
         op10_decision_list,
+        op11_repeated_kgram_runs,
     )
 }
 
@@ -91,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op5_redirect_filter": url_filter.judge_sql(),
     "op6_minhash_containment": decontamination.CONTAMINATIONS_SQL,
     "op8_hyperminhash": near_dup.COMPONENTS_SQL,
+    "op11_repeated_kgram_runs": period_runs.report_sql(),
 }
