@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import decontamination, near_dup, packing, period_runs, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
+from fathom.llm import byte_cnn, decontamination, near_dup, packing, period_runs, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
 from fathom.llm.tables import table
 
 #: The session's setting with the key of the surrogates, and the key of test data, which anyone can read here.
@@ -72,6 +72,10 @@ def op11_repeated_kgram_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_karmarkar_karp,
         op10_decision_list,
         op11_repeated_kgram_runs,
+        op12_byte_cnn,
     )
 }
 

@@ -59,7 +59,7 @@ def test_long_documents_stay_cheap():
 
 def test_report(spark):
     rng = random.Random(5)
-    rows = [*ODD, (-3, "a b " * 9), (2**62 + 1, "x y z " * 5 + "q"), *[(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(300))) + "\x0b\n y" * rng.randrange(9)) for i in range(100, 180)]]
+    rows = [*ODD, (-3, "a b " * 9), (-4, "a " * 7 + "x y z " * 4 + "c " * 6), (2**62 + 1, "x y z " * 5 + "q"), *[(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(300))) + "\x0b\n y" * rng.randrange(9)) for i in range(100, 180)]]
     want = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
