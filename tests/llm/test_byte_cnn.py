@@ -41,6 +41,7 @@ def test_gradient_equals_differences():
     net, y = B.Network(3), np.array([0, 1, 1, 0, 1, 0, 1], np.float32)
     # no ties between chunks, at which the loss has a corner
     net.p["b"] += np.linspace(0.1, 0.2, B.FILTERS, dtype=np.float32)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
     batch = B.Batch.of(TEXTS)
 
     def loss():
