@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import byte_cnn, decontamination, near_dup, packing, period_runs, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
+from fathom.llm import byte_cnn, decontamination, hard_negatives, near_dup, packing, period_runs, pii, quality_rules, scratch, secret_scan, token_planes, toxicity, url_filter, warc
 from fathom.llm.tables import table
 
 #: The session's setting with the key of the surrogates, and the key of test data, which anyone can read here.
@@ -76,6 +76,10 @@ def op12_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decision_list,
         op11_repeated_kgram_runs,
         op12_byte_cnn,
+        op13_dual_tree_negatives,
     )
 }
 
@@ -102,4 +107,5 @@ ORACLES: dict[str, str] = {
     "op6_minhash_containment": decontamination.CONTAMINATIONS_SQL,
     "op8_hyperminhash": near_dup.COMPONENTS_SQL,
     "op11_repeated_kgram_runs": period_runs.report_sql(),
+    "op13_dual_tree_negatives": hard_negatives.MINED_SQL,
 }
