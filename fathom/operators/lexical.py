@@ -1,15 +1,25 @@
-"""BM25 over one or several fields, for tables of queries.
+"""BM25 over one or several fields, for tables of queries, with dynamic pruning.
 
-An index holds the postings of each field (key, term, tf, dl), the document frequencies of the terms
-and the number and mean length of the documents. It is made in one pass over the texts. A collection
-keeps it sorted by a hash of the term, so that a search reads only the parts its terms are in. Without
-a kept index a search makes the part of it that its own queries need, also in one pass.
+An index is packed. Each task that reads texts numbers its documents in parts of at most ``PART``; a row of the index
+is a term of a part with the numbers of its documents and how often each has it, or, without a term, the part's documents with their lengths.
+Nothing is shuffled for that. Terms are analysed once for each distinct term of a part.
+
+A search sends the rows of its terms, each with the queries that have the term, to the tasks that score whole parts. There a
+document's place gives blocks of ``BLOCK`` documents, and the largest impact of each term in each block bounds what any document
+of the block can score. The blocks that promise most are scored first; a block that cannot beat a query's k-th best score so far,
+in this part or in those that the task had before, is left out. The result is that of scoring all.
+A collection keeps the index sorted by a hash of the term, so that a search reads only the row groups its terms are in.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +28,32 @@ from fathom.functions import text as T
 from fathom.sources import workspace
 
 K1, B = 1.2, 0.75
-#: Rows of (query, term), or of terms, that may be broadcast (about 50 bytes each).
+#: Rows of terms that may be broadcast (about 50 bytes each).
 BROADCAST_TERMS = 1_000_000
 #: Parts that a kept index is sorted into, and the one of the rows that stand for documents.
 SHARDS, DOCUMENTS = 1024, -1
 #: Up to so many parts a search names those that it needs.
 NAMED = 256
+#: Documents of a part and of a block, and queries that a task scores together.
+PART, BLOCK, QUERIES = 4096, 64, 512
+#: Products of a query's term and a document that are made at a time.
+PRODUCTS = 4_000_000
+#: Digits that scores are rounded to, and what a bound may be off by.
+DIGITS, SLACK = 9, 1e-8
 
 # The stop words of the usual English analyzer.
 ENGLISH_STOPS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
+def english_term(term: str) -> str | None:
+    """A term without its possessive, stemmed after Porter; nothing of stop words."""
+    if term.endswith(("'s", "’s")):
+        term = term[:-2]
+    return stemming.stem(term) if term and term not in ENGLISH_STOPS else None
+
+
 def english_tokens(c) -> Column:
-    """Terms without possessives and stop words, stemmed after Porter."""
+    """The same for a text; for small tables such as queries."""
     bare = F.transform(T.tokens(c), lambda x: F.regexp_replace(x, r"['’]s$", ""))
     return stemming.porter(F.filter(bare, lambda x: ~x.isin(ENGLISH_STOPS) & (x != "")))
 
@@ -57,72 +80,311 @@ def query_terms(queries: DataFrame, qid: str = "qid", query: str = "query", anal
 
 @dataclass
 class Index:
-    """``rows``: field, term, key, tf, dl, and for each document a row without a term; ``postings`` are those with one.
-
-    ``terms``: field, term, df; ``stats``: field, n, avgdl (one row a field).
-    """
+    """Packed ``rows``: part, field, term, docs, tf; and without a term: keys, dl. ``key`` names the documents in results."""
 
     rows: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
     key: str
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.where("term is not null")
+
+    @property
+    def documents(self) -> DataFrame:
+        found = self.rows.where("term is null")
+        return found.where(F.col("shard") == DOCUMENTS) if "shard" in self.rows.columns else found
+
+    @property
+    def terms(self) -> DataFrame:
+        """field, term, df."""
+        return self.postings.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """field, n, avgdl of the documents that have a term; one row a field."""
+        some = F.filter("dl", lambda x: x > 0)
+        total = F.aggregate(some, F.lit(0).cast("long"), lambda s, x: s + x)
+        found = self.documents.groupBy("field").agg(F.sum(F.size(some)).alias("n"), F.sum(total).alias("total"))
+        return found.select("field", "n", (F.col("total") / F.col("n")).alias("avgdl"))
+
 
 def shard(term: str = "term") -> Column:
     return F.when(F.col(term).isNull(), F.lit(DOCUMENTS)).otherwise(F.pmod(F.xxhash64(term), F.lit(SHARDS))).cast("int")
 
 
-def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, wanted: DataFrame | None = None) -> Index:
-    """The index of ``fields``, of all terms or of ``wanted`` (term) alone, cached.
-
-    Each text is cut once. A row without a term stands for a document and brings its length. Rows of a
-    document lie together, so that its terms are counted, and its scores summed up, where they are.
+#: Analyses that go term by term: what cuts the text, and what becomes of a term.
+TERMWISE: dict[Callable, tuple[Callable, Callable[[str], str | None]]] = {english_tokens: (T.tokens, english_term)}
+
+
+def _packed(lists: pa.Array, name: str, field_: str, term: Callable[[str], str | None] | None) -> tuple[pa.Table, np.ndarray]:
+    """The rows of the terms of a part, and the documents' lengths; ``lists``: the terms of each document."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    codes = lists.flatten().dictionary_encode()
+    words, at = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(lists), dtype=np.int64), size)
+    if term is not None:
+        became = [term(w) for w in words.to_pylist()]
+        known = {w: n for n, w in enumerate(dict.fromkeys(w for w in became if w is not None))}
+        place = np.array([-1 if w is None else known[w] for w in became], np.int64)
+        at = place[at]
+        at, doc, words = at[at >= 0], doc[at >= 0], pa.array(list(known), pa.string())
+    n = len(lists)
+    pair, tf = np.unique(at * n + doc, return_counts=True)
+    code, docs = np.divmod(pair, n) if n else (pair, pair)
+    first = np.searchsorted(code, np.arange(len(words) + 1))
+    ints = lambda x: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32()))
+    same = lambda v: pa.array(np.full(len(words), v, object), pa.string())
+    return pa.table({"part": same(name), "field": same(field_), "term": words.cast(pa.string()), "docs": ints(docs), "tf": ints(tf)}), np.bincount(doc, minlength=n)
+
+
+def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner: str | None = None, wanted: Asked | None = None) -> Index:
+    """The index of ``fields``, of all terms or of those of ``wanted``, kept by the executors.
+
+    ``owner``: a column (string) that deletions name documents by, carried in ``owners``.
     """
-    rows = workspace.spread(docs.select(F.col(key).alias(key), *dict.fromkeys(fields)), key)
-    each = F.array(*[F.struct(F.lit(f).alias("field"), analyze(f).alias("w")) for f in fields])
-    rows = rows.select(key, F.inline(each)).select(key, "field", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
-    if wanted is not None:
-        wanted = wanted.select("term").distinct()
-        # the row of the document passes as well
-        wanted = wanted.union(wanted.sparkSession.range(1).select(F.lit(None).cast("string")))
-        small = wanted.count() <= BROADCAST_TERMS
-        rows = rows.join((F.broadcast(wanted) if small else wanted).withColumnRenamed("term", "t"), F.expr("term <=> t"), "left_semi")
-    found = rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
-    return of_postings(workspace.cached(found), key)
-
-
-def of_postings(found: DataFrame, key: str) -> Index:
-    """The index over rows of ``key, field, term, tf, dl``, with a row without a term for each document."""
-    postings, lengths = found.where("term is not null"), found.where("term is null and dl > 0")
-    if "shard" in found.columns:
-        lengths = lengths.where(F.col("shard") == DOCUMENTS)
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(found, postings, terms, stats, key)
-
-
-def scores(index_: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
-    """qid, key, score for documents that have at least one term: the best of the fields' boosted scores."""
-    key = index_.key
-    terms = workspace.written(terms, "terms")
-    small = terms.count() <= BROADCAST_TERMS
-    wanted = terms.select("term").distinct()
-    near = lambda x: F.broadcast(x) if small else x
-    found = index_.postings
+    cut, term = TERMWISE.get(analyze, (analyze, None))
+    fields = list(dict.fromkeys(fields))
+    kind, own = docs.schema[key].dataType.simpleString(), ([owner] if owner else [])
+    rows = workspace.spread(docs.select(key, *[c for c in own if c != key], *[c for c in fields if c != key]), key)
+    rows = rows.select(F.col(key).alias("key"), F.col(owner or key).cast("string").alias("owner"), *[cut(f).alias(f"w{n}") for n, f in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        each = lru_cache(maxsize=200_000)(term) if term is not None else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                some, name, n = batch.slice(at, PART), f"{task}-{n}", n + 1
+                for k, f in enumerate(fields):
+                    made, dl = _packed(pa.concat_arrays([some.column(f"w{k}")]), name, f, each)
+                    none = lambda kind, made=made: pa.nulls(made.num_rows, kind)
+                    one = lambda x, kind: pa.array([x], pa.list_(kind))
+                    keys, owners = some.column("key"), some.column("owner")
+                    yield from pa.table({**{c: made[c] for c in ("part", "field", "term", "docs", "tf")}, "keys": none(pa.list_(keys.type)), "owners": none(pa.list_(pa.string())), "dl": none(pa.list_(pa.int32()))}).to_batches()
+                    as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays([x]))
+                    yield pa.record_batch({"part": pa.array([name]), "field": pa.array([f]), "term": pa.nulls(1, pa.string()), "docs": pa.nulls(1, pa.list_(pa.int32())), "tf": pa.nulls(1, pa.list_(pa.int32())), "keys": as_list(keys), "owners": as_list(owners), "dl": one(dl.tolist(), pa.int32())})
+
+    made = rows.mapInArrow(run, f"part string, field string, term string, docs array<int>, tf array<int>, keys array<{kind}>, owners array<string>, dl array<int>")
+    if wanted is not None:  # rows of documents pass as well
+        terms = wanted.words().union(docs.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("term", "t")
+        made = made.join(wanted.near(terms), F.expr("term <=> t"), "left_semi")
+    return Index(workspace.cached(made if owner else made.drop("owners")), key)
+
+
+# --- scoring ---
+
+
+@dataclass
+class _Best:
+    """The best ``k`` of each query among the parts that a task has seen, as flat rows by query and falling score."""
+
+    n: int
+    k: int
+    q: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    score: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    key: np.ndarray | None = None
+    pairs: int = 0
+
+    def least(self) -> np.ndarray:
+        """The k-th best score of each query so far; none where it has fewer."""
+        out = np.full(self.n, -np.inf)
+        place = np.arange(len(self.q)) - np.searchsorted(self.q, self.q)
+        out[self.q[place == self.k - 1]] = self.score[place == self.k - 1]
+        return out
+
+    def add(self, q: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        if self.key is not None:
+            q, score, key = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.key, key])
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -score, q))
+        q, score, key = q[order], score[order], key[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.q, self.score, self.key = q[first], score[first], key[first]
+
+
+def _within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand ``counts`` times each: the row's number, and 0, 1, ... within the row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows in slices whose counts add up to about ``most``."""
+    edges = np.searchsorted(np.cumsum(counts), np.arange(most, int(counts.sum()) + most, most), "left") + 1
+    edges = np.unique(np.append(0, np.minimum(edges, len(counts))))
+    yield from map(slice, edges[:-1], edges[1:])
+
+
+class _Field:
+    """The rows of the queries' terms in one field of a part, flat: postings, stretches of one term and block, and pairs of a query and a term."""
+
+    def __init__(self, rows: pd.DataFrame, dl: np.ndarray, boost: float):
+        size, first = rows["docs"].map(len).to_numpy(), lambda n: np.append(0, np.cumsum(n))
+        start = first(size)
+        self.docs = np.concatenate(rows["docs"].to_numpy()).astype(np.int64)
+        tf = np.concatenate(rows["tf"].to_numpy()).astype(float)
+        each = lambda c: np.repeat(rows[c].to_numpy(float), size)
+        self.impact = each("idf") * (tf / (tf + K1 * ((1 - B) + B * dl[self.docs] / each("avgdl"))))
+        block = self.docs // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[start[:-1]] = True
+        self.begin = np.flatnonzero(new)
+        self.length = np.diff(np.append(self.begin, len(block)))
+        self.block, self.most = block[self.begin], np.maximum.reduceat(self.impact, self.begin)
+        run = np.searchsorted(self.begin, start)
+        pairs = rows["qs"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(rows)), pairs)
+        self.q, self.qtf = np.concatenate(rows["qs"].to_numpy()).astype(np.int64), np.concatenate(rows["qtfs"].to_numpy()).astype(float)
+        self.run, self.runs, self.products, self.boost = run[row], np.diff(run)[row], size[row], boost
+
+    def _stretches(self, pairs: slice) -> tuple[np.ndarray, np.ndarray]:
+        pair, n = _within(self.runs[pairs])
+        return pair + pairs.start, self.run[pairs][pair] + n
+
+    def bounds(self, n: int, blocks: int) -> np.ndarray:
+        """What no document of a block can exceed, for each query."""
+        out = np.zeros(n * blocks)
+        for pairs in _slices(self.runs, PRODUCTS):
+            pair, run = self._stretches(pairs)
+            out += np.bincount(self.q[pair] * blocks + self.block[run], self.qtf[pair] * self.most[run], n * blocks)
+        return out.reshape(n, blocks) * self.boost
+
+    def scores(self, wanted: np.ndarray, docs: int) -> tuple[np.ndarray, int]:
+        """The scores of the wanted blocks of each query, and how many products that took."""
+        out, made = np.zeros(len(wanted) * docs), 0
+        for pairs in _slices(self.products, PRODUCTS):
+            pair, run = self._stretches(pairs)
+            chosen = wanted[self.q[pair], self.block[run]]
+            pair, run = pair[chosen], run[chosen]
+            which, n = _within(self.length[run])
+            at = self.begin[run][which] + n
+            out += np.bincount(self.q[pair][which] * docs + self.docs[at], self.qtf[pair][which] * self.impact[at], len(out))
+            made += len(at)
+        return out.reshape(len(wanted), docs) * self.boost, made
+
+
+def score_part(fields: list[_Field], keys: np.ndarray, best: _Best) -> None:
+    """The documents of a part against the queries of ``best``, block by block where that can matter."""
+    n, blocks = best.n, -(-len(keys) // BLOCK)
+    bound = np.max([f.bounds(n, blocks) for f in fields], axis=0)
+    least, left = best.least(), bound > 0
+    # for queries that lack a k-th score: first the blocks of the highest bounds that hold k documents
+    some = np.argsort(-bound, axis=1, kind="stable")[:, : -(-best.k // BLOCK) + 1]
+    start = np.zeros_like(left)
+    np.put_along_axis(start, some, True, 1)
+    for wanted in (start & left, left & ~start):
+        wanted = wanted & (bound + SLACK >= best.least()[:, None] if wanted is not start else True)
+        if not wanted.any():
+            continue
+        total = None
+        for f in fields:
+            own, made = f.scores(wanted, len(keys))
+            best.pairs += made
+            total = own if total is None else np.maximum(total, own)
+        score = np.rint(total * 10**DIGITS) / 10**DIGITS
+        least = np.maximum(best.least() - SLACK, 0)
+        q, d = np.nonzero((score > 0) & (score >= least[:, None]))
+        if len(q) > 4 * best.k * n:  # many rows: the k-th of each query in this part alone
+            kth = -np.partition(-score, min(best.k, score.shape[1]) - 1, axis=1)[:, min(best.k, score.shape[1]) - 1]
+            q, d = np.nonzero((score > 0) & (score >= np.maximum(least, kth)[:, None]))
+        best.add(q, score[q, d], keys[d])
+
+
+@dataclass
+class Asked:
+    """Queries numbered within chunks (qid, chunk, q), and their terms with the queries that have them (chunk, term, qs, qtfs)."""
+
+    numbered: DataFrame
+    terms: DataFrame
+    chunks: int
+    small: bool
+
+    @staticmethod
+    def of(queries: DataFrame, analyze=T.tokens) -> Asked:
+        terms = workspace.written(query_terms(queries, analyze=analyze), "terms")
+        n, words = terms.agg(F.count_distinct("qid"), F.count_distinct("term")).first()
+        chunks = max(1, -(-n // QUERIES))
+        ids = terms.select("qid").distinct().withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
+        numbered = ids.withColumn("q", (F.row_number().over(Window.partitionBy("chunk").orderBy("qid")) - 1).cast("int"))
+        rows = F.array_sort(F.collect_list(F.struct("q", F.col("qtf").cast("double").alias("qtf"))))
+        grouped = terms.join(numbered, "qid").groupBy("chunk", "term").agg(rows.alias("r"))
+        grouped = workspace.written(grouped.select("chunk", "term", F.col("r.q").alias("qs"), F.col("r.qtf").alias("qtfs")), "asked")
+        return Asked(numbered, grouped, chunks, words * chunks <= BROADCAST_TERMS)
+
+    def near(self, df: DataFrame) -> DataFrame:
+        """A table of terms, broadcast if it is small."""
+        return F.broadcast(df) if self.small else df
+
+    def words(self) -> DataFrame:
+        return self.terms.select("term").distinct()
+
+
+def search_index(index_: Index, queries: DataFrame | Asked, k: int, fields: dict[str, float], analyze=T.tokens) -> DataFrame:
+    """qid, key, score, rank: the best of the fields' boosted scores, of documents that have a term. Scores are rounded to 9 digits; ties by rising key."""
+    asked = queries if isinstance(queries, Asked) else Asked.of(queries, analyze)
+    numbered, chunks, near = asked.numbered, asked.chunks, asked.near
+    found = index_.postings.where(F.col("field").isin(list(fields)))
     if "shard" in found.columns:  # row groups without these parts are skipped
-        parts = [r.shard for r in wanted.select(shard().alias("shard")).distinct().limit(NAMED + 1).collect()]
+        parts = [r.shard for r in asked.words().select(shard().alias("shard")).distinct().limit(NAMED + 1).collect()]
         found = found.where(F.col("shard").isin(parts)) if len(parts) <= NAMED else found
-    found = found.join(near(wanted), "term", "left_semi")
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    known = found.where(F.col("field").isin(list(boosts))).join(near(df), ["field", "term"]).join(F.broadcast(index_.stats), "field")  # a row a field
+    found = found.join(near(asked.words()), "term", "left_semi").select("part", "field", "term", "docs", "tf")
+    df = found.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")).join(F.broadcast(index_.stats), "field")  # a row a field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    tf = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    known = known.select(key, "field", "term", (idf * tf).alias("part")).join(near(terms), "term")
-    # all fields in one aggregation; greatest() passes over fields without a term
-    own = [F.sum(F.when(F.col("field") == f, F.col("qtf") * F.col("part"))).alias(f"s{n}") for n, f in enumerate(boosts)]
-    boosted = [F.col(f"s{n}") * F.lit(float(b)) for n, b in enumerate(boosts.values())]
-    return known.groupBy("qid", key).agg(*own).select("qid", key, (F.greatest(*boosted) if len(boosted) > 1 else boosted[0]).alias("score"))
+    known = df.select("field", "term", idf.alias("idf"), "avgdl").join(asked.terms, "term")
+    rows = found.join(near(known), ["field", "term"]).select("chunk", "part", "field", F.lit(1).alias("kind"), "docs", "tf", "idf", "avgdl", "qs", "qtfs")
+    key_type = index_.rows.schema["keys"].dataType.simpleString()
+    null = lambda kind: F.lit(None).cast(kind)
+    papers = index_.documents.where(F.col("field").isin(list(fields))).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "part", "field", F.lit(0).alias("kind"), "keys", "dl")
+    rows = papers.unionByName(rows, allowMissingColumns=True)
+    slices = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // chunks))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("part"), F.lit(slices)).cast("int"))
+    rows = rows.repartition(min(20_000, chunks * slices), "chunk", "slice").sortWithinPartitions("chunk", "part", "field", "kind")
+    kind = key_type.removeprefix("array<").removesuffix(">")
+    boosts = dict(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best, held = None, None, []
+
+        def out() -> Iterator[pd.DataFrame]:
+            if best is not None and len(best.q):
+                yield pd.DataFrame({"chunk": now[0], "q": best.q, "key": best.key, "score": best.score})
+
+        def score(part: pd.DataFrame) -> None:
+            made, keys = [], None
+            for f, rows_ in part.groupby("field", sort=False):
+                head, own = rows_.iloc[0], rows_.iloc[1:]
+                if head["kind"] == 0 and len(own):
+                    keys = np.asarray(head["keys"])
+                    made.append(_Field(own, np.asarray(head["dl"], float), boosts[f]))
+            if made:
+                score_part(made, keys, best)
+
+        def gather() -> Iterator[tuple[tuple, pd.DataFrame]]:
+            nonlocal held
+            last = None
+            for x in batches:
+                for name, g in x.groupby(["chunk", "part"], sort=False):
+                    if name != last and held:
+                        yield last, pd.concat(held)
+                        held = []
+                    last = name
+                    held.append(g)
+            if held:
+                yield last, pd.concat(held)
+
+        for name, part in gather():
+            if now is None or name[0] != now[0]:
+                yield from out()
+                best = _Best(0, k)
+            now, own = name, part["qs"].dropna()
+            best.n = max([best.n, *(int(q[-1]) + 1 for q in own)])  # numbers rise in each row
+            score(part)
+        yield from out()
+
+    found = rows.mapInPandas(run, f"chunk int, q int, key {kind}, score double").join(numbered, ["chunk", "q"])
+    return top(found.select("qid", F.col("key").alias(index_.key), "score"), k, index_.key)
 
 
 def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "score") -> DataFrame:
@@ -131,13 +393,8 @@ def top(ranked: DataFrame, k: int, key: str, by: str = "qid", score: str = "scor
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search_index(index_: Index, queries: DataFrame, k: int, fields: dict[str, float], analyze=T.tokens) -> DataFrame:
-    """qid, key, score, rank. Scores are rounded to 9 digits."""
-    found = scores(index_, query_terms(queries, analyze=analyze), fields)
-    return top(found.withColumn("score", F.rint(F.col("score") * 1e9) / 1e9), k, index_.key)
-
-
 def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", fields: dict[str, float] | None = None, analyze=T.tokens) -> DataFrame:
     """``search_index`` over the part of the index that these queries need."""
     fields = fields or {"text": 1.0}
-    return search_index(index(docs, key, list(fields), analyze, query_terms(queries, analyze=analyze)), queries, k, fields, analyze)
+    asked = Asked.of(queries, analyze)
+    return search_index(index(docs, key, list(fields), analyze, wanted=asked), asked, k, fields)

@@ -79,8 +79,8 @@ class Engine:
         return {"status": "success", **one, "parent_chunks_indexed": n_p, "child_chunks_indexed": n_c}
 
     def _postings(self, children: DataFrame) -> DataFrame:
-        made = lexical.index(children, "chunk_id", list(FIELDS), ANALYZERS[self.config.analyzer])
-        return made.rows.join(children.select("chunk_id", "doc_id"), "chunk_id").withColumn("shard", lexical.shard())
+        made = lexical.index(children, "chunk_id", list(FIELDS), ANALYZERS[self.config.analyzer], owner="doc_id")
+        return made.rows.withColumn("shard", lexical.shard())
 
     def ingest_pdf(self, path: str, doc_id: str | None = None, metadata: dict[str, str] | None = None) -> dict:
         pages = workspace.written(tables.pdf_pages(self.spark, path, doc_id), "pdf")
@@ -129,7 +129,7 @@ class Engine:
 
     def index(self) -> lexical.Index:
         """The kept index of all chunks."""
-        return lexical.of_postings(self.collection.read("postings"), "chunk_id")
+        return lexical.Index(self.collection.read("postings"), "chunk_id")
 
     def search_sparse(self, asked: DataFrame, k: int, fields: dict[str, float] | None = None) -> DataFrame:
         return lexical.search_index(self.index(), asked, k, fields or FIELDS, ANALYZERS[self.config.analyzer])
@@ -230,7 +230,7 @@ class Engine:
     # --- documents ---
 
     def document_info(self, doc_id: str | None = None) -> DataFrame:
-        rows = self.collection.read("registry")
+        rows = self.collection.registry()
         return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id)
 
     def delete_document(self, doc_id: str) -> dict:

@@ -1,27 +1,40 @@
-"""Collections: Parquet tables of parents, children, postings and the registry of documents, under one folder.
+"""Collections: tables of documents, chunks, vectors and postings under one folder, as a log of segments.
 
-Each table is cut into buckets by a hash of the document's id. A write of documents rewrites the
-buckets that these documents fall in, in a folder of its own, and then a new pointer, numbered one up,
-says where each bucket is now. Readers take the newest pointer, so they see all of a write or nothing of
-it; a writer that was overtaken fails. What the last two pointers name is kept, older folders are
-removed, so that frames already read stay readable through the next write.
+A write adds one segment, a folder with the new rows of each table and the ids it touched, however large the
+collection is; then a new pointer, numbered one up, names the segments in order. Documents that older segments hold and that the
+write replaces or removes are listed in the segment as ``gone``; readers leave them out of all older segments. When
+``FAN`` segments have come after the last one that is much larger than they are, they are merged into one, so that the work of merging
+grows with the logarithm of the size.
+
+Readers take the newest pointer, so they see all of a write or nothing of it. A writer that finds a newer pointer
+than it began with puts its segment behind the newer ones, if these touched other documents; if they touched the same, it fails as
+overtaken. What the last two pointers name is kept, so that frames already read stay readable through
+the next write; folders that only older ones named are removed. A folder of a writer that died stays until ``vacuum``.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.operators import lexical
+
 PARENTS = "parent_id string, doc_id string, filename string, content string, page_start int, page_end int, metadata map<string,string>"
 CHILDREN = "chunk_id string, parent_id string, doc_id string, filename string, content string, page_number int, contextualized_content string, embedding array<double>"
-#: A row without a term stands for a chunk. Files are sorted by ``shard``, a number by the term, so that searches skip most of them.
-POSTINGS = "chunk_id string, doc_id string, field string, term string, tf bigint, dl bigint, shard int"
+#: A packed index of words (see ``lexical``). Files are sorted by ``shard``, a number by the term, so that searches skip most of them.
+POSTINGS = "part string, field string, term string, docs array<int>, tf array<int>, keys array<string>, owners array<string>, dl array<int>, shard int"
 REGISTRY = "doc_id string, filename string, pdf_path string, chunks bigint, inserted_at timestamp, custom_metadata map<string,string>"
-TABLES = {"parents": PARENTS, "children": CHILDREN, "postings": POSTINGS, "registry": REGISTRY}
-BUCKETS, KEPT = 16, 2
+CLUSTERS = "key string, doc_id string, original_uuid string, original_index bigint, chunk_id string, content string, page_start int, page_end int, token_count double, page_info string, contextualized_content string, text_to_embed string, embedding array<double>"
+TABLES = {"parents": PARENTS, "children": CHILDREN, "postings": POSTINGS, "registry": REGISTRY, "clusters": CLUSTERS, "cluster_postings": POSTINGS}
+#: Tables whose rows stand for many documents; these are named in ``owners`` of the rows without a term.
+PACKED = {"postings", "cluster_postings"}
+#: What files are sorted by, where it is not the document.
+ORDER = {"postings": ["shard", "term"], "cluster_postings": ["shard", "term"]}
+FAN, KEPT, TRIES = 8, 2, 20
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id", ids: DataFrame | None = None) -> DataFrame:
@@ -35,7 +48,7 @@ def delete(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 class Overtaken(RuntimeError):
-    """Another writer moved the collection on; read again and repeat."""
+    """Another writer touched the same documents meanwhile; read again and repeat."""
 
 
 class Collection:
@@ -51,17 +64,21 @@ class Collection:
         where = self._path(path)
         return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
 
-    def _newest(self) -> tuple[int, dict[str, dict[str, str]]]:
-        """The number of the newest pointer that can be read, and table to bucket to folder; (0, {}) without one."""
+    def _last(self) -> int:
+        """The highest number that a pointer has, readable or not."""
+        return max((int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("pointer-")), default=0)
+
+    def _newest(self) -> tuple[int, list[dict]]:
+        """The number of the newest pointer that can be read, and its segments, oldest first; (0, []) without one."""
         numbers = sorted((int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("pointer-")), reverse=True)
         for n in numbers:
             try:
                 return n, self._read_pointer(n)
             except ValueError:  # cut short by a writer that died
                 continue
-        return 0, {}
+        return 0, []
 
-    def _read_pointer(self, n: int) -> dict[str, dict[str, str]]:
+    def _read_pointer(self, n: int) -> list[dict]:
         source = self._fs.open(self._path(self._pointer(n)))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
@@ -71,40 +88,107 @@ class Collection:
     def _pointer(self, n: int) -> str:
         return f"{self.path}/pointer-{n:012d}"
 
-    def _point(self, n: int, buckets: dict[str, dict[str, str]]) -> None:
+    def _point(self, n: int, segments: list[dict]) -> None:
         if self._fs.exists(self._path(self._pointer(n))):
             raise Overtaken(self.path)
         fresh = self._path(f"{self.path}/next-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, False)
-        out.write(bytearray(json.dumps(buckets).encode()))
+        out.write(bytearray(json.dumps(segments).encode()))
         out.close()
         # a name that is taken is never overwritten by a rename
         if not self._fs.rename(fresh, self._path(self._pointer(n))):
             self._fs.delete(fresh, False)
             raise Overtaken(self.path)
 
+    def _commit(self, change: Callable[[list[dict]], list[dict]]) -> None:
+        """``change`` makes the new list of segments of the newest one, and may refuse; it is asked again if another pointer comes first."""
+        for _ in range(TRIES):
+            now, last = self._newest()[1], self._last()
+            made = change(now)
+            try:
+                self._point(last + 1, made)
+            except Overtaken:  # another writer was quicker
+                continue
+            self._clean(last + 1)
+            return
+        raise Overtaken(self.path)
+
+    def _named(self, numbers) -> set[str]:
+        """The folders that these pointers name; those that are gone or cannot be read name none."""
+        out = set()
+        for k in numbers:
+            try:
+                out |= {s["id"] for s in self._read_pointer(k)} if self._fs.exists(self._path(self._pointer(k))) else set()
+            except ValueError:
+                continue
+        return out
+
     def _clean(self, n: int) -> None:
-        for k in range(max(1, n - KEPT - 8), n - KEPT + 1):
+        """Remove pointers before the last ``KEPT``, and folders that they alone named."""
+        old = [k for k in range(max(1, n - KEPT - 8), n - KEPT + 1) if self._fs.exists(self._path(self._pointer(k)))]
+        for name in self._named(old) - self._named(range(n - KEPT + 1, n + 1)):
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        for k in old:
             self._fs.delete(self._path(self._pointer(k)), False)
-        held = set()
-        for k in range(n - KEPT + 1, n + 1):
-            where = self._pointer(k)
-            if self._fs.exists(self._path(where)):
-                named = self._read_pointer(k)
-                held |= {folder.split("/")[0] for buckets in named.values() for folder in buckets.values()}
-        for name in self._names(self.path):
-            if name.startswith("part-") and name not in held:
-                self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Remove folders older than this that no pointer names (of writers that died); returns how many."""
+        import time
+
+        last = self._last()
+        named = self._named(range(max(1, last - KEPT - 8), last + 1))
+        least = (time.time() - 3600 * hours) * 1000
+        where = self._path(self.path)
+        found = [s.getPath() for s in self._fs.listStatus(where) if s.getModificationTime() <= least] if self._fs.exists(where) else []
+        found = [p for p in found if p.getName().startswith(("segment-", "next-")) and p.getName() not in named]
+        for p in found:
+            self._fs.delete(p, True)
+        return len(found)
 
     # --- tables ---
 
-    def read(self, table: str, only: list[str] | None = None) -> DataFrame:
-        """An empty table before anything was written; ``only`` these buckets."""
-        buckets = self._newest()[1].get(table, {})
-        folders = [f"{self.path}/{folder}" for bucket, folder in sorted(buckets.items()) if only is None or bucket in only]
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(*folders)
+    def _gone(self, segments: list[dict]) -> DataFrame | None:
+        """doc_id and the number of the segment before which it does not count; None without any."""
+        some = [(n, s) for n, s in enumerate(segments) if s["gone"] and n]
+        if not some:
+            return None
+        rows = self.spark.read.schema("doc_id string, segment string").parquet(*[f"{self.path}/{s['id']}/gone" for _, s in some])
+        return rows.groupBy("doc_id").agg(F.max(self._number(segments)).alias("before"))
+
+    @staticmethod
+    def _number(segments: list[dict]):
+        """The place of a row's segment in order."""
+        return F.element_at(F.create_map(*[F.lit(x) for n, s in enumerate(segments) for x in (s["id"], n)]), F.col("segment"))
+
+    def read(self, table: str) -> DataFrame:
+        """The rows that count; an empty table before anything was written."""
+        return self._live(table, self._newest()[1])
+
+    def _live(self, table: str, segments: list[dict], count: int | None = None) -> DataFrame:
+        """Of the segments from ``count`` on (of all if None), as the later ones leave them."""
+        having = [s for s in segments[count or 0 :] if table in s["tables"]]
+        schema = TABLES[table]
+        if not having:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, segment string").parquet(*[f"{self.path}/{s['id']}/{table}" for s in having])
+        gone = self._gone(segments)
+        if gone is None:
+            return rows.drop("segment")
+        rows = rows.withColumn("number", self._number(segments))
+        if table not in PACKED:
+            return rows.join(gone, (rows["doc_id"] == gone["doc_id"]) & (rows["number"] < gone["before"]), "left_anti").drop("segment", "number")
+        # which places of a part still count
+        places = rows.where((F.col("shard") == lexical.DOCUMENTS) & F.col("term").isNull()).select("part", "number", F.posexplode("owners").alias("place", "doc_id")).distinct()
+        dead = places.join(gone, "doc_id").where("number < before").groupBy("part").agg(F.collect_set("place").alias("dead"))
+        size = F.max("place") + 1
+        live = places.groupBy("part").agg(size.alias("n")).join(dead, "part").select("part", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: ~F.array_contains("dead", p)).alias("live"))
+        rows = rows.join(live, "part", "left")
+        kept = F.filter(F.arrays_zip("docs", "tf"), lambda x: F.get(F.col("live"), x.docs))
+        changed = F.col("live").isNotNull() & F.col("term").isNotNull()
+        rows = rows.withColumn("kept", F.when(changed, kept))
+        rows = rows.withColumns({"docs": F.when(changed, F.col("kept.docs")).otherwise(F.col("docs")), "tf": F.when(changed, F.col("kept.tf")).otherwise(F.col("tf"))})
+        lengths = F.when(F.col("live").isNotNull() & F.col("term").isNull(), F.zip_with("dl", "live", lambda n, on: F.when(on, n).otherwise(F.lit(0)))).otherwise(F.col("dl"))
+        return rows.withColumn("dl", lengths).where(F.col("term").isNull() | (F.size("docs") > 0)).drop("segment", "number", "live", "kept")
 
     def registry(self) -> DataFrame:
         """The registry, or an empty one where it cannot be read."""
@@ -115,31 +199,85 @@ class Collection:
         except Exception:  # unreadable for whatever reason  # noqa: BLE001
             return self.spark.createDataFrame([], REGISTRY)
 
-    @staticmethod
-    def _bucket():
-        return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("string")
+    # --- writes ---
+
+    def _ids(self, segments: list[dict]) -> DataFrame:
+        """The documents that segments touched."""
+        if not segments:
+            return self.spark.createDataFrame([], "doc_id string")
+        return self.spark.read.schema("doc_id string").parquet(*[f"{self.path}/{s['id']}/ids" for s in segments])
+
+    def _write(self, name: str, table: str, rows: DataFrame) -> None:
+        """Large tables get several files, small ones one; sorted by what searches ask for."""
+        kinds = self.spark.createDataFrame([], TABLES[table]).schema
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds], F.lit(name).alias("segment"))
+        order = ORDER.get(table, ["doc_id"])
+        if table in PACKED:
+            rows = rows.withColumn("part", F.concat(F.lit(f"{name}/"), F.element_at(F.split("part", "/"), -1)))
+        rows.hint("rebalance", F.col(order[0])).sortWithinPartitions(*order).write.parquet(f"{self.path}/{name}/{table}")
 
     def replace(self, ids: DataFrame, **rows: DataFrame) -> None:
         """Rows of the documents ``ids`` (doc_id) go from all tables, and ``rows`` of these documents come in."""
-        ids = ids.select("doc_id").distinct().persist()
-        touched = [r.b for r in ids.select(self._bucket().alias("b")).distinct().collect()]
-        n, now = self._newest()
-        then = {t: dict(now.get(t, {})) for t in TABLES}
-        for name, schema in TABLES.items():
-            kinds = self.spark.createDataFrame([], schema).schema
-            new = rows[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]) if name in rows else self.spark.createDataFrame([], schema)
-            kept = upsert(self.read(name, touched), new, ids=ids).withColumn("bucket", self._bucket())
-            folder = f"part-{uuid.uuid4().hex}"
-            order = ["bucket", "shard", "term"] if name == "postings" else ["bucket"]
-            # large buckets get several tasks and files, small ones share a task
-            kept = kept.hint("rebalance", *[F.col(c) for c in order[:2]]).sortWithinPartitions(*order)
-            kept.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            for b in touched:
-                then[name].pop(b, None)
-            then[name] |= {x.removeprefix("bucket="): f"{folder}/{x}" for x in self._names(f"{self.path}/{folder}") if x.startswith("bucket=")}
-        ids.unpersist()
-        self._point(n + 1, then)
-        self._clean(n + 1)
+        name = f"segment-{uuid.uuid4().hex}"
+        now = self._newest()[1]
+        ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().write.parquet(f"{self.path}/{name}/ids")
+        touched = self._ids([{"id": name}])
+        for table, new in rows.items():
+            self._write(name, table, new)
+        gone = touched.join(self._ids(now), "doc_id", "left_semi").select("doc_id", F.lit(name).alias("segment"))
+        gone.write.parquet(f"{self.path}/{name}/gone")
+        any_gone = bool(now) and not self.spark.read.parquet(f"{self.path}/{name}/gone").isEmpty()
+        segment = {"id": name, "tables": sorted(rows), "gone": any_gone, "bytes": self._bytes(name)}
+        seen = {s["id"] for s in now}
+
+        def behind(newest: list[dict]) -> list[dict]:
+            # a merged segment has what its parts had: those that came after the base are looked at
+            others = [s for s in newest if s["id"] not in seen and not ("merged" in s and set(s["merged"]) <= seen)]
+            if others and not touched.join(self._ids(others), "doc_id", "left_semi").isEmpty():
+                raise Overtaken(self.path)
+            return [*newest, segment]
+
+        self._commit(behind)
+        self.compact()
+
+    def _bytes(self, name: str) -> int:
+        return self._fs.getContentSummary(self._path(f"{self.path}/{name}")).getLength()
+
+    def compact(self, all_: bool = False) -> bool:
+        """Merge the last segments if ``FAN`` of about one size have gathered, or all; whether there was anything to do."""
+        now = self._newest()[1]
+        first, total = len(now), 0
+        while first and (all_ or now[first - 1]["bytes"] <= FAN * max(total, 1) or first == len(now)):
+            first -= 1
+            total += now[first]["bytes"]
+        run = now[first:]
+        if len(run) < (2 if all_ else FAN):
+            return False
+        name = f"segment-{uuid.uuid4().hex}"
+        tables = sorted({t for s in run for t in s["tables"]})
+        for table in tables:
+            rows = self._live(table, now, first)
+            if table in PACKED:  # parts of several segments may have one name
+                rows = rows.withColumn("part", F.md5("part"))
+            self._write(name, table, rows)
+        self._ids(run).distinct().write.parquet(f"{self.path}/{name}/ids")
+        older = self._ids(now[:first])
+        gone = self._ids([s for s in run if s["gone"]]).distinct().join(older, "doc_id", "left_semi") if first else older
+        gone.select("doc_id", F.lit(name).alias("segment")).write.parquet(f"{self.path}/{name}/gone")
+        merged = {"id": name, "tables": tables, "gone": first > 0 and any(s["gone"] for s in run), "bytes": self._bytes(name), "merged": [s["id"] for s in run]}
+        names = merged["merged"]
+
+        def instead(newest: list[dict]) -> list[dict]:
+            own = [s["id"] for s in newest]
+            if own[first : first + len(names)] != names:
+                raise Overtaken(self.path)
+            return [*newest[:first], merged, *newest[first + len(names) :]]
+
+        try:
+            self._commit(instead)
+        except Overtaken:  # another writer merged them
+            return False
+        return True
 
     def remove(self, doc_id: str) -> bool:
         if not self.read("registry").where(F.col("doc_id") == doc_id).take(1):

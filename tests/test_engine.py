@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathom.operators import lexical, router
 from fathom.plans import agent, catalog, contextual, evaluation, providers
 from fathom.plans.engine import Engine, EngineConfig, Tools, tools_of
-from fathom.sources import tables
+from fathom.sources import collection, tables
 from fathom.sources.collection import Collection, Overtaken
 from fathom.streaming.ingest import ingest_stream
 
@@ -126,28 +126,90 @@ def test_ingest_again_replaces_and_delete_removes(spark, root):
     assert engine.document_info().count() == 2
     # a document that comes again with blank pages alone goes
     assert engine.ingest_pages(spark.createDataFrame([("d2", "two.pdf", 1, " ")], PAGES)) == {"status": "empty", "parents": 0, "children": 0}
-    assert engine.collection.read("children").where("doc_id = 'd2'").count() == 0 and engine.collection.read("postings").where("doc_id = 'd2'").count() == 0
+    assert engine.collection.read("children").where("doc_id = 'd2'").count() == 0 and engine.index().documents.where("array_contains(owners, 'd2') and aggregate(dl, 0, (s, x) -> s + x) > 0").where("size(owners) = 1").count() == 0
     assert engine.delete_document("d1")["status"] == "success"
     assert engine.delete_document("d1")["status"] == "error"
     assert engine.collection.read("parents").count() == 0
 
 
-def test_pointers(spark, root):
+REG = "doc_id string, filename string, pdf_path string, chunks bigint, inserted_at timestamp, custom_metadata map<string,string>"
+
+
+def registered(spark, ids, chunks=1):
+    return spark.createDataFrame([(i, "f", "f", chunks, None, None) for i in ids], REG)
+
+
+def test_a_write_costs_what_it_brings(spark, root):
     c = Collection(spark, root, "pointers")
-    rows = spark.createDataFrame([(f"d{n}", "f", "f", 1, None, None) for n in range(40)], "doc_id string, filename string, pdf_path string, chunks bigint, inserted_at timestamp, custom_metadata map<string,string>")
-    c.replace(rows, registry=rows)
-    n, buckets = c._newest()
-    assert n == 1 and c.read("registry").count() == 40
-    with pytest.raises(Overtaken):
-        c._point(1, buckets)
-    assert c.remove("d3")
-    # only the bucket of the document was written again
-    assert sum(v != buckets["registry"].get(k) for k, v in c._newest()[1]["registry"].items()) <= 1 and c.read("registry").count() == 39
-    out = c._fs.create(c._path(c._pointer(3)), False)  # a writer that died while it wrote
+    many = registered(spark, [f"d{n}" for n in range(40_000)])
+    c.replace(many, registry=many)
+    c.replace(registered(spark, ["d3", "new"]), registry=registered(spark, ["d3", "new"], 7))
+    n, segments = c._newest()
+    assert n == 2 and [s["gone"] for s in segments] == [False, True] and segments[1]["bytes"] < segments[0]["bytes"] / 20
+    assert c.read("registry").count() == 40_001 and c.read("registry").where("doc_id = 'd3'").first().chunks == 7
+    assert c.remove("d3") and not c.remove("d3") and c.read("registry").count() == 40_000
+    assert c._newest()[1][2]["bytes"] < 10_000 and c._newest()[1][2]["tables"] == []
+    # a document may come back
+    c.replace(registered(spark, ["d3"]), registry=registered(spark, ["d3"], 9))
+    assert c.read("registry").where("doc_id = 'd3'").first().chunks == 9
+    out = c._fs.create(c._path(c._pointer(5)), False)  # a writer that died while it wrote
     out.write(bytearray(b'{"regis'))
     out.close()
-    assert c._newest()[0] == 2 and c.registry().count() == 39
-    assert Collection(spark, root, "nothing").registry().count() == 0
+    assert c._newest()[0] == 4 and c.registry().count() == 40_001
+    c.replace(registered(spark, ["d4"]), registry=registered(spark, ["d4"], 5))
+    assert c._newest()[0] == 6 and c.read("registry").where("doc_id = 'd4'").first().chunks == 5
+    assert c.compact(all_=True) and len(c._newest()[1]) == 1 and c.read("registry").count() == 40_001
+    assert not c.compact() and Collection(spark, root, "nothing").registry().count() == 0
+
+
+def test_writers_that_meet(spark, root):
+    """What another writer does meanwhile is kept, if it touched other documents."""
+    c = Collection(spark, root, "meet")
+    c.replace(registered(spark, ["a", "b"]), registry=registered(spark, ["a", "b"]))
+
+    def during(own, other):
+        mine, plain = Collection(spark, root, "meet"), c._commit
+
+        def commit(change):
+            mine._commit = type(mine)._commit.__get__(mine)
+            c.replace(registered(spark, other), registry=registered(spark, other, 2))
+            mine._commit(change)
+
+        mine._commit = commit
+        mine.replace(registered(spark, own), registry=registered(spark, own, 3))
+        assert plain is not None
+
+    during(["a"], ["b", "c"])
+    assert {r.doc_id: r.chunks for r in c.read("registry").collect()} == {"a": 3, "b": 2, "c": 2}
+    with pytest.raises(Overtaken):
+        during(["b"], ["b", "d"])
+    assert {r.doc_id: r.chunks for r in c.read("registry").collect()} == {"a": 3, "b": 2, "c": 2, "d": 2}
+    assert c.vacuum(0) == 1 and c.vacuum(0) == 0  # the folder of the write that failed
+
+
+def test_segments_are_merged(spark, root, monkeypatch):
+    monkeypatch.setattr(collection, "FAN", FAN := 3)
+    c = Collection(spark, root, "merged")
+    for n in range(7):
+        c.replace(registered(spark, [f"d{n}", "often"]), registry=registered(spark, [f"d{n}", "often"], n))
+        assert len(c._newest()[1]) <= FAN
+    assert {r.doc_id: r.chunks for r in c.read("registry").collect()} == {**{f"d{n}": n for n in range(7)}, "often": 6}
+    held = {s["id"] for s in c._newest()[1]}
+    assert len([x for x in c._names(c.path) if x.startswith("segment-")]) <= len(held) + 2 * FAN
+
+
+def test_deletions_reach_the_index(spark, root):
+    """Scores after writes, deletions and merging are those of a search over what is left."""
+    e = Engine(spark, root, "deleted")
+    words = ["harbour", "lantern", "anchor", "barrel"]
+    for n in (0, 3):
+        e.ingest_pages(spark.createDataFrame([(f"d{m}", "f", 1, f"{words[m % 4]} {words[n]} old " * (m + 1)) for m in range(n, n + 5)], PAGES))
+    e.delete_document("d4")
+    asked = spark.createDataFrame([(0, "harbour lantern"), (1, "old anchor"), (2, "barrel barrel")], "qid long, query string")
+    for _ in range(2):
+        want = lexical.search(e.collection.read("children"), asked, 9, "chunk_id", {"contextualized_content": 2.0, "content": 1.0}).orderBy("qid", "rank").collect()
+        assert [tuple(r) for r in e.search_sparse(asked, 9).orderBy("qid", "rank").collect()] == [tuple(r) for r in want] and len(want) > 12
+        e.collection.compact(all_=True)
 
 
 def test_empty_collection(spark, tmp_path):
