@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, fusion, lexical, resolve, semantic
 from fathom.plans.providers import CoverageReranker, Embedder, Generator, HashEmbedder, Reranker
 from fathom.sources import tables, workspace
+from fathom.sources.collection import Collection
 
 #: Clusters hold at most so many pieces: the largest chunk over the smallest, in estimated tokens.
 LARGEST, SMALLEST = 400, 50
@@ -47,15 +46,46 @@ def contextual_chunks(dataset: DataFrame, generator: Generator | None = None) ->
     return out.withColumn("key", F.format_string("%s#%010d", F.col("doc_id").cast("string"), F.col("original_index")))
 
 
-@dataclass
 class ContextualStore:
-    """Chunks with vectors, and their index of words; both written tables."""
-
-    chunks: DataFrame
-    index: lexical.Index
-    embedder: Embedder
-    reranker: Reranker
-    analyze: object = T.tokens
+    """Chunks with contexts, vectors and an index of words, in a collection of its own that is opened by name.
+
+    Documents come in and go by single writes, which cost what these documents have; nothing is rebuilt.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str = "default", embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, analyze=T.tokens):
+        self.collection = Collection(spark, root, f"{name}_contextual")
+        self.embedder, self.reranker, self.generator, self.analyze = embedder or HashEmbedder(), reranker or CoverageReranker(), generator, analyze
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.collection.read("clusters")
+
+    @property
+    def index(self) -> lexical.Index:
+        return lexical.Index(self.collection.read("cluster_postings"), "key")
+
+    # --- documents ---
+
+    def insert_dataset(self, dataset: DataFrame, about: DataFrame | None = None) -> DataFrame:
+        """Entries of documents come in and replace those of the same doc_id. ``about``: doc_id, filename, custom_metadata. Returns doc_id, chunks."""
+        dataset = workspace.written(dataset.withColumn("doc_id", F.col("doc_id").cast("string")).where("doc_id is not null"), "entries")
+        rows = contextual_chunks(dataset, self.generator)
+        rows = workspace.written(rows.withColumn("embedding", self.embedder.embed(F.col("text_to_embed"))), "contextual")
+        made = lexical.index(rows, "key", list(FIELDS), self.analyze, owner="doc_id")
+        registry = dataset.select("doc_id", "pdf_path", F.size("chunks").cast("long").alias("chunks"))
+        own = about if about is not None else dataset.select("doc_id", F.element_at(F.split("pdf_path", "/"), -1).alias("filename"), F.lit(None).cast("map<string,string>").alias("custom_metadata"))
+        registry = registry.join(own, "doc_id", "left").withColumn("inserted_at", F.current_timestamp())
+        self.collection.replace(dataset, clusters=rows, cluster_postings=made.rows.withColumn("shard", lexical.shard()), registry=registry)
+        return registry.select("doc_id", "chunks")
+
+    def insert_pages(self, pages: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
+        """``pages``: doc_id, filename, page, text. Returns doc_id, chunks of the documents that have any."""
+        dataset, _ = multi_document_dataset(pages, self.embedder)
+        meta = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
+        about = pages.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("filename").alias("filename")).withColumn("custom_metadata", meta)
+        return self.insert_dataset(dataset, about)
+
+    # --- search ---
 
     def _vectors(self, asked: DataFrame) -> DataFrame:
         return asked.select("qid", self.embedder.embed(F.col("query")).alias("vector"))
@@ -78,8 +108,9 @@ class ContextualStore:
         return resolve.rerank_chunks(rows, k, self.reranker.score(F.col("query"), chunking.rerank_text("content")), "key")
 
 
-def create_rag_system(dataset: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, analyze=T.tokens) -> ContextualStore:
-    embedder = embedder or HashEmbedder()
-    rows = contextual_chunks(dataset, generator)
-    rows = workspace.written(rows.withColumn("embedding", embedder.embed(F.col("text_to_embed"))), "contextual")
-    return ContextualStore(rows, lexical.index(rows, "key", list(FIELDS), analyze), embedder, reranker or CoverageReranker(), analyze)
+def create_rag_system(dataset: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, analyze=T.tokens, root: str | None = None, name: str = "default") -> ContextualStore:
+    """A store over the entries, under ``root``; without one it is new, in the folder of intermediate tables, and goes when Python ends."""
+    spark = dataset.sparkSession
+    store = ContextualStore(spark, root or workspace.new_folder(spark, "store"), name, embedder, reranker, generator, analyze)
+    store.insert_dataset(dataset)
+    return store

@@ -119,6 +119,12 @@ class Engine:
             self._vectors.popitem(last=False)
         return self.spark.createDataFrame(rows, "qid long, query string, vector array<double>")
 
+    def asked(self, queries: str | list[str] | DataFrame) -> DataFrame:
+        """qid, query."""
+        if isinstance(queries, DataFrame):
+            return queries.select("qid", "query")
+        return self.spark.createDataFrame(list(enumerate([queries] if isinstance(queries, str) else queries)), "qid long, query string")
+
     def _embedded(self, asked: DataFrame, text: str) -> DataFrame:
         return workspace.written(asked.withColumn("vector", self.embedder.embed(F.col(text))), "queries")
 
@@ -235,11 +241,11 @@ class Engine:
 
     def delete_document(self, doc_id: str) -> dict:
         done = self.collection.remove(doc_id)
-        return {"status": "success", "doc_id": doc_id, "message": f"Document '{doc_id}' deleted successfully"} if done else {"status": "error", "error": f"Document '{doc_id}' not found"}
+        return {"status": "success", "doc_id": doc_id, "message": f"document {doc_id!r} is gone"} if done else {"status": "error", "error": f"no document {doc_id!r}"}
 
     def clear(self) -> dict:
         self.collection.recreate()
-        return {"status": "success", "message": f"Collection '{self.collection.path.rsplit('/', 1)[-1]}' cleared successfully"}
+        return {"status": "success", "message": f"collection {self.collection.path.rsplit('/', 1)[-1]!r} is empty"}
 
 
 class Tools:
@@ -265,7 +271,7 @@ class Tools:
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(pdf_path)
             if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-                return {"status": "error", "message": f"File not found: {pdf_path}"}
+                return {"status": "error", "message": f"no file {pdf_path}"}
             return self.engine(collection_name).ingest_pdf(pdf_path, doc_id)
 
         return self._reply(run)

@@ -29,11 +29,17 @@ def folder(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that nothing uses yet; it is removed when Python ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet; it is removed when Python ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _left.append((spark, path))
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

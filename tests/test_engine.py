@@ -41,7 +41,7 @@ def test_tools(tools, spark, root):
     assert found["results"][0]["doc_id"] == "d1" and found["results"][0]["page_start"] == 2
     assert set(json.loads(tools.rag_route_query("of the", "Test"))) == {"query", "tier", "specificity_score", "score_margin", "entropy", "reason", "expanded_queries", "hypothetical_doc"}
     bad = json.loads(tools.rag_ingest_pdf("/nowhere/x.pdf", "Test"))
-    assert bad == {"status": "error", "message": "File not found: /nowhere/x.pdf"}
+    assert bad == {"status": "error", "message": "no file /nowhere/x.pdf"}
     assert tools.engine("Test") is engine and tools_of(spark, root) is tools_of(spark, root)
     assert json.loads(tools.rag_ask("anything", "Nothing"))["answer"].startswith("No relevant documents")
 
@@ -105,12 +105,22 @@ def test_agent(spark, root):
     assert got["status"] == "success" and got["total_results"] == 1 and "**Sources:**\n[1] d2, p. 1" in got["answer"]
     assert set(got["results"][0]) == {"rank", "doc_id", "score", "page_start", "page_end", "content"}
     assert a.search("database", 2, rerank=False, include_context=False)["results"][0]["content"] is None
+    a.engine.ingest_pages(spark.createDataFrame(ROWS[2:3], PAGES))
     assert a.search_hierarchical("database", 1).first().doc_id == "d2" and a.answer_hierarchical("database", 1).first().sources
+    # another agent finds what this one has kept, and adds to it
+    again = agent.create_rag_agent(spark, root, "Agent")
+    assert again.insert_pages(spark.createDataFrame([("d5", "five.pdf", 3, "The ferry left the island at dawn. Gulls went with it."), ("d2", "two.pdf", 1, "revenue of the bakery grew")], PAGES), {"a": "b"}) == {"status": "success", "documents": 2, "chunks_processed": 2, "total_documents": 2}
+    assert [(r["doc_id"], r["page_start"]) for r in a.search("ferry island", 1)["results"]] == [("d5", 3)]
+    assert a.search("bakery", 1, rerank=False)["results"][0]["content"] == "revenue of the bakery grew"
+    assert list(a.get_document_info(most=1)["documents"]) == ["d2"] and list(a.get_document_info(after="d2")["documents"]) == ["d5"]
+    assert a.delete_document("d5")["status"] == "success"
     assert agent.get_document_list(a)["total_documents"] == 1 and a.get_document_info("d2")["document"]["chunks"] == 1
     assert a.get_document_info("d9")["status"] == "error" and a.delete_document("d9")["status"] == "error"
     with pytest.raises(ValueError):
         a.insert_pdfs(["x.pdf"], [{}, {}])
-    assert [r["status"] for r in a.insert_pdfs(["/nowhere/a.pdf", "/nowhere/b.pdf"])] == ["error", "error"]
+    for missing in (lambda: a.insert_pdfs(["/nowhere/a.pdf"]), lambda: a.insert_pdf("/nowhere/a.pdf")):
+        with pytest.raises(FileNotFoundError):
+            missing()
     assert agent.insert_document(a, "file:///root/repo/README.md")["status"] == "error"  # not a PDF, or no reader for one
     assert a.delete_document("d2")["status"] == "success" and a.clear_collection()["status"] == "success"
     assert a.get_document_info()["total_documents"] == 0
@@ -236,6 +246,11 @@ def test_pdf_pages(spark, tmp_path):
     assert got == [("a", "a.pdf", 1, 3, "the first page", None), ("a", "a.pdf", 3, 3, "the third page", None), ("b", "b.pdf", 0, 0, "", "ValueError: broken")]
     entries, failed = contextual.multi_document_dataset(pages)
     assert [(r.doc_id, r.original_uuid, r.pdf_path) for r in entries.collect()] == [("a", "a", "a.pdf")] and [r.filename for r in failed.collect()] == ["b.pdf"]
+    one = agent.Agent(spark, f"file://{tmp_path}", "files")
+    got = one.insert_pdfs([f"file://{tmp_path}/b.pdf", f"file://{tmp_path}/a.pdf"], [{}, {"a": "b"}])
+    assert got == [{"status": "error", "doc_id": "b", "error": "ValueError: broken"}, {"status": "success", "doc_id": "a", "chunks_processed": 1, "total_documents": 1}]
+    assert one.insert_pdf(f"file://{tmp_path}/a.pdf", "own") == {"status": "success", "doc_id": "own", "chunks_processed": 1, "total_documents": 2}
+    assert one.get_document_info("a")["document"]["custom_metadata"] == {"a": "b"} and one.get_document_info("own")["document"]["filename"] == "a.pdf"
     t = Tools(spark, f"file://{tmp_path}")
     assert json.loads(t.rag_ingest_pdf(f"file://{tmp_path}/a.pdf", "pdf", "own")) == {"status": "success", "doc_id": "own", "filename": "a.pdf", "parent_chunks_indexed": 2, "child_chunks_indexed": 2}
     assert [r["status"] for r in t.engine("pdf").ingest_pdfs([f"file://{tmp_path}/b.pdf", f"file://{tmp_path}/a.pdf"], [{}, {"a": "b"}])] == ["error", "success"]
