@@ -1,10 +1,9 @@
-"""Exact nearest neighbours by inner product, for tables of queries, and an embedder of pure expressions."""
+"""Exact nearest neighbours by inner product, for tables of queries, and an embedder by feature hashing."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 
-#: Numbers in the query matrix that is broadcast (8 bytes each); larger query tables are taken in blocks, a scan each.
+#: Numbers of queries that are broadcast, or that meet in a cell of the grid (8 bytes each).
 BLOCK = 4_000_000
+#: Rows of a block of the corpus, and of the queries; numbers of queries and hits that a task holds.
+CORPUS_ROWS, QUERY_ROWS, HELD = 4096, 1024, 32_000_000
 #: Numbers of a product of a piece of a batch and the query matrix.
 PRODUCT = 4_000_000
 
@@ -32,48 +33,84 @@ def _best_each(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray
     return np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
 
 
+def _packed(rows: DataFrame, key: str, kind: str, size: int, name: str) -> DataFrame:
+    """Rows of ``key`` and ``v`` as blocks of at most ``size``, where they are: their keys, and the matrix of their vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for x in batches:
+            for at in range(0, len(x), size):
+                some, n = x.iloc[at : at + size], n + 1
+                yield pd.DataFrame({f"{name}block": [f"{task}-{n}"], f"{name}keys": [some[key].tolist()], f"{name}x": [np.stack(some["v"].to_numpy()).astype(float).tobytes()]})
+
+    return rows.mapInPandas(run, f"{name}block string, {name}keys array<{kind}>, {name}x binary")
+
+
+def grid(corpus: DataFrame, asked: DataFrame, n: int, dim: int) -> DataFrame:
+    """Pairs of a block of the corpus and a block of the queries; both scanned once.
+
+    Up to ``BLOCK`` numbers the queries' blocks are broadcast, and the corpus stays where it is. Beyond, queries are dealt into
+    cells of so many numbers, and each block of the corpus goes to each cell; a cell has as many slices as keep all cores busy.
+    """
+    cells = -(-n * dim // BLOCK)
+    if cells <= 1:
+        return corpus.withColumn("cell", F.lit(0)).join(F.broadcast(asked.withColumn("cell", F.lit(0))), "cell")
+    slices = max(1, -(-4 * corpus.sparkSession.sparkContext.defaultParallelism // cells))
+    count = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = asked.withColumn("cell", F.pmod(F.xxhash64("qblock"), F.lit(cells)).cast("int")).withColumn("slice", count(slices))
+    rows = corpus.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int")).withColumn("cell", count(cells))
+    return rows.join(own, ["cell", "slice"])
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", knn: bool = False) -> DataFrame:
     """qid, key, score, rank; ``queries``: qid, vector. With ``knn`` the score is (1 + cosine) / 2.
 
-    Each batch of the corpus is multiplied with the query matrix; a task keeps the best k of each query
-    and hands on these alone, so that what is shuffled grows with the number of tasks, not with that of
+    Vectors are packed into matrices where they are, and blocks of the corpus meet blocks of the queries in a join (see ``grid``). A task
+    keeps the best k of each query and hands on these alone, so that what is shuffled after it grows with the number of tasks, not with that of
     pairs. Equal scores (to 6 digits) rank by falling key. Null vectors are near to nothing.
     """
     spark = corpus.sparkSession
-    asked = queries.select("qid", "vector").where("vector is not null")
-    first = asked.first()
+    asked = queries.select("qid", F.col("vector").alias("v")).where("v is not null")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     kind = corpus.schema[key].dataType.simpleString()
     qkind = queries.schema["qid"].dataType.simpleString()
-    if first is None:
+    if not n:
         return spark.createDataFrame([], f"qid {qkind}, {key} {kind}, score double, rank int")
-    per = max(1, BLOCK // max(1, len(first.vector)))
-    held, parts = asked.orderBy("qid").toLocalIterator(), []
     rows = corpus.select(key, F.col(vector).alias("v")).where("v is not null")
-    while block := [r for _, r in zip(range(per), held, strict=False)]:
-        sent = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.vector for r in block], float).T))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            step = max(k, PRODUCT // matrix.shape[1], 1)
-            scores, keys = np.zeros((0, len(ids))), None
-            for x in batches:
-                own, vectors = x[key].to_numpy(), np.stack(x["v"].to_numpy()).astype(float)
+    pairs = grid(_packed(rows, key, kind, CORPUS_ROWS, ""), _packed(asked, "qid", qkind, QUERY_ROWS, "q"), n, max(1, dim or 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+
+        def out(ids, _, scores, names) -> pd.DataFrame:
+            return pd.DataFrame({"qid": np.repeat(np.array(ids), len(scores)), key: names.T.ravel(), "score": scores.T.ravel()})
+
+        for x in batches:
+            for r in x.itertuples(index=False):
+                own = np.asarray(r.keys)
                 own = own.astype(str) if own.dtype == object else own
+                if r.qblock not in held:
+                    if sum(len(h[0]) * max(k, len(h[1])) for h in held.values()) > HELD:
+                        yield out(*held.pop(next(iter(held))))
+                    held[r.qblock] = [list(r.qkeys), np.frombuffer(r.qx).reshape(len(r.qkeys), -1).T, np.zeros((0, len(r.qkeys))), None]
+                state = held[r.qblock]
+                matrix, vectors = state[1], np.frombuffer(r.x).reshape(len(own), -1)
+                step = max(k, PRODUCT // matrix.shape[1], 1)
                 for at in range(0, len(own), step):
                     near = np.round(vectors[at : at + step] @ matrix, 6)
                     names = np.broadcast_to(own[at : at + step, None], near.shape)
-                    if keys is not None:
-                        near, names = np.concatenate([scores, near]), np.concatenate([keys, names])
-                    scores, keys = _best_each(near, names, k)
-            if keys is not None:
-                n = len(scores)
-                yield pd.DataFrame({"qid": np.repeat(np.array(ids), n), key: keys.T.ravel(), "score": scores.T.ravel()})
-
-        parts.append(rows.mapInPandas(run, f"qid {qkind}, {key} {kind}, score double"))
-    out = reduce(DataFrame.union, parts)
+                    if state[3] is not None:
+                        near, names = np.concatenate([state[2], near]), np.concatenate([state[3], names])
+                    state[2], state[3] = _best_each(near, names, k)
+        for h in held.values():
+            yield out(*h)
+
+    found = pairs.select("keys", "x", "qblock", "qkeys", "qx").mapInPandas(run, f"qid {qkind}, {key} {kind}, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc(key))
-    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return out.withColumn("score", F.round((F.col("score") + 1) / 2, 7)) if knn else out
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("score", F.round((F.col("score") + 1) / 2, 7)) if knn else found
 
 
 def hashed_embedding(c, dim: int = 64) -> Column:
@@ -81,7 +118,7 @@ def hashed_embedding(c, dim: int = 64) -> Column:
 
     @F.pandas_udf("array<double>")
     def vectors(rows: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
+        known: dict[str, int] = {}  # each term is hashed once a batch
 
         def place(word: str) -> int:
             """Twice the dimension, and one more for a negative sign."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,27 @@ def fold(lists: list[DataFrame], key: str, k: int, k_rrf: int = 60) -> DataFrame
     return out.where(F.col("rank") <= k)
 
 
+def fold_rows(rows: DataFrame, key: str, k: int, k_rrf: int = 60) -> DataFrame:
+    """``fold`` of lists that are rows of one table: qid, n (the list's place), key, rrf_score, rank. A query's lists are folded in one group, which they bound."""
+    kind, qkind = (rows.schema[c].dataType.simpleString() for c in (key, "qid"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        merged = None
+        for _, own in g.groupby("n", sort=True):
+            own = own.sort_values("rank").drop_duplicates(key)[[key, "rank", "rrf_score"]]
+            if merged is None:
+                merged = own
+                continue
+            both = merged[[key, "rank"]].merge(own[[key, "rank"]], on=key, how="outer", suffixes=("_d", "_s"))
+            both["rrf_score"] = (1.0 / (float(k_rrf) + both["rank_d"])).fillna(0.0) + (1.0 / (float(k_rrf) + both["rank_s"])).fillna(0.0)
+            both = both.sort_values(["rrf_score", "rank_d", "rank_s"], ascending=[False, True, True], na_position="last")
+            merged = both[[key, "rrf_score"]].assign(rank=np.arange(1, len(both) + 1))
+        merged = merged[merged["rank"] <= k]
+        return pd.DataFrame({"qid": [g["qid"].iloc[0]] * len(merged), key: merged[key].to_numpy(), "rrf_score": merged["rrf_score"].to_numpy(float), "rank": merged["rank"].to_numpy("int32")})
+
+    return rows.select("qid", "n", key, "rrf_score", "rank").groupBy("qid").applyInPandas(run, f"qid {qkind}, {key} {kind}, rrf_score double, rank int")
+
+
 def rrf_many(lists: list[DataFrame], key: str, k: int, k_rrf: int = 60) -> DataFrame:
     """All lists at once: the option without the fold's preference for later lists."""
     rows = None

@@ -34,15 +34,23 @@ def rerank_chunks(ranked: DataFrame, k: int, score, key: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_rank")
 
 
+def fallback_score(rank: str = "parent_rank"):
+    """Where no reranker answers: 1, and 0.05 less for each place."""
+    return F.round(F.lit(1.0) - F.lit(0.05) * (F.col(rank) - 1), 9)
+
+
 def rerank(ranked: DataFrame, k: int, score) -> DataFrame:
-    """Best k by ``score`` (a column); equal scores keep their order."""
+    """Best k by ``score`` (a column); equal scores keep their order. A query of which a score is null (its model failed) keeps its order, with ``fallback_score``."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("parent_rank"))
-    return dealt(ranked).withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    scored = dealt(ranked).withColumn("score", score)
+    failed = F.max(F.col("score").isNull()).over(Window.partitionBy("qid"))
+    scored = scored.withColumn("failed", failed).withColumn("score", F.when(F.col("failed"), fallback_score()).otherwise(F.col("score"))).drop("failed")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rerank_fallback(ranked: DataFrame, k: int) -> DataFrame:
-    """Where no reranker answers: the first k, 0.05 less for each place."""
-    return ranked.where(F.col("parent_rank") <= k).withColumn("score", F.round(F.lit(1.0) - F.lit(0.05) * (F.col("parent_rank") - 1), 9)).withColumn("rank", F.col("parent_rank"))
+    """The first k with ``fallback_score``."""
+    return ranked.where(F.col("parent_rank") <= k).withColumn("score", fallback_score()).withColumn("rank", F.col("parent_rank"))
 
 
 def no_rerank(ranked: DataFrame, k: int) -> DataFrame:

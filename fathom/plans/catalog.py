@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, evaluate, fusion, lexical, prompting, resolve, router, semantic
+from fathom.plans import contextual
 from fathom.plans.providers import CoverageReranker, ExtractiveGenerator
 from fathom.sources.tables import document_pages, page_segments, table
-from fathom.sources.workspace import spread, written
+from fathom.sources.workspace import new_folder, spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,22 +180,64 @@ def legacy_context_text(spark, d):
     return out.select("chunk_id", "contextualized_content", "text_to_embed", chunking.rerank_text("content").alias("rerank_text"))
 
 
-_SEGMENTATION = """
+_SIMILAR = """
 e AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
 m AS (SELECT a.doc_id, a.i, b.i AS j, list_dot_product(a.v, b.v) AS s FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.i < b.i),
 mu AS (SELECT doc_id, round(avg(s), 9) AS mu FROM m GROUP BY 1),
-near AS (SELECT doc_id, i, j, 2 * (round(s, 9) - mu) AS g FROM m JOIN mu USING (doc_id) WHERE j - i < 8),
+near AS (SELECT doc_id, i, j, 2 * (round(s, 9) - mu) AS g FROM m JOIN mu USING (doc_id) WHERE j - i < 8),"""
+# of e (doc_id, i), n and near: the clusters of each document
+_CLUSTERS = """
 span AS (SELECT doc_id, i AS st, i + k AS en FROM e JOIN n USING (doc_id), range(0, 8) r(k) WHERE i + k < n),
-rew AS (SELECT s.doc_id, st, en, coalesce(sum(g), 0) AS r FROM span s LEFT JOIN near ON near.doc_id = s.doc_id AND near.i >= st AND near.j <= en GROUP BY 1, 2, 3),
-opt AS (SELECT doc_id, en, list({st: st, r: r} ORDER BY st DESC) AS o FROM rew GROUP BY 1, 2),
-run AS (SELECT doc_id, 0::BIGINT AS en, [0::DOUBLE] AS dp, []::BIGINT[] AS sg FROM n
- UNION ALL SELECT doc_id, run.en + 1, list_append(dp, best.v), list_append(sg, best.st) FROM (
-  SELECT run.doc_id, run.en, run.dp, run.sg, list_reduce(list_prepend({v: 0::DOUBLE, st: 0::BIGINT}, list_transform(o, lambda x: {v: round(x.r + run.dp[x.st + 1], 6), st: x.st})),
+rew AS (SELECT s.doc_id, st, en, coalesce(sum(g), 0) AS r FROM (SELECT *, unnest(range(0, 8)) AS o FROM span) s LEFT JOIN near ON near.doc_id = s.doc_id AND near.i = st + o AND near.j <= en GROUP BY 1, 2, 3),
+opt AS MATERIALIZED (SELECT doc_id, en, list({st: st, r: r} ORDER BY st DESC) AS o FROM rew GROUP BY 1, 2),
+run AS (SELECT doc_id, 0::BIGINT AS en, [0::DOUBLE] AS w, 0::BIGINT AS st FROM n
+ UNION ALL SELECT doc_id, en + 1, list_append(w[greatest(len(w) - 6, 1):len(w)], best.v), best.st FROM (
+  SELECT run.doc_id, run.en, run.w, list_reduce(list_prepend({v: 0::DOUBLE, st: 0::BIGINT}, list_transform(o, lambda x: {v: round(x.r + run.w[len(run.w) - (run.en - x.st)], 6), st: x.st})),
    lambda a, b: CASE WHEN b.v > a.v THEN b ELSE a END) AS best FROM run JOIN opt ON opt.doc_id = run.doc_id AND opt.en = run.en) run),
-fin AS (SELECT doc_id, sg, n FROM run JOIN n USING (doc_id) WHERE en = n),
-back AS (SELECT doc_id, n - 1 AS last, sg[n] AS first, sg FROM fin UNION ALL SELECT doc_id, first - 1, sg[first], sg FROM back WHERE first > 0)
+back AS (SELECT doc_id, n - 1 AS last, st AS first FROM n JOIN run USING (doc_id) WHERE en = n AND n > 0
+ UNION ALL SELECT back.doc_id, first - 1, st FROM back JOIN run ON run.doc_id = back.doc_id AND run.en = back.first WHERE first > 0)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS cluster, first, last FROM back"""
+_SEGMENTATION = _SIMILAR + _CLUSTERS
+# the pieces of all documents with hashed vectors by dimension; the mean over all pairs by sums
+_PIECES = f"""{_SEGMENTS}, pw AS (SELECT *, {_WORDS.format('text')} AS w FROM seg),
+plong AS ({_cut('(SELECT * FROM pw WHERE len(w) * 1.3 > 50)', 'doc_id, seg_idx', 39, 0, 'piece')}),
+piece AS (SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx, piece) - 1 AS i, text FROM (SELECT doc_id, seg_idx, 0 AS piece, text FROM pw WHERE len(w) * 1.3 <= 50 UNION ALL SELECT doc_id, seg_idx, piece, content FROM plong)),
+ph AS (SELECT doc_id, i, unnest(list_transform({_tokens('text')}, lambda w: concat('0x', substr(md5(w), 1, 8))::BIGINT)) AS h FROM piece),
+pd AS (SELECT doc_id, i, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM ph GROUP BY 1, 2, 3),
+pn AS (SELECT doc_id, i, sqrt(sum(v * v)) AS norm FROM pd GROUP BY 1, 2),
+pv AS (SELECT doc_id, i, d, v / norm AS v FROM pd JOIN pn USING (doc_id, i) WHERE norm > 0),
+e AS (SELECT doc_id, i FROM piece),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+q1 AS (SELECT doc_id, sum(t * t) AS a, sum(o) AS b FROM (SELECT doc_id, d, sum(v) AS t, sum(v * v) AS o FROM pv GROUP BY 1, 2) GROUP BY 1),
+mu AS (SELECT doc_id, CASE WHEN n > 1 THEN round((coalesce(a, 0) - coalesce(b, 0)) / (n * (n - 1)), 9) ELSE 0 END AS mu FROM n LEFT JOIN q1 USING (doc_id)),
+m AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.v * b.v) AS s FROM pv a JOIN pv b ON a.doc_id = b.doc_id AND a.d = b.d AND a.i < b.i AND b.i < a.i + 8 GROUP BY 1, 2, 3),
+near AS (SELECT e.doc_id, e.i, e.i + k AS j, 2 * (round(coalesce(s, 0), 9) - mu) AS g FROM e JOIN n USING (doc_id) JOIN mu USING (doc_id), range(1, 8) r(k) LEFT JOIN m ON m.doc_id = e.doc_id AND m.i = e.i AND m.j = e.i + k WHERE e.i + k < n),"""
+_CLUSTERED = f"""{_PIECES} {_CLUSTERS.replace("\nSELECT doc_id, row_number()", ",\ncl AS (SELECT doc_id, row_number()")}),
+cc AS (SELECT doc_id, cluster, string_agg(text, ' ' ORDER BY i) AS content FROM cl JOIN piece USING (doc_id) WHERE i BETWEEN first AND last GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_CLUSTERED}
+SELECT doc_id, cluster AS original_index, content, 1 AS page_start, round(len({_WORDS.format('content')}) * 1.3::DOUBLE, 6) AS token_count FROM cc""")
+def cluster_chunks(spark, d):
+    """All documents cut into sentences, embedded, and gathered to chunks."""
+    rows = contextual.cluster_chunks(_pages(spark, d))
+    return rows.select("doc_id", F.col("original_index").cast("long").alias("original_index"), "content", "page_start", F.round("token_count", 6).alias("token_count"))
+
+
+@query(f"""WITH RECURSIVE {_CLUSTERED}, {_Q},
+ck AS (SELECT doc_id || '#' || lpad(cluster::VARCHAR, 10, '0') AS key, content, content || chr(10) || 'Page: 1' AS contextualized_content FROM cc),
+{_bm25('x', 'ck', 'key', 'contextualized_content')}, {_bm25('y', 'ck', 'key', 'content')},
+u AS (SELECT qid, key, round(max(score), 9) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY 1, 2)
+SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM u QUALIFY rank <= 20""")
+def contextual_store_search(spark, d):
+    """A contextual store of all documents, of which those of one language come in a second time, opened again by its name and searched."""
+    root, pages = new_folder(spark, "store"), table(spark, d, "documents")
+    store = contextual.ContextualStore(spark, root, "documents")
+    store.insert_pages(document_pages(pages))
+    store.insert_pages(document_pages(pages.where("lang = 'de'")))
+    again = contextual.ContextualStore(spark, root, "documents")
+    return _long(again.search_bm25(_queries(spark, d), 20), "rank")
 
 
 @query("WITH RECURSIVE " + _SEGMENTATION)

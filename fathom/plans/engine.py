@@ -47,6 +47,16 @@ class EngineConfig:
     cached_queries: int = 1000
 
 
+@dataclass(frozen=True)
+class Found:
+    route_decision: DataFrame
+    top_parents: DataFrame
+    #: The best 2 k child hits of each query, with the chunks' columns.
+    child_candidates: DataFrame
+    #: qid, n_missing of the queries with hits that are not there any more.
+    missing: DataFrame
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, collection: str = "default", embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, config: EngineConfig | None = None):
         self.spark, self.config = spark, config or EngineConfig()
@@ -182,40 +192,49 @@ class Engine:
         return decided.join(asked.select("qid", "vector"), "qid")
 
     def candidates(self, decided: DataFrame, k: int) -> DataFrame:
-        """Child hits of each query by its tier: qid, chunk_id, rrf_score, rank. A tier without its text gives none."""
-        decided = workspace.written(decided, "routed")
-        have = {r.tier for r in decided.select("tier").distinct().collect()}
-        parts = []
-        no_text = (F.col("tier") == "hyde") & (F.coalesce("hypothetical_doc", F.lit("")) == "") | (F.col("tier") == "multi_query") & (F.size("expanded_queries") == 0)
-        direct = F.col("tier") == "direct"
-        direct = (direct | no_text) if self.config.fallback_direct else direct
-        if "direct" in have or self.config.fallback_direct:
-            parts.append(self.search_hybrid(decided.where(direct), 4 * k))
-        if "hyde" in have:
-            # the vector is that of the passage, the words are the query's own
-            passages = decided.where("tier = 'hyde'").where(F.coalesce("hypothetical_doc", F.lit("")) != "")
-            parts.append(self.search_hybrid(self._embedded(passages.select("qid", "query", "hypothetical_doc"), "hypothetical_doc"), 4 * k))
-        if "multi_query" in have:
-            several = decided.where("tier = 'multi_query'").where(F.size("expanded_queries") > 0)
-            lists = [self.search_hybrid(several, 2 * k)]
-            for n in range(3):
-                one = several.select("qid", F.get("expanded_queries", F.lit(n)).alias("query")).where("query is not null")
-                lists.append(self.search_hybrid(self._embedded(one, "query"), 2 * k))
-            parts.append(fusion.fold(lists, "chunk_id", 4 * k, self.config.k_rrf))
-        if not parts:
-            return self.spark.createDataFrame([], "qid long, chunk_id string, rrf_score double, rank int")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+        """Child hits of each query by its tier: qid, chunk_id, rrf_score, rank. A tier without its text gives none.
 
-    def search_routed(self, decided: DataFrame, k: int = 5, rerank: bool = True) -> DataFrame:
-        hits = self.candidates(decided, k)
+        All texts that the tiers ask for are rows of one table, which is searched once by vectors and once by words.
+        """
+        c = self.config
+        several = (F.col("tier") == "multi_query") & (F.size("expanded_queries") > 0)
+        passage = (F.col("tier") == "hyde") & (F.coalesce("hypothetical_doc", F.lit("")) != "")
+        direct = F.col("tier") == "direct"
+        direct = direct | ~(several | passage) if c.fallback_direct else direct
+        # the query itself, and up to three others; the vector of a passage goes with the query's own words
+        texts = F.when(several, F.concat(F.array("query"), F.slice("expanded_queries", 1, 3))).when(direct | passage, F.array("query"))
+        rows = decided.select("qid", "vector", several.alias("several"), F.when(passage, F.col("hypothetical_doc")).alias("passage"), F.posexplode(texts).alias("n", "query")).where("query is not null")
+        new = F.coalesce("passage", F.when(F.col("n") > 0, F.col("query")))
+        rows = rows.withColumn("new", new).withColumn("made", self.embedder.embed(F.coalesce("new", F.lit(""))))
+        rows = rows.select("qid", "n", "several", "query", F.when(F.col("new").isNull(), F.col("vector")).otherwise(F.col("made")).alias("vector"))
+        rows = workspace.written(rows.withColumn("sid", F.format_string("%s#%d", F.col("qid").cast("string"), "n")).withColumn("most", F.when(F.col("several"), 2 * k).otherwise(4 * k)), "asked")
+        asked, limits = rows.select(F.col("sid").alias("qid"), "query", "vector"), rows.select("sid", F.col("qid").alias("own"), "n", "several", "most")
+        near = self.search_dense(asked, 8 * k)
+        found = self.search_sparse(asked.drop("vector"), 8 * k) if c.sparse else near.limit(0)
+        cut = lambda hits: hits.join(limits, hits["qid"] == limits["sid"]).where(F.col("rank") <= 2 * F.col("most")).select(*hits.columns)
+        fused = fusion.rrf(cut(near), cut(found), "chunk_id", 1 << 30, c.k_rrf)
+        fused = fused.join(limits, fused["qid"] == limits["sid"]).where(F.col("rank") <= F.col("most")).drop("qid", "sid").withColumnRenamed("own", "qid")
+        fused = workspace.written(fused, "fused")
+        single = fused.where("not several").select("qid", "chunk_id", "rrf_score", "rank")
+        return single.unionByName(fusion.fold_rows(fused.where("several"), "chunk_id", 4 * k, c.k_rrf))
+
+    def _parents(self, decided: DataFrame, hits: DataFrame, k: int, rerank: bool) -> DataFrame:
         found = resolve.resolve_parents(hits, self.collection.read("children"), self.collection.read("parents")).join(decided.select("qid", "query", "tier", "reason"), "qid")
         if not rerank:
             return resolve.no_rerank(found, k)
         return resolve.rerank(found, k, self.reranker.score(F.col("query"), F.col("content")))
 
+    def search_routed(self, decided: DataFrame, k: int = 5, rerank: bool = True) -> DataFrame:
+        return self._parents(decided, self.candidates(decided, k), k, rerank)
+
+    def search_found(self, queries, k: int = 5, rerank: bool = True) -> Found:
+        """All that a search finds: the decisions, the parents, the children behind them, and how many hits name no chunk."""
+        decided = workspace.written(self.route(queries), "decided")
+        hits = workspace.written(self.candidates(decided, k), "hits")
+        children = self.collection.read("children").drop("embedding")
+        near = hits.where(F.col("rank") <= 2 * k).join(children, "chunk_id").join(decided.select("qid", "query"), "qid")
+        return Found(decided.drop("vector"), self._parents(decided, hits, k, rerank), near, resolve.missing(hits, children))
+
     def search(self, queries, k: int = 5, rerank: bool = True) -> DataFrame:
         """Parents of each query: qid, query, tier, reason, rank, score and the parent's columns."""
         return self.search_routed(workspace.written(self.route(queries), "decided"), k, rerank)

@@ -41,22 +41,48 @@ class Generator(Protocol):
 
 
 class WorkerModel:
-    """A column function from ``load`` (returns the model) and ``apply`` (model and columns to results of type ``kind``)."""
+    """A column function from ``load`` (returns the model) and ``apply`` (model and columns to results of type ``kind``).
 
-    def __init__(self, load: Callable[[], Any], apply: Callable[..., Any], kind: str):
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    A failure fails the job; if ``contained``, a row is a struct of ``value`` and ``error``: the rows of a batch that fails (or all, if the model
+    does not load) have no value, and the others stay.
+    """
+
+    def __init__(self, load: Callable[[], Any], apply: Callable[..., Any], kind: str, contained: bool = False):
+        def run(batches):
             model = None
             for columns in batches:
-                model = load() if model is None else model
-                yield pd.Series(apply(model, *columns))
-
-        self._run = run
+                if not contained:
+                    model = load() if model is None else model
+                    yield pd.Series(apply(model, *columns))
+                    continue
+                try:
+                    model = load() if model is None else model
+                    yield pd.DataFrame({"value": list(apply(model, *columns)), "error": None})
+                except Exception as e:  # the caller decides what a missing value means  # noqa: BLE001
+                    yield pd.DataFrame({"value": None, "error": f"{type(e).__name__}: {e}"}, index=range(len(columns[0])))
+
+        # the signature tells Spark how to call it: several columns, batch by batch
+        run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame] if contained else Iterator[pd.Series]}
+        self._run = F.pandas_udf(run, f"value {kind}, error string" if contained else kind)
 
     def __call__(self, *columns: Column) -> Column:
         return self._run(*columns)
 
 
+class ModelReranker:
+    """A reranker from ``load`` and ``apply(model, queries, contents)``; scores are null where it fails, and the search goes on without it."""
+
+    def __init__(self, load: Callable[[], Any], apply: Callable[..., Any]):
+        self._model = WorkerModel(load, apply, "double", contained=True)
+
+    def score(self, query: Column, content: Column) -> Column:
+        return self.judged(query, content)["value"]
+
+    def judged(self, query: Column, content: Column) -> Column:
+        """``value`` and ``error``."""
+        return self._model(query, content)
+
+
 class HashEmbedder:
     def __init__(self, dim: int = 64):
         self.dim = dim

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import lexical, router
+from fathom.operators import fusion, lexical, router
 from fathom.plans import agent, catalog, contextual, evaluation, providers
 from fathom.plans.engine import Engine, EngineConfig, Tools, tools_of
 from fathom.sources import collection, tables
@@ -76,6 +76,67 @@ def test_tiers(tools, spark, tier, monkeypatch):
         assert engine.search_routed(empty, 1).first().doc_id == "d2"
 
 
+class Broken:
+    """A reranker that fails on every batch with a certain word."""
+
+    @staticmethod
+    def made(load=lambda: "bakery"):
+        def apply(word, queries, contents):
+            if queries.str.contains(word).any():
+                raise RuntimeError("out of memory")
+            return [float(len(c)) for c in contents]
+
+        return providers.ModelReranker(load, apply)
+
+
+def test_a_failing_reranker_is_contained(tools, spark, monkeypatch):
+    engine = tools.engine("Test")
+    plain = engine.search(["alpha gamma", "alpha bakery"], 3, rerank=False).orderBy("qid", "rank").collect()
+    by_place = [(r.qid, r.parent_id, round(1 - 0.05 * (r.rank - 1), 9)) for r in plain]
+
+    def broken_load():
+        raise OSError("no weights")
+
+    monkeypatch.setattr(engine, "reranker", Broken.made(broken_load))
+    got = engine.search(["alpha gamma", "alpha bakery"], 3).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.parent_id, round(r.score, 9)) for r in got] == by_place and len(got) > 3
+    # the other query keeps its scores where only one fails
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        monkeypatch.setattr(engine, "reranker", Broken.made())
+        got = engine.search(["alpha gamma", "alpha bakery"], 3).orderBy("qid", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.qid, r.parent_id, round(r.score, 9)) for r in got if r.qid == 1] == [x for x in by_place if x[0] == 1]
+    assert all(r.score == len(r.content) for r in got if r.qid == 0)
+    errors = spark.createDataFrame([("a bakery", "x"), ("y", "zz")], "q string, c string").repartition(2).select(engine.reranker.judged(F.col("q"), F.col("c")).alias("j")).select("j.*").collect()
+    assert {(r.value, r.error) for r in errors} <= {(None, "RuntimeError: out of memory"), (2.0, None)} and any(r.error for r in errors)
+
+
+def test_found(tools, spark):
+    engine = tools.engine("Test")
+    found = engine.search_found("delta epsilon", 2)
+    assert [r.parent_id for r in found.top_parents.orderBy("rank").collect()] == [r.parent_id for r in engine.search("delta epsilon", 2).orderBy("rank").collect()]
+    near = found.child_candidates.orderBy("rank").collect()
+    assert len(near) == 4 and near[0].page_number == 2 and near[0].filename == "one.pdf" and found.missing.count() == 0
+    assert found.route_decision.first().query == "delta epsilon"
+
+
+def test_fold_of_rows_equals_fold(spark):
+    import random
+
+    rng, lists = random.Random(2), []
+    for n in range(4):
+        rows = [(q, f"c{c}", 0.5, r) for q in range(6) for r, c in enumerate(rng.sample(range(12), rng.randrange(1, 8)), 1)]
+        lists.append(spark.createDataFrame(rows, "qid long, chunk_id string, rrf_score double, rank int"))
+    rows = None
+    for n, x in enumerate(lists):
+        x = x.withColumn("n", F.lit(n))
+        rows = x if rows is None else rows.unionByName(x)
+    shown = lambda df: sorted((r.qid, r.rank, r.chunk_id, round(r.rrf_score, 12)) for r in df.collect())
+    assert shown(fusion.fold_rows(rows, "chunk_id", 9)) == shown(fusion.fold(lists, "chunk_id", 9))
+
+
 def test_kept_index_equals_search_of_the_chunks(tools, spark):
     engine = tools.engine("Test")
     asked = spark.createDataFrame([(0, "delta the database"), (1, "alpha gamma alpha"), (2, "nothing here")], "qid long, query string")

@@ -191,14 +191,29 @@ def test_nearest_in_pieces(spark, monkeypatch):
     for q in range(7):
         order = sorted(range(300), key=lambda n: (-(v[n] @ v[q]), [-ord(c) for c in f"k{n:03d}"]))[:6]
         want[q] = [f"k{n:03d}" for n in order]
-    for block, product in ((4_000_000, 4_000_000), (8, 70)):
-        monkeypatch.setattr(dense, "BLOCK", block)
-        monkeypatch.setattr(dense, "PRODUCT", product)
+    for block, product, corpus, query, held in ((4_000_000, 4_000_000, 4096, 1024, 32_000_000), (8, 70, 50, 2, 20), (4_000_000, 70, 7, 1, 5)):
+        for name, value in (("BLOCK", block), ("PRODUCT", product), ("CORPUS_ROWS", corpus), ("QUERY_ROWS", query), ("HELD", held)):
+            monkeypatch.setattr(dense, name, value)
         got = dense.nearest(rows, asked, 6, key="key").orderBy("qid", "rank").collect()
         assert {q: [r.key for r in got if r.qid == q] for q in range(7)} == want and len(got) == 42
     assert dense.nearest(rows, asked.where("qid = 99"), 6, key="key").count() == 0
 
 
+def test_nearest_scans_the_corpus_once(spark, tmp_path, monkeypatch):
+    """Ten blocks of queries are one plan with one scan, not ten."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(rng.normal(size=(200, 4)))], "vec_id long, embedding array<double>")
+    rows.write.parquet(str(tmp_path / "corpus"))
+    corpus = spark.read.parquet(str(tmp_path / "corpus"))
+    asked = rows.where("vec_id < 100").selectExpr("vec_id as qid", "embedding as vector").repartition(1)
+    want = [tuple(r) for r in dense.nearest(corpus, asked, 5).orderBy("qid", "rank").collect()]
+    for name, value in (("BLOCK", 40), ("QUERY_ROWS", 10)):
+        monkeypatch.setattr(dense, name, value)
+    found = dense.nearest(corpus, asked, 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert [tuple(r) for r in found.orderBy("qid", "rank").collect()] == want and len(want) == 500
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
