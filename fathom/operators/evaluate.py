@@ -19,15 +19,16 @@ def golden(items: DataFrame) -> DataFrame:
 
 #: Words of a query by which its documents are looked up; the first and the last word may stand inside longer ones.
 INNER = 5
-#: Short queries that may be held against every document.
-FEW = 1_000
+#: Up to so many short queries are held against every document; more are looked up by their first letters.
+FEW, LETTERS = 1_000, 8
 
 
 def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``docs`` (content and other columns) with the ``qid`` of each query whose text (``query``) they contain.
 
     A document that contains a text has its inner words in a row, so documents and queries meet by a hash
-    of ``INNER`` of them. Texts with too few words, at most ``FEW``, are held against all documents.
+    of ``INNER`` of them. Texts with too few words are held against all documents if they are few, and else meet those that
+    have their first ``LETTERS`` letters (all, if fewer) somewhere.
     """
     w = T.words("query")
     cut = queries.select("qid", "query", F.slice(w, 2, INNER).alias("inner"), F.size(w).alias("n"))
@@ -40,10 +41,26 @@ def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
     if n == 0:
         return met
     if n > FEW:
-        raise ValueError(f"{n} queries of fewer than {INNER + 2} words")
+        return met.unionByName(_by_letters(docs, short.select("qid", "query")))
     return met.unionByName(docs.join(F.broadcast(short.select("qid", "query")), F.contains("content", "query")).drop("query"))
 
 
+def _by_letters(docs: DataFrame, short: DataFrame) -> DataFrame:
+    size = F.least(F.length("query"), F.lit(LETTERS))
+    keyed = short.withColumn("size", size).withColumn("h", F.xxhash64("size", F.substring("query", F.lit(1), size)))
+    sizes = [r.size for r in keyed.where("size is not null").select("size").distinct().collect()]  # LETTERS + 1 at most
+    text = F.coalesce("content", F.lit(""))
+
+    def grams(n: int):
+        if n == 0:
+            return F.array(F.xxhash64(F.lit(0), F.lit("")))
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(n), F.substring(text, i, F.lit(n))))
+
+    rows = docs.withColumn("h", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]) if sizes else F.array().cast("array<bigint>"))))
+    return rows.join(keyed.select("qid", "query", "h"), "h").where(F.contains("content", "query")).drop("h", "query")
+
+
 def pass_at_k(queries: DataFrame, gold: DataFrame, retrieved: DataFrame) -> DataFrame:
     """``queries``: qid; ``gold``: qid, content; ``retrieved``: qid, content.
 

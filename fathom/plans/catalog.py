@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, evaluate, fusion, lexical, prompting, resolve, router, semantic
+from fathom.operators.vector_index import VectorIndex
 from fathom.plans import contextual
 from fathom.plans.providers import CoverageReranker, ExtractiveGenerator
 from fathom.sources.tables import document_pages, page_segments, table
@@ -302,6 +303,17 @@ def dense_knn_score(spark, d):
     return _self_dense(spark, d, True)
 
 
+@query(None)
+def kept_index_topk(spark, d):
+    """Approximate neighbours of each hundredth vector by a kept index, made and opened again; the tests hold its recall."""
+    vectors, path = table(spark, d, "embeddings"), new_folder(spark, "vectors")
+    made = VectorIndex(spark, path)
+    made.fit(vectors)
+    made.add(vectors)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return _long(VectorIndex(spark, path).search(vectors, asked, 10), "rank")
+
+
 @query(f"""WITH h AS (SELECT doc_id, list_transform({_tokens('text')}, lambda w: concat('0x', substr(md5(w), 1, 8))::BIGINT) AS h FROM documents),
 x AS (SELECT doc_id, unnest(h) AS h FROM h), y AS (SELECT doc_id, (h // 2) % 64 AS d, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM x GROUP BY 1, 2),
 z AS (SELECT doc_id, nullif(sqrt(sum(v * v)), 0) AS norm, sum(v) AS s, CASE WHEN count(*) < 64 THEN greatest(max(v), 0) ELSE max(v) END AS m, sum(CASE WHEN v = 0 THEN 0 ELSE d + 1 END) AS places FROM y GROUP BY 1)

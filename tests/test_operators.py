@@ -1,13 +1,18 @@
 """Fusion, segmentation, routing, resolution and evaluation against small restatements."""
 
 import math
+import random
+import re
 
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fathom.operators import chunking, dense, evaluate, fusion, lexical, resolve, router, semantic
+from fathom.functions import text as T
+from fathom.operators import chunking, dense, evaluate, fusion, lexical, resolve, router, semantic, vector_index
 from fathom.sources import collection
 
 
@@ -227,6 +232,53 @@ def test_lsh_recall(spark):
     assert all(abs(exact[r.qid, r.vec_id] - r.score) < 1e-5 for r in found if (r.qid, r.vec_id) in exact)
 
 
+def bm25(texts, query, term=lambda w: w, k1=1.2, b=0.75):
+    """Scores of all documents by loops."""
+    docs = [[t for t in map(term, re.findall(r"\w+(?:['.]\w+)*", (x or "").lower())) if t] for x in texts]
+    n, avg = sum(map(bool, docs)), sum(map(len, docs)) / max(1, sum(map(bool, docs)))
+    out = [0.0] * len(docs)
+    for w in (t for t in map(term, re.findall(r"\w+(?:['.]\w+)*", query.lower())) if t):
+        df = sum(w in d for d in docs)
+        for k, d in enumerate(docs):
+            tf = d.count(w)
+            if tf:
+                out[k] += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * len(d) / avg))
+    return out
+
+
+@pytest.mark.parametrize("analyze", [T.tokens, lexical.english_tokens])
+def test_bm25_equals_brute_force(spark, monkeypatch, analyze):
+    """Small parts, blocks and chunks of queries, of plain and of English terms; null and empty texts."""
+    for name, n in (("PART", 40), ("BLOCK", 4), ("QUERIES", 3), ("PRODUCTS", 50)):
+        monkeypatch.setattr(lexical, name, n)
+    rng = random.Random(8)
+    words = "the running runs ran of harbour's harbours lanterns lantern and old ponies it's x.y".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(150)] + [None, "", "lantern " * 30]
+    asked = ["running harbours", "the of and", "lantern lantern old", "", "unknown", "it's ponies X.Y runs", "old", "harbour's"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = lexical.search(docs, spark.createDataFrame(list(enumerate(asked)), "qid long, query string"), 7, analyze=analyze).collect()
+    term = lexical.english_term if analyze is lexical.english_tokens else (lambda w: w)
+    for q, query in enumerate(asked):
+        want = sorted(((-round(x, 9), d) for d, x in enumerate(bm25(texts, query, term)) if x > 0))[:7]
+        assert [(r.doc_id, round(r.score, 8)) for r in sorted((r for r in got if r.qid == q), key=lambda r: r.rank)] == [(d, round(-x, 8)) for x, d in want]
+
+
+def test_blocks_that_cannot_matter_are_left_out():
+    """Documents with a rare term stand together: for a query that has it, the other blocks are never scored."""
+    rng, n = np.random.default_rng(3), 64 * lexical.BLOCK
+    dl = np.full(n, 20.0)
+    rows = {"docs": [np.arange(n), np.arange(100, 160)], "tf": [rng.integers(1, 4, n), np.full(60, 2)], "idf": [0.1, 6.0], "avgdl": [20.0, 20.0], "qs": [np.array([0, 1]), np.array([0])], "qtfs": [np.array([1.0, 1.0]), np.array([1.0])]}
+    field = lexical._Field(pd.DataFrame(rows), dl, 1.0)
+    for k in (5, 40):
+        best = lexical._Best(2, k)
+        lexical.score_part([field], np.arange(n), best)
+        whole, made = field.scores(np.ones((2, 64), bool), n)
+        assert made == 2 * n + 60 and best.pairs < made - n // 2
+        for q in range(2):
+            order = sorted(range(n), key=lambda d: (-round(whole[q, d], 9), d))[:k]
+            assert best.key[best.q == q].tolist() == order
+
+
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "x aone two three four five six sevenb y"), (2, "one two  three four five six seven"), (3, "one two three four five six seven"), (4, "a b c"), (5, None)], "doc_id long, content string")
     asked = spark.createDataFrame([(0, "one two three four five six seven"), (1, "b c"), (2, "one two three four five six seven eight")], "qid long, query string")
@@ -234,6 +286,42 @@ def test_containing(spark):
     assert got == [(0, 1), (0, 3), (1, 4)]
 
 
+def test_containing_of_many_short_queries(spark, monkeypatch):
+    texts = ["abcdefghij klm", "xy", "", "é b c", None, "cdefghijkl", "the cat the cat"]
+    asked = [*"abé ", "", "bc", "cdefghij", "cdefghijk", "the cat", "t the c", "zz", "abcdefghij klm"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    monkeypatch.setattr(evaluate, "FEW", 3)
+    got = sorted((r.qid, r.doc_id) for r in evaluate.containing(docs, spark.createDataFrame(list(enumerate(asked)), "qid long, query string")).collect())
+    assert got == sorted((q, d) for q, a in enumerate(asked) for d, t in enumerate(texts) if t is not None and a in t)
+
+
+def test_kept_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 10))
+    v = centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 10))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"k{n:03d}", x.tolist()) for n, x in enumerate(v)] + [("none", None)], "key string, embedding array<double>")
+    asked = rows.where("key < 'k050'").selectExpr("key as qid", "embedding as vector")
+    path = f"file://{tmp_path}/index"
+    vector_index.VectorIndex(spark, path).fit(rows.where("key < 'k600'"), "key", lists=16)
+    kept = vector_index.VectorIndex(spark, path)  # opened again, and added to
+    kept.add(rows.where("key < 'k600'"), "key")
+    kept.add(rows.where("key >= 'k600' or embedding is null"), "key")
+    assert kept.lists().selectExpr("sum(size(keys))").first()[0] == 900
+    exact = {(r.qid, r.key): (r.score, r.rank) for r in dense.nearest(rows, asked, 10, key="key").collect()}
+    found = kept.search(rows, asked, 10, "key").collect()
+    assert sum((r.qid, r.key) in exact for r in found) / len(exact) >= 0.9 and len(found) == 500
+    assert all(abs(exact[r.qid, r.key][0] - r.score) < 1e-5 for r in found if (r.qid, r.key) in exact)
+    one = asked.limit(1)
+    named = [r.centroid for r in kept.probed(one).select("centroid").distinct().collect()]
+    read = lambda x: x.select(F.input_file_name()).distinct().count()
+    assert read(kept.lists(named)) < read(kept.lists()) / 2
+    assert "PartitionFilters: [centroid" in kept.lists(named)._jdf.queryExecution().executedPlan().toString()
+    # all lists and a shortlist of all rows give the exact result
+    whole = {(r.qid, r.key): (r.score, r.rank) for r in kept.search(rows, asked, 10, "key", probes=16, shortlist=900).collect()}
+    assert whole == exact
+
+
 def test_stems():
     from fathom.functions.stemming import stem
 
