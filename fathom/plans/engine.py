@@ -19,6 +19,7 @@ from fathom.operators import chunking, dense, fusion, lexical, prompting, resolv
 from fathom.plans.providers import CoverageReranker, Embedder, ExtractiveGenerator, Generator, HashEmbedder, Reranker
 from fathom.sources import tables, workspace
 from fathom.sources.collection import Collection
+from fathom.sources.vector_store import VectorStore
 
 ANALYZERS = {"standard": T.tokens, "english": lexical.english_tokens}
 FIELDS = {"contextualized_content": 2.0, "content": 1.0}
@@ -59,7 +60,7 @@ class Found:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, collection: str = "default", embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, config: EngineConfig | None = None):
-        self.spark, self.config = spark, config or EngineConfig()
+        self.spark, self.root, self.config = spark, root, config or EngineConfig()
         self.collection = Collection(spark, root, collection)
         self.embedder, self.reranker, self.generator = embedder or HashEmbedder(), reranker or CoverageReranker(), generator or ExtractiveGenerator()
         self._vectors: OrderedDict[str, list[float]] = OrderedDict()
@@ -75,7 +76,7 @@ class Engine:
         parents = workspace.written(chunking.parents(kept, c.parent_size, c.parent_overlap), "parents")
         children = chunking.contextualise(chunking.children(parents, c.child_size, c.child_overlap), parents)
         children = children.withColumn("contextualized_content", F.coalesce(F.nullif("contextualized_content", F.lit("")), "content"))
-        children = workspace.written(children.withColumn("embedding", self.embedder.embed(F.col("contextualized_content"))), "children")
+        children = workspace.written(self._with_vectors(children, "contextualized_content", "embedding"), "children")
         registry = children.groupBy("doc_id").agg(F.first("filename").alias("filename"), F.count("*").alias("chunks"))
         meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         registry = registry.select("doc_id", "filename", F.col("filename").alias("pdf_path"), "chunks", F.current_timestamp().alias("inserted_at"), meta.alias("custom_metadata"))
@@ -136,7 +137,14 @@ class Engine:
         return self.spark.createDataFrame(list(enumerate([queries] if isinstance(queries, str) else queries)), "qid long, query string")
 
     def _embedded(self, asked: DataFrame, text: str) -> DataFrame:
-        return workspace.written(asked.withColumn("vector", self.embedder.embed(F.col(text))), "queries")
+        return workspace.written(self._with_vectors(asked, text, "vector"), "queries")
+
+    def _with_vectors(self, rows: DataFrame, text: str, name: str) -> DataFrame:
+        """Of an embedder that names its ``version``, vectors are kept by content, and only texts that are new are embedded."""
+        version = getattr(self.embedder, "version", None)
+        if version is None:
+            return rows.withColumn(name, self.embedder.embed(F.col(text)))
+        return VectorStore(self.spark, self.root, version).embedded(rows, text, self.embedder.embed, name)
 
     def search_dense(self, asked: DataFrame, k: int, text: str = "query") -> DataFrame:
         """``asked``: qid and vector, or qid and ``text``."""

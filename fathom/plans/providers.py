@@ -21,6 +21,8 @@ RERANK_WORDS = 512
 
 
 class Embedder(Protocol):
+    """One with an attribute ``version`` (a name for files) has its vectors kept by content, for all collections under one root."""
+
     def embed(self, text: Column) -> Column: ...
 
 

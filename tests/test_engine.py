@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,39 @@ def test_a_failing_reranker_is_contained(tools, spark, monkeypatch):
     assert {(r.value, r.error) for r in errors} <= {(None, "RuntimeError: out of memory"), (2.0, None)} and any(r.error for r in errors)
 
 
+def test_vectors_are_kept_by_content(spark, tmp_path):
+    """A second ingest embeds new chunks alone, and a question that was asked before is not embedded again."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = providers.HashEmbedder()
+
+    class Counting:
+        version = "hash-64"
+
+        def embed(self, text):
+            @F.pandas_udf("string")
+            def counted(x: pd.Series) -> pd.Series:
+                seen.add(len(x))
+                return x
+
+            return plain.embed(counted(text))
+
+    e = Engine(spark, f"file://{tmp_path}", "kept", embedder=Counting())
+    e.ingest_pages(spark.createDataFrame(ROWS, PAGES))
+    assert seen.value == e.collection.read("children").select("contextualized_content").distinct().count() > 5
+    before = seen.value
+    e.ingest_pages(spark.createDataFrame([*ROWS, ("d4", "four.pdf", 1, "quite new words")], PAGES))
+    assert seen.value == before + 1 and e.collection.read("children").where("embedding is null").count() == 0
+    Engine(spark, f"file://{tmp_path}", "other", embedder=Counting()).ingest_pages(spark.createDataFrame(ROWS, PAGES))
+    e.search_dense(spark.createDataFrame([(0, "quite new")], "qid long, query string"), 1).collect()
+    assert seen.value == before + 2
+    again = Engine(spark, f"file://{tmp_path}", "kept", embedder=Counting())
+    assert again.search_dense(spark.createDataFrame([(0, "quite new")], "qid long, query string"), 1).first().chunk_id.startswith("d4_") and seen.value == before + 2
+    want = Engine(spark, f"file://{tmp_path}", "plain")
+    want.ingest_pages(spark.createDataFrame(ROWS, PAGES))
+    shown = lambda x: sorted((r.chunk_id, tuple(r.embedding)) for r in x.collection.read("children").where("doc_id <> 'd4'").collect())
+    assert shown(e) == shown(want)
+
+
 def test_found(tools, spark):
     engine = tools.engine("Test")
     found = engine.search_found("delta epsilon", 2)
