@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import stemming
@@ -84,6 +84,8 @@ class Index:
 
     rows: DataFrame
     key: str
+    #: The queries whose terms alone it has; None if it has all.
+    wanted: Asked | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -170,7 +172,7 @@ def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner:
     if wanted is not None:  # rows of documents pass as well
         terms = wanted.words().union(docs.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("term", "t")
         made = made.join(wanted.near(terms), F.expr("term <=> t"), "left_semi")
-    return Index(workspace.cached(made if owner else made.drop("owners")), key)
+    return Index(workspace.cached(made if owner else made.drop("owners")), key, wanted)
 
 
 # --- scoring ---
@@ -303,8 +305,11 @@ class Asked:
 
     @staticmethod
     def of(queries: DataFrame, analyze=T.tokens) -> Asked:
-        terms = workspace.written(query_terms(queries, analyze=analyze), "terms")
-        n, words = terms.agg(F.count_distinct("qid"), F.count_distinct("term")).first()
+        # how many queries and words there are, about, is counted while they are written
+        seen = Observation()
+        rows = query_terms(queries, analyze=analyze).observe(seen, F.approx_count_distinct("qid").alias("n"), F.approx_count_distinct("term").alias("words"))
+        terms = workspace.written(rows, "terms")
+        n, words = int(1.1 * (seen.get["n"] or 0)), int(1.1 * (seen.get["words"] or 0))
         chunks = max(1, -(-n // QUERIES))
         ids = terms.select("qid").distinct().withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
         numbered = ids.withColumn("q", (F.row_number().over(Window.partitionBy("chunk").orderBy("qid")) - 1).cast("int"))
@@ -329,7 +334,8 @@ def search_index(index_: Index, queries: DataFrame | Asked, k: int, fields: dict
     if "shard" in found.columns:  # row groups without these parts are skipped
         parts = [r.shard for r in asked.words().select(shard().alias("shard")).distinct().limit(NAMED + 1).collect()]
         found = found.where(F.col("shard").isin(parts)) if len(parts) <= NAMED else found
-    found = found.join(near(asked.words()), "term", "left_semi").select("part", "field", "term", "docs", "tf")
+    found = found if index_.wanted is asked else found.join(near(asked.words()), "term", "left_semi")
+    found = found.select("part", "field", "term", "docs", "tf")
     df = found.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")).join(F.broadcast(index_.stats), "field")  # a row a field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     known = df.select("field", "term", idf.alias("idf"), "avgdl").join(asked.terms, "term")
