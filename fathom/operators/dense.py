@@ -79,6 +79,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     if not n:
         return spark.createDataFrame([], f"qid {qkind}, {key} {kind}, score double, rank int")
     rows = corpus.select(key, F.col(vector).alias("v")).where("v is not null")
+    if n * (dim or 1) > BLOCK:  # blocks are shuffled then, and must come out the same where a lost partition is made again
+        rows, asked = rows.sortWithinPartitions(key), asked.sortWithinPartitions("qid")
     pairs = grid(_packed(rows, key, kind, CORPUS_ROWS, ""), _packed(asked, "qid", qkind, QUERY_ROWS, "q"), n, max(1, dim or 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -149,6 +149,8 @@ def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner:
     fields = list(dict.fromkeys(fields))
     kind, own = docs.schema[key].dataType.simpleString(), ([owner] if owner else [])
     rows = workspace.spread(docs.select(key, *[c for c in own if c != key], *[c for c in fields if c != key]), key)
+    # numbers of documents must come out the same where a lost partition is made again
+    rows = rows.sortWithinPartitions(key)
     rows = rows.select(F.col(key).alias("key"), F.col(owner or key).cast("string").alias("owner"), *[cut(f).alias(f"w{n}") for n, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ its own, packed. A search reads the lists of its queries' nearest centroids alon
 their codes, and takes the inner products of the ``shortlist`` with the vectors themselves.
 
 Vectors are expected to have one dimension; null ones are left out. Rows that are added later are encoded with the kept model.
+Rows that are gone from the vectors' table are found no more, though their codes stay in the lists.
 """
 
 from __future__ import annotations
@@ -96,6 +97,14 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def exists(self) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lists")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def remove(self) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     # --- the model ---
 
     def fit(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lists: int | None = None) -> Model:
@@ -185,6 +194,8 @@ class VectorIndex:
                     yield pd.DataFrame({"qid": np.repeat(names, top.shape[1]), "key": np.asarray(r.keys)[top].ravel(), "near": np.take_along_axis(score, top, 1).ravel()})
 
         found = lists.join(asked, "centroid").select("centroid", "keys", "codes", "qids", "vectors").mapInPandas(rank, f"qid {qkind}, key {kind}, near double")
+        # a row that was added again lies in two lists
+        found = found.groupBy("qid", "key").agg(F.max("near").alias("near"))
         order = Window.partitionBy("qid").orderBy(F.desc("near"), F.desc("key"))
         found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).select("qid", "key")
         rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))

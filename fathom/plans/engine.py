@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import chunking, dense, fusion, lexical, prompting, resolve, router
+from fathom.operators.vector_index import VectorIndex
 from fathom.plans.providers import CoverageReranker, Embedder, ExtractiveGenerator, Generator, HashEmbedder, Reranker
 from fathom.sources import tables, workspace
 from fathom.sources.collection import Collection
@@ -46,6 +47,8 @@ class EngineConfig:
     fallback_direct: bool = False
     #: Vectors of single queries that are kept.
     cached_queries: int = 1000
+    #: Chunks also go into a kept index of vectors, which dense search asks; results are then approximate.
+    kept_index: bool = False
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, collection: str = "default", embedder: Embedder | None = None, reranker: Reranker | None = None, generator: Generator | None = None, config: EngineConfig | None = None):
         self.spark, self.root, self.config = spark, root, config or EngineConfig()
         self.collection = Collection(spark, root, collection)
+        self.vectors = VectorIndex(spark, f"{self.collection.path}_index")
         self.embedder, self.reranker, self.generator = embedder or HashEmbedder(), reranker or CoverageReranker(), generator or ExtractiveGenerator()
         self._vectors: OrderedDict[str, list[float]] = OrderedDict()
 
@@ -81,6 +85,10 @@ class Engine:
         meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         registry = registry.select("doc_id", "filename", F.col("filename").alias("pdf_path"), "chunks", F.current_timestamp().alias("inserted_at"), meta.alias("custom_metadata"))
         parents = parents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        if self.config.kept_index and not children.isEmpty():
+            if not self.vectors.exists():
+                self.vectors.fit(children, "chunk_id")
+            self.vectors.add(children, "chunk_id")
         self.collection.replace(given, parents=parents, children=children, postings=self._postings(children), registry=registry)
         n_p, n_c = parents.count(), children.count()
         if not n_p:
@@ -149,7 +157,12 @@ class Engine:
     def search_dense(self, asked: DataFrame, k: int, text: str = "query") -> DataFrame:
         """``asked``: qid and vector, or qid and ``text``."""
         vectors = asked if "vector" in asked.columns else self._embedded(asked, text)
-        return dense.nearest(self.collection.read("children"), vectors.select("qid", "vector"), k, key="chunk_id", knn=True)
+        children, vectors = self.collection.read("children"), vectors.select("qid", "vector")
+        if not self.config.kept_index or not self.vectors.exists():
+            return dense.nearest(children, vectors, k, key="chunk_id", knn=True)
+        # as many chunks get the exact second look as the older store's candidates
+        near = self.vectors.search(children, vectors, k, "chunk_id", shortlist=max(100, 2 * k))
+        return near.withColumn("score", F.round((F.col("score") + 1) / 2, 7))
 
     def index(self) -> lexical.Index:
         """The kept index of all chunks."""
@@ -272,6 +285,7 @@ class Engine:
 
     def clear(self) -> dict:
         self.collection.recreate()
+        self.vectors.remove()
         return {"status": "success", "message": f"collection {self.collection.path.rsplit('/', 1)[-1]!r} is empty"}
 
 

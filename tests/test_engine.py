@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import fusion, lexical, router
+from fathom.operators import dense, fusion, lexical, router
 from fathom.plans import agent, catalog, contextual, evaluation, providers
 from fathom.plans.engine import Engine, EngineConfig, Tools, tools_of
 from fathom.sources import collection, tables
@@ -147,6 +147,23 @@ def test_vectors_are_kept_by_content(spark, tmp_path):
     assert shown(e) == shown(want)
 
 
+def test_engine_with_a_kept_index(spark, tmp_path):
+    """Dense search by the kept index: rows that come again count once, deleted ones are not found."""
+    rows = [(f"d{n}", "f", 1, f"word{n} word{n % 7} common") for n in range(40)]
+    e = Engine(spark, f"file://{tmp_path}", "near", config=EngineConfig(kept_index=True))
+    e.ingest_pages(spark.createDataFrame(rows, PAGES))
+    e.ingest_pages(spark.createDataFrame([*rows[:5], ("d50", "f", 1, "word3 word50 common")], PAGES))
+    e.delete_document("d7")
+    asked = spark.createDataFrame([(0, "word3 common"), (1, "word7"), (2, "word50")], "qid long, query string")
+    vectors = e._embedded(asked, "query")
+    exact = {(r.qid, r.chunk_id): (r.score, r.rank) for r in dense.nearest(e.collection.read("children"), vectors.select("qid", "vector"), 6, key="chunk_id", knn=True).collect()}
+    got = {(r.qid, r.chunk_id): (r.score, r.rank) for r in e.search_dense(vectors, 6).collect()}
+    assert sum(x in exact for x in got) >= 0.8 * len(exact) and all(exact[x][0] == v[0] for x, v in got.items() if x in exact) and len(got) == 18
+    assert not any(c.startswith("d7_") for _, c in got) and (2, next(c for q, c in exact if q == 2 and c.startswith("d50_"))) in got
+    e.clear()
+    assert not e.vectors.exists()
+
+
 def test_found(tools, spark):
     engine = tools.engine("Test")
     found = engine.search_found("delta epsilon", 2)
