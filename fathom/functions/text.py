@@ -60,6 +60,21 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"), F.lit(0))
 
 
+# Letters that ``upper`` of Spark makes several of, and what is one capital for each (itself if there is none); then small letters
+# whose capitals only Unicode 16 has, which not every engine knows.
+_MANY = [c for c in map(chr, range(0x80, 0xD800)) if len(c.upper()) > 1] + [c for c in map(chr, range(0xE000, 0x10000)) if len(c.upper()) > 1]
+_CAPITAL = {c: "\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in _MANY}
+_CAPITAL |= {chr(c): chr(c) for c in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))}
+
+
+def upper(c) -> Column:
+    """Capitals letter by letter, as the SQL engines have it: a text keeps its length, and ß becomes ẞ."""
+    own = "[" + "".join(_CAPITAL) + "]+"
+    parts = F.regexp_extract_all(col(c), F.lit(f"{own}|[^{own[1:]}"), F.lit(0))
+    each = F.transform(parts, lambda x: F.when(x.rlike(f"^{own}"), F.translate(x, "".join(_CAPITAL), "".join(_CAPITAL.values()))).otherwise(F.upper(x)))
+    return F.when(col(c).rlike(own), F.array_join(each, "")).otherwise(F.upper(col(c)))
+
+
 def preview(c, n: int = 200, dots: bool = False) -> Column:
     cut = F.substring(col(c), 1, n)
     return F.when(F.length(col(c)) > n, F.concat(cut, F.lit("..."))).otherwise(cut) if dots else cut

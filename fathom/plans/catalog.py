@@ -563,7 +563,7 @@ def doc_upsert(spark, d):
     from fathom.sources.collection import upsert
 
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return upsert(docs.drop("lang"), docs.where("lang = 'fr'").select("doc_id", F.upper(F.coalesce("text", F.lit(""))).alias("text")))
+    return upsert(docs.drop("lang"), docs.where("lang = 'fr'").select("doc_id", T.upper(F.coalesce("text", F.lit(""))).alias("text")))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src1')")

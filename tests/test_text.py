@@ -84,3 +84,13 @@ def test_headers(spark):
 def test_windows_cover_every_word(n, size, overlap):
     w = [str(i) for i in range(n)]
     assert {x for c in cut(w, size, overlap) for x in c.split()} == (set(w) if overlap <= size or n <= size else {x for c in cut(w, size, overlap) for x in c.split()})
+
+
+def test_upper_letter_by_letter(spark):
+    import duckdb
+
+    every = [chr(n) for n in range(1, 0x20000) if not 0xD800 <= n < 0xE000]
+    texts = ["straße\nŉ ﬁn ᾳß", "Ärger", "", None, *("a" + "".join(every[n : n + 500]) + "z" for n in range(0, len(every), 500))]
+    got = [r[0] for r in spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, t string").orderBy("n").select(T.upper("t")).collect()]
+    want = [duckdb.execute("select upper(?)", [t]).fetchone()[0] for t in texts]
+    assert got[0] == "STRAẞE\nŉ ﬁN ᾼẞ" and got == want
