@@ -128,13 +128,12 @@ def hashed_embedding(c, dim: int = 64) -> Column:
             known[word] = found = h // 2 % dim * 2 + h % 2
             return found
 
-        def one(words) -> np.ndarray:
-            n = np.bincount([known[w] if w in known else place(w) for w in words], minlength=2 * dim) if len(words) else np.zeros(2 * dim)
-            v = (n[::2] - n[1::2]).astype(float)
-            norm = np.sqrt(v @ v)
-            return v / norm if norm > 0 else v
-
-        return rows.map(one)
+        flat = np.array([known[w] if w in known else place(w) for words in rows for w in words], np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(words) for words in rows])
+        n = np.bincount(row * (2 * dim) + flat, minlength=len(rows) * 2 * dim).reshape(len(rows), 2 * dim)
+        v = (n[:, ::2] - n[:, 1::2]).astype(float)
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+        return pd.Series(list(v / np.where(norm > 0, norm, 1)[:, None]))
 
     return vectors(T.tokens(c))
 

@@ -2,55 +2,137 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def segmentation(vectors: np.ndarray, longest: int = 8, strict: bool = False) -> list[tuple[int, int]]:
-    """Inclusive (first, last) of the clusters that gather most similarity above the mean.
+def _gains(vectors: np.ndarray, sizes: np.ndarray, longest: int) -> np.ndarray:
+    """What a cluster gathers that ends at a row and has 1, 2, ... ``longest`` members, for documents of ``sizes`` rows, one after another.
 
-    Only pairs less than ``longest`` apart are compared; the mean over all pairs follows from sums.
-    Unless ``strict``, a beginning without any gain is one cluster, however long.
+    Numbers of clusters that would begin in an earlier document say nothing.
     """
-    n = len(vectors)
-    if n == 0:
-        return []
-    total = vectors.sum(axis=0)
-    mean = round(float((total @ total - np.einsum("ij,ij->", vectors, vectors)) / (n * (n - 1))), 9) if n > 1 else 0.0
-    band = {d: np.round(np.einsum("ij,ij->i", vectors[:-d], vectors[d:]), 9) - mean for d in range(1, min(longest, n))}
-    best, start = np.zeros(n + 1), np.zeros(n + 1, int)
-    for end in range(n):
-        top, at, gain = 0.0, 0, 0.0
-        if strict:
-            top, at = best[end], end
-        for size in range(1, min(longest, end + 1) + 1):
-            first = end - size + 1
-            gain += 2 * sum(band[j - first][first] for j in range(first + 1, end + 1))
-            value = round(gain + best[first], 6)
+    first = np.cumsum(sizes) - sizes
+    total, own = np.add.reduceat(vectors, first, axis=0), np.add.reduceat(np.einsum("ij,ij->i", vectors, vectors), first)
+    mean = (np.einsum("ij,ij->i", total, total) - own) / np.maximum(sizes * (sizes - 1), 1)
+    mean = np.repeat([round(x, 9) for x in mean.tolist()], sizes)
+    out, n = np.zeros((len(vectors), longest)), len(vectors)
+    band = np.zeros(n)  # of a first member, with all that follow
+    for size in range(2, min(longest, n) + 1):
+        d = size - 1
+        band[:-d] += np.round(np.einsum("ij,ij->i", vectors[:-d], vectors[d:]), 9) - mean[:-d]
+        out[:, d] = out[:, d - 1]
+        out[d:, d] += 2 * band[:-d]
+    return out
+
+
+def _starts(gains: list[list[float]], strict: bool, rounded: Callable[[float], float]) -> list[int]:
+    """The first members of one document's clusters, rising."""
+    best, start = [0.0], []
+    for end, gain in enumerate(gains):
+        top, at = (best[end], end) if strict else (0.0, 0)
+        for d in range(min(len(gain), end + 1)):
+            value = rounded(gain[d] + best[end - d])
             if value > top:
-                top, at = value, first
-        best[end + 1], start[end + 1] = top, at
-    out, end = [], n
+                top, at = value, end - d
+        best.append(top)
+        start.append(at)
+    out, end = [], len(gains)
     while end > 0:
-        out.append((int(start[end]), end - 1))
-        end = int(start[end])
+        end = start[end - 1]
+        out.append(end)
     return out[::-1]
 
 
+def segmentations(vectors: np.ndarray, sizes: np.ndarray, longest: int = 8, strict: bool = False) -> Iterator[list[int]]:
+    """For each document of ``sizes`` rows the first members of the clusters that gather most similarity above the mean.
+
+    Only pairs less than ``longest`` apart are compared; the mean over all pairs follows from sums.
+    Unless ``strict``, a beginning without any gain is one cluster, however long.
+    """
+    gains = _gains(vectors, sizes, longest)
+    most = np.abs(gains).max(initial=0)
+    # the same result; the quick one is for numbers that an integer can take
+    rounded = (lambda x: round(x * 1e6) / 1e6) if most * len(vectors) < 1e9 else lambda x: float(np.round(x, 6))
+    at = 0
+    for n in sizes.tolist():
+        yield _starts(gains[at : at + n].tolist(), strict, rounded)
+        at += n
+
+
+def segmentation(vectors: np.ndarray, longest: int = 8, strict: bool = False) -> list[tuple[int, int]]:
+    """Inclusive (first, last) of the clusters of one document, see ``segmentations``."""
+    if len(vectors) == 0:
+        return []
+    (starts,) = segmentations(np.asarray(vectors, float), np.array([len(vectors)]), longest, strict)
+    return list(zip(starts, [x - 1 for x in starts[1:]] + [len(vectors) - 1], strict=True))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole documents, which lie together while batches end anywhere, and how many each has."""
+
+    def sized(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        code = rows.column("doc_id").chunk(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return rows, np.diff(np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        if held[0].column("doc_id")[0].as_py() == batch.column("doc_id")[-1].as_py():
+            continue  # perhaps more of the same one
+        rows, sizes = sized(pa.Table.from_batches(held).combine_chunks())
+        done = rows.num_rows - int(sizes[-1])
+        yield rows.slice(0, done), sizes[:-1]
+        held = rows.slice(done).to_batches()
+    if held:
+        yield sized(pa.Table.from_batches(held).combine_chunks())
+
+
+def _vectors(rows: pa.Table) -> np.ndarray:
+    return rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+
+
 def clusters(segments: DataFrame, longest: int = 8) -> DataFrame:
     """``segments``: doc_id, seg_idx, embedding. Returns doc_id, seg_idx, cluster."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("seg_idx", kind="stable")
-        number = np.zeros(len(x), int)
-        for k, (first, last) in enumerate(segmentation(np.stack(x["embedding"].to_numpy()).astype(float), longest)):
-            number[first : last + 1] = k
-        return pd.DataFrame({"doc_id": x["doc_id"], "seg_idx": x["seg_idx"], "cluster": number})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sizes in _whole(batches):
+            found = segmentations(_vectors(rows), sizes, longest)
+            number = np.concatenate([np.searchsorted(starts, np.arange(n), "right") - 1 for starts, n in zip(found, sizes, strict=True)])
+            yield from rows.select(["doc_id", "seg_idx"]).append_column("cluster", pa.array(number, pa.int64())).to_batches()
+
+    kind = segments.schema["doc_id"].dataType.simpleString()
+    rows = segments.select("doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), "embedding")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx").mapInArrow(run, f"doc_id {kind}, seg_idx long, cluster long")
+
+
+def chunks(segments: DataFrame, longest: int = 8) -> DataFrame:
+    """``assemble`` of ``clusters``, of segments (doc_id, page, text, embedding) that lie in order, a document's together."""
+    from fathom.functions.text import token_estimate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sizes in _whole(batches):
+            found = list(segmentations(_vectors(rows), sizes, longest))
+            first = np.cumsum(sizes) - sizes
+            begin = np.concatenate([np.array(starts) + at for starts, at in zip(found, first, strict=True)])
+            index = np.concatenate([np.arange(len(starts)) for starts in found])
+            spans = list(zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], strict=True))
+            texts, pages = rows.column("text").to_pylist(), rows.column("page").to_pylist()
+            own = [[p for p in pages[a:b] if p is not None] for a, b in spans]
+            yield from pa.table({
+                "doc_id": rows.column("doc_id").take(pa.array(begin)), "cluster": pa.array(index, pa.int64()), "content": [" ".join(texts[a:b]) for a, b in spans],
+                "page_start": pa.array([min(p, default=None) for p in own], pa.int32()), "page_end": pa.array([max(p, default=None) for p in own], pa.int32()),
+            }).to_batches()
 
     kind = segments.schema["doc_id"].dataType.simpleString()
-    return segments.select("doc_id", "seg_idx", "embedding").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, seg_idx long, cluster long")
+    rows = segments.select("doc_id", F.col("page").cast("int").alias("page"), "text", "embedding")
+    made = rows.mapInArrow(run, f"doc_id {kind}, cluster long, content string, page_start int, page_end int")
+    return made.select(F.concat(F.lit("chunk_"), "cluster").alias("chunk_id"), "doc_id", F.col("cluster").alias("original_index"), "content", "page_start", "page_end", token_estimate("content").alias("token_count"))
 
 
 def assemble(segments: DataFrame, members: DataFrame) -> DataFrame:

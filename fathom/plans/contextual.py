@@ -18,17 +18,10 @@ FIELDS = {"content": 1.0, "contextualized_content": 1.0}
 
 def cluster_chunks(pages: DataFrame, embedder: Embedder | None = None, longest: int = LARGEST // SMALLEST, least: float = SMALLEST) -> DataFrame:
     """``pages``: doc_id, page, text. Sentences, long ones cut, gathered to chunks: doc_id, original_index, chunk_id, content, pages, token_count."""
-    cut = chunking.split_by_size(tables.page_segments(pages), least)
-    order = F.row_number().over(_by_place()) - 1
-    pieces = cut.withColumn("seg_idx", order.cast("long")).drop("piece")
-    pieces = workspace.written(pieces.withColumn("embedding", (embedder or HashEmbedder()).embed(F.col("text"))), "segments")
-    return semantic.assemble(pieces.drop("embedding"), semantic.clusters(pieces, longest))
-
-
-def _by_place():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("seg_idx", "piece")
+    pieces = chunking.split_by_size(tables.page_sentences(pages), least)
+    # the one shuffle; vectors are made behind it, and go no further than the clusters
+    pieces = pieces.repartition("doc_id").sortWithinPartitions("doc_id", "page", "at", "piece")
+    return semantic.chunks(pieces.withColumn("embedding", (embedder or HashEmbedder()).embed(F.col("text"))), longest)
 
 
 def multi_document_dataset(pages: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:

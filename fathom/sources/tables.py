@@ -49,9 +49,14 @@ def pdf_pages(spark: SparkSession, path: str | list[str], doc_id: str | None = N
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PAGES)
 
 
+def page_sentences(pages: DataFrame, longer_than: int = 10) -> DataFrame:
+    """doc_id, page, at, text: sentences with their place in the page."""
+    return spread(pages.select("doc_id", "page", "text")).select("doc_id", "page", F.posexplode(T.segments("text", longer_than)).alias("at", "text"))
+
+
 def page_segments(pages: DataFrame, longer_than: int = 10) -> DataFrame:
     """doc_id, seg_idx, page, text: sentences in the order of pages."""
-    rows = spread(pages.select("doc_id", "page", "text")).select("doc_id", "page", F.posexplode(T.segments("text", longer_than)).alias("at", "text"))
+    rows = page_sentences(pages, longer_than)
     return rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at")) - 1).drop("at")
 
 

@@ -348,3 +348,24 @@ def test_rerank_with_fewer_candidates(spark):
     rows = spark.createDataFrame([(0, "a", 1, 0.5), (0, "b", 2, 0.5), (0, "c", 3, 0.9)], "qid long, chunk_id string, rank int, s double")
     got = resolve.rerank_chunks(rows, 9, F.col("s"), "chunk_id").orderBy("rank").collect()
     assert [r.chunk_id for r in got] == ["c", "a", "b"]
+
+
+def test_chunks_of_documents_that_span_batches(spark):
+    from fathom.plans import contextual
+
+    rng = np.random.default_rng(3)
+    rows = [(f"d{n % 7 if n % 3 else 0}", n // 9, n, f"s{n}", rng.normal(size=4).round(2).tolist()) for n in range(200)]
+    rows += [("lone", None, 0, "x", [1.0, 0.0, 0.0, 0.0]), (None, 2, 0, "y", [0.0] * 4), (None, 1, 1, "z", [0.0] * 4)]
+    segments = spark.createDataFrame(rows, "doc_id string, page int, seg_idx long, text string, embedding array<double>")
+    want = semantic.assemble(segments.drop("embedding"), semantic.clusters(segments)).where("doc_id is not null").collect()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = semantic.chunks(segments.repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(tuple, (r for r in got if r.doc_id))) == sorted(map(tuple, want)) and [(r.content, r.page_start, r.page_end) for r in got if not r.doc_id] == [("y z", 1, 2)]
+    # one shuffle by document, and nothing is written between
+    pages = spark.createDataFrame([("a", 1, "One sentence here. Another sentence here.")], "doc_id string, page int, text string")
+    plan = contextual.cluster_chunks(pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1 and "Window" not in plan and "FlatMapGroups" not in plan and "Join" not in plan
