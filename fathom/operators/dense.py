@@ -16,8 +16,8 @@ from fathom.functions import text as T
 BLOCK = 4_000_000
 #: Rows of a block of the corpus, and of the queries; numbers of queries and hits that a task holds.
 CORPUS_ROWS, QUERY_ROWS, HELD = 4096, 1024, 32_000_000
-#: Numbers of a product of a piece of a batch and the query matrix.
-PRODUCT = 4_000_000
+#: Numbers of a product of a piece of a batch and the query matrix, and rows of a piece that single precision looks at first.
+PRODUCT, PIECE = 4_000_000, 512
 
 
 def _best_each(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +33,67 @@ def _best_each(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray
     return np.take_along_axis(scores, order, 0), np.take_along_axis(keys, order, 0)
 
 
+class _Best:
+    """The ``k`` best of the corpus for a block of queries, by double precision to 6 digits.
+
+    Once there are k, products in single precision are made first; those that may reach the k-th score, with all that single precision can be
+    off by, are made again. Where many may (copies), all are.
+    """
+
+    def __init__(self, ids: list, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.single, self.norm = queries.astype(np.float32), np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        self.scores, self.keys, self.made = np.zeros((0, len(ids))), None, 0
+
+    @property
+    def held(self) -> int:
+        return len(self.ids) * max(self.k, self.queries.shape[1])
+
+    def add(self, vectors: np.ndarray, keys: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):  # of numbers that only double precision holds all is made again
+            single, norm, at = vectors.astype(np.float32), np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 0
+            while at < len(vectors):
+                n = max(self.k, PIECE)
+                part = slice(at, at + n)
+                if len(self.scores) < self.k or not self._better(vectors[part], single[part], keys[part], norm[part].max()):
+                    step = max(self.k, PRODUCT // len(self.ids), 1)
+                    for k in range(at, min(at + n, len(vectors)), step):
+                        self._all(vectors[k : min(k + step, at + n)], keys[k : min(k + step, at + n)])
+                at += n
+
+    def _all(self, vectors: np.ndarray, keys: np.ndarray) -> None:
+        near = np.round(vectors @ self.queries.T, 6)
+        names = np.broadcast_to(keys[:, None], near.shape)
+        self.made += near.size
+        if self.keys is not None:
+            near, names = np.concatenate([self.scores, near]), np.concatenate([self.keys, names])
+        self.scores, self.keys = _best_each(near, names, self.k)
+
+    def _better(self, vectors: np.ndarray, single: np.ndarray, keys: np.ndarray, norm: float) -> bool:
+        """Whether few products could matter; these are in then."""
+        least, last = self.scores[-1], self.keys[-1]
+        # the error of a sum of products in single precision, and of rounding
+        off = 2.0**-23 * (vectors.shape[1] + 8) * norm * self.norm + 2e-6
+        hit = np.flatnonzero(~(single @ self.single.T < (least - off).astype(np.float32)))
+        if len(hit) > 8 * self.k * len(self.ids):
+            return False
+        self.made += len(hit)
+        row, q = np.divmod(hit, len(self.ids))
+        score, name = np.round(np.einsum("ij,ij->i", vectors[row], self.queries[q]), 6), keys[row]
+        new = ~((score < least[q]) | ((score == least[q]) & (name < last[q])))
+        q, score, name = q[new], score[new], name[new]
+        if len(q):
+            which, place = np.unique(q, return_inverse=True)
+            place = np.concatenate([np.tile(np.arange(len(which)), self.k), place])
+            score, name = np.concatenate([self.scores[:, which].ravel(), score]), np.concatenate([self.keys[:, which].ravel(), name])
+            order = np.lexsort((name, score, place))
+            ends = np.cumsum(np.bincount(place))
+            order = order[ends - 1 - np.arange(self.k)[:, None]]
+            self.keys = self.keys.astype(np.result_type(self.keys, name), copy=False)
+            self.scores[:, which], self.keys[:, which] = score[order], name[order]
+        return True
+
+
 def _packed(rows: DataFrame, key: str, kind: str, size: int, name: str) -> DataFrame:
     """Rows of ``key`` and ``v`` as blocks of at most ``size``, where they are: their keys, and the matrix of their vectors."""
 
@@ -84,30 +145,22 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     pairs = grid(_packed(rows, key, kind, CORPUS_ROWS, ""), _packed(asked, "qid", qkind, QUERY_ROWS, "q"), n, max(1, dim or 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+        held: dict[str, _Best] = {}
 
-        def out(ids, _, scores, names) -> pd.DataFrame:
-            return pd.DataFrame({"qid": np.repeat(np.array(ids), len(scores)), key: names.T.ravel(), "score": scores.T.ravel()})
+        def out(h: _Best) -> pd.DataFrame:
+            return pd.DataFrame({"qid": np.repeat(np.array(h.ids), len(h.scores)), key: h.keys.T.ravel(), "score": h.scores.T.ravel()})
 
         for x in batches:
             for r in x.itertuples(index=False):
                 own = np.asarray(r.keys)
                 own = own.astype(str) if own.dtype == object else own
                 if r.qblock not in held:
-                    if sum(len(h[0]) * max(k, len(h[1])) for h in held.values()) > HELD:
-                        yield out(*held.pop(next(iter(held))))
-                    held[r.qblock] = [list(r.qkeys), np.frombuffer(r.qx).reshape(len(r.qkeys), -1).T, np.zeros((0, len(r.qkeys))), None]
-                state = held[r.qblock]
-                matrix, vectors = state[1], np.frombuffer(r.x).reshape(len(own), -1)
-                step = max(k, PRODUCT // matrix.shape[1], 1)
-                for at in range(0, len(own), step):
-                    near = np.round(vectors[at : at + step] @ matrix, 6)
-                    names = np.broadcast_to(own[at : at + step, None], near.shape)
-                    if state[3] is not None:
-                        near, names = np.concatenate([state[2], near]), np.concatenate([state[3], names])
-                    state[2], state[3] = _best_each(near, names, k)
+                    if sum(h.held for h in held.values()) > HELD:
+                        yield out(held.pop(next(iter(held))))
+                    held[r.qblock] = _Best(list(r.qkeys), np.frombuffer(r.qx).reshape(len(r.qkeys), -1), k)
+                held[r.qblock].add(np.frombuffer(r.x).reshape(len(own), -1), own)
         for h in held.values():
-            yield out(*h)
+            yield out(h)
 
     found = pairs.select("keys", "x", "qblock", "qkeys", "qx").mapInPandas(run, f"qid {qkind}, {key} {kind}, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc(key))

@@ -369,3 +369,22 @@ def test_chunks_of_documents_that_span_batches(spark):
     pages = spark.createDataFrame([("a", 1, "One sentence here. Another sentence here.")], "doc_id string, page int, text string")
     plan = contextual.cluster_chunks(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "Window" not in plan and "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def test_nearest_makes_few_products_twice_and_keeps_ties():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    corpus, queries = unit(rng.normal(size=(9000, 16))), unit(rng.normal(size=(50, 16)))
+    cases = [(corpus, queries, 10), (np.repeat(corpus[:30], 300, 0), queries, 10), (rng.normal(size=(3000, 16)).round(1) * 1e30, queries * 1e20, 5), (corpus[:7], queries, 10)]
+    odd = corpus.copy()
+    odd[4000, 3], odd[8000, 2] = np.nan, 1e300
+    for x, q, k in [*cases, (odd, queries, 10)]:
+        for keys in (rng.permutation(len(x)), rng.permutation(len(x)).astype(str)):
+            best = dense._Best(list(range(len(q))), q, k)
+            for at in range(0, len(x), 4096):
+                best.add(x[at : at + 4096], keys[at : at + 4096])
+            near = np.round(x @ q.T, 6)
+            want, names = dense._best_each(near, np.broadcast_to(keys[:, None], near.shape), k)
+            assert np.array_equal(best.keys, names) and np.allclose(best.scores, want, rtol=1e-9, atol=0, equal_nan=True)
+            if x is corpus:
+                assert best.made < 0.2 * near.size
