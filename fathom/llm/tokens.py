@@ -81,7 +81,7 @@ class Encoder:
         self.special = re.compile("|".join(added), re.IGNORECASE) if added and not special_as_text else None
         self.tokenize, self.letters, self.space = self.tokenizer.model.tokenize, _byte_letters(), " " if kind == "byte" else ""
         self.lead = self.letters[32] if self.space else ""
-        self.known, self.signs = _Chunks(self._chunk, bool(self.space)), {}
+        self.known, self.signs, self.starts = _Chunks(self._chunk, bool(self.space)), {}, {}
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -91,11 +91,11 @@ class Encoder:
         m = _PLAIN.fullmatch(chunk)
         if m is not None:
             word, signs = m.groups()
-            return (self.known.get(word) or self._word(word, self.lead)) + self._sign(signs) if signs else self._word(word, self.lead)
+            return self._known(word) + self._sign(signs) if signs else self._word(word, self.lead)
         if "\n" in chunk and len(chunk) <= LONGEST:  # plain lines
             lines = [_PLAIN.fullmatch(x) for x in chunk.split("\n")]
             if all(lines):
-                out = [self._word(m[1], "" if n else self.lead) + self._sign(m[2]) for n, m in enumerate(lines)]
+                out = [(self._start(m[1]) if n else self._known(m[1])) + (self._sign(m[2]) if m[2] else b"") for n, m in enumerate(lines)]
                 return (self._sign("\n") if self.space else b"").join(out)
         return self._library(self.space + chunk)
 
@@ -107,6 +107,19 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenize(lead + word)]).tobytes()
 
+    def _known(self, word: str) -> bytes:
+        """``_word`` after a space, which is looked for among the chunks; it is not kept."""
+        return self.known.get(word) or self.known.older.get(word) or self._word(word, self.lead)
+
+    def _start(self, word: str) -> bytes:
+        """``_word`` at the start of a line; few words are there often."""
+        found = self.starts.get(word)
+        if found is None:
+            if len(self.starts) > 10_000:
+                self.starts.clear()
+            found = self.starts[word] = self._word(word, "") if self.space else self._known(word)
+        return found
+
     def _sign(self, signs: str) -> bytes:
         found = self.signs.get(signs)
         if found is None:

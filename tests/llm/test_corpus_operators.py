@@ -282,6 +282,21 @@ def test_rules_are_those_of_the_contract(spark):
     assert [(r.rule, r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == want
 
 
+def test_words_met_again_are_not_merged_again():
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        encoder = tokens.Encoder(queries.vocabulary(name), kind)
+        asked, merge = [], encoder.tokenize
+        encoder.tokenize = lambda w, asked=asked, merge=merge: asked.append(w) or merge(w)
+        text = "so thwhon esója, x thwhon. x esója.\nRendly esója!\nRendly thwhon;\nRendly"
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(encoder.one(text), "<u4")) == whole
+        assert len([w for w in asked if w.endswith("thwhon")]) == 1 and len([w for w in asked if w.endswith("Rendly") or w.endswith("rendly")]) == 1
+        encoder.known.older = dict(encoder.known)
+        encoder.known.clear()
+        assert list(np.frombuffer(encoder.one(text.replace("x", "thwhon?")), "<u4")) == encoder.tokenizer.encode(text.replace("x", "thwhon?"), add_special_tokens=False).ids
+        assert len([w for w in asked if w.endswith("thwhon")]) == 1
+
+
 def test_relative_targets(spark):
     from urllib.parse import urljoin
 
