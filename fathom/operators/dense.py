@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,25 +170,25 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return found.withColumn("score", F.round((F.col("score") + 1) / 2, 7)) if knn else found
 
 
-def hashed_embedding(c, dim: int = 64) -> Column:
-    """Signed feature hashing of the terms, of unit length; the zero vector without terms."""
+@lru_cache(maxsize=200_000)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
 
-    @F.pandas_udf("array<double>")
-    def vectors(rows: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}  # each term is hashed once a batch
 
-        def place(word: str) -> int:
-            """Twice the dimension, and one more for a negative sign."""
-            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
-            known[word] = found = h // 2 % dim * 2 + h % 2
-            return found
+def hashed_embedding(c, dim: int = 64) -> Column:
+    """Signed feature hashing of the terms, of unit length; the zero vector without terms."""
 
-        flat = np.array([known[w] if w in known else place(w) for words in rows for w in words], np.int64)
-        row = np.repeat(np.arange(len(rows)), [len(words) for words in rows])
+    @F.arrow_udf("array<double>")
+    def vectors(rows: pa.Array) -> pa.Array:
+        words = rows.flatten().dictionary_encode()  # each term is hashed once a batch
+        h = np.array([_hash(w) for w in words.dictionary.to_pylist()], np.int64)
+        flat = (h // 2 % dim * 2 + h % 2)[words.indices.to_numpy()]  # twice the dimension, and one more for a negative sign
+        row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
         n = np.bincount(row * (2 * dim) + flat, minlength=len(rows) * 2 * dim).reshape(len(rows), 2 * dim)
         v = (n[:, ::2] - n[:, 1::2]).astype(float)
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-        return pd.Series(list(v / np.where(norm > 0, norm, 1)[:, None]))
+        v /= np.where(norm > 0, norm, 1)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(v.ravel()))
 
     return vectors(T.tokens(c))
 

@@ -14,12 +14,14 @@ A collection keeps the index sorted by a hash of the term, so that a search read
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,14 @@ BROADCAST_TERMS = 1_000_000
 SHARDS, DOCUMENTS = 1024, -1
 #: Up to so many parts a search names those that it needs.
 NAMED = 256
-#: Documents of a part and of a block, and queries that a task scores together.
+#: Documents of a part and of a block, and queries that are scored together.
 PART, BLOCK, QUERIES = 4096, 64, 512
+#: So many times ``QUERIES`` go with one copy of the postings, and parts that a task scores, about.
+TOGETHER, PARTS = 8, 32
 #: Products of a query's term and a document that are made at a time.
-PRODUCTS = 4_000_000
+PRODUCTS = 1_000_000
+#: Parts whose places that still count may be broadcast (at most ``PART`` bytes each).
+BROADCAST_PARTS = 4096
 #: Digits that scores are rounded to, and what a bound may be off by.
 DIGITS, SLACK = 9, 1e-8
 
@@ -86,6 +92,8 @@ class Index:
     key: str
     #: The queries whose terms alone it has; None if it has all.
     wanted: Asked | None = None
+    #: part, live: of the parts that lost documents, whether each place still counts. None if none lost any.
+    live: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -93,13 +101,24 @@ class Index:
 
     @property
     def documents(self) -> DataFrame:
+        """With ``live``; lengths of documents that do not count any more are 0."""
         found = self.rows.where("term is null")
-        return found.where(F.col("shard") == DOCUMENTS) if "shard" in self.rows.columns else found
+        found = self.with_live(found.where(F.col("shard") == DOCUMENTS) if "shard" in self.rows.columns else found)
+        return found.withColumn("dl", F.when(F.col("live").isNull(), F.col("dl")).otherwise(F.zip_with("dl", "live", lambda n, on: F.when(on, n).otherwise(F.lit(0)))))
+
+    def with_live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a column ``live``, null where all places of the part count."""
+        return rows.withColumn("live", F.lit(None).cast("array<boolean>")) if self.live is None else rows.join(self.live, "part", "left")
+
+    def frequencies(self, postings: DataFrame) -> DataFrame:
+        """field, term, df of some of the postings."""
+        left = F.when(F.col("live").isNull(), F.size("docs")).otherwise(F.size(F.filter("docs", lambda x: F.get(F.col("live"), x))))
+        return self.with_live(postings).groupBy("field", "term").agg(F.sum(left).alias("df")).where("df > 0")
 
     @property
     def terms(self) -> DataFrame:
         """field, term, df."""
-        return self.postings.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df"))
+        return self.frequencies(self.postings)
 
     @property
     def stats(self) -> DataFrame:
@@ -143,7 +162,7 @@ def _packed(lists: pa.Array, name: str, field_: str, term: Callable[[str], str |
 def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner: str | None = None, wanted: Asked | None = None) -> Index:
     """The index of ``fields``, of all terms or of those of ``wanted``, kept by the executors.
 
-    ``owner``: a column (string) that deletions name documents by, carried in ``owners``.
+    ``owner``: a column (string) that deletions name documents by, carried in ``owners``. Such an index is written once, and not kept besides.
     """
     cut, term = TERMWISE.get(analyze, (analyze, None))
     fields = list(dict.fromkeys(fields))
@@ -174,7 +193,7 @@ def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner:
     if wanted is not None:  # rows of documents pass as well
         terms = wanted.words().union(docs.sparkSession.range(1).select(F.lit(None).cast("string"))).withColumnRenamed("term", "t")
         made = made.join(wanted.near(terms), F.expr("term <=> t"), "left_semi")
-    return Index(workspace.cached(made if owner else made.drop("owners")), key, wanted)
+    return Index(made if owner else workspace.cached(made.drop("owners")), key, wanted)
 
 
 # --- scoring ---
@@ -223,12 +242,15 @@ def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
 class _Field:
     """The rows of the queries' terms in one field of a part, flat: postings, stretches of one term and block, and pairs of a query and a term."""
 
-    def __init__(self, rows: pd.DataFrame, dl: np.ndarray, boost: float):
-        size, first = rows["docs"].map(len).to_numpy(), lambda n: np.append(0, np.cumsum(n))
-        start = first(size)
-        self.docs = np.concatenate(rows["docs"].to_numpy()).astype(np.int64)
-        tf = np.concatenate(rows["tf"].to_numpy()).astype(float)
-        each = lambda c: np.repeat(rows[c].to_numpy(float), size)
+    def __init__(self, rows: pa.Table | pd.DataFrame, dl: np.ndarray, boost: float):
+        rows = (pa.Table.from_pandas(rows) if isinstance(rows, pd.DataFrame) else rows).combine_chunks()
+        lists = {c: rows.column(c).chunk(0) for c in ("docs", "tf", "qs", "qtfs")}
+        flat = lambda c, kind: lists[c].flatten().to_numpy(zero_copy_only=False).astype(kind)
+        size = lists["docs"].value_lengths().to_numpy(zero_copy_only=False)
+        start = np.append(0, np.cumsum(size))
+        self.docs = flat("docs", np.int64)
+        tf = flat("tf", float)
+        each = lambda c: np.repeat(rows.column(c).to_numpy().astype(float), size)
         self.impact = each("idf") * (tf / (tf + K1 * ((1 - B) + B * dl[self.docs] / each("avgdl"))))
         block = self.docs // BLOCK
         new = np.ones(len(block), bool)
@@ -238,11 +260,17 @@ class _Field:
         self.length = np.diff(np.append(self.begin, len(block)))
         self.block, self.most = block[self.begin], np.maximum.reduceat(self.impact, self.begin)
         run = np.searchsorted(self.begin, start)
-        pairs = rows["qs"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(rows)), pairs)
-        self.q, self.qtf = np.concatenate(rows["qs"].to_numpy()).astype(np.int64), np.concatenate(rows["qtfs"].to_numpy()).astype(float)
+        row = np.repeat(np.arange(len(size)), lists["qs"].value_lengths().to_numpy(zero_copy_only=False))
+        self.q, self.qtf = flat("qs", np.int64), flat("qtfs", float)
         self.run, self.runs, self.products, self.boost = run[row], np.diff(run)[row], size[row], boost
 
+    def of(self, first: int, last: int) -> _Field:
+        """The same for the queries from ``first`` up to ``last``, numbered from 0."""
+        own, out = (self.q >= first) & (self.q < last), copy(self)
+        out.q = self.q[own] - first
+        out.qtf, out.run, out.runs, out.products = self.qtf[own], self.run[own], self.runs[own], self.products[own]
+        return out
+
     def _stretches(self, pairs: slice) -> tuple[np.ndarray, np.ndarray]:
         pair, n = _within(self.runs[pairs])
         return pair + pairs.start, self.run[pairs][pair] + n
@@ -269,8 +297,8 @@ class _Field:
         return out.reshape(len(wanted), docs) * self.boost, made
 
 
-def score_part(fields: list[_Field], keys: np.ndarray, best: _Best) -> None:
-    """The documents of a part against the queries of ``best``, block by block where that can matter."""
+def score_part(fields: list[_Field], keys: np.ndarray, best: _Best, live: np.ndarray | None = None) -> None:
+    """The documents of a part (those of ``live``) against the queries of ``best``, block by block where that can matter."""
     n, blocks = best.n, -(-len(keys) // BLOCK)
     bound = np.max([f.bounds(n, blocks) for f in fields], axis=0)
     least, left = best.least(), bound > 0
@@ -287,6 +315,8 @@ def score_part(fields: list[_Field], keys: np.ndarray, best: _Best) -> None:
             own, made = f.scores(wanted, len(keys))
             best.pairs += made
             total = own if total is None else np.maximum(total, own)
+        if live is not None:
+            total[:, ~live] = 0
         score = np.rint(total * 10**DIGITS) / 10**DIGITS
         least = np.maximum(best.least() - SLACK, 0)
         q, d = np.nonzero((score > 0) & (score >= least[:, None]))
@@ -312,13 +342,13 @@ class Asked:
         rows = query_terms(queries, analyze=analyze).observe(seen, F.approx_count_distinct("qid").alias("n"), F.approx_count_distinct("term").alias("words"))
         terms = workspace.written(rows, "terms")
         n, words = int(1.1 * (seen.get["n"] or 0)), int(1.1 * (seen.get["words"] or 0))
-        chunks = max(1, -(-n // QUERIES))
+        chunks = max(1, -(-n // (QUERIES * TOGETHER)))
         ids = terms.select("qid").distinct().withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
         numbered = ids.withColumn("q", (F.row_number().over(Window.partitionBy("chunk").orderBy("qid")) - 1).cast("int"))
-        rows = F.array_sort(F.collect_list(F.struct("q", F.col("qtf").cast("double").alias("qtf"))))
+        rows = F.array_sort(F.collect_list(F.struct("q", F.col("qtf").cast("int").alias("qtf"))))
         grouped = terms.join(numbered, "qid").groupBy("chunk", "term").agg(rows.alias("r"))
         grouped = workspace.written(grouped.select("chunk", "term", F.col("r.q").alias("qs"), F.col("r.qtf").alias("qtfs")), "asked")
-        return Asked(numbered, grouped, chunks, words * chunks <= BROADCAST_TERMS)
+        return Asked(numbered, grouped, chunks, words * max(1, -(-n // QUERIES)) <= BROADCAST_TERMS)
 
     def near(self, df: DataFrame) -> DataFrame:
         """A table of terms, broadcast if it is small."""
@@ -328,6 +358,26 @@ class Asked:
         return self.terms.select("term").distinct()
 
 
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of whole parts, which lie together while batches end anywhere, each with its chunk."""
+    held, last = [], None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        chunk, part = batch.column("chunk").to_numpy(), batch.column("part").dictionary_encode()
+        code = part.indices.to_numpy()
+        new = np.flatnonzero((chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+            name = int(chunk[a]), part.dictionary[int(code[a])].as_py()
+            if held and name != last:
+                yield last[0], pa.Table.from_batches(held)
+                held = []
+            last = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last[0], pa.Table.from_batches(held)
+
+
 def search_index(index_: Index, queries: DataFrame | Asked, k: int, fields: dict[str, float], analyze=T.tokens) -> DataFrame:
     """qid, key, score, rank: the best of the fields' boosted scores, of documents that have a term. Scores are rounded to 9 digits; ties by rising key."""
     asked = queries if isinstance(queries, Asked) else Asked.of(queries, analyze)
@@ -338,60 +388,56 @@ def search_index(index_: Index, queries: DataFrame | Asked, k: int, fields: dict
         found = found.where(F.col("shard").isin(parts)) if len(parts) <= NAMED else found
     found = found if index_.wanted is asked else found.join(near(asked.words()), "term", "left_semi")
     found = found.select("part", "field", "term", "docs", "tf")
-    df = found.groupBy("field", "term").agg(F.sum(F.size("docs")).alias("df")).join(F.broadcast(index_.stats), "field")  # a row a field
+    df = index_.frequencies(found).join(F.broadcast(index_.stats), "field")  # a row a field
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     known = df.select("field", "term", idf.alias("idf"), "avgdl").join(asked.terms, "term")
     rows = found.join(near(known), ["field", "term"]).select("chunk", "part", "field", F.lit(1).alias("kind"), "docs", "tf", "idf", "avgdl", "qs", "qtfs")
     key_type = index_.rows.schema["keys"].dataType.simpleString()
     null = lambda kind: F.lit(None).cast(kind)
-    papers = index_.documents.where(F.col("field").isin(list(fields))).select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "part", "field", F.lit(0).alias("kind"), "keys", "dl")
+    papers = index_.documents.where(F.col("field").isin(list(fields)))
+    parts = -(-papers.select("field").count() // len(fields))
+    # the names of a part's documents go with one of its fields
+    first = F.when(F.col("field") == next(iter(fields)), F.col("keys")).alias("keys")
+    papers = papers.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "part", "field", F.lit(0).alias("kind"), first, "dl", "live")
     rows = papers.unionByName(rows, allowMissingColumns=True)
-    slices = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // chunks))
+    slices = max(1, -(-max(2 * rows.sparkSession.sparkContext.defaultParallelism, parts * chunks // PARTS) // chunks))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("part"), F.lit(slices)).cast("int"))
-    rows = rows.repartition(min(20_000, chunks * slices), "chunk", "slice").sortWithinPartitions("chunk", "part", "field", "kind")
+    rows = rows.repartition(min(20_000, chunks * slices), *(["chunk", "slice"] if chunks > 1 else ["part"])).sortWithinPartitions("chunk", "part", "field", "kind")
     kind = key_type.removeprefix("array<").removesuffix(">")
     boosts = dict(fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, best, held = None, None, []
-
-        def out() -> Iterator[pd.DataFrame]:
-            if best is not None and len(best.q):
-                yield pd.DataFrame({"chunk": now[0], "q": best.q, "key": best.key, "score": best.score})
-
-        def score(part: pd.DataFrame) -> None:
-            made, keys = [], None
-            for f, rows_ in part.groupby("field", sort=False):
-                head, own = rows_.iloc[0], rows_.iloc[1:]
-                if head["kind"] == 0 and len(own):
-                    keys = np.asarray(head["keys"])
-                    made.append(_Field(own, np.asarray(head["dl"], float), boosts[f]))
-            if made:
-                score_part(made, keys, best)
-
-        def gather() -> Iterator[tuple[tuple, pd.DataFrame]]:
-            nonlocal held
-            last = None
-            for x in batches:
-                for name, g in x.groupby(["chunk", "part"], sort=False):
-                    if name != last and held:
-                        yield last, pd.concat(held)
-                        held = []
-                    last = name
-                    held.append(g)
-            if held:
-                yield last, pd.concat(held)
-
-        for name, part in gather():
-            if now is None or name[0] != now[0]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bests, names = None, {}, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for n, best in bests.items():
+                for at in range(0, len(best.q), 100_000):
+                    q, key, score = (x[at : at + 100_000] for x in (best.q, best.key, best.score))
+                    yield pa.record_batch({"chunk": pa.array(np.full(len(q), now, np.int32)), "q": pa.array((q + n * QUERIES).astype(np.int32)), "key": pa.array(key, names), "score": pa.array(score)})
+
+        for chunk, part in _whole_parts(batches):
+            if chunk != now:
                 yield from out()
-                best = _Best(0, k)
-            now, own = name, part["qs"].dropna()
-            best.n = max([best.n, *(int(q[-1]) + 1 for q in own)])  # numbers rise in each row
-            score(part)
+                now, bests = chunk, {}
+            made, keys, live = [], None, None
+            for f, boost in boosts.items():
+                own = part.filter(pc.equal(part.column("field"), f))
+                if own.num_rows and own.column("kind")[0].as_py() == 0:
+                    if keys is None:
+                        names, keys = own.column("keys").type.value_type, own.column("keys")[0].values.to_numpy(zero_copy_only=False)
+                        live = own.column("live")[0]
+                    if own.num_rows > 1:
+                        made.append(_Field(own.slice(1), own.column("dl")[0].values.to_numpy().astype(float), boost))
+            live = live.values.to_numpy(zero_copy_only=False).astype(bool) if live is not None and live.is_valid else None
+            most = max((int(f.q.max()) + 1 for f in made), default=0)
+            for n in range(-(-most // QUERIES)):
+                some = [f.of(n * QUERIES, (n + 1) * QUERIES) for f in made]
+                best = bests.setdefault(n, _Best(0, k))
+                best.n = max(best.n, min(QUERIES, most - n * QUERIES))
+                score_part(some, keys, best, live)
         yield from out()
 
-    found = rows.mapInPandas(run, f"chunk int, q int, key {kind}, score double").join(numbered, ["chunk", "q"])
+    found = rows.mapInArrow(run, f"chunk int, q int, key {kind}, score double").join(numbered, ["chunk", "q"])
     return top(found.select("qid", F.col("key").alias(index_.key), "score"), k, index_.key)
 
 

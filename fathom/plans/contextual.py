@@ -33,8 +33,12 @@ def multi_document_dataset(pages: DataFrame, embedder: Embedder | None = None) -
 
 
 def contextual_chunks(dataset: DataFrame, generator: Generator | None = None) -> DataFrame:
-    """One row a chunk of the entries, with its context: by a model, or from its pages alone."""
-    rows = dataset.select("doc_id", "original_uuid", F.explode("chunks").alias("c")).select("doc_id", "original_uuid", "c.*")
+    """One row a chunk of the entries, with its context."""
+    return with_contexts(dataset.select("doc_id", "original_uuid", F.explode("chunks").alias("c")).select("doc_id", "original_uuid", "c.*"), generator)
+
+
+def with_contexts(rows: DataFrame, generator: Generator | None = None) -> DataFrame:
+    """Chunks with their contexts: by a model, or from their pages alone."""
     out = chunking.legacy_context(rows) if generator is None else chunking.summarised_context(rows, generator.chunk_summary(F.col("content")))
     return out.withColumn("key", F.format_string("%s#%010d", F.col("doc_id").cast("string"), F.col("original_index")))
 
@@ -55,28 +59,36 @@ class ContextualStore:
 
     @property
     def index(self) -> lexical.Index:
-        return lexical.Index(self.collection.read("cluster_postings"), "key")
+        return self.collection.index("cluster_postings", "key")
 
     # --- documents ---
 
     def insert_dataset(self, dataset: DataFrame, about: DataFrame | None = None) -> DataFrame:
         """Entries of documents come in and replace those of the same doc_id. ``about``: doc_id, filename, custom_metadata. Returns doc_id, chunks."""
         dataset = workspace.written(dataset.withColumn("doc_id", F.col("doc_id").cast("string")).where("doc_id is not null"), "entries")
-        rows = contextual_chunks(dataset, self.generator)
-        rows = workspace.written(rows.withColumn("embedding", self.embedder.embed(F.col("text_to_embed"))), "contextual")
+        entries = dataset.select("doc_id", "pdf_path", F.size("chunks").cast("long").alias("chunks"))
+        return self._insert(self._embedded(contextual_chunks(dataset, self.generator)), entries, about)
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        return workspace.written(rows.withColumn("embedding", self.embedder.embed(F.col("text_to_embed"))), "contextual")
+
+    def _insert(self, rows: DataFrame, entries: DataFrame, about: DataFrame | None) -> DataFrame:
         made = lexical.index(rows, "key", list(FIELDS), self.analyze, owner="doc_id")
-        registry = dataset.select("doc_id", "pdf_path", F.size("chunks").cast("long").alias("chunks"))
-        own = about if about is not None else dataset.select("doc_id", F.element_at(F.split("pdf_path", "/"), -1).alias("filename"), F.lit(None).cast("map<string,string>").alias("custom_metadata"))
-        registry = registry.join(own, "doc_id", "left").withColumn("inserted_at", F.current_timestamp())
-        self.collection.replace(dataset, clusters=rows, cluster_postings=made.rows.withColumn("shard", lexical.shard()), registry=registry)
+        own = about if about is not None else entries.select("doc_id", F.element_at(F.split("pdf_path", "/"), -1).alias("filename"), F.lit(None).cast("map<string,string>").alias("custom_metadata"))
+        registry = entries.join(own, "doc_id", "left").withColumn("inserted_at", F.current_timestamp())
+        self.collection.replace(entries, clusters=rows, cluster_postings=made.rows.withColumn("shard", lexical.shard()), registry=registry)
         return registry.select("doc_id", "chunks")
 
     def insert_pages(self, pages: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
         """``pages``: doc_id, filename, page, text. Returns doc_id, chunks of the documents that have any."""
-        dataset, _ = multi_document_dataset(pages, self.embedder)
+        good = pages.where("error is null") if "error" in pages.columns else pages
+        chunks = cluster_chunks(good, self.embedder).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
+        rows = self._embedded(with_contexts(chunks.withColumn("original_uuid", F.col("doc_id")), self.generator))
+        paths = good.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("filename").alias("pdf_path"))
+        entries = rows.groupBy("doc_id").agg(F.count("*").alias("chunks")).join(paths, "doc_id", "left").select("doc_id", "pdf_path", "chunks")
         meta = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         about = pages.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("filename").alias("filename")).withColumn("custom_metadata", meta)
-        return self.insert_dataset(dataset, about)
+        return self._insert(rows, workspace.written(entries, "entries"), about)
 
     # --- search ---
 

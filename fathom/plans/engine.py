@@ -166,7 +166,7 @@ class Engine:
 
     def index(self) -> lexical.Index:
         """The kept index of all chunks."""
-        return lexical.Index(self.collection.read("postings"), "chunk_id")
+        return self.collection.index("postings", "chunk_id")
 
     def search_sparse(self, asked: DataFrame, k: int, fields: dict[str, float] | None = None) -> DataFrame:
         return lexical.search_index(self.index(), asked, k, fields or FIELDS, ANALYZERS[self.config.analyzer])

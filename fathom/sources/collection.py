@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import lexical
+from fathom.sources import workspace
 
 PARENTS = "parent_id string, doc_id string, filename string, content string, page_start int, page_end int, metadata map<string,string>"
 CHILDREN = "chunk_id string, parent_id string, doc_id string, filename string, content string, page_number int, contextualized_content string, embedding array<double>"
@@ -164,13 +165,14 @@ class Collection:
         """The rows that count; an empty table before anything was written."""
         return self._live(table, self._newest()[1])
 
+    def _rows(self, table: str, segments: list[dict]) -> DataFrame:
+        """All rows of the segments, and which segment each is of."""
+        having, schema = [f"{self.path}/{s['id']}/{table}" for s in segments if table in s["tables"]], f"{TABLES[table]}, segment string"
+        return self.spark.read.schema(schema).parquet(*having) if having else self.spark.createDataFrame([], schema)
+
     def _live(self, table: str, segments: list[dict], count: int | None = None) -> DataFrame:
         """Of the segments from ``count`` on (of all if None), as the later ones leave them."""
-        having = [s for s in segments[count or 0 :] if table in s["tables"]]
-        schema = TABLES[table]
-        if not having:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, segment string").parquet(*[f"{self.path}/{s['id']}/{table}" for s in having])
+        rows = self._rows(table, segments[count or 0 :])
         gone = self._gone(segments)
         if gone is None:
             return rows.drop("segment")
@@ -178,17 +180,32 @@ class Collection:
         if table not in PACKED:
             return rows.join(gone, (rows["doc_id"] == gone["doc_id"]) & (rows["number"] < gone["before"]), "left_anti").drop("segment", "number")
         # which places of a part still count
-        places = rows.where((F.col("shard") == lexical.DOCUMENTS) & F.col("term").isNull()).select("part", "number", F.posexplode("owners").alias("place", "doc_id")).distinct()
-        dead = places.join(gone, "doc_id").where("number < before").groupBy("part").agg(F.collect_set("place").alias("dead"))
-        size = F.max("place") + 1
-        live = places.groupBy("part").agg(size.alias("n")).join(dead, "part").select("part", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: ~F.array_contains("dead", p)).alias("live"))
-        rows = rows.join(live, "part", "left")
+        rows = self._places(rows, gone).with_live(rows.drop("number"))
         kept = F.filter(F.arrays_zip("docs", "tf"), lambda x: F.get(F.col("live"), x.docs))
         changed = F.col("live").isNotNull() & F.col("term").isNotNull()
         rows = rows.withColumn("kept", F.when(changed, kept))
         rows = rows.withColumns({"docs": F.when(changed, F.col("kept.docs")).otherwise(F.col("docs")), "tf": F.when(changed, F.col("kept.tf")).otherwise(F.col("tf"))})
         lengths = F.when(F.col("live").isNotNull() & F.col("term").isNull(), F.zip_with("dl", "live", lambda n, on: F.when(on, n).otherwise(F.lit(0)))).otherwise(F.col("dl"))
-        return rows.withColumn("dl", lengths).where(F.col("term").isNull() | (F.size("docs") > 0)).drop("segment", "number", "live", "kept")
+        return rows.withColumn("dl", lengths).where(F.col("term").isNull() | (F.size("docs") > 0)).drop("segment", "live", "kept")
+
+    @staticmethod
+    def _places(rows: DataFrame, gone: DataFrame) -> lexical.Index:
+        """The index of ``rows`` (with the number of their segment), and which places of its parts still count; names of documents are not in it."""
+        own = rows.where((F.col("shard") == lexical.DOCUMENTS) & F.col("term").isNull()).select("part", "number", "owners").dropDuplicates(["part"])
+        places = own.select("part", "number", F.posexplode("owners").alias("place", "doc_id")).join(gone, "doc_id", "left")
+        on = F.coalesce(F.col("number") >= F.col("before"), F.lit(True))
+        live = places.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", on.alias("on")))).alias("p")).select("part", F.col("p.on").alias("live"))
+        live = workspace.written(live.where(F.exists("live", lambda x: ~x)), "live")
+        return lexical.Index(rows.drop("segment", "number"), "", live=F.broadcast(live) if live.count() <= lexical.BROADCAST_PARTS else live)
+
+    def index(self, table: str, key: str) -> lexical.Index:
+        """A packed table as an index. Its rows stay as they were written; what does not count any more is left out of what searches take."""
+        segments = self._newest()[1]
+        gone = self._gone(segments)
+        if gone is None or not any(table in s["tables"] for s in segments):
+            return lexical.Index(self._live(table, segments), key)
+        found = self._places(self._rows(table, segments).withColumn("number", self._number(segments)), gone)
+        return lexical.Index(found.rows, key, live=found.live)
 
     def registry(self) -> DataFrame:
         """The registry, or an empty one where it cannot be read."""
