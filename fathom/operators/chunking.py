@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from fathom.functions import text as T
 from fathom.sources.workspace import spread
 
+#: Letters of a parent that its children's contexts begin with.
+HEAD = 200
+
 
 def parents(pages: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     """``pages``: doc_id, filename, page, text. Windows never span pages."""
@@ -18,16 +21,19 @@ def parents(pages: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame
     )
 
 
-def children(parents_: DataFrame, size: int = 200, overlap: int = 30) -> DataFrame:
-    cut = parents_.select("parent_id", "doc_id", "filename", "page_start", F.posexplode(T.windows(T.words("content"), size, overlap)).alias("c_idx", "content"))
-    return cut.select(F.concat_ws("_", "parent_id", F.lit("c"), "c_idx").alias("chunk_id"), "parent_id", "doc_id", "filename", "content", F.col("page_start").alias("page_number"))
+def children(parents_: DataFrame, size: int = 200, overlap: int = 30, head: bool = False) -> DataFrame:
+    """With ``head``, the beginning of the parent goes along (see ``contextualise``)."""
+    own = [F.substring("content", 1, HEAD).alias("head")] if head else []
+    cut = parents_.select("parent_id", "doc_id", "filename", "page_start", *own, F.posexplode(T.windows(T.words("content"), size, overlap)).alias("c_idx", "content"))
+    return cut.select(F.concat_ws("_", "parent_id", F.lit("c"), "c_idx").alias("chunk_id"), "parent_id", "doc_id", "filename", "content", F.col("page_start").alias("page_number"), *(["head"] if head else []))
 
 
-def contextualise(children_: DataFrame, parents_: DataFrame) -> DataFrame:
-    """Adds ``contextualized_content``: file, page and the beginning of the parent; orphans keep their content."""
-    head = parents_.select("parent_id", F.substring("content", 1, 200).alias("head"))
+def contextualise(children_: DataFrame, parents_: DataFrame | None = None) -> DataFrame:
+    """Adds ``contextualized_content``: file, page and the beginning of the parent (without ``parents_`` the column ``head``); orphans keep their content."""
+    if parents_ is not None:
+        children_ = children_.join(parents_.select("parent_id", F.substring("content", 1, HEAD).alias("head")), "parent_id", "left")
     made = F.concat(F.lit("Document: "), "filename", F.lit(" (Page "), F.col("page_number").cast("string"), F.lit(")\nSection: "), "head", F.lit("...\n\n"), "content")
-    return children_.join(head, "parent_id", "left").withColumn("contextualized_content", F.coalesce(made, "content")).drop("head")
+    return children_.withColumn("contextualized_content", F.coalesce(made, "content")).drop("head")
 
 
 def split_by_size(segments: DataFrame, least_tokens: float = 50.0, key: str = "text") -> DataFrame:

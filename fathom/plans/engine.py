@@ -78,10 +78,14 @@ class Engine:
         given = workspace.written(given, "pages")
         kept = given.where(T.normalise("text") != "")
         parents = workspace.written(chunking.parents(kept, c.parent_size, c.parent_overlap), "parents")
-        children = chunking.contextualise(chunking.children(parents, c.child_size, c.child_overlap), parents)
+        children = chunking.contextualise(chunking.children(parents, c.child_size, c.child_overlap, head=True)).drop("head")
         children = children.withColumn("contextualized_content", F.coalesce(F.nullif("contextualized_content", F.lit("")), "content"))
-        children = workspace.written(self._with_vectors(children, "contextualized_content", "embedding"), "children")
-        registry = children.groupBy("doc_id").agg(F.first("filename").alias("filename"), F.count("*").alias("chunks"))
+        children = self._with_vectors(children, "contextualized_content", "embedding")
+        if self.config.kept_index:  # which reads them more than once
+            children = workspace.written(children, "children")
+        # rows of a parent are where it is: few come to the second count
+        registry = parents.select("doc_id", "filename", F.size(T.windows(T.words("content"), c.child_size, c.child_overlap)).alias("n"))
+        registry = registry.groupBy("doc_id").agg(F.first("filename").alias("filename"), F.sum("n").alias("chunks"))
         meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         registry = registry.select("doc_id", "filename", F.col("filename").alias("pdf_path"), "chunks", F.current_timestamp().alias("inserted_at"), meta.alias("custom_metadata"))
         parents = parents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
@@ -89,8 +93,9 @@ class Engine:
             if not self.vectors.exists():
                 self.vectors.fit(children, "chunk_id")
             self.vectors.add(children, "chunk_id")
-        self.collection.replace(given, parents=parents, children=children, postings=self._postings(children), registry=registry)
-        n_p, n_c = parents.count(), children.count()
+        registry = workspace.written(registry, "registry")
+        self.collection.replace(given, parents=parents, children=children, postings=lambda done: self._postings(done("children")), registry=registry)
+        n_p, n_c = parents.count(), registry.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0]
         if not n_p:
             return {"status": "empty", "parents": 0, "children": 0}
         who = kept.select("doc_id", "filename").distinct().orderBy("doc_id", "filename").limit(2).collect()

@@ -424,3 +424,30 @@ def test_query_equals_sql(spark, name):
     sql = catalog.ORACLES[name]
     want = sorted(tuple(map(shown, r)) for r in con.execute(f"select {', '.join(cols)} from ({sql})").fetchall())
     assert got == want
+
+
+def test_large_tables_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A small table becomes one file; the rows of a large one are not moved, and a table can be made of one written before."""
+    rows = spark.range(30).selectExpr("cast(id as string) as parent_id", "cast(id as string) as doc_id", "'f' as filename", "'x' as content", "1 as page_start", "1 as page_end", "cast(null as map<string,string>) as metadata").repartition(3)
+    registry = lambda done: done("parents").selectExpr("doc_id", "filename", "filename as pdf_path", "1L as chunks", "current_timestamp() as inserted_at", "metadata as custom_metadata")
+    for small, files in ((32 << 20, 1), (-1, 3)):
+        monkeypatch.setattr(collection, "SMALL", small)
+        c = Collection(spark, "file://" + str(tmp_path), f"c{files}")
+        c.replace(rows.select("doc_id"), parents=rows, registry=registry)
+        assert len(c.read("parents").inputFiles()) == files and c.read("parents").count() == c.read("registry").count() == 30
+
+
+def test_places_that_do_not_count_any_more(spark, tmp_path):
+    """A store of which documents came in again: terms, statistics and hits are those of its chunks; postings are joined with the words first."""
+    store = contextual.ContextualStore(spark, "file://" + str(tmp_path), "again")
+    page = lambda n, w: (f"d{n}", f"{n}.pdf", 1, f"The harbour number {n} is {w}. Old {w} lanterns burn at harbour {n % 3}.")
+    store.insert_pages(spark.createDataFrame([page(n, "red") for n in range(12)], PAGES))
+    store.insert_pages(spark.createDataFrame([page(n, "green") for n in range(0, 12, 4)], PAGES))
+    index, fresh = store.collection.index("cluster_postings", "key"), lexical.index(store.chunks, "key", list(contextual.FIELDS))
+    for what in ("terms", "stats"):
+        assert sorted(map(tuple, getattr(index, what).collect())) == sorted(map(tuple, getattr(fresh, what).collect()))
+    asked = spark.createDataFrame([(0, "red lanterns"), (1, "green harbour 4")], "qid long, query string")
+    got = store.search_bm25(asked, 9)
+    want = lexical.search(store.chunks, asked, 9, "key", contextual.FIELDS).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert any(r.qid == 1 for r in got.collect())
