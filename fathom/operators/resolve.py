@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.sources.workspace import dealt
+from fathom.sources.workspace import dealt, written
+
+#: Hits that may be broadcast (about 100 bytes each).
+BROADCAST_HITS = 200_000
 
 
 def resolve_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -13,11 +16,14 @@ def resolve_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) ->
 
     A parent without pages is on page 1, one without metadata has none.
     """
-    first = hits.join(children.select("chunk_id", "parent_id"), "chunk_id").groupBy("qid", "parent_id").agg(F.min("rank").alias("first_rank"))
+    # few hits go to the chunks and parents, which stay where they are
+    hits = written(hits.select("qid", "chunk_id", "rank"), "hits")
+    near = F.broadcast if hits.count() <= BROADCAST_HITS else lambda x: x
+    first = near(hits).join(children.select("chunk_id", "parent_id"), "chunk_id").groupBy("qid", "parent_id").agg(F.min("rank").alias("first_rank"))
     parents = parents.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("page_start", "page_end") if c in parents.columns})
     if "metadata" in parents.columns:
         parents = parents.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
-    out = first.join(parents, "parent_id")
+    out = near(first).join(parents, "parent_id")
     order = Window.partitionBy("qid").orderBy("first_rank", "parent_id")
     return out.withColumn("parent_rank", F.row_number().over(order)).drop("first_rank")
 

@@ -388,3 +388,43 @@ def test_nearest_makes_few_products_twice_and_keeps_ties():
             assert np.array_equal(best.keys, names) and np.allclose(best.scores, want, rtol=1e-9, atol=0, equal_nan=True)
             if x is corpus:
                 assert best.made < 0.2 * near.size
+
+
+def test_queries_that_go_together_score_as_alone(spark, monkeypatch):
+    """Postings are sent once for several numbers of queries that are scored together, with the same result."""
+    for name, n in (("PART", 40), ("BLOCK", 4), ("QUERIES", 3), ("PRODUCTS", 50)):
+        monkeypatch.setattr(lexical, name, n)
+    rng, words = random.Random(4), [f"w{n}" for n in range(30)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = spark.createDataFrame([(n, text(12)) for n in range(150)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(n, text(3)) for n in range(20)], "qid long, query string")
+    found = {}
+    for together in (1, 8):
+        monkeypatch.setattr(lexical, "TOGETHER", together)
+        assert (lexical.Asked.of(asked).chunks == 1) == (together == 8)
+        found[together] = sorted(map(tuple, lexical.search(docs, asked, 5).collect()))
+    assert found[1] == found[8] and len(found[1]) > 90
+
+
+def test_memory_of_scoring_a_part():
+    """A whole part against a full set of queries, each document with each term."""
+    import tracemalloc
+
+    n, terms, rng = lexical.PART, 24, np.random.default_rng(1)
+    every, own = np.arange(n), np.arange(lexical.QUERIES)
+    rows = {"docs": [every] * terms, "tf": [rng.integers(1, 4, n) for _ in range(terms)], "idf": [0.5] * terms, "avgdl": [20.0] * terms, "qs": [own] * terms, "qtfs": [np.ones(len(own), int)] * terms}
+    field = lexical._Field(pd.DataFrame(rows), np.full(n, 20.0), 1.0)
+    tracemalloc.start()
+    lexical.score_part([field], every, lexical._Best(lexical.QUERIES, 20))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 220, peak
+
+
+def test_contexts_without_a_join(spark):
+    pages = spark.createDataFrame([("a", "f", 1, "one two three " * 500), ("b", None, 2, "four"), ("c", "f", 1, None)], "doc_id string, filename string, page int, text string")
+    parents = chunking.parents(pages)
+    alone = chunking.contextualise(chunking.children(parents, head=True)).drop("head")
+    want = chunking.contextualise(chunking.children(parents), parents).select(*alone.columns)
+    assert sorted(map(repr, alone.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
