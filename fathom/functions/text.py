@@ -47,8 +47,8 @@ def sentences(c) -> Column:
 
 def segments(c, longer_than: int = 10) -> Column:
     """Sentences of paragraphs, the short ones left out."""
-    paragraphs = F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n\n"), strip)
-    return F.filter(F.flatten(F.transform(paragraphs, sentences)), lambda s: F.length(s) > longer_than)
+    found = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\n\n|[.!?]+"), strip)
+    return F.filter(found, lambda s: (s != "") & (F.length(s) > longer_than))
 
 
 def token_estimate(c) -> Column:

@@ -39,7 +39,9 @@ def contextualise(children_: DataFrame, parents_: DataFrame | None = None) -> Da
 def split_by_size(segments: DataFrame, least_tokens: float = 50.0, key: str = "text") -> DataFrame:
     """Segments of at most ``least_tokens`` stay as they are, longer ones become blocks that just reach it."""
     block = -int(-least_tokens // 1.3)
-    pieces = F.when(T.token_estimate(key) <= least_tokens, F.array(key)).otherwise(T.windows(T.words(key), block, 0))
+    # n words have 2 n - 1 letters at least: those of short texts need no count
+    short = F.length(key) < 2 * int(least_tokens / 1.3) - 1
+    pieces = F.when(short | (T.token_estimate(key) <= least_tokens), F.array(key)).otherwise(T.windows(T.words(key), block, 0))
     rest = [c for c in segments.columns if c != key]
     return segments.select(*rest, F.posexplode(pieces).alias("piece", key))
 

@@ -175,22 +175,49 @@ def _hash(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
 
 
-def hashed_embedding(c, dim: int = 64) -> Column:
-    """Signed feature hashing of the terms, of unit length; the zero vector without terms."""
+def _hashed_counts(rows: pa.Array, dim: int) -> np.ndarray:
+    words = rows.flatten().dictionary_encode()  # each term is hashed once a batch
+    h = np.array([_hash(w) for w in words.dictionary.to_pylist()], np.int64)
+    flat = (h // 2 % dim * 2 + h % 2)[words.indices.to_numpy()]  # twice the dimension, and one more for a negative sign
+    row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
+    n = np.bincount(row * (2 * dim) + flat, minlength=len(rows) * 2 * dim).reshape(len(rows), 2 * dim)
+    return n[:, ::2] - n[:, 1::2]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    v /= np.where(norm > 0, norm, 1)[:, None]
+    return v
+
+
+def hashed_vectors(rows: pa.Array, dim: int = 64) -> np.ndarray:
+    """``hashed_embedding`` of texts whose terms are given, as a matrix."""
+    return _unit(_hashed_counts(rows, dim))
+
+
+def hashed_terms(*parts: tuple[Column, int], dim: int = 64) -> Column:
+    """``hashed_embedding`` of texts whose terms are those of the parts, each so many times."""
+    times = [n for _, n in parts]
+
+    def summed(*columns: pa.Array) -> pa.Array:
+        v = _unit(sum(n * _hashed_counts(rows, dim) for rows, n in zip(columns, times, strict=True)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
 
     @F.arrow_udf("array<double>")
     def vectors(rows: pa.Array) -> pa.Array:
-        words = rows.flatten().dictionary_encode()  # each term is hashed once a batch
-        h = np.array([_hash(w) for w in words.dictionary.to_pylist()], np.int64)
-        flat = (h // 2 % dim * 2 + h % 2)[words.indices.to_numpy()]  # twice the dimension, and one more for a negative sign
-        row = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
-        n = np.bincount(row * (2 * dim) + flat, minlength=len(rows) * 2 * dim).reshape(len(rows), 2 * dim)
-        v = (n[:, ::2] - n[:, 1::2]).astype(float)
-        norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-        v /= np.where(norm > 0, norm, 1)[:, None]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(v.ravel()))
-
-    return vectors(T.tokens(c))
+        return summed(rows)
+
+    @F.arrow_udf("array<double>")
+    def vectors_of_two(rows: pa.Array, more: pa.Array) -> pa.Array:
+        return summed(rows, more)
+
+    return (vectors if len(parts) == 1 else vectors_of_two)(*[c for c, _ in parts])
+
+
+def hashed_embedding(c, dim: int = 64) -> Column:
+    """Signed feature hashing of the terms, of unit length; the zero vector without terms."""
+    return hashed_terms((T.tokens(c), 1), dim=dim)
 
 
 def lsh_candidates(corpus: DataFrame, queries: DataFrame, k: int, candidates: int | None = None, bucket: float = 1.0, tables: int = 12) -> DataFrame:

@@ -1,6 +1,6 @@
 """BM25 over one or several fields, for tables of queries, with dynamic pruning.
 
-An index is packed. Each task that reads texts numbers its documents in parts of at most ``PART``; a row of the index
+An index is packed. Each task that reads texts numbers its documents in parts of at most ``PART`` (fewer, if texts are long); a row of the index
 is a term of a part with the numbers of its documents and how often each has it, or, without a term, the part's documents with their lengths.
 Nothing is shuffled for that. Terms are analysed once for each distinct term of a part.
 
@@ -36,14 +36,18 @@ BROADCAST_TERMS = 1_000_000
 SHARDS, DOCUMENTS = 1024, -1
 #: Up to so many parts a search names those that it needs.
 NAMED = 256
-#: Documents of a part and of a block, and queries that are scored together.
-PART, BLOCK, QUERIES = 4096, 64, 512
+#: Documents of a part and of a block, and queries that are scored together: a part has a row for each of its terms, most of which few documents have.
+PART, BLOCK, QUERIES = 16_384, 64, 128
+#: A part that has so many terms, repeated ones too, ends there.
+FULL = 2_000_000
 #: So many times ``QUERIES`` go with one copy of the postings, and parts that a task scores, about.
-TOGETHER, PARTS = 8, 32
+TOGETHER, PARTS = 32, 8
+#: Queries whose numbers with a term take about as much as a row of it.
+LISTED = 512
 #: Products of a query's term and a document that are made at a time.
 PRODUCTS = 1_000_000
 #: Parts whose places that still count may be broadcast (at most ``PART`` bytes each).
-BROADCAST_PARTS = 4096
+BROADCAST_PARTS = 1024
 #: Digits that scores are rounded to, and what a bound may be off by.
 DIGITS, SLACK = 9, 1e-8
 
@@ -137,8 +141,21 @@ def shard(term: str = "term") -> Column:
 TERMWISE: dict[Callable, tuple[Callable, Callable[[str], str | None]]] = {english_tokens: (T.tokens, english_term)}
 
 
-def _packed(lists: pa.Array, name: str, field_: str, term: Callable[[str], str | None] | None) -> tuple[pa.Table, np.ndarray]:
-    """The rows of the terms of a part, and the documents' lengths; ``lists``: the terms of each document."""
+#: Analyses by which texts with white space between them have the terms of each, one after the other.
+BY_TERMS = {T.tokens, english_tokens}
+
+
+@dataclass
+class _Terms:
+    """The terms of texts: ``words``, and for each place in a text the number of its word and that of the text."""
+
+    words: pa.Array
+    at: np.ndarray
+    doc: np.ndarray
+
+
+def _terms(lists: pa.Array, term: Callable[[str], str | None] | None) -> _Terms:
+    """``lists``: the terms of each document."""
     lists = lists.fill_null([]) if lists.null_count else lists
     codes = lists.flatten().dictionary_encode()
     words, at = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -150,44 +167,92 @@ def _packed(lists: pa.Array, name: str, field_: str, term: Callable[[str], str |
         place = np.array([-1 if w is None else known[w] for w in became], np.int64)
         at = place[at]
         at, doc, words = at[at >= 0], doc[at >= 0], pa.array(list(known), pa.string())
-    n = len(lists)
+    return _Terms(words.cast(pa.string()), at, doc)
+
+
+def _together(parts: list[_Terms]) -> _Terms:
+    """The terms of texts that are in several parts."""
+    if len(parts) == 1:
+        return parts[0]
+    words = pa.concat_arrays([p.words for p in parts]).dictionary_encode()
+    number, first = words.indices.to_numpy().astype(np.int64), np.cumsum([0] + [len(p.words) for p in parts])
+    return _Terms(words.dictionary, np.concatenate([number[n:][p.at] for n, p in zip(first, parts, strict=False)]), np.concatenate([p.doc for p in parts]))
+
+
+def _packed(terms: _Terms, n: int, name: str, field_: str) -> tuple[pa.Table, np.ndarray]:
+    """The rows of the terms of a part of ``n`` documents, and the documents' lengths."""
+    words, at, doc = terms.words, terms.at, terms.doc
     pair, tf = np.unique(at * n + doc, return_counts=True)
     code, docs = np.divmod(pair, n) if n else (pair, pair)
     first = np.searchsorted(code, np.arange(len(words) + 1))
     ints = lambda x: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32()))
     same = lambda v: pa.array(np.full(len(words), v, object), pa.string())
-    return pa.table({"part": same(name), "field": same(field_), "term": words.cast(pa.string()), "docs": ints(docs), "tf": ints(tf)}), np.bincount(doc, minlength=n)
+    return pa.table({"part": same(name), "field": same(field_), "term": words, "docs": ints(docs), "tf": ints(tf)}), np.bincount(doc, minlength=n)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], lists: list[str], size: int, full: int) -> Iterator[pa.Table]:
+    """Rows in tables of ``size``, wherever batches end; those whose ``lists`` have ``full`` terms before end there, and the last one."""
+    held, n, terms = [], 0, 0
+    for batch in batches:
+        at, each = 0, np.zeros(batch.num_rows, np.int64)
+        for c in lists:
+            each += pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(each)
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = min(at + size - n, int(np.searchsorted(upto, before + full - terms)) + 1, batch.num_rows)
+            held.append(batch.slice(at, end - at))
+            n, terms, at = n + end - at, terms + int(upto[end - 1]) - before, end
+            if n == size or terms >= full:
+                yield pa.Table.from_batches(held)
+                held, n, terms = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def index(docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner: str | None = None, wanted: Asked | None = None) -> Index:
+def index(
+    docs: DataFrame, key: str, fields: list[str], analyze=T.tokens, owner: str | None = None, wanted: Asked | None = None, made_of: dict[str, list[str]] | None = None
+) -> Index:
     """The index of ``fields``, of all terms or of those of ``wanted``, kept by the executors.
 
     ``owner``: a column (string) that deletions name documents by, carried in ``owners``. Such an index is written once, and not kept besides.
+    ``made_of``: the columns that a field is put together from with white space between, for analyses ``BY_TERMS``; their texts are analysed once
+    for all fields. A row without the first of them has none.
     """
     cut, term = TERMWISE.get(analyze, (analyze, None))
     fields = list(dict.fromkeys(fields))
     kind, own = docs.schema[key].dataType.simpleString(), ([owner] if owner else [])
-    rows = workspace.spread(docs.select(key, *[c for c in own if c != key], *[c for c in fields if c != key]), key)
+    parts = {f: (made_of or {}).get(f, [f]) for f in fields}
+    texts: dict[tuple[str, str], str] = {}
+    for first, *more in parts.values():
+        for c in (first, *more):
+            texts.setdefault((c, first), f"w{len(texts)}")
+    analysed = [(cut(c) if c == first else F.when(F.col(first).isNotNull(), cut(c))).alias(w) for (c, first), w in texts.items()]
+    names = {f: [texts[c, of[0]] for c in of] for f, of in parts.items()}
+    columns = list(dict.fromkeys([key, *own, *[c for c, _ in texts]]))
+    rows = workspace.spread(docs.select(*columns), key)
     # numbers of documents must come out the same where a lost partition is made again
     rows = rows.sortWithinPartitions(key)
-    rows = rows.select(F.col(key).alias("key"), F.col(owner or key).cast("string").alias("owner"), *[cut(f).alias(f"w{n}") for n, f in enumerate(fields)])
+    rows = rows.select(F.col(key).alias("key"), F.col(owner or key).cast("string").alias("owner"), *analysed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, n = TaskContext.get().partitionId(), 0
         each = lru_cache(maxsize=200_000)(term) if term is not None else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                some, name, n = batch.slice(at, PART), f"{task}-{n}", n + 1
-                for k, f in enumerate(fields):
-                    made, dl = _packed(pa.concat_arrays([some.column(f"w{k}")]), name, f, each)
-                    none = lambda kind, made=made: pa.nulls(made.num_rows, kind)
-                    one = lambda x, kind: pa.array([x], pa.list_(kind))
-                    keys, owners = some.column("key"), some.column("owner")
-                    yield from pa.table({**{c: made[c] for c in ("part", "field", "term", "docs", "tf")}, "keys": none(pa.list_(keys.type)), "owners": none(pa.list_(pa.string())), "dl": none(pa.list_(pa.int32()))}).to_batches()
-                    as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.concat_arrays([x]))
-                    yield pa.record_batch({"part": pa.array([name]), "field": pa.array([f]), "term": pa.nulls(1, pa.string()), "docs": pa.nulls(1, pa.list_(pa.int32())), "tf": pa.nulls(1, pa.list_(pa.int32())), "keys": as_list(keys), "owners": as_list(owners), "dl": one(dl.tolist(), pa.int32())})
+        for some in _parts(batches, list(texts.values()), PART, FULL):
+            name, n = f"{task}-{n}", n + 1
+            # arrays of one chunk without an offset
+            whole = lambda c, some=some: pa.concat_arrays(some.column(c).chunks)
+            keys, owners = whole("key"), whole("owner")
+            terms = {w: _terms(whole(w), each) for w in texts.values()}
+            for f in fields:
+                made, dl = _packed(_together([terms[w] for w in names[f]]), some.num_rows, name, f)
+                none = lambda kind, made=made: pa.nulls(made.num_rows, kind)
+                one = lambda x, kind: pa.array([x], pa.list_(kind))
+                yield from pa.table({**{c: made[c] for c in ("part", "field", "term", "docs", "tf")}, "keys": none(pa.list_(keys.type)), "owners": none(pa.list_(pa.string())), "dl": none(pa.list_(pa.int32()))}).to_batches()
+                as_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.record_batch({"part": pa.array([name]), "field": pa.array([f]), "term": pa.nulls(1, pa.string()), "docs": pa.nulls(1, pa.list_(pa.int32())), "tf": pa.nulls(1, pa.list_(pa.int32())), "keys": as_list(keys), "owners": as_list(owners), "dl": one(dl.tolist(), pa.int32())})
 
     made = rows.mapInArrow(run, f"part string, field string, term string, docs array<int>, tf array<int>, keys array<{kind}>, owners array<string>, dl array<int>")
     if wanted is not None:  # rows of documents pass as well
@@ -348,7 +413,7 @@ class Asked:
         rows = F.array_sort(F.collect_list(F.struct("q", F.col("qtf").cast("int").alias("qtf"))))
         grouped = terms.join(numbered, "qid").groupBy("chunk", "term").agg(rows.alias("r"))
         grouped = workspace.written(grouped.select("chunk", "term", F.col("r.q").alias("qs"), F.col("r.qtf").alias("qtfs")), "asked")
-        return Asked(numbered, grouped, chunks, words * max(1, -(-n // QUERIES)) <= BROADCAST_TERMS)
+        return Asked(numbered, grouped, chunks, words * max(1, -(-n // LISTED)) <= BROADCAST_TERMS)
 
     def near(self, df: DataFrame) -> DataFrame:
         """A table of terms, broadcast if it is small."""

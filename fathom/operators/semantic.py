@@ -111,28 +111,41 @@ def clusters(segments: DataFrame, longest: int = 8) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx").mapInArrow(run, f"doc_id {kind}, seg_idx long, cluster long")
 
 
-def chunks(segments: DataFrame, longest: int = 8) -> DataFrame:
-    """``assemble`` of ``clusters``, of segments (doc_id, page, text, embedding) that lie in order, a document's together."""
+def chunks(segments: DataFrame, longest: int = 8, of_terms: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+    """``assemble`` of ``clusters``, of segments (doc_id, page, text, embedding) that lie in order, a document's together.
+
+    With ``of_terms`` segments have ``terms`` instead of vectors, which it makes of them within the task; chunks have the terms of their segments.
+    """
     from fathom.functions.text import token_estimate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sizes in _whole(batches):
-            found = list(segmentations(_vectors(rows), sizes, longest))
+            if of_terms is None:
+                vectors = _vectors(rows)
+            else:
+                terms = rows.column("terms").combine_chunks()
+                vectors = of_terms(terms)
+            found = list(segmentations(vectors, sizes, longest))
             first = np.cumsum(sizes) - sizes
             begin = np.concatenate([np.array(starts) + at for starts, at in zip(found, first, strict=True)])
             index = np.concatenate([np.arange(len(starts)) for starts in found])
             spans = list(zip(begin.tolist(), [*begin[1:].tolist(), rows.num_rows], strict=True))
             texts, pages = rows.column("text").to_pylist(), rows.column("page").to_pylist()
             own = [[p for p in pages[a:b] if p is not None] for a, b in spans]
-            yield from pa.table({
+            made = pa.table({
                 "doc_id": rows.column("doc_id").take(pa.array(begin)), "cluster": pa.array(index, pa.int64()), "content": [" ".join(texts[a:b]) for a, b in spans],
                 "page_start": pa.array([min(p, default=None) for p in own], pa.int32()), "page_end": pa.array([max(p, default=None) for p in own], pa.int32()),
-            }).to_batches()
+            })
+            if of_terms is not None:
+                start = terms.offsets.to_numpy()[[*begin.tolist(), rows.num_rows]]
+                made = made.append_column("terms", pa.ListArray.from_arrays(pa.array(start - start[0], pa.int32()), terms.flatten()))
+            yield from made.to_batches()
 
     kind = segments.schema["doc_id"].dataType.simpleString()
-    rows = segments.select("doc_id", F.col("page").cast("int").alias("page"), "text", "embedding")
-    made = rows.mapInArrow(run, f"doc_id {kind}, cluster long, content string, page_start int, page_end int")
-    return made.select(F.concat(F.lit("chunk_"), "cluster").alias("chunk_id"), "doc_id", F.col("cluster").alias("original_index"), "content", "page_start", "page_end", token_estimate("content").alias("token_count"))
+    terms = [] if of_terms is None else ["terms"]
+    rows = segments.select("doc_id", F.col("page").cast("int").alias("page"), "text", *(terms or ["embedding"]))
+    made = rows.mapInArrow(run, f"doc_id {kind}, cluster long, content string, page_start int, page_end int" + ", terms array<string>" * len(terms))
+    return made.select(F.concat(F.lit("chunk_"), "cluster").alias("chunk_id"), "doc_id", F.col("cluster").alias("original_index"), "content", "page_start", "page_end", token_estimate("content").alias("token_count"), *terms)
 
 
 def assemble(segments: DataFrame, members: DataFrame) -> DataFrame:

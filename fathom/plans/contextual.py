@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,19 @@ LARGEST, SMALLEST = 400, 50
 FIELDS = {"content": 1.0, "contextualized_content": 1.0}
 
 
-def cluster_chunks(pages: DataFrame, embedder: Embedder | None = None, longest: int = LARGEST // SMALLEST, least: float = SMALLEST) -> DataFrame:
-    """``pages``: doc_id, page, text. Sentences, long ones cut, gathered to chunks: doc_id, original_index, chunk_id, content, pages, token_count."""
+def cluster_chunks(pages: DataFrame, embedder: Embedder | None = None, longest: int = LARGEST // SMALLEST, least: float = SMALLEST, terms: bool = False) -> DataFrame:
+    """``pages``: doc_id, page, text. Sentences, long ones cut, gathered to chunks: doc_id, original_index, chunk_id, content, pages, token_count.
+
+    With ``terms`` and an embedder that takes them, the terms of the content besides.
+    """
+    embedder = embedder or HashEmbedder()
     pieces = chunking.split_by_size(tables.page_sentences(pages), least)
     # the one shuffle; vectors are made behind it, and go no further than the clusters
     pieces = pieces.repartition("doc_id").sortWithinPartitions("doc_id", "page", "at", "piece")
-    return semantic.chunks(pieces.withColumn("embedding", (embedder or HashEmbedder()).embed(F.col("text"))), longest)
+    if not hasattr(embedder, "of_terms"):
+        return semantic.chunks(pieces.withColumn("embedding", embedder.embed(F.col("text"))), longest)
+    found = semantic.chunks(pieces.withColumn("terms", T.tokens("text")), longest, embedder.of_terms)
+    return found if terms else found.drop("terms")
 
 
 def multi_document_dataset(pages: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,28 +76,42 @@ class ContextualStore:
         """Entries of documents come in and replace those of the same doc_id. ``about``: doc_id, filename, custom_metadata. Returns doc_id, chunks."""
         dataset = workspace.written(dataset.withColumn("doc_id", F.col("doc_id").cast("string")).where("doc_id is not null"), "entries")
         entries = dataset.select("doc_id", "pdf_path", F.size("chunks").cast("long").alias("chunks"))
-        return self._insert(self._embedded(contextual_chunks(dataset, self.generator)), entries, about)
+        return self._insert(self._embedded(contextual_chunks(dataset, self.generator)), lambda rows: entries, about)
 
     def _embedded(self, rows: DataFrame) -> DataFrame:
-        return workspace.written(rows.withColumn("embedding", self.embedder.embed(F.col("text_to_embed"))), "contextual")
+        if "terms" in rows.columns and self.generator is None:  # the text has the content twice, and the page
+            return rows.withColumn("embedding", self.embedder.embed_terms((F.col("terms"), 2), (T.tokens("page_info"), 1))).drop("terms")
+        return rows.withColumn("embedding", self.embedder.embed(F.col("text_to_embed"))).drop("terms")
+
+    def _insert(self, rows: DataFrame, entries: Callable[[DataFrame], DataFrame], about: DataFrame | None, ordered: tuple[str, ...] = ()) -> DataFrame:
+        """``entries`` makes doc_id, pdf_path and chunks of the rows once these are in the collection, where they are written once."""
+        found: list[DataFrame] = []
+
+        def postings(done: Callable[[str], DataFrame]) -> DataFrame:
+            # without a summary the context is the content and the page, whose terms are known then
+            made_of = {"contextualized_content": ["content", "page_info"]} if self.generator is None and self.analyze in lexical.BY_TERMS else None
+            made = lexical.index(done("clusters"), "key", list(FIELDS), self.analyze, owner="doc_id", made_of=made_of)
+            return made.rows.withColumn("shard", lexical.shard())
+
+        def registry(done: Callable[[str], DataFrame]) -> DataFrame:
+            own = workspace.written(entries(done("clusters")), "entries")
+            found.append(own)
+            named = about if about is not None else own.select("doc_id", F.element_at(F.split("pdf_path", "/"), -1).alias("filename"), F.lit(None).cast("map<string,string>").alias("custom_metadata"))
+            return own.join(named, "doc_id", "left").withColumn("inserted_at", F.current_timestamp())
 
-    def _insert(self, rows: DataFrame, entries: DataFrame, about: DataFrame | None) -> DataFrame:
-        made = lexical.index(rows, "key", list(FIELDS), self.analyze, owner="doc_id")
-        own = about if about is not None else entries.select("doc_id", F.element_at(F.split("pdf_path", "/"), -1).alias("filename"), F.lit(None).cast("map<string,string>").alias("custom_metadata"))
-        registry = entries.join(own, "doc_id", "left").withColumn("inserted_at", F.current_timestamp())
-        self.collection.replace(entries, clusters=rows, cluster_postings=made.rows.withColumn("shard", lexical.shard()), registry=registry)
-        return registry.select("doc_id", "chunks")
+        self.collection.replace(lambda done: found[0], ordered, clusters=rows, cluster_postings=postings, registry=registry)
+        return found[0].select("doc_id", "chunks")
 
     def insert_pages(self, pages: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
         """``pages``: doc_id, filename, page, text. Returns doc_id, chunks of the documents that have any."""
         good = pages.where("error is null") if "error" in pages.columns else pages
-        chunks = cluster_chunks(good, self.embedder).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
+        chunks = cluster_chunks(good, self.embedder, terms=True).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
         rows = self._embedded(with_contexts(chunks.withColumn("original_uuid", F.col("doc_id")), self.generator))
         paths = good.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("filename").alias("pdf_path"))
-        entries = rows.groupBy("doc_id").agg(F.count("*").alias("chunks")).join(paths, "doc_id", "left").select("doc_id", "pdf_path", "chunks")
+        entries = lambda rows: rows.groupBy("doc_id").agg(F.count("*").alias("chunks")).join(paths, "doc_id", "left").select("doc_id", "pdf_path", "chunks")
         meta = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.lit(None).cast("map<string,string>")
         about = pages.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("filename").alias("filename")).withColumn("custom_metadata", meta)
-        return self._insert(rows, workspace.written(entries, "entries"), about)
+        return self._insert(rows, entries, about, ordered=("clusters",))
 
     # --- search ---
 

@@ -9,19 +9,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
-from fathom.operators.dense import hashed_embedding
+from fathom.operators.dense import hashed_embedding, hashed_terms, hashed_vectors
 
 #: Words of query and text together that a reranker is given; models cut at as many tokens.
 RERANK_WORDS = 512
 
 
 class Embedder(Protocol):
-    """One with an attribute ``version`` (a name for files) has its vectors kept by content, for all collections under one root."""
+    """One with an attribute ``version`` (a name for files) has its vectors kept by content, for all collections under one root.
+
+    One that depends on the terms of a text alone may have ``of_terms`` and ``embed_terms`` besides, as ``HashEmbedder``; texts that were cut
+    into terms are not cut again for it.
+    """
 
     def embed(self, text: Column) -> Column: ...
 
@@ -92,6 +98,14 @@ class HashEmbedder:
     def embed(self, text: Column) -> Column:
         return hashed_embedding(text, self.dim)
 
+    def of_terms(self, terms: pa.Array) -> np.ndarray:
+        """Within a task: the vectors of texts with these terms."""
+        return hashed_vectors(terms, self.dim)
+
+    def embed_terms(self, *parts: tuple[Column, int]) -> Column:
+        """The vector of a text of one or two parts, from the terms of each and how often it has the part."""
+        return hashed_terms(*parts, dim=self.dim)
+
 
 class CoverageReranker:
     """The share of the query's distinct terms that the content has, among the first words that fit."""

@@ -34,7 +34,7 @@ TABLES = {"parents": PARENTS, "children": CHILDREN, "postings": POSTINGS, "regis
 #: Tables whose rows stand for many documents; these are named in ``owners`` of the rows without a term.
 PACKED = {"postings", "cluster_postings"}
 #: What files are sorted by, where it is not the document.
-ORDER = {"postings": ["shard", "term"], "cluster_postings": ["shard", "term"]}
+ORDER = {"postings": ["shard"], "cluster_postings": ["shard"]}
 FAN, KEPT, TRIES = 8, 2, 20
 #: Tables from up to so many bytes (Spark's estimate) are gathered to few files.
 SMALL = 32 << 20
@@ -226,28 +226,34 @@ class Collection:
             return self.spark.createDataFrame([], "doc_id string")
         return self.spark.read.schema("doc_id string").parquet(*[f"{self.path}/{s['id']}/ids" for s in segments])
 
-    def _write(self, name: str, table: str, rows: DataFrame) -> None:
-        """Small tables are gathered to one file; the rows of large ones stay where they are. Each file is sorted by what searches ask for."""
+    def _write(self, name: str, table: str, rows: DataFrame, ordered: bool = False) -> None:
+        """Small tables are gathered to one file; the rows of large ones stay where they are. Each file is sorted by what searches ask for,
+        which large tables that come ``ordered`` are already.
+        """
         kinds = self.spark.createDataFrame([], TABLES[table]).schema
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds], F.lit(name).alias("segment"))
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds])
         order = ORDER.get(table, ["doc_id"])
-        if table in PACKED:
+        if workspace.read_bytes(rows) <= SMALL:
+            rows, ordered = rows.hint("rebalance", F.col(order[0])), False
+        rows = rows if ordered else rows.sortWithinPartitions(*order)
+        if table in PACKED:  # longer names go past the sort
             rows = rows.withColumn("part", F.concat(F.lit(f"{name}/"), F.element_at(F.split("part", "/"), -1)))
-        rows = rows if workspace.read_bytes(rows) > SMALL else rows.hint("rebalance", F.col(order[0]))
-        rows.sortWithinPartitions(*order).write.parquet(f"{self.path}/{name}/{table}")
+        rows.withColumn("segment", F.lit(name)).write.parquet(f"{self.path}/{name}/{table}")
 
-    def replace(self, ids: DataFrame, **rows: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
+    def replace(self, ids: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame], ordered: tuple[str, ...] = (), **rows: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
         """Rows of the documents ``ids`` (doc_id) go from all tables, and ``rows`` of these documents come in.
 
-        A table may be a function that makes it of those written before it, which it gets by their names.
+        A table may be a function that makes it of those written before it, which it gets by their names; ``ids`` may be one of all of them.
+        Tables that are ``ordered`` come in the order of their files.
         """
         name = f"segment-{uuid.uuid4().hex}"
         now = self._newest()[1]
-        ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().write.parquet(f"{self.path}/{name}/ids")
-        touched = self._ids([{"id": name}])
         done = lambda table: self._rows(table, [{"id": name, "tables": [table]}]).drop("segment")
         for table, new in rows.items():
-            self._write(name, table, new(done) if callable(new) else new)
+            self._write(name, table, new(done) if callable(new) else new, table in ordered)
+        ids = ids(done) if callable(ids) else ids
+        ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().write.parquet(f"{self.path}/{name}/ids")
+        touched = self._ids([{"id": name}])
         gone = touched.join(self._ids(now), "doc_id", "left_semi").select("doc_id", F.lit(name).alias("segment"))
         gone.write.parquet(f"{self.path}/{name}/gone")
         any_gone = bool(now) and not self.spark.read.parquet(f"{self.path}/{name}/gone").isEmpty()

@@ -428,3 +428,49 @@ def test_contexts_without_a_join(spark):
     want = chunking.contextualise(chunking.children(parents), parents).select(*alone.columns)
     assert sorted(map(repr, alone.collect())) == sorted(map(repr, want.collect()))
     assert "Join" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_chunks_are_cut_into_terms_once(spark):
+    """Terms of sentences become those of chunks, contexts and vectors; the plans cut no text of a chunk for its vector, and one for the index."""
+    from fathom.plans import contextual
+
+    store_pages = spark.createDataFrame(
+        [(f"a{n}", "f", n, "Old ΣΑΣ lanterns burn. The harbour's keeper v1.2 slept!\n\n'Quoted words, again.' Another long sentence here? " * n) for n in range(1, 4)] + [("b", "f", 1, None)],
+        "doc_id string, filename string, page int, text string",
+    )
+    found = contextual.cluster_chunks(store_pages, terms=True)
+    assert found.drop("terms").columns == contextual.cluster_chunks(store_pages).columns
+    rows = contextual.with_contexts(found.withColumn("original_uuid", F.col("doc_id")))
+    assert rows.where(F.col("terms") != T.tokens("content")).isEmpty() and rows.count() > 1
+    known = dense.hashed_terms((F.col("terms"), 2), (T.tokens("page_info"), 1))
+    assert rows.where(known != dense.hashed_embedding("text_to_embed")).isEmpty()
+    plan = contextual.cluster_chunks(store_pages)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_index_of_fields_put_together(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, f"red lantern {n} {n % 3}" if n % 4 else None, f"Page: {n % 2}") for n in range(50)], "key long, content string, page_info string")
+    rows = rows.withColumn("context", F.concat("content", F.lit("\n"), "page_info")).repartition(2, "key")
+    entries = lambda index: sorted((r.field, r.term, key, tf) for r, keys in named(index) for key, tf in zip((keys[d] for d in r.docs), r.tf, strict=True))
+
+    def named(index):
+        all_ = index.rows.collect()
+        keys = {r.part: r["keys"] for r in all_ if r.term is None}
+        return [(r, keys[r.part]) for r in all_ if r.term is not None]
+
+    for analyze in (T.tokens, lexical.english_tokens):
+        plain = lexical.index(rows, "key", ["content", "context"], analyze)
+        once = lexical.index(rows, "key", ["content", "context"], analyze, made_of={"context": ["content", "page_info"]})
+        assert entries(once) == entries(plain) and sorted(map(tuple, once.stats.collect())) == sorted(map(tuple, plain.stats.collect()))
+    # parts are filled over batches, and end early where texts are long
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        monkeypatch.setattr(lexical, "PART", 20)
+        whole = lexical.index(rows, "key", ["content"], owner="key")
+        assert max(len(r["keys"]) for r in whole.documents.collect()) > 7 and entries(whole) == entries(lexical.index(rows, "key", ["content"]))
+        monkeypatch.setattr(lexical, "FULL", 8)
+        short = lexical.index(rows, "key", ["content"], owner="key")
+        assert max(len(r["keys"]) for r in short.documents.collect()) <= 4 and entries(short) == entries(whole)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
